@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexiloom.llm import quality
-from lexiloom.llm.scratch import read_table
+from lexiloom.llm import exact_dedup, quality
+from lexiloom.llm.scratch import new_folder, read_table, stream_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,8 +19,16 @@ def op3_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.judge_signals(signals).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op6_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Group, size and verdict of every document."""
+    docs = read_table(spark, folder, "documents").select("doc_id", "text")
+    marked = exact_dedup.mark_duplicates(stream_table(docs, folder, "documents", 8), docs, new_folder(spark, "op6-state"))
+    return marked.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
 QUERIES: dict[str, Query] = {
     "op3_quality": op3_quality,
+    "op6_exact_dedup": op6_exact_dedup,
 }
 
 OP3_SQL = r"""
@@ -71,6 +79,13 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM m JOIN fence ON m.lang IS NOT DISTINCT FROM fence.lang AND m.source IS NOT DISTINCT FROM fence.source
 """
 
+OP6_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents),
+g AS (SELECT norm, min(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY norm)
+SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, sha256(norm) AS text_sha256 FROM d JOIN g USING (norm)
+"""
+
 SQL: dict[str, str] = {
+    "op6_exact_dedup": OP6_SQL,
     "op3_quality": OP3_SQL,
 }

@@ -11,6 +11,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _local_roots: dict[str, str] = {}
 
@@ -49,6 +50,19 @@ def remove(df: DataFrame) -> None:
         target.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
+    """`df` with a broadcast hint if it has `rows` rows at most, else as it is; for narrow tables, it counts them."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A table of the driver's folder of Parquet tables."""
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def stream_table(docs: DataFrame, folder: str, name: str, files_per_batch: int) -> DataFrame:
+    """A file stream over the table that `docs` reads, with its columns; a table is a folder of files, or one file."""
+    reader = docs.sparkSession.readStream.schema(docs.schema).option("maxFilesPerTrigger", files_per_batch)
+    if any(f.endswith(f"/{name}.parquet") for f in docs.inputFiles()):
+        return reader.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+    return reader.parquet(f"{folder}/{name}.parquet")
