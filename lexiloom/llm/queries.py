@@ -5,13 +5,28 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lexiloom.llm import exact_dedup, quality
+from lexiloom.llm import exact_dedup, quality, sharding
 from lexiloom.llm.scratch import new_folder, read_table, stream_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    """Shard and slot of every document, by equal bytes."""
+    placed = sharding.assign_shards(read_table(spark, folder, "documents").select("doc_id", "text"), 24)
+    return placed.select(
+        "doc_id",
+        sharding.bytes_of("text").alias("size"),
+        F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
+        F.lit("bytes").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 def op3_quality(spark: SparkSession, folder: str) -> DataFrame:
     """Signals and verdict of every document."""
     docs = read_table(spark, folder, "documents").select("doc_id", "text", "lang", "source")
@@ -27,6 +42,7 @@ def op6_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_sharding": op1_sharding,
     "op3_quality": op3_quality,
     "op6_exact_dedup": op6_exact_dedup,
 }
