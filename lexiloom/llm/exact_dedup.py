@@ -30,13 +30,17 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 _STREAM_CONF = {
     "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     "spark.sql.streaming.minBatchesToRetain": "2",
 }
 
 
 def normalized(text: Column) -> Column:
     """The text that is compared: null is empty, runs of ASCII white space are one space."""
-    return F.regexp_replace(F.coalesce(text, F.lit("")), r"[ \t-\r]+", " ")
+    plain = F.coalesce(text, F.lit(""))
+    for c in "\t\n\v\f\r":
+        plain = F.replace(plain, F.lit(c), F.lit(" "))
+    return F.when(F.contains(plain, F.lit("  ")), F.regexp_replace(plain, " +", " ")).otherwise(plain)
 
 
 def sha256(text: Column) -> Column:
@@ -91,23 +95,24 @@ def mark_duplicates(stream: DataFrame, docs: DataFrame, state_dir: str, doc_id:
     names = [c for c in docs.columns if c not in ("keep_id", "keep_locator", "group_size", "kept", "text_sha256")]
     state = keyed_state(stream, state_dir, digest, doc_id, text)
     state = materialize(state.select(F.col("digest").alias("__lx_digest"), "keep", "group_size"), "dedup-state")
-    rows = docs.withColumn("__lx_norm", normalized(F.col(text))).withColumn("__lx_digest", digest(F.col("__lx_norm")))
+    rows = docs.withColumn("__lx_norm", normalized(F.col(text))).withColumn("__lx_digest", digest(F.col("__lx_norm"))).withColumn("text_sha256", sha256(F.col("__lx_norm")))
 
     shared = broadcast_if_small(state.filter("group_size > 1"), 400_000)
-    held = rows.select(F.col(doc_id).alias("__lx_id"), "__lx_norm", "__lx_digest").join(shared, "__lx_digest")
-    stays = F.col("__lx_id").eqNullSafe(F.col("keep.id"))
+    held = materialize(rows.select(F.col(doc_id).alias("__lx_id"), "__lx_norm", "__lx_digest").join(shared.select("__lx_digest", F.col("keep.id").alias("__lx_keep")), "__lx_digest"), "dedup-held")
+    stays = F.col("__lx_id").eqNullSafe(F.col("__lx_keep"))
     kept_text = held.filter(stays).groupBy("__lx_digest").agg(F.min("__lx_norm").alias("__lx_kept"))
     hits = held.filter(~stays).select("__lx_id", "__lx_norm", "__lx_digest").join(kept_text, "__lx_digest")
     other = materialize(hits.filter("__lx_norm <> __lx_kept").select("__lx_digest", "__lx_norm", "__lx_id"), "dedup-collisions")
 
-    out = rows.join(state, "__lx_digest").withColumn("keep_id", F.col("keep.id")).withColumn("keep_locator", F.col("keep.locator"))
-    if not other.isEmpty():
-        out = _apart(out, other, kept_text)
-    out = out.withColumn("kept", F.col(doc_id).eqNullSafe(F.col("keep_id"))).withColumn("text_sha256", sha256(F.col("__lx_norm")))
-    return out.select(*names, "keep_id", "keep_locator", "group_size", "kept", "text_sha256")
+    collided = not other.isEmpty()
+    out = rows.select(*names, "text_sha256", "__lx_digest", *["__lx_norm"] * collided).join(state, "__lx_digest")
+    out = out.withColumn("keep_id", F.col("keep.id")).withColumn("keep_locator", F.col("keep.locator"))
+    if collided:
+        out = _apart(out, other)
+    return out.withColumn("kept", F.col(doc_id).eqNullSafe(F.col("keep_id"))).select(*names, "keep_id", "keep_locator", "group_size", "kept", "text_sha256")
 
 
-def _apart(out: DataFrame, other: DataFrame, kept_text: DataFrame) -> DataFrame:
+def _apart(out: DataFrame, other: DataFrame) -> DataFrame:
     """Rows whose bytes differ from those of the row that their digest keeps, grouped by their bytes."""
     own = other.groupBy("__lx_digest", "__lx_norm").agg(F.min("__lx_id").alias("__lx_own"), F.count("*").alias("__lx_n"))
     gone = own.groupBy("__lx_digest").agg(F.sum("__lx_n").alias("__lx_gone"))
