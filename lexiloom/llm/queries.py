@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiloom.llm import exact_dedup, quality, sharding
+from lexiloom.llm import exact_dedup, near_dedup, quality, sharding
 from lexiloom.llm.scratch import new_folder, read_table, stream_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,10 +41,16 @@ def op6_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return marked.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op7_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Component and verdict of every document; three words and 85 % by the contract."""
+    return near_dedup.near_duplicates(read_table(spark, folder, "documents"), width=3, percent=85)
+
+
 QUERIES: dict[str, Query] = {
     "op1_sharding": op1_sharding,
     "op3_quality": op3_quality,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_near_dedup": op7_near_dedup,
 }
 
 OP3_SQL = r"""
