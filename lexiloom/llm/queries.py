@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiloom.llm import exact_dedup, near_dedup, quality, sharding
+from lexiloom.llm import exact_dedup, language, near_dedup, quality, sharding, toxicity
 from lexiloom.llm.scratch import new_folder, read_table, stream_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,14 @@ def op1_sharding(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Score of every document; labels of two thirds of them are learnt."""
+    docs = read_table(spark, folder, "documents").select("doc_id", "text")
+    labels = read_table(spark, folder, "labels").filter(~toxicity.held_out(F.col("doc_id"))).select("doc_id", F.col("toxic").alias("label"))
+    scored = toxicity.with_scores(docs, toxicity.learn(docs, labels))
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op3_quality(spark: SparkSession, folder: str) -> DataFrame:
     """Signals and verdict of every document."""
     docs = read_table(spark, folder, "documents").select("doc_id", "text", "lang", "source")
@@ -34,6 +42,14 @@ def op3_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.judge_signals(signals).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op4_language(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of every document; those of two thirds of them are learnt."""
+    docs = read_table(spark, folder, "documents").select("doc_id", "text", "lang")
+    model = language.learn(docs.filter(~toxicity.held_out(F.col("doc_id"))))
+    found = language.with_languages(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "languages.lang_pred", "languages.score", F.to_json("languages.shares").alias("shares"))
+
+
 def op6_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Group, size and verdict of every document."""
     docs = read_table(spark, folder, "documents").select("doc_id", "text")
@@ -48,7 +64,9 @@ def op7_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_sharding": op1_sharding,
+    "op2_toxicity": op2_toxicity,
     "op3_quality": op3_quality,
+    "op4_language": op4_language,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_near_dedup": op7_near_dedup,
 }
