@@ -2,7 +2,7 @@
 
 Features are the presence of hashed words, word pairs and pairs that skip a word. FTRL-proximal (McMahan et al., 2013)
 learns with per-coordinate rates; L1 makes most weights zero. The training set is a bounded sample of the labelled rows
-(`max_docs`, those with the smallest hashed identifiers), dealt into SHARDS by hash; each shard learns by itself in a
+(`max_docs`, those with the smallest hashed identifiers), dealt by hash into shards of about SHARD_DOCS; each shard learns by itself in a
 fixed order, and the weights are averaged, so that the result doesn't depend on the cluster. The non-zero weights, at
 most 2**DIM_BITS, are broadcast, and each whole text is scored.
 
@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DIM_BITS = 18
-SHARDS = 8
+SHARD_DOCS = 8000
 #: ASCII but letters and digits become spaces; bytes of other characters stay.
 _PLAIN = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
@@ -31,11 +31,11 @@ _PLAIN = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 class Ftrl:
     """Rates, penalties and passes of the training."""
 
-    alpha: float = 0.15
+    alpha: float = 1.0
     beta: float = 1.0
-    l1: float = 1.5
-    l2: float = 0.5
-    passes: int = 4
+    l1: float = 8.0
+    l2: float = 0.0
+    passes: int = 6
 
 
 def held_out(doc_id: Column) -> Column:
@@ -44,21 +44,34 @@ def held_out(doc_id: Column) -> Column:
 
 
 class WordHashes(dict):
-    """Hashes of words met before; forgets all when it has grown large."""
+    """Numbers of words met before; `table` has hashes of a word and of its first 4 and 5 bytes (inflected forms)."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.table = np.zeros((1 << 12, 3), np.uint64)
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 400_000:
+        if len(self) == len(self.table):
+            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+        self[word] = k = len(self)
+        self.table[k] = xxhash.xxh64_intdigest(word), xxhash.xxh64_intdigest(word[:4], 4), xxhash.xxh64_intdigest(word[:5], 5)
+        return k
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        """The hashes of the words, a row for each; forgets all before if it has grown large."""
+        if len(self) > 400_000:
             self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word)
-        return h
+        at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        return self.table[at]
 
 
-def features(text: str | None, hashes: dict[bytes, int]) -> np.ndarray:
-    """Coordinates of the text's words, pairs and skipping pairs; they may repeat."""
+def features(text: str | None, hashes: WordHashes) -> np.ndarray:
+    """Coordinates of the text's words, their beginnings, pairs and skipping pairs; they may repeat."""
     words = text.encode("utf-8", "surrogatepass").lower().translate(_PLAIN).split() if text else []
-    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+    h = hashes.of(words)
+    w = h[:, 0]
     pair = lambda a, b, by: (a * np.uint64(by)) ^ (b >> np.uint64(7))
-    grams = np.concatenate([h, pair(h[:-1], h[1:], 0x9E3779B97F4A7C15), pair(h[:-2], h[2:], 0xC2B2AE3D27D4EB4F)]) if len(h) > 1 else h
+    grams = np.concatenate([h.ravel(), pair(w[:-1], w[1:], 0x9E3779B97F4A7C15), pair(w[:-2], w[2:], 0xC2B2AE3D27D4EB4F)])
     return ((grams * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - DIM_BITS)).astype(np.int64)
 
 
@@ -101,10 +114,10 @@ def learn(docs: DataFrame, labels: DataFrame, max_docs: int = 24_000, ftrl: Ftrl
     known = labels.filter("label is not null and doc_id is not null").groupBy("doc_id").agg(F.max("label").alias("label"))
     chosen = known.withColumn("h", F.xxhash64(F.lit("ftrl"), "doc_id")).orderBy("h", "doc_id").limit(max_docs)
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    rows = texts.join(chosen, "doc_id").dropDuplicates(["doc_id"]).withColumn("shard", F.pmod(F.shiftright("h", 8), F.lit(SHARDS)))
+    shards = max(1, -(-min(known.count(), max_docs) // SHARD_DOCS))
+    rows = texts.join(chosen, "doc_id").dropDuplicates(["doc_id"]).withColumn("shard", F.pmod(F.shiftright("h", 8), F.lit(shards)))
     found = rows.groupBy("shard").applyInPandas(_train_shard(ftrl), "i long, w double")
-    shards = F.sum(F.when(F.col("i") == -1, 1)).alias("n")
-    sums = found.groupBy("i").agg(F.sum("w").alias("w"), shards).collect()
+    sums = found.groupBy("i").agg(F.sum("w").alias("w"), F.sum(F.when(F.col("i") == -1, 1)).alias("n")).collect()
     n = max([r["n"] or 0 for r in sums], default=0)
     return {r["i"]: r["w"] / n for r in sums}
 
