@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiloom.llm import exact_dedup, language, near_dedup, quality, sharding, toxicity
+from lexiloom.llm import exact_dedup, language, near_dedup, quality, sharding, toxicity, url_filter
 from lexiloom.llm.scratch import new_folder, read_table, stream_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,6 +62,20 @@ def op7_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_dedup.near_duplicates(read_table(spark, folder, "documents"), width=3, percent=85)
 
 
+URL_RULES = [
+    url_filter.Rule("net", "/", True),
+    url_filter.Rule("example.net", "/en/", False),
+    url_filter.Rule("example.com", "/de/", True),
+    url_filter.Rule("org", "/fr/", False),
+]
+
+
+def op10_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    """Rule and verdict of every page's URL."""
+    pages = read_table(spark, folder, "pages").select("page_id", "url")
+    return url_filter.judge(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict", F.round("score", 6).alias("score"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_sharding": op1_sharding,
     "op2_toxicity": op2_toxicity,
@@ -69,6 +83,7 @@ QUERIES: dict[str, Query] = {
     "op4_language": op4_language,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_near_dedup": op7_near_dedup,
+    "op10_url_filter": op10_url_filter,
 }
 
 OP3_SQL = r"""
