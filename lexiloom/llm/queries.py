@@ -7,12 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiloom.llm import exact_dedup, language, near_dedup, quality, sharding, toxicity, url_filter
+from lexiloom.llm import exact_dedup, language, mixing, near_dedup, quality, sharding, token_counts, toxicity, url_filter
 from lexiloom.llm.scratch import new_folder, read_table, stream_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+#: The folder of public tokenizers; a parameter of the queries that need one.
+TOKENIZERS = "/opt/tokenizers"
+#: How the byte-pair tokenizer splits texts, a fixed value of the vocabulary.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
 def op1_sharding(spark: SparkSession, folder: str) -> DataFrame:
     """Shard and slot of every document, by equal bytes."""
     placed = sharding.assign_shards(read_table(spark, folder, "documents").select("doc_id", "text"), 24)
@@ -50,6 +56,13 @@ def op4_language(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "languages.lang_pred", "languages.score", F.to_json("languages.shares").alias("shares"))
 
 
+def op5_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document as often as the mixture takes it."""
+    docs = read_table(spark, folder, "documents").select("doc_id", "text", "source")
+    mixed = mixing.mix(docs)
+    return mixed.select("doc_id", "source", mixing.tokens_of("text").alias("n_tokens"), F.round("weight", 9).alias("weight"), "copy", "block", "place")
+
+
 def op6_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Group, size and verdict of every document."""
     docs = read_table(spark, folder, "documents").select("doc_id", "text")
@@ -62,6 +75,21 @@ def op7_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_dedup.near_duplicates(read_table(spark, folder, "documents"), width=3, percent=85)
 
 
+def op8_token_counts(spark: SparkSession, folder: str, tokenizers: str = TOKENIZERS) -> DataFrame:
+    """Totals after all documents came in, texts with junk symbols were revised (without them), and copies were deleted."""
+    docs = read_table(spark, folder, "documents").select("doc_id", "source", "lang", "text")
+    tokenizer = token_counts.byte_pair_tokenizer(f"{tokenizers}/byte_bpe_50k.tiktoken", PATTERN, "byte_bpe_50k")
+    store = token_counts.Rollup(spark, new_folder(spark, "op8-rollup"))
+    store.commit(1, docs, tokenizer)
+    store.commit(1, docs, tokenizer)  # a batch that comes again changes nothing
+    revised = docs.withColumn("text", F.regexp_replace("text", r"[#*$%&|<>]+", "")).filter(docs["text"].rlike(r"[#*$%&|<>]"))
+    texts = docs.groupBy(F.sha2(F.coalesce("text", F.lit("")), 256).alias("h"))
+    first = texts.agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).filter("n > 1")
+    copies = docs.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("h")).join(first, "h").filter("doc_id <> first").select("doc_id")
+    store.commit(2, revised, tokenizer, copies)
+    return store.totals()
+
+
 URL_RULES = [
     url_filter.Rule("net", "/", True),
     url_filter.Rule("example.net", "/en/", False),
@@ -81,8 +109,10 @@ QUERIES: dict[str, Query] = {
     "op2_toxicity": op2_toxicity,
     "op3_quality": op3_quality,
     "op4_language": op4_language,
+    "op5_mixing": op5_mixing,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_near_dedup": op7_near_dedup,
+    "op8_token_counts": op8_token_counts,
     "op10_url_filter": op10_url_filter,
 }
 
