@@ -37,7 +37,7 @@ VALUE_BITS = 40
 MISS = 1e-6
 SHORT, BLOCK = 24, 2000  # members of a list
 _CHUNK = 2048
-_KEPT_WORDS = 500_000
+_KEPT_WORDS = 200_000
 
 
 def least_matches(percent: int) -> int:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiloom.llm import exact_dedup, language, mixing, near_dedup, quality, sharding, token_counts, toxicity, url_filter
+from lexiloom.llm import exact_dedup, language, mixing, near_dedup, pieces, quality, sharding, token_counts, toxicity, url_filter
 from lexiloom.llm.scratch import new_folder, read_table, stream_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -90,6 +90,14 @@ def op8_token_counts(spark: SparkSession, folder: str, tokenizers: str = TOKENIZ
     return store.totals()
 
 
+def op9_pieces(spark: SparkSession, folder: str, tokenizers: str = TOKENIZERS) -> DataFrame:
+    """Piece ids of every document, and whether they decode to its text."""
+    docs = read_table(spark, folder, "documents").select("doc_id", "text").withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+    table = pieces.load_table(f"{tokenizers}/piece_bpe_32k.model")
+    decoded = pieces.with_texts(pieces.encode(docs, table), table, name="decoded")
+    return decoded.select("doc_id", F.size("piece_ids").alias("n_pieces"), "piece_ids", (F.xxhash64("decoded") == F.col("text_hash")).alias("round_trip"))
+
+
 URL_RULES = [
     url_filter.Rule("net", "/", True),
     url_filter.Rule("example.net", "/en/", False),
@@ -113,6 +121,7 @@ QUERIES: dict[str, Query] = {
     "op6_exact_dedup": op6_exact_dedup,
     "op7_near_dedup": op7_near_dedup,
     "op8_token_counts": op8_token_counts,
+    "op9_pieces": op9_pieces,
     "op10_url_filter": op10_url_filter,
 }
 
