@@ -127,7 +127,7 @@ def _apart(out: DataFrame, other: DataFrame) -> DataFrame:
     )
 
 
-def drop_duplicates(docs: DataFrame) -> DataFrame:
+def drop_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of `docs` that stay, with its columns. `docs` is written once, for the stream to read.
 
     Of repeated rows with one identifier and one text, one stays.
@@ -136,5 +136,14 @@ def drop_duplicates(docs: DataFrame) -> DataFrame:
     docs.write.option("compression", "zstd").parquet(folder)
     spark = docs.sparkSession
     stream = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 64).parquet(folder)
-    marked = mark_duplicates(stream, spark.read.schema(docs.schema).parquet(folder), new_folder(spark, "dedup-state"))
-    return marked.filter("kept").dropDuplicates(["text_sha256"]).select(*docs.columns)
+    written = spark.read.schema(docs.schema).parquet(folder)
+    marked = mark_duplicates(stream, written.select(F.col(doc_id), F.col(text)), new_folder(spark, "dedup-state"), doc_id, text)
+    light = materialize(marked.select(F.col(doc_id).alias("__lx_id"), "kept", F.col("text_sha256").alias("__lx_sha")), "dedup-marks")
+    gone = broadcast_if_small(light.filter("not kept").select("__lx_id", "__lx_sha").distinct(), 400_000)
+    same = F.col(doc_id).eqNullSafe(F.col("__lx_id")) & (F.col("__lx_own") == F.col("__lx_sha"))
+    out = written.withColumn("__lx_own", sha256(normalized(F.col(text)))).join(gone, same, "left_anti")
+    repeated = materialize(light.filter("kept").groupBy("__lx_id", "__lx_sha").count().filter("count > 1"), "dedup-repeats")
+    if not repeated.isEmpty():
+        one = out.join(repeated, same, "left_semi").dropDuplicates([doc_id, "__lx_own"])
+        out = out.join(repeated, same, "left_anti").union(one)
+    return out.select(*docs.columns)

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexiloom.llm.components import components
-from lexiloom.llm.scratch import materialize
+from lexiloom.llm.scratch import broadcast_if_small, materialize
 
 COORDINATES = 32
 VALUE_BITS = 40
@@ -273,4 +273,4 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """The rows of `docs` that are kept, with its columns; rows that repeat a kept identifier stay with it."""
     gone = near_duplicates(docs, doc_id, text, width, percent).filter("not kept").select(F.col("doc_id").alias("__lx_gone"))
-    return docs.join(gone, F.col(doc_id) == F.col("__lx_gone"), "left_anti")
+    return docs.join(broadcast_if_small(materialize(gone, "near-gone"), 1_000_000), F.col(doc_id) == F.col("__lx_gone"), "left_anti")

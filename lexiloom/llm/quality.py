@@ -68,15 +68,20 @@ def signals_of(text: str | None) -> tuple[int, int, int, int, int, int]:
     return len(words), chars, sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), repeated, len(lines)
 
 
-@F.pandas_udf("struct<n_words:long,word_chars:long,n_symbols:long,n_dup_lines:long,n_repeat_words:long,n_lines:long>")
-def _signals(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    for batch in texts:
-        yield pd.DataFrame([signals_of(x) for x in batch], columns=list(SIGNALS), dtype="int64")
+def _signals() -> Column:
+    """UDF: SIGNALS of a text. It is made when it is used, as its type is parsed by the running session."""
+
+    @F.pandas_udf(", ".join(f"{k} long" for k in SIGNALS))
+    def signals(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in texts:
+            yield pd.DataFrame([signals_of(x) for x in batch], columns=list(SIGNALS), dtype="int64")
+
+    return signals
 
 
 def with_signals(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adds SIGNALS, metrics in bins 0..BINS, and base_failed."""
-    out = docs.withColumn("__lx_s", _signals(F.col(text)))
+    out = docs.withColumn("__lx_s", _signals()(F.col(text)))
     out = out.withColumns({k: F.col("__lx_s")[k] for k in SIGNALS}).drop("__lx_s")
     share = lambda part, whole: F.expr(f"least({BINS}L, {BINS} * {part} div greatest(1L, {whole}))")
     return out.withColumns(
