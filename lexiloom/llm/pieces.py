@@ -1,20 +1,21 @@
 """SentencePiece encoding and decoding with a relational lattice (operator 9).
 
-Words (a run of spaces with what follows it, as far as the next space or line break) are encoded apart, which is exact
-because no piece has a space after another character, or a line break. For each distinct word all substrings up to the
-longest piece are exploded and equi-joined to the piece table; the matching edges are grouped by word and folded with a
+Texts are cut where no piece can reach across (before a space, and between two characters that are neighbours in no
+piece), and the segments are encoded apart, which is exact. For each distinct segment all substrings up to the longest
+piece are exploded and equi-joined to the piece table; the matching edges are grouped by segment and folded with a
 higher-order aggregate. For piece tables with log probabilities (unigram models) the fold is Viterbi. For merge tables
 (BPE models, whose scores are ranks) the best sum of ranks isn't what such a model encodes, so the fold applies the
-edges in order of rank, each where its two halves meet at that moment. Characters without a piece become byte pieces.
+edges in order of rank, each where it spans two pieces of that moment. Characters without a piece become byte pieces.
 
-So that texts needn't be exploded, a dictionary of frequent words, from a bounded sample of texts (`sample_docs` of them,
-`dictionary_words` words; only speed depends on it), is encoded by the lattice first and broadcast. Words that it lacks
-are requested by chunks of documents, encoded by the lattice once each, and sent back to the chunks, where the ids of
-whole texts are put together.
+So that texts needn't be exploded, a dictionary of frequent segments, from a bounded sample of texts (`sample_docs` of
+them, `dictionary_size` segments; only speed depends on it), is encoded by the lattice first and broadcast. Segments that
+it lacks are requested by chunks of documents, encoded by the lattice once each, and sent back to the chunks, where the
+ids of whole texts are put together.
 
-Defined results: a null or empty text has no pieces, and decodes as empty. Words of any length are encoded; over
-LONG_WORD characters, the fold runs in Python on the same edges. The sign for a space, U+2581, in a text is a space. Repeated rows are encoded each; other columns pass
-through, whatever their names, but piece_ids is replaced. Empty tables give empty results.
+Defined results: a null or empty text has no pieces, and decodes as empty. Segments of any length are encoded; over
+LONG characters, the fold runs in Python on the same edges. Repeated rows are encoded each; other columns pass through,
+whatever their names, but piece_ids is replaced. Empty tables give empty results. The sign for a space, U+2581, in a text
+is a space.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -32,10 +34,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lexiloom.llm.scratch import materialize
+
 SPACE = "▁"
 WORD = f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n"
-LONG_WORD = 128
-CHUNK_DOCS = 4000
+LONG = 60
+CHUNK_DOCS = 1000
+#: Numbers of segments that the dictionary lacks start here.
+_LACKING = 1 << 32
 
 
 @dataclass(frozen=True)
@@ -50,6 +56,13 @@ class PieceTable:
     def longest(self) -> int:
         return max((len(p) for p, _, _ in self.pieces), default=1)
 
+    def neighbours(self) -> frozenset[str]:
+        """Pairs of characters that stand side by side in a piece."""
+        return frozenset(p[i : i + 2] for p, _, _ in self.pieces for i in range(len(p) - 1))
+
+    def ids(self) -> dict[str, int]:
+        return {p: i for p, i, _ in self.pieces}
+
 
 def load_table(model: str) -> PieceTable:
     """From a SentencePiece model file that the driver can read; it is sent on as data."""
@@ -64,114 +77,142 @@ def load_table(model: str) -> PieceTable:
 
 
 def edges_of(words: DataFrame, table: PieceTable) -> DataFrame:
-    """(word, edges): of each distinct word the substrings that are pieces, as structs (neg, s, e, id), s and e from 1.
+    """(word, edges): of distinct words, the substrings of two characters or more that are pieces, in order of cost.
 
-    An empty substring stands for an edge (id -1) that keeps words without any piece. `words` should be partitioned by
-    word; then nothing is exchanged, as the piece table has a fixed size and is broadcast.
+    An edge is a struct (neg, s, e) of the negated score and the positions, from 0, of begin and end. Words without any
+    such substring are left out. `words` should be partitioned by word; then nothing is exchanged, as the piece table has
+    a fixed size and is broadcast.
     """
-    spark = words.sparkSession
-    pieces = spark.createDataFrame([*table.pieces, ("", -1, 0.0)], "piece string, id int, score double")
+    pieces = words.sparkSession.createDataFrame([(p, -x) for p, _, x in table.pieces if len(p) > 1], "piece string, neg double")
     n = F.length("word")
-    starts = words.select("word", n.alias("n"), F.explode(F.sequence(F.lit(1), n)).alias("s"))
-    lengths = F.sequence(F.when(F.col("s") == 1, 0).otherwise(1), F.least(F.lit(table.longest), F.col("n") - F.col("s") + 1))
-    parts = starts.select("word", "s", F.explode(lengths).alias("l")).select("word", "s", (F.col("s") + F.col("l")).alias("e"), F.substr("word", F.col("s"), F.col("l")).alias("piece"))
+    starts = words.filter(n >= 2).select("word", F.explode(F.sequence(F.lit(0), n - 2)).alias("s"))
+    lengths = F.sequence(F.lit(2), F.least(F.lit(table.longest), n - F.col("s")))
+    parts = starts.select("word", "s", F.explode(lengths).alias("l")).select("word", "s", (F.col("s") + F.col("l")).alias("e"), F.substr("word", F.col("s") + 1, F.col("l")).alias("piece"))
     found = parts.join(F.broadcast(pieces), "piece")
-    return found.groupBy("word").agg(F.collect_list(F.struct((-F.col("score")).alias("neg"), "s", "e", "id")).alias("edges"))
-
-
-def _byte_ids(c: Column, table: PieceTable) -> Column:
-    """Byte pieces of a character."""
-    code = F.hex(F.encode(c, "UTF-8"))
-    at = F.sequence(F.lit(1), F.length(code).cast("int"), F.lit(2))
-    return F.transform(at, lambda k: F.element_at(F.lit(list(table.bytes)), F.conv(F.substr(code, k, F.lit(2)), 16, 10).cast("int") + 1))
-
-
-def _cuts_to_ids(word: Column, cuts: Column, edges: Column, table: PieceTable) -> Column:
-    """Ids of the pieces between neighbouring cuts; only single characters may have none."""
-    span = lambda s, e: s * F.lit(4 * LONG_WORD) + e
-    ids = F.map_from_entries(F.transform(F.filter(edges, lambda x: x["id"] >= 0), lambda x: F.struct(span(x["s"], x["e"]), x["id"])))
+    return found.groupBy("word").agg(F.array_sort(F.collect_list(F.struct("neg", "s", "e"))).alias("edges"))
 
-    def piece(k: Column) -> Column:
-        s = F.element_at(cuts, k)
-        at = span(s, F.element_at(cuts, k + 1))
-        return F.when(F.map_contains_key(ids, at), F.array(F.element_at(ids, at))).otherwise(_byte_ids(F.substr(word, s, F.lit(1)), table))
 
-    return F.flatten(F.transform(F.sequence(F.lit(1), F.size(cuts) - 1), piece))
+def _bit(i: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), i)
 
 
-def _merge_fold(word: Column, edges: Column, table: PieceTable) -> Column:
-    """Cuts are dropped in the order of the edges' ranks, each where an edge spans two pieces of that moment."""
-    ranked = F.array_sort(F.filter(edges, lambda x: x["e"] - x["s"] >= 2))
-    start = F.sequence(F.lit(1), F.length(word) + 1)
+def _merge_fold(word: Column, edges: Column) -> Column:
+    """Cuts as bits of a long. They go in the order of the edges' ranks, where one is between an edge's two ends."""
+    start = _bit(F.length(word) + 1) - 1
 
     def step(cuts: Column, x: Column) -> Column:
-        at = F.array_position(cuts, x["s"])
-        meets = (at > 0) & (F.try_element_at(cuts, (at + 2).cast("int")) == x["e"])
-        return F.when(meets, F.array_remove(cuts, F.element_at(cuts, (at + 1).cast("int")))).otherwise(cuts)
+        ends = _bit(x["s"]).bitwiseOR(_bit(x["e"]))
+        inside = cuts.bitwiseAND(_bit(x["e"]) - _bit(x["s"] + 1))
+        meets = (cuts.bitwiseAND(ends) == ends) & (F.bit_count(inside) == 1)
+        return F.when(meets, cuts.bitwiseXOR(inside)).otherwise(cuts)
 
-    return F.aggregate(ranked, start, step)
+    return F.aggregate(edges, start, step)
 
 
-def _viterbi_fold(word: Column, edges: Column, table: PieceTable) -> Column:
-    """Cuts of the best sum of scores; a character without a piece costs 1000. Of equal sums the longest last piece wins."""
-    state = F.array(F.struct(F.lit(0.0).alias("cost"), F.array(F.lit(1)).alias("cuts")))
+def _viterbi_fold(word: Column, edges: Column, single: float) -> Column:
+    """Cuts, as bits of a long, of the best sum of scores; any character alone is an edge of the cost `single`. Of equal
+    sums the piece that begins first wins."""
+    state = F.array(F.struct(F.lit(0.0).alias("cost"), F.lit(1).cast("long").alias("cuts")))
 
     def step(best: Column, e: Column) -> Column:
-        steps = F.transform(
-            F.concat(F.filter(edges, lambda x: (x["id"] >= 0) & (x["e"] == e + 1)), F.array(F.struct(F.lit(1000.0).alias("neg"), e.cast("int").alias("s"), (e + 1).cast("int").alias("e"), F.lit(-1).alias("id")))),
-            lambda x: F.struct((F.element_at(best, x["s"])["cost"] + x["neg"]).alias("cost"), x["s"].alias("s")),
-        )
+        own = F.struct(F.lit(single).alias("neg"), (e - 1).cast("int").alias("s"), e.cast("int").alias("e"))
+        steps = F.transform(F.concat(F.filter(edges, lambda x: x["e"] == e), F.array(own)), lambda x: F.struct((F.element_at(best, x["s"] + 1)["cost"] + x["neg"]).alias("cost"), x["s"].alias("s")))
         least = F.array_min(steps)
-        return F.concat(best, F.array(F.struct(least["cost"].alias("cost"), F.concat(F.element_at(best, least["s"])["cuts"], F.array((e + 1).cast("int"))).alias("cuts"))))
+        return F.concat(best, F.array(F.struct(least["cost"].alias("cost"), F.element_at(best, least["s"] + 1)["cuts"].bitwiseOR(_bit(e)).alias("cuts"))))
 
     return F.element_at(F.aggregate(F.sequence(F.lit(1), F.length(word)), state, step), -1)["cuts"]
 
 
-def fold_in_python(word: str, edges: list, table: PieceTable) -> list[int]:
-    """The ids of a long word from its edges (neg, s, e, id), by the same rules."""
-    n, ids = len(word), {(s, e): i for _, s, e, i in edges if i >= 0}
-    if table.merges:
-        after, before = {s: s + 1 for s in range(1, n + 1)}, {s + 1: s for s in range(1, n + 1)}
-        for _, s, e, i in sorted(edges):
+def fold_in_python(n: int, edges: list[tuple[float, int, int]], merges: bool, single: float) -> list[int]:
+    """The cuts of a long word of n characters from its edges, by the same rules."""
+    if merges:
+        after = {s: s + 1 for s in range(n)}
+        for _, s, e in sorted(edges):
             middle = after.get(s)
-            if i >= 0 and e - s >= 2 and middle is not None and after.get(middle) == e:
-                del after[middle], before[middle]
-                after[s], before[e] = e, s
-        cuts = [1]
-        while cuts[-1] <= n:
+            if middle is not None and after.get(middle) == e:
+                after[s] = e
+                del after[middle]
+        cuts = [0]
+        while cuts[-1] < n:
             cuts.append(after[cuts[-1]])
-    else:
-        ending: dict[int, list] = {}
-        for neg, s, e, i in edges:
-            if i >= 0:
-                ending.setdefault(e, []).append((neg, s))
-        best = [(0.0, 0), (0.0, 0)]
-        for e in range(2, n + 2):
-            best.append(min((best[s][0] + neg, s) for neg, s in [*ending.get(e, []), (1000.0, e - 1)]))
-        cuts = [n + 1]
-        while cuts[-1] > 1:
-            cuts.append(best[cuts[-1]][1])
-        cuts.reverse()
-    out: list[int] = []
-    for s, e in zip(cuts, cuts[1:], strict=False):
-        out += [ids[s, e]] if (s, e) in ids else [table.bytes[b] for b in word[s - 1 : e - 1].encode("utf-8", "surrogatepass")]
-    return out
+        return cuts
+    ending: dict[int, list] = {}
+    for neg, s, e in edges:
+        ending.setdefault(e, []).append((neg, s))
+    best = [(0.0, 0)]
+    for e in range(1, n + 1):
+        best.append(min((best[s][0] + neg, s) for neg, s in [*ending.get(e, []), (single, e - 1)]))
+    cuts = [n]
+    while cuts[-1] > 0:
+        cuts.append(best[cuts[-1]][1])
+    return cuts[::-1]
 
 
 def encode_words(words: DataFrame, table: PieceTable) -> DataFrame:
-    """(word, ids) of distinct words; see edges_of() for their partitioning."""
-    edges = edges_of(words, table)
-    fold = _merge_fold if table.merges else _viterbi_fold
+    """(word, cuts, far): where distinct words are cut, as bits of a long, or as a list for words over LONG characters.
+
+    Words that aren't in the result are cut between all characters. See edges_of() for the partitioning of `words`.
+    """
+    single = max((-x for p, _, x in table.pieces if len(p) == 1), default=0.0)
+    merges = table.merges
+    edges = edges_of(words.filter(F.length("word") <= LONG), table)
+    fold = _merge_fold(F.col("word"), F.col("edges")) if merges else _viterbi_fold(F.col("word"), F.col("edges"), single)
+    done = edges.select("word", fold.alias("cuts"), F.lit(None).cast("array<int>").alias("far"))
 
     @F.pandas_udf("array<int>")
-    def long_words(word: pd.Series, found: pd.Series) -> pd.Series:
-        return pd.Series([fold_in_python(w, [tuple(x.values()) if isinstance(x, dict) else tuple(x) for x in e], table) for w, e in zip(word, found, strict=True)])
+    def far(word: pd.Series, found: pd.Series) -> pd.Series:
+        return pd.Series([fold_in_python(len(w), [(x["neg"], x["s"], x["e"]) for x in e], merges, single) for w, e in zip(word, found, strict=True)], dtype=object)
+
+    rest = edges_of(words.filter(F.length("word") > LONG), table)
+    return done.union(rest.select("word", F.lit(None).cast("long"), far("word", "edges")))
+
+
+class _Ids:
+    """Piece ids of words from their cuts."""
 
-    short = edges.filter(F.length("word") <= LONG_WORD)
-    cut = short.withColumn("cuts", fold(F.col("word"), F.col("edges"), table))
-    done = cut.select("word", _cuts_to_ids(F.col("word"), F.col("cuts"), F.col("edges"), table).alias("ids"))
-    rest = edges_of(words.filter(F.length("word") > LONG_WORD), table)
-    return done.union(rest.select("word", long_words("word", "edges").alias("ids")))
+    def __init__(self, table: PieceTable) -> None:
+        self.ids, self.bytes = table.ids(), table.bytes
+
+    def of(self, word: str, cuts: int | None, far: list[int] | None) -> list[int]:
+        if far is not None:
+            at = far
+        elif cuts is not None:
+            at = [i for i in range(len(word) + 1) if cuts >> i & 1]
+        else:
+            at = range(len(word) + 1)
+        out: list[int] = []
+        for s, e in zip(at, at[1:], strict=False):
+            piece = self.ids.get(word[s:e])
+            out += [piece] if piece is not None else [self.bytes[b] for b in word[s:e].encode()]
+        return out
+
+
+class _Segments(dict):
+    """Numbers of the segments of words: those of the dictionary, or from _LACKING on; forgets words when it has many."""
+
+    def __init__(self, known: list[str], neighbours: frozenset[str]) -> None:
+        super().__init__()
+        self.number = {w: k for k, w in enumerate(known)}
+        self.neighbours, self.lacking, self.names = neighbours, {}, []
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        out = []
+        for x in cut_apart(word, self.neighbours):
+            k = self.number.get(x)
+            if k is None:
+                k = self.lacking.get(x)
+                if k is None:
+                    k = self.lacking[x] = _LACKING + len(self.names)
+                    self.names.append(x)
+            out.append(k)
+        self[word] = out = tuple(out)
+        return out
+
+    def of(self, text: str | None) -> np.ndarray:
+        if len(self) > 150_000:
+            self.clear()
+            self.lacking, self.names = {}, []
+        return np.fromiter(chain.from_iterable(map(self.__getitem__, words_of(text))), np.int64)
 
 
 def words_of(text: str | None) -> list[str]:
@@ -179,106 +220,122 @@ def words_of(text: str | None) -> list[str]:
     return re.findall(WORD, SPACE + text.replace(" ", SPACE)) if text else []
 
 
-def _dictionary(docs: DataFrame, table: PieceTable, text: str, sample_docs: int, dictionary_words: int) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Frequent words of a sample, the ends of their ids, and their ids, one after the other."""
+def cut_apart(word: str, neighbours: frozenset[str]) -> list[str]:
+    """The segments of a word that pieces don't reach across."""
+    out, begin = [], 0
+    for i in range(1, len(word)):
+        if word[i - 1 : i + 1] not in neighbours:
+            out.append(word[begin:i])
+            begin = i
+    out.append(word[begin:])
+    return out
+
+
+def _dictionary(docs: DataFrame, table: PieceTable, text: str, sample_docs: int, size: int, n: int) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Frequent segments of a sample, the ends of their ids, and their ids, one after the other."""
+    neighbours = table.neighbours()
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: Counter = Counter()
         for batch in batches:
             for x in batch["text"]:
-                sums.update(w for w in words_of(x) if len(w) <= LONG_WORD)
-        yield pd.DataFrame({"word": list(sums), "n": np.array(list(sums.values()), np.int64)})
-
-    share = min(1.0, sample_docs / max(1, docs.count()))
+                sums.update(words_of(x))
+        parts: Counter = Counter()
+        for w, k in sums.items():
+            for x in cut_apart(w, neighbours):
+                parts[x] += k
+        yield pd.DataFrame({"word": list(parts), "n": np.array(list(parts.values()), np.int64)})
+
+    share = min(1.0, sample_docs / max(1, n))
     part = docs.select(F.col(text).alias("text")).filter(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < F.lit(math.ceil(share * (1 << 20))))
-    often = part.mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).filter("n > 1").orderBy(F.desc("n"), "word").limit(dictionary_words)
-    encoded = encode_words(often.select("word").repartition("word"), table).toArrow()
-    ids = encoded["ids"].combine_chunks()
-    ends = np.asarray(ids.offsets)[1:].astype(np.int64) if len(ids) else np.empty(0, np.int64)
-    return encoded["word"].to_pylist(), ends, np.asarray(ids.values).astype(np.int32)
-
-
-def _chunk(key: Column, text: str, chunks: int) -> Column:
-    return F.pmod(F.xxhash64(key, F.col(text)), F.lit(chunks)).cast("int")
+    often = part.mapInPandas(count, "word string, n long").filter(F.length("word") <= LONG).groupBy("word").agg(F.sum("n").alias("n")).filter("n > 1").orderBy(F.desc("n"), "word").limit(size)
+    often = materialize(often.select("word"), "piece-dictionary")
+    found = encode_words(often.repartition("word"), table)
+    cuts = often.join(found.select("word", "cuts"), "word", "left").toArrow()
+    ids = _Ids(table)
+    words = cuts["word"].to_pylist()
+    lists = [ids.of(w, c, None) for w, c in zip(words, cuts["cuts"].to_pylist(), strict=True)]
+    return words, np.cumsum([len(x) for x in lists], dtype=np.int64), np.fromiter(chain.from_iterable(lists), np.int32)
 
 
-def encode(docs: DataFrame, table: PieceTable, doc_id: str = "doc_id", text: str = "text", sample_docs: int = 20_000, dictionary_words: int = 400_000) -> DataFrame:
+def encode(docs: DataFrame, table: PieceTable, doc_id: str = "doc_id", text: str = "text", sample_docs: int = 20_000, dictionary_size: int = 200_000) -> DataFrame:
     """All rows of `docs`, without the text, with piece_ids."""
     spark = docs.sparkSession
-    words, ends, flat = _dictionary(docs, table, text, sample_docs, dictionary_words)
-    sent = spark.sparkContext.broadcast((words, ends, flat))
-    chunks = max(1, math.ceil(docs.count() / CHUNK_DOCS))
+    total = docs.count()
+    neighbours = table.neighbours()
+    sent = spark.sparkContext.broadcast(_dictionary(docs, table, text, sample_docs, dictionary_size, total))
+    chunks = max(1, math.ceil(total / CHUNK_DOCS))
     names = [c for c in docs.columns if c not in (text, "piece_ids")]
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), F.col(text).alias("text"), _chunk(F.col(doc_id), text, chunks).alias("chunk"))
+    chunk = F.pmod(F.xxhash64(doc_id, text), F.lit(chunks)).cast("int")
+    rows = docs.select(F.struct(F.lit(0).alias("__lx_0"), *(F.col(f"`{c}`") for c in names)).alias("row"), F.col(text).alias("text"), chunk.alias("chunk"))
 
     def requests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = frozenset(sent.value[0])
+        segments = _Segments(sent.value[0], neighbours)
         for batch in batches:
             asked: set[tuple[int, str]] = set()
-            for c, x in zip(batch["chunk"], batch["text"], strict=True):
-                asked.update((c, w) for w in set(words_of(x)) - known)
+            for c, x in zip(batch["chunk"].tolist(), batch["text"], strict=True):
+                at = segments.of(x)
+                asked.update((c, segments.names[k - _LACKING]) for k in at[at >= _LACKING].tolist())
             if asked:
-                at, lacking = zip(*asked, strict=True)
-                yield pd.DataFrame({"chunk": np.array(at, np.int32), "word": list(lacking)})
+                to, lacking = zip(*asked, strict=True)
+                yield pd.DataFrame({"chunk": np.array(to, np.int32), "word": list(lacking)})
 
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     asked = rows.select("text", "chunk").mapInPandas(requests, "chunk int, word string").repartition(parts, "word")
-    answers = asked.join(encode_words(asked.select("word").distinct(), table), "word").select("chunk", "word", "ids")
+    answers = asked.join(encode_words(asked.select("word").distinct(), table), "word").select("chunk", "word", "cuts", "far")
 
-    packed = rows.withColumn("codes", _codes(sent)(F.col("text"))).select("chunk", "row", "codes")
-    schema = T.StructType([docs.schema[c] for c in names] + [T.StructField("piece_ids", T.ArrayType(T.IntegerType()))])
-    out_type = T.StructType([T.StructField("row", packed.schema["row"].dataType), T.StructField("piece_ids", T.ArrayType(T.IntegerType()))])
-    put = packed.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(_put_together(sent), out_type)
-    return put.select("row.*", "piece_ids") if names else put.select(F.col("piece_ids")).to(schema)
+    packed = rows.withColumn("codes", _codes(sent, neighbours)(F.col("text"))).select("chunk", "row", "codes")
+    out_type = T.StructType([packed.schema["row"], T.StructField("piece_ids", T.ArrayType(T.IntegerType()))])
+    put = packed.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(_put_together(sent, table), out_type)
+    return put.select(*(F.col("row")[c].alias(c) for c in names), "piece_ids")
 
 
-def _codes(sent) -> Column:
-    """UDF: the words' numbers in the dictionary, negative ones for words that follow by name; compressed."""
+def _codes(sent, neighbours: frozenset[str]) -> Column:
+    """UDF: the numbers of a text's segments, negative ones for segments that follow by name; compressed."""
 
     @F.pandas_udf("binary")
     def codes(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        number = {w: k for k, w in enumerate(sent.value[0])}
-        pack = zstandard.ZstdCompressor(level=3)
+        segments, pack = _Segments(sent.value[0], neighbours), zstandard.ZstdCompressor(level=3)
         for batch in texts:
             out = []
             for x in batch:
-                found = words_of(x)
-                at = np.fromiter((number.get(w, -1) for w in found), np.int32, len(found))
-                lacking = [found[k] for k in np.flatnonzero(at < 0)]
-                own = {w: -1 - k for k, w in enumerate(dict.fromkeys(lacking))}
-                at[at < 0] = [own[w] for w in lacking]
-                names = " ".join(own).encode()  # no word has a space
-                out.append(pack.compress(np.array([len(at)], np.int64).tobytes() + at.tobytes() + names))
-            yield pd.Series(out)
+                at = segments.of(x)
+                lacks = at >= _LACKING
+                own, order = np.unique(at[lacks], return_inverse=True)
+                at[lacks] = -1 - order
+                names = " ".join(segments.names[k - _LACKING] for k in own.tolist()).encode()  # no segment has a space
+                out.append(pack.compress(np.array([len(at)], np.int64).tobytes() + at.astype(np.int32).tobytes() + names))
+            yield pd.Series(out, dtype=object)
 
     return codes
 
 
-def _put_together(sent):
+def _put_together(sent, table: PieceTable):
     def put(docs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         _, ends, flat = sent.value
-        unpack = zstandard.ZstdDecompressor()
-        ids_of = dict(zip(answers["word"], answers["ids"], strict=True))
+        unpack, ids = zstandard.ZstdDecompressor(), _Ids(table)
+        cut = {w: (None if pd.isna(c) else int(c), f) for w, c, f in zip(answers["word"], answers["cuts"], answers["far"], strict=True)}
         begins = np.append(0, ends[:-1]) if len(ends) else ends
         out = []
         for packed in docs["codes"]:
             raw = unpack.decompress(packed)
             n = int(np.frombuffer(raw[:8], np.int64)[0])
             at = np.frombuffer(raw[8 : 8 + 4 * n], np.int32).astype(np.int64)
-            lacking = [ids_of[w] for w in raw[8 + 4 * n :].decode().split(" ")] if (at < 0).any() else []
             known, size = at >= 0, np.zeros(n, np.int64)
+            lacking = [] if known.all() else [ids.of(w, *cut.get(w, (None, None))) for w in raw[8 + 4 * n :].decode().split(" ")]
             first = begins[at[known]]
             size[known] = ends[at[known]] - first
-            size[~known] = np.array([len(x) for x in lacking], np.int64)[-1 - at[~known]] if lacking else 0
+            if lacking:
+                size[~known] = np.array([len(x) for x in lacking], np.int64)[-1 - at[~known]]
             to = np.cumsum(size) - size
-            ids = np.empty(int(size.sum()), np.int32)
+            all_ids = np.empty(int(size.sum()), np.int32)
             each = size[known]
             within = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
-            ids[np.repeat(to[known], each) + within] = flat[np.repeat(first, each) + within]
+            all_ids[np.repeat(to[known], each) + within] = flat[np.repeat(first, each) + within]
             for k in np.flatnonzero(~known):
-                ids[to[k] : to[k] + size[k]] = lacking[-1 - at[k]]
-            out.append(ids)
-        return pd.DataFrame({"row": docs["row"], "piece_ids": out})
+                all_ids[to[k] : to[k] + size[k]] = lacking[-1 - at[k]]
+            out.append(all_ids)
+        return pd.DataFrame({"row": docs["row"], "piece_ids": pd.Series(out, dtype=object)})
 
     return put
 
