@@ -40,8 +40,6 @@ SPACE = "▁"
 WORD = f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n"
 LONG = 60
 CHUNK_DOCS = 1000
-#: Numbers of segments that the dictionary lacks start here.
-_LACKING = 1 << 32
 
 
 @dataclass(frozen=True)
@@ -187,37 +185,50 @@ class _Ids:
         return out
 
 
-class _Segments(dict):
-    """Numbers of the segments of words: those of the dictionary, or from _LACKING on; forgets words when it has many."""
+class _Segments:
+    """Cuts texts into segments and numbers those of the dictionary."""
 
-    def __init__(self, known: list[str], neighbours: frozenset[str]) -> None:
-        super().__init__()
+    def __init__(self, known: list[str], table: PieceTable) -> None:
         self.number = {w: k for k, w in enumerate(known)}
-        self.neighbours, self.lacking, self.names = neighbours, {}, []
-
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        out = []
-        for x in cut_apart(word, self.neighbours):
-            k = self.number.get(x)
-            if k is None:
-                k = self.lacking.get(x)
-                if k is None:
-                    k = self.lacking[x] = _LACKING + len(self.names)
-                    self.names.append(x)
-            out.append(k)
-        self[word] = out = tuple(out)
-        return out
-
-    def of(self, text: str | None) -> np.ndarray:
-        if len(self) > 150_000:
-            self.clear()
-            self.lacking, self.names = {}, []
-        return np.fromiter(chain.from_iterable(map(self.__getitem__, words_of(text))), np.int64)
-
-
-def words_of(text: str | None) -> list[str]:
+        self.neighbours = table.neighbours()
+        self.pattern = word_pattern(self.neighbours)
+
+    def of(self, text: str | None) -> tuple[np.ndarray, list[str]]:
+        """The numbers of a text's segments, in order, and the names of those that the dictionary lacks: they have the
+        numbers -1, -2, and so on."""
+        words = words_of(text, self.pattern)
+        at = np.fromiter((self.number.get(w, -1) for w in words), np.int64, len(words))
+        lacks = np.flatnonzero(at < 0).tolist()
+        if not lacks:
+            return at, []
+        own: dict[str, int] = {}
+        parts, done = [], 0
+        for k in lacks:
+            parts.append(at[done:k])
+            here = []
+            for x in cut_apart(words[k], self.neighbours):
+                n = self.number.get(x)
+                here.append(own.setdefault(x, -1 - len(own)) if n is None else n)
+            parts.append(np.array(here, np.int64))
+            done = k + 1
+        parts.append(at[done:])
+        return np.concatenate(parts), list(own)
+
+
+def word_pattern(neighbours: frozenset[str]) -> re.Pattern:
+    """Cuts before spaces and at line breaks, and, if no piece goes on after a letter with anything else, after letters."""
+    if any(x[1] == SPACE and x[0] != SPACE for x in neighbours):
+        raise ValueError("pieces reach across spaces")
+    letter = re.compile(r"[^\W\d_]")
+    if any(letter.match(x[0]) and not letter.match(x[1]) for x in neighbours):
+        return re.compile(WORD)
+    other = rf"(?:(?![^\W\d_])[^{SPACE}\n])"
+    return re.compile(rf"{SPACE}+{other}*[^\W\d_]*|{other}+[^\W\d_]*|[^\W\d_]+|\n")
+
+
+def words_of(text: str | None, pattern: re.Pattern) -> list[str]:
     """The words of a text, with its spaces."""
-    return re.findall(WORD, SPACE + text.replace(" ", SPACE)) if text else []
+    return pattern.findall(SPACE + text.replace(" ", SPACE)) if text else []
 
 
 def cut_apart(word: str, neighbours: frozenset[str]) -> list[str]:
@@ -237,9 +248,10 @@ def _dictionary(docs: DataFrame, table: PieceTable, text: str, sample_docs: int,
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: Counter = Counter()
+        pattern = word_pattern(neighbours)
         for batch in batches:
             for x in batch["text"]:
-                sums.update(words_of(x))
+                sums.update(words_of(x, pattern))
         parts: Counter = Counter()
         for w, k in sums.items():
             for x in cut_apart(w, neighbours):
@@ -258,11 +270,10 @@ def _dictionary(docs: DataFrame, table: PieceTable, text: str, sample_docs: int,
     return words, np.cumsum([len(x) for x in lists], dtype=np.int64), np.fromiter(chain.from_iterable(lists), np.int32)
 
 
-def encode(docs: DataFrame, table: PieceTable, doc_id: str = "doc_id", text: str = "text", sample_docs: int = 20_000, dictionary_size: int = 200_000) -> DataFrame:
+def encode(docs: DataFrame, table: PieceTable, doc_id: str = "doc_id", text: str = "text", sample_docs: int = 40_000, dictionary_size: int = 300_000) -> DataFrame:
     """All rows of `docs`, without the text, with piece_ids."""
     spark = docs.sparkSession
     total = docs.count()
-    neighbours = table.neighbours()
     sent = spark.sparkContext.broadcast(_dictionary(docs, table, text, sample_docs, dictionary_size, total))
     chunks = max(1, math.ceil(total / CHUNK_DOCS))
     names = [c for c in docs.columns if c not in (text, "piece_ids")]
@@ -270,41 +281,37 @@ def encode(docs: DataFrame, table: PieceTable, doc_id: str = "doc_id", text: str
     rows = docs.select(F.struct(F.lit(0).alias("__lx_0"), *(F.col(f"`{c}`") for c in names)).alias("row"), F.col(text).alias("text"), chunk.alias("chunk"))
 
     def requests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        segments = _Segments(sent.value[0], neighbours)
+        segments = _Segments(sent.value[0], table)
         for batch in batches:
             asked: set[tuple[int, str]] = set()
             for c, x in zip(batch["chunk"].tolist(), batch["text"], strict=True):
-                at = segments.of(x)
-                asked.update((c, segments.names[k - _LACKING]) for k in at[at >= _LACKING].tolist())
+                asked.update((c, w) for w in segments.of(x)[1])
             if asked:
                 to, lacking = zip(*asked, strict=True)
                 yield pd.DataFrame({"chunk": np.array(to, np.int32), "word": list(lacking)})
 
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    asked = rows.select("text", "chunk").mapInPandas(requests, "chunk int, word string").repartition(parts, "word")
-    answers = asked.join(encode_words(asked.select("word").distinct(), table), "word").select("chunk", "word", "cuts", "far")
+    asked = materialize(rows.select("text", "chunk").mapInPandas(requests, "chunk int, word string"), "piece-requests")
+    words = asked.select("word").distinct()
+    answers = asked.join(encode_words(words, table), "word").select("chunk", "word", "cuts", "far")
 
-    packed = rows.withColumn("codes", _codes(sent, neighbours)(F.col("text"))).select("chunk", "row", "codes")
+    packed = rows.withColumn("codes", _codes(sent, table)(F.col("text"))).select("chunk", "row", "codes")
     out_type = T.StructType([packed.schema["row"], T.StructField("piece_ids", T.ArrayType(T.IntegerType()))])
     put = packed.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(_put_together(sent, table), out_type)
     return put.select(*(F.col("row")[c].alias(c) for c in names), "piece_ids")
 
 
-def _codes(sent, neighbours: frozenset[str]) -> Column:
+def _codes(sent, table: PieceTable) -> Column:
     """UDF: the numbers of a text's segments, negative ones for segments that follow by name; compressed."""
 
     @F.pandas_udf("binary")
     def codes(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        segments, pack = _Segments(sent.value[0], neighbours), zstandard.ZstdCompressor(level=3)
+        segments, pack = _Segments(sent.value[0], table), zstandard.ZstdCompressor(level=3)
         for batch in texts:
             out = []
             for x in batch:
-                at = segments.of(x)
-                lacks = at >= _LACKING
-                own, order = np.unique(at[lacks], return_inverse=True)
-                at[lacks] = -1 - order
-                names = " ".join(segments.names[k - _LACKING] for k in own.tolist()).encode()  # no segment has a space
-                out.append(pack.compress(np.array([len(at)], np.int64).tobytes() + at.astype(np.int32).tobytes() + names))
+                at, names = segments.of(x)
+                planes = at.astype(np.int32).view(np.uint8).reshape(-1, 4).T  # equal bytes together are packed better
+                out.append(pack.compress(np.array([len(at)], np.int64).tobytes() + planes.tobytes() + " ".join(names).encode()))  # no segment has a space
             yield pd.Series(out, dtype=object)
 
     return codes
@@ -320,7 +327,7 @@ def _put_together(sent, table: PieceTable):
         for packed in docs["codes"]:
             raw = unpack.decompress(packed)
             n = int(np.frombuffer(raw[:8], np.int64)[0])
-            at = np.frombuffer(raw[8 : 8 + 4 * n], np.int32).astype(np.int64)
+            at = np.frombuffer(raw[8 : 8 + 4 * n], np.uint8).reshape(4, n).T.copy().view(np.int32).ravel().astype(np.int64)
             known, size = at >= 0, np.zeros(n, np.int64)
             lacking = [] if known.all() else [ids.of(w, *cut.get(w, (None, None))) for w in raw[8 + 4 * n :].decode().split(" ")]
             first = begins[at[known]]
