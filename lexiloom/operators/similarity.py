@@ -61,7 +61,7 @@ def grouped(found: DataFrame, top_k: int = 20) -> DataFrame:
         return page[page["leader"].isin(first)][["verse_id", "leader", "similarity"]]
 
     rows = found.select("verse_id", "similarity", fingerprint(F.col("text")).alias("words"))
-    return rows.groupBy(F.lit(1)).applyInPandas(fold, "verse_id long, leader long, similarity double")
+    return rows.withColumn("page", F.lit(1)).groupBy("page").applyInPandas(fold, "verse_id long, leader long, similarity double")
 
 
 def cross_tradition(vectors: DataFrame, verse_id: int, top_k: int = 3) -> DataFrame:

@@ -177,8 +177,8 @@ SQL: dict[str, str] = {
     "pending_embeddings": f"WITH {_VECTORS} SELECT doc_id AS verse_id FROM documents WHERE doc_id NOT IN (SELECT verse_id FROM v WHERE model = 'm1')",
     "embedding_models": f"WITH {_VECTORS} SELECT model, count(*) AS n FROM v GROUP BY 1",
     "l2_normalize": "WITH d AS (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: x * 3) AS v FROM embeddings), u AS (SELECT vec_id, list_transform(v, lambda x: x / sqrt(list_inner_product(v, v))) AS v FROM d) SELECT vec_id AS verse_id, round(list_inner_product(v, v), 6) AS norm, round(v[1], 6) AS first FROM u",
-    "engine_comparison": f"""WITH {_VECTORS}, {_TOP}, both AS (SELECT query, count(*) AS n, max((ra = 1 AND rb = 1)::INT) AS same, sum((ra - rb) * (ra - rb)) AS d2 FROM top WHERE ra <= 10 AND rb <= 10 GROUP BY 1)
-      SELECT t.query, round(coalesce(n, 0) / 10, 4) AS overlap, coalesce(same, 0) AS same_first, round(CASE WHEN n > 1 THEN 1 - 6 * d2 / (n * (n * n - 1)) END, 4) AS rho FROM (SELECT DISTINCT query FROM top) t LEFT JOIN both USING (query)""",
+    "engine_comparison": f"""WITH {_VECTORS}, {_TOP}, joint AS (SELECT query, count(*) AS n, max((ra = 1 AND rb = 1)::INT) AS same, sum((ra - rb) * (ra - rb)) AS d2 FROM top WHERE ra <= 10 AND rb <= 10 GROUP BY 1)
+      SELECT t.query, round(coalesce(n, 0) / 10, 4) AS overlap, coalesce(same, 0) AS same_first, round(CASE WHEN n > 1 THEN 1 - 6 * d2 / (n * (n * n - 1)) END, 4) AS rho FROM (SELECT DISTINCT query FROM top) t LEFT JOIN joint USING (query)""",
     "translation_pending": "SELECT conv_id, turn FROM conversations c WHERE role = 'user' AND NOT EXISTS (FROM conversations a WHERE a.role = 'assistant' AND a.conv_id = c.conv_id AND a.turn = c.turn + 1)",
     "frequency_by_work": f"WITH {INDEX}, {_BY_WORK} SELECT * FROM by_work",
     "dispersion": f"WITH {INDEX}, {_BY_WORK} SELECT work_id, divisions_present, divisions_total, dispersion FROM by_work",
