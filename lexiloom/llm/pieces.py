@@ -39,7 +39,8 @@ from lexiloom.llm.scratch import materialize
 SPACE = "▁"
 WORD = f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n"
 LONG = 60
-CHUNK_DOCS = 1000
+CHUNK_DOCS = 500
+KEPT_WORDS = 60_000
 
 
 @dataclass(frozen=True)
@@ -186,49 +187,49 @@ class _Ids:
 
 
 class _Segments:
-    """Cuts texts into segments and numbers those of the dictionary."""
+    """Cuts texts into segments and numbers those of the dictionary; remembers the first KEPT_WORDS words that it can."""
 
     def __init__(self, known: list[str], table: PieceTable) -> None:
         self.number = {w: k for k, w in enumerate(known)}
         self.neighbours = table.neighbours()
-        self.pattern = word_pattern(self.neighbours)
-
-    def of(self, text: str | None) -> tuple[np.ndarray, list[str]]:
+        if any(x[1] == SPACE and x[0] != SPACE for x in self.neighbours):
+            raise ValueError("pieces reach across spaces")
+        letter = re.compile(r"[^\W\d_]")
+        after_letters = any(letter.match(x[0]) and not letter.match(x[1]) for x in self.neighbours)
+        #: Cuts after letters, if no piece goes on there with anything else; else nowhere.
+        self.rough = re.compile(r"(?s).+" if after_letters else r"[\W\d_]+[^\W\d_]*|[^\W\d_]+")
+        self.kept: dict[str, tuple[int, ...]] = {}
+
+    def of(self, text: str | None) -> tuple[list[int], list[str]]:
         """The numbers of a text's segments, in order, and the names of those that the dictionary lacks: they have the
         numbers -1, -2, and so on."""
-        words = words_of(text, self.pattern)
-        at = np.fromiter((self.number.get(w, -1) for w in words), np.int64, len(words))
-        lacks = np.flatnonzero(at < 0).tolist()
-        if not lacks:
-            return at, []
+        out: list[int] = []
         own: dict[str, int] = {}
-        parts, done = [], 0
-        for k in lacks:
-            parts.append(at[done:k])
-            here = []
-            for x in cut_apart(words[k], self.neighbours):
-                n = self.number.get(x)
-                here.append(own.setdefault(x, -1 - len(own)) if n is None else n)
-            parts.append(np.array(here, np.int64))
-            done = k + 1
-        parts.append(at[done:])
-        return np.concatenate(parts), list(own)
-
-
-def word_pattern(neighbours: frozenset[str]) -> re.Pattern:
-    """Cuts before spaces and at line breaks, and, if no piece goes on after a letter with anything else, after letters."""
-    if any(x[1] == SPACE and x[0] != SPACE for x in neighbours):
-        raise ValueError("pieces reach across spaces")
-    letter = re.compile(r"[^\W\d_]")
-    if any(letter.match(x[0]) and not letter.match(x[1]) for x in neighbours):
-        return re.compile(WORD)
-    other = rf"(?:(?![^\W\d_])[^{SPACE}\n])"
-    return re.compile(rf"{SPACE}+{other}*[^\W\d_]*|{other}+[^\W\d_]*|[^\W\d_]+|\n")
-
-
-def words_of(text: str | None, pattern: re.Pattern) -> list[str]:
+        kept, number = self.kept, self.number
+        for w in words_of(text):
+            known = kept.get(w)
+            if known is None:
+                k = number.get(w)
+                if k is not None:
+                    known = (k,)
+                else:
+                    parts = self.rough.findall(w)
+                    known = tuple([number.get(x, -1) for x in parts])
+                    if -1 in known:
+                        parts = [y for x, k in zip(parts, known, strict=True) for y in ((x,) if k >= 0 else cut_apart(x, self.neighbours))]
+                        known = tuple([number.get(x, -1) for x in parts])
+                    if -1 in known:
+                        out += [own.setdefault(x, -1 - len(own)) if k < 0 else k for x, k in zip(parts, known, strict=True)]
+                        continue
+                if len(kept) < KEPT_WORDS:
+                    kept[w] = known
+            out += known
+        return out, list(own)
+
+
+def words_of(text: str | None) -> list[str]:
     """The words of a text, with its spaces."""
-    return pattern.findall(SPACE + text.replace(" ", SPACE)) if text else []
+    return re.findall(WORD, SPACE + text.replace(" ", SPACE)) if text else []
 
 
 def cut_apart(word: str, neighbours: frozenset[str]) -> list[str]:
@@ -248,10 +249,9 @@ def _dictionary(docs: DataFrame, table: PieceTable, text: str, sample_docs: int,
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: Counter = Counter()
-        pattern = word_pattern(neighbours)
         for batch in batches:
             for x in batch["text"]:
-                sums.update(words_of(x, pattern))
+                sums.update(words_of(x))
         parts: Counter = Counter()
         for w, k in sums.items():
             for x in cut_apart(w, neighbours):
@@ -270,7 +270,7 @@ def _dictionary(docs: DataFrame, table: PieceTable, text: str, sample_docs: int,
     return words, np.cumsum([len(x) for x in lists], dtype=np.int64), np.fromiter(chain.from_iterable(lists), np.int32)
 
 
-def encode(docs: DataFrame, table: PieceTable, doc_id: str = "doc_id", text: str = "text", sample_docs: int = 40_000, dictionary_size: int = 300_000) -> DataFrame:
+def encode(docs: DataFrame, table: PieceTable, doc_id: str = "doc_id", text: str = "text", sample_docs: int = 20_000, dictionary_size: int = 150_000) -> DataFrame:
     """All rows of `docs`, without the text, with piece_ids."""
     spark = docs.sparkSession
     total = docs.count()
@@ -310,7 +310,7 @@ def _codes(sent, table: PieceTable) -> Column:
             out = []
             for x in batch:
                 at, names = segments.of(x)
-                planes = at.astype(np.int32).view(np.uint8).reshape(-1, 4).T  # equal bytes together are packed better
+                planes = np.array(at, np.int32).view(np.uint8).reshape(-1, 4).T  # equal bytes together are packed better
                 out.append(pack.compress(np.array([len(at)], np.int64).tobytes() + planes.tobytes() + " ".join(names).encode()))  # no segment has a space
             yield pd.Series(out, dtype=object)
 
