@@ -12,8 +12,9 @@ them, `dictionary_size` segments; only speed depends on it), is encoded by the l
 it lacks are requested by chunks of documents, encoded by the lattice once each, and sent back to the chunks, where the
 ids of whole texts are put together.
 
-Defined results: a null or empty text has no pieces, and decodes as empty. Segments of any length are encoded; over
-LONG characters, the fold runs in Python on the same edges. Repeated rows are encoded each; other columns pass through,
+Defined results: a null or empty text has no pieces, and decodes as empty. Segments of any length are encoded; those over
+LONG characters, which exploded rows would carry along whole, are folded where their text is put together, on edges
+looked up in the same table. Repeated rows are encoded each; other columns pass through,
 whatever their names, but piece_ids is replaced. Empty tables give empty results. The sign for a space, U+2581, in a text
 is a space.
 """
@@ -55,6 +56,11 @@ class PieceTable:
     def longest(self) -> int:
         return max((len(p) for p, _, _ in self.pieces), default=1)
 
+    @property
+    def single(self) -> float:
+        """What a character alone costs in the Viterbi fold."""
+        return max((-x for p, _, x in self.pieces if len(p) == 1), default=0.0)
+
     def neighbours(self) -> frozenset[str]:
         """Pairs of characters that stand side by side in a piece."""
         return frozenset(p[i : i + 2] for p, _, _ in self.pieces for i in range(len(p) - 1))
@@ -148,33 +154,27 @@ def fold_in_python(n: int, edges: list[tuple[float, int, int]], merges: bool, si
 
 
 def encode_words(words: DataFrame, table: PieceTable) -> DataFrame:
-    """(word, cuts, far): where distinct words are cut, as bits of a long, or as a list for words over LONG characters.
+    """(word, cuts): where distinct words of up to LONG characters are cut, as bits of a long.
 
     Words that aren't in the result are cut between all characters. See edges_of() for the partitioning of `words`.
     """
-    single = max((-x for p, _, x in table.pieces if len(p) == 1), default=0.0)
-    merges = table.merges
     edges = edges_of(words.filter(F.length("word") <= LONG), table)
-    fold = _merge_fold(F.col("word"), F.col("edges")) if merges else _viterbi_fold(F.col("word"), F.col("edges"), single)
-    done = edges.select("word", fold.alias("cuts"), F.lit(None).cast("array<int>").alias("far"))
-
-    @F.pandas_udf("array<int>")
-    def far(word: pd.Series, found: pd.Series) -> pd.Series:
-        return pd.Series([fold_in_python(len(w), [(x["neg"], x["s"], x["e"]) for x in e], merges, single) for w, e in zip(word, found, strict=True)], dtype=object)
-
-    rest = edges_of(words.filter(F.length("word") > LONG), table)
-    return done.union(rest.select("word", F.lit(None).cast("long"), far("word", "edges")))
+    fold = _merge_fold(F.col("word"), F.col("edges")) if table.merges else _viterbi_fold(F.col("word"), F.col("edges"), table.single)
+    return edges.select("word", fold.alias("cuts"))
 
 
 class _Ids:
-    """Piece ids of words from their cuts."""
+    """Piece ids of words from their cuts; of words over LONG characters from the edges that it looks up itself."""
 
     def __init__(self, table: PieceTable) -> None:
-        self.ids, self.bytes = table.ids(), table.bytes
-
-    def of(self, word: str, cuts: int | None, far: list[int] | None) -> list[int]:
-        if far is not None:
-            at = far
+        self.ids, self.table = table.ids(), table
+        self.neg = {p: -x for p, _, x in table.pieces if len(p) > 1}
+
+    def of(self, word: str, cuts: int | None) -> list[int]:
+        if len(word) > LONG:
+            ends = range(2, self.table.longest + 1)
+            edges = [(self.neg[word[s : s + k]], s, s + k) for s in range(len(word)) for k in ends if s + k <= len(word) and word[s : s + k] in self.neg]
+            at = fold_in_python(len(word), edges, self.table.merges, self.table.single)
         elif cuts is not None:
             at = [i for i in range(len(word) + 1) if cuts >> i & 1]
         else:
@@ -182,7 +182,7 @@ class _Ids:
         out: list[int] = []
         for s, e in zip(at, at[1:], strict=False):
             piece = self.ids.get(word[s:e])
-            out += [piece] if piece is not None else [self.bytes[b] for b in word[s:e].encode()]
+            out += [piece] if piece is not None else [self.table.bytes[b] for b in word[s:e].encode()]
         return out
 
 
@@ -256,7 +256,8 @@ def _dictionary(docs: DataFrame, table: PieceTable, text: str, sample_docs: int,
         for w, k in sums.items():
             for x in cut_apart(w, neighbours):
                 parts[x] += k
-        yield pd.DataFrame({"word": list(parts), "n": np.array(list(parts.values()), np.int64)})
+        if parts:
+            yield pd.DataFrame({"word": list(parts), "n": np.array(list(parts.values()), np.int64)})
 
     share = min(1.0, sample_docs / max(1, n))
     part = docs.select(F.col(text).alias("text")).filter(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < F.lit(math.ceil(share * (1 << 20))))
@@ -266,7 +267,7 @@ def _dictionary(docs: DataFrame, table: PieceTable, text: str, sample_docs: int,
     cuts = often.join(found.select("word", "cuts"), "word", "left").toArrow()
     ids = _Ids(table)
     words = cuts["word"].to_pylist()
-    lists = [ids.of(w, c, None) for w, c in zip(words, cuts["cuts"].to_pylist(), strict=True)]
+    lists = [ids.of(w, c) for w, c in zip(words, cuts["cuts"].to_pylist(), strict=True)]
     return words, np.cumsum([len(x) for x in lists], dtype=np.int64), np.fromiter(chain.from_iterable(lists), np.int32)
 
 
@@ -285,14 +286,14 @@ def encode(docs: DataFrame, table: PieceTable, doc_id: str = "doc_id", text: str
         for batch in batches:
             asked: set[tuple[int, str]] = set()
             for c, x in zip(batch["chunk"].tolist(), batch["text"], strict=True):
-                asked.update((c, w) for w in segments.of(x)[1])
+                asked.update((c, w) for w in segments.of(x)[1] if len(w) <= LONG)
             if asked:
                 to, lacking = zip(*asked, strict=True)
                 yield pd.DataFrame({"chunk": np.array(to, np.int32), "word": list(lacking)})
 
     asked = materialize(rows.select("text", "chunk").mapInPandas(requests, "chunk int, word string"), "piece-requests")
     words = asked.select("word").distinct()
-    answers = asked.join(encode_words(words, table), "word").select("chunk", "word", "cuts", "far")
+    answers = asked.join(encode_words(words, table), "word").select("chunk", "word", "cuts")
 
     packed = rows.withColumn("codes", _codes(sent, table)(F.col("text"))).select("chunk", "row", "codes")
     out_type = T.StructType([packed.schema["row"], T.StructField("piece_ids", T.ArrayType(T.IntegerType()))])
@@ -321,7 +322,7 @@ def _put_together(sent, table: PieceTable):
     def put(docs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         _, ends, flat = sent.value
         unpack, ids = zstandard.ZstdDecompressor(), _Ids(table)
-        cut = {w: (None if pd.isna(c) else int(c), f) for w, c, f in zip(answers["word"], answers["cuts"], answers["far"], strict=True)}
+        cut = dict(zip(answers["word"], answers["cuts"].tolist(), strict=True))
         begins = np.append(0, ends[:-1]) if len(ends) else ends
         out = []
         for packed in docs["codes"]:
@@ -329,7 +330,7 @@ def _put_together(sent, table: PieceTable):
             n = int(np.frombuffer(raw[:8], np.int64)[0])
             at = np.frombuffer(raw[8 : 8 + 4 * n], np.uint8).reshape(4, n).T.copy().view(np.int32).ravel().astype(np.int64)
             known, size = at >= 0, np.zeros(n, np.int64)
-            lacking = [] if known.all() else [ids.of(w, *cut.get(w, (None, None))) for w in raw[8 + 4 * n :].decode().split(" ")]
+            lacking = [] if known.all() else [ids.of(w, cut.get(w)) for w in raw[8 + 4 * n :].decode().split(" ")]
             first = begins[at[known]]
             size[known] = ends[at[known]] - first
             if lacking:

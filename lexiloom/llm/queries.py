@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiloom.llm import exact_dedup, language, mixing, near_dedup, pieces, quality, sharding, token_counts, toxicity, url_filter
-from lexiloom.llm.scratch import new_folder, read_table, stream_table
+from lexiloom.llm.scratch import for_long_rows, new_folder, read_table, stream_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -35,6 +35,7 @@ def op1_sharding(spark: SparkSession, folder: str) -> DataFrame:
 
 def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     """Score of every document; labels of two thirds of them are learnt."""
+    for_long_rows(spark)
     docs = read_table(spark, folder, "documents").select("doc_id", "text")
     labels = read_table(spark, folder, "labels").filter(~toxicity.held_out(F.col("doc_id"))).select("doc_id", F.col("toxic").alias("label"))
     scored = toxicity.with_scores(docs, toxicity.learn(docs, labels))
@@ -43,6 +44,7 @@ def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 def op3_quality(spark: SparkSession, folder: str) -> DataFrame:
     """Signals and verdict of every document."""
+    for_long_rows(spark)
     docs = read_table(spark, folder, "documents").select("doc_id", "text", "lang", "source")
     signals = quality.with_signals(docs).drop("text")
     return quality.judge_signals(signals).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -50,6 +52,7 @@ def op3_quality(spark: SparkSession, folder: str) -> DataFrame:
 
 def op4_language(spark: SparkSession, folder: str) -> DataFrame:
     """Language of every document; those of two thirds of them are learnt."""
+    for_long_rows(spark)
     docs = read_table(spark, folder, "documents").select("doc_id", "text", "lang")
     model = language.learn(docs.filter(~toxicity.held_out(F.col("doc_id"))))
     found = language.with_languages(docs.select("doc_id", "text"), model)
@@ -72,11 +75,13 @@ def op6_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 def op7_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Component and verdict of every document; three words and 85 % by the contract."""
+    for_long_rows(spark)
     return near_dedup.near_duplicates(read_table(spark, folder, "documents"), width=3, percent=85)
 
 
 def op8_token_counts(spark: SparkSession, folder: str, tokenizers: str = TOKENIZERS) -> DataFrame:
     """Totals after all documents came in, texts with junk symbols were revised (without them), and copies were deleted."""
+    for_long_rows(spark)
     docs = read_table(spark, folder, "documents").select("doc_id", "source", "lang", "text")
     tokenizer = token_counts.byte_pair_tokenizer(f"{tokenizers}/byte_bpe_50k.tiktoken", PATTERN, "byte_bpe_50k")
     store = token_counts.Rollup(spark, new_folder(spark, "op8-rollup"))
@@ -92,6 +97,7 @@ def op8_token_counts(spark: SparkSession, folder: str, tokenizers: str = TOKENIZ
 
 def op9_pieces(spark: SparkSession, folder: str, tokenizers: str = TOKENIZERS) -> DataFrame:
     """Piece ids of every document, and whether they decode to its text."""
+    for_long_rows(spark)
     docs = read_table(spark, folder, "documents").select("doc_id", "text").withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
     table = pieces.load_table(f"{tokenizers}/piece_bpe_32k.model")
     decoded = pieces.with_texts(pieces.encode(docs, table), table, name="decoded")

@@ -55,6 +55,11 @@ def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def for_long_rows(spark: SparkSession) -> None:
+    """Sets the session's Arrow batches to 1000 rows: with whole documents, the usual 10,000 take hundreds of MB."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A table of the driver's folder of Parquet tables."""
     return spark.read.parquet(f"{folder}/{name}.parquet")
