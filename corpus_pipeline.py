@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lexiloom.llm import exact_dedup, mixing, near_dedup, pieces, quality
 from lexiloom.llm.queries import TOKENIZERS
-from lexiloom.llm.scratch import materialize, read_table
+from lexiloom.llm.scratch import for_long_rows, materialize, read_table
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the adaptive thresholds of their language and source."""
+    for_long_rows(spark)
     return quality.keep_good(docs)
 
 
@@ -21,6 +22,7 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by a similarity of 0.8 of five-word shingles."""
+    for_long_rows(spark)
     return near_dedup.drop_near_duplicates(docs, width=5, percent=80)
 
 
@@ -31,6 +33,7 @@ def source_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def piece_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids instead of texts."""
+    for_long_rows(spark)
     return pieces.encode(docs, pieces.load_table(f"{TOKENIZERS}/piece_bpe_32k.model"))
 
 
