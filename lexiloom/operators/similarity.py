@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from lexiloom.functions.vectors import dot, fingerprint, jaccard, l2_normalize
 
 SAME_PASSAGE = 0.6
+PART = 131_072  # vectors, or queries divided by 4, that one task holds
+LEAST_PARTS = 12
 
 
 def scored(vectors: DataFrame, query: list[float]) -> DataFrame:
@@ -32,6 +34,76 @@ def search(vectors: DataFrame, query: list[float], top_k: int = 20, min_similari
     return rows.withColumn("similarity", F.round("score", 4)).drop("score", "vector")
 
 
+def _nearest(asked: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(places in `asked`, ids, scores) of the `k` nearest `rows` of each query, block by block.
+
+    The product of two blocks only finds candidates, with a margin above its error of rounding; their scores are then
+    summed in order of the coordinates, as dot() does, so that equal vectors have equal scores and ties go by id.
+    """
+    _, same = np.unique(rows, axis=0, return_inverse=True)
+    order = np.lexsort((ids, same.ravel()))
+    place = same.ravel()[order]
+    first = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
+    rank = np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order))))
+    kept = np.sort(order[rank < k])  # of equal vectors no more than k can be among the nearest
+    ids, rows = ids[kept], rows[kept]
+    longest = np.sqrt((rows * rows).sum(axis=1)).max(initial=0.0)
+    for i in range(0, len(asked), 512):
+        q = asked[i : i + 512]
+        margin = 1e-12 * longest * np.sqrt((q * q).sum(axis=1))
+        least = np.full(len(q), -np.inf)
+        at, item, score = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        for j in range(0, len(rows), 4096):
+            v = rows[j : j + 4096]
+            about = q @ v.T
+            bound = least if np.isfinite(least).all() else np.maximum(least, np.partition(about, -min(k, len(v)), axis=1)[:, -min(k, len(v))])
+            a, b = np.nonzero(about >= (bound - margin)[:, None])
+            exact = np.zeros(len(a))
+            for d in range(q.shape[1]):
+                exact += q[a, d] * v[b, d]
+            at, item, score = np.append(at, a), np.append(item, ids[j + b]), np.append(score, exact)
+            order = np.lexsort((item, -score, at))
+            at, item, score = at[order], item[order], score[order]
+            first = np.searchsorted(at, np.arange(len(q)))
+            best = np.arange(len(at)) - first[at] < k
+            at, item, score = at[best], item[best], score[best]
+            n = np.bincount(at, minlength=len(q))
+            ends = np.cumsum(n)
+            least = np.where(n >= k, score[ends - 1], -np.inf)
+        yield i + at, item, score
+
+
+def search_all(vectors: DataFrame, queries: DataFrame, top_k: int = 20, min_similarity: float = 0.3) -> DataFrame:
+    """(query_id, verse_id, similarity, rank): of each query (verse_id, vector) what search() finds for it, all at once.
+
+    Groups of queries meet parts of the vectors, each pair of them in a task that keeps the nearest of its part; these
+    meet by query. The work grows with the product of both sides, what is kept in a task doesn't. Query identifiers
+    should be unique. Vectors without an identifier or with null or NaN coordinates are near to nothing.
+    """
+    k = 2 * top_k
+    whole = "verse_id is not null and vector is not null and not exists(vector, x -> x is null or isnan(x))"
+    rows, asked = (df.filter(whole).select("verse_id", F.col("vector").cast("array<double>").alias("vector"), F.size("vector").alias("dim")) for df in (vectors, queries))
+    parts, groups = max(LEAST_PARTS, -(-rows.count() // PART)), max(1, -(-asked.count() // (PART // 4)))
+    dealt = lambda n: F.pmod(F.xxhash64("verse_id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    rows = rows.withColumn("part", dealt(parts)).withColumn("group", every(groups))
+    asked = asked.withColumn("group", dealt(groups)).withColumn("part", every(parts))
+
+    def near(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(q) and len(v):
+            names = q["verse_id"].to_numpy(np.int64)
+            for at, item, score in _nearest(np.stack(q["vector"].to_list()), v["verse_id"].to_numpy(np.int64), np.stack(v["vector"].to_list()), k):
+                out.append(pd.DataFrame({"query_id": names[at], "verse_id": item, "score": score}))
+        return pd.concat(out) if out else pd.DataFrame({"query_id": np.empty(0, np.int64), "verse_id": np.empty(0, np.int64), "score": np.empty(0)})
+
+    keys = ("dim", "group", "part")
+    found = asked.groupBy(*keys).cogroup(rows.groupBy(*keys)).applyInPandas(near, "query_id long, verse_id long, score double")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "verse_id"))
+    best = found.filter(F.col("score") >= min_similarity).withColumn("rank", place).filter(F.col("rank") <= k)
+    return best.select("query_id", "verse_id", F.round("score", 4).alias("similarity"), "rank")
+
+
 def same_passages(found: DataFrame) -> DataFrame:
     """(a, b, overlap): pairs of few results (verse_id, text) that are one passage, by the words they share."""
     words = found.select("verse_id", fingerprint(F.col("text")).alias("words"))
@@ -117,4 +189,4 @@ def compare_rankings(a: DataFrame, b: DataFrame, k: int = 10) -> DataFrame:
     return out.select("query", F.round(F.col("shared") / F.col("size"), 4).alias("overlap"), F.col("first").alias("same_first"), F.round("rho", 4).alias("rho"))
 
 
-__all__ = ["compare_rankings", "cross_tradition", "encode", "grouped", "jaccard", "models", "normalized", "pending", "same_passages", "scored", "search"]
+__all__ = ["compare_rankings", "cross_tradition", "encode", "grouped", "jaccard", "models", "normalized", "pending", "same_passages", "scored", "search", "search_all"]

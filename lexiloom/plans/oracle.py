@@ -172,6 +172,7 @@ SQL: dict[str, str] = {
     "search_text": rf"""WITH {VERSES}, t AS (SELECT verse_id, regexp_extract_all(strip_accents(lower(text)), '[\p{{L}}\p{{N}}\p{{Co}}]+') AS w FROM verses)
       SELECT verse_id FROM t WHERE (list_contains(w, 'ther') OR contains(' ' || array_to_string(w, ' ') || ' ', ' of the ')) AND NOT list_contains(w, 'er') AND len(list_filter(w, lambda x: starts_with(x, 'th'))) > 0""",
     "vector_search": f"WITH {_VECTORS} SELECT verse_id, round(score, 4) AS similarity FROM scored ORDER BY score DESC, verse_id LIMIT 40",
+    "vector_search_all": f"WITH {_VECTORS}, pairs AS (SELECT a.verse_id AS query_id, b.verse_id, list_inner_product(b.vector, a.vector) AS s FROM v a, v b WHERE a.verse_id % 20 = 0) SELECT query_id, verse_id, round(s, 4) AS similarity, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, verse_id)::INT AS rank FROM pairs QUALIFY rank <= 40",
     "near_duplicates": f"WITH {_VECTORS}, {_RESULTS} SELECT a.verse_id AS a, b.verse_id AS b, round(len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))), 4) AS overlap FROM texts a JOIN texts b ON a.verse_id < b.verse_id WHERE len(a.w) > 0 AND len(b.w) > 0 AND len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) >= 0.6",
     "cross_tradition": f"WITH {_VECTORS} SELECT tradition, verse_id, round(score, 4) AS similarity, row_number() OVER (PARTITION BY tradition ORDER BY score DESC, verse_id)::INT AS rank FROM scored WHERE tradition <> (SELECT tradition FROM v WHERE verse_id = 0) QUALIFY rank <= 3",
     "pending_embeddings": f"WITH {_VECTORS} SELECT doc_id AS verse_id FROM documents WHERE doc_id NOT IN (SELECT verse_id FROM v WHERE model = 'm1')",

@@ -173,6 +173,12 @@ def vector_search(spark, folder):
     return similarity.search(vectors_of(spark, folder), query_vector(spark, folder), min_similarity=-1.0).select("verse_id", "similarity")
 
 
+def vector_search_all(spark, folder):
+    """The nearest of all rows for every row whose id is divisible by 20."""
+    v = vectors_of(spark, folder)
+    return similarity.search_all(v, v.filter("verse_id % 20 = 0"), min_similarity=-1.0)
+
+
 def _found_texts(spark, folder, top_k: int) -> DataFrame:
     found = similarity.search(vectors_of(spark, folder), query_vector(spark, folder), top_k=top_k, min_similarity=-1.0)
     docs = spark.read.parquet(f"{folder}/documents.parquet").select(F.col("doc_id").alias("verse_id"), "text")
@@ -237,7 +243,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         normalize_text, tokenize, token_count, stem, ngrams, strip_html, detect_script, verse_dedup, lemma_totals, division_totals, work_totals, list_works, list_divisions, health_counts, ingest_stats, log_likelihood, semantic_fields,
-        lexicon_terms, field_stems, fields_containing, resolve_query, search_text, vector_search, vector_search_grouped, near_duplicates, cross_tradition, pending_embeddings, embedding_models, l2_normalize, engine_comparison, translation_pending,
+        lexicon_terms, field_stems, fields_containing, resolve_query, search_text, vector_search, vector_search_all, vector_search_grouped, near_duplicates, cross_tradition, pending_embeddings, embedding_models, l2_normalize, engine_comparison, translation_pending,
     )
 } | {
     "frequency_by_work": _on_corpus(lambda c: frequency.frequency_by_work(c, STEMS)),

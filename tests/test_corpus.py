@@ -1,5 +1,6 @@
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -88,6 +89,23 @@ def test_vectors(spark):
     assert spark.createDataFrame([([0.0, 0.0],), ([3.0, 4.0],)], "v array<double>").select(l2_normalize(F.col("v")).alias("v")).collect()[1].v == [0.6, 0.8]
 
 
+def test_every_query_is_searched(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "PART", 64)
+    rng = np.random.default_rng(1)
+    rows = rng.normal(size=(300, 8))
+    rows[50:200] = rows[0]  # one very common vector
+    v = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(rows)] + [(300, None), (301, [1.0] * 9), (302, [1.0] * 7 + [None])], "verse_id long, vector array<double>")
+    got = similarity.search_all(v, v.filter("verse_id % 20 = 0"), top_k=3, min_similarity=-1e9).collect()
+    found = {}
+    for r in sorted(got, key=lambda r: (r.query_id, r.rank)):
+        found.setdefault(r.query_id, []).append(r.verse_id)
+    want = {}
+    for q in range(0, 300, 20):
+        scores = [sum(float(x) * float(y) for x, y in zip(rows[q], row, strict=True)) for row in rows]
+        want[q] = sorted(range(300), key=lambda k: (-scores[k], k))[:6]
+    assert found == want
+
+
 def test_groups_fold_in_order(spark):
     texts = ["alpha beta gamma delta", "alpha beta gamma epsilon", "other words entirely", ""]
     found = spark.createDataFrame([(k, t, 0.9 - k / 10) for k, t in enumerate(texts)], "verse_id long, text string, similarity double")
