@@ -3,7 +3,10 @@
 Each document gets integer signals. For each (language, source) the distribution of each signal goes into a mergeable
 quantile sketch: counts per fixed-resolution bin, so that sketches of partitions, sources or days merge by adding
 counts, in any order, to the same result, and a sketch has `BINS` + 1 entries at most however many documents it covers.
-The thresholds are fences around the quartiles of a sketch. A source with few documents uses the merged sketch of its
+The thresholds are fences around the quartiles of a sketch. So that junk in a quarter or more of a source can't open its
+fence, the spread of a share comes to no more than that of the median source, each source counting once (with fewer than
+three sources to compare: than twice the lower half of the source's own). This holds while less than three quarters (or,
+of fewer sources, half) of a source are junk, and most sources aren't dirty. A source with few documents uses the merged sketch of its
 language, and a language with few documents the merged sketch of all. Documents are then joined with their thresholds.
 
 Defined results: a null text has no words. Null language or source is a group of its own. Empty tables give empty
@@ -107,11 +110,11 @@ def merged(sketch: DataFrame, keys: Iterable[str]) -> DataFrame:
 
 
 def quartiles(sketch: DataFrame, keys: Iterable[str]) -> DataFrame:
-    """(keys, metric, total, q25, q75): the lowest bin at which the share of rows reaches the quantile."""
+    """(keys, metric, total, q25, q50, q75): the lowest bin at which the share of rows reaches the quantile."""
     w = Window.partitionBy(*keys, "metric")
     upto = sketch.select("*", F.sum("n").over(w.orderBy("bin")).alias("__lx_c"), F.sum("n").over(w).alias("total"))
     at = lambda share: F.min(F.when(F.col("__lx_c") * 4 >= F.col("total") * share, F.col("bin")))
-    return upto.groupBy(*keys, "metric").agg(F.max("total").alias("total"), at(1).alias("q25"), at(3).alias("q75"))
+    return upto.groupBy(*keys, "metric").agg(F.max("total").alias("total"), at(1).alias("q25"), at(2).alias("q50"), at(3).alias("q75"))
 
 
 def thresholds(sketch: DataFrame, lang: str = "lang", source: str = "source", least_docs: int = 50) -> DataFrame:
@@ -124,7 +127,13 @@ def thresholds(sketch: DataFrame, lang: str = "lang", source: str = "source", le
     both = fine.join(renamed(by_lang, "l_"), F.expr(f"`{lang}` <=> `l_{lang}` and metric = l_metric"), "left")
     both = both.join(renamed(by_all, "a_"), F.expr("metric = a_metric"), "left")
     enough = lambda q: F.when(F.col("total") >= least_docs, F.col(q)).when(F.col("l_total") >= least_docs, F.col(f"l_{q}")).otherwise(F.col(f"a_{q}"))
-    both = both.select(lang, source, "metric", enough("q25").alias("q25"), enough("q75").alias("q75"))
+    large = fine.filter(F.col("total") >= least_docs).groupBy(F.col("metric").alias("p_metric"))
+    peers = large.agg(F.count("*").alias("peers"), F.expr("percentile_disc(0.5) within group (order by q75 - q25)").cast("long").alias("usual"))
+    both = both.join(peers, F.expr("metric = p_metric"), "left")
+    both = both.select(lang, source, "metric", *(enough(q).alias(q) for q in ("q25", "q50", "q75")), "peers", "usual")
+    usual = F.when(F.col("peers") >= 3, F.col("usual")).otherwise(2 * (F.col("q50") - F.col("q25")))
+    one_sided = F.col("metric").isin([r.metric for r in RULES if not r.two_sided])
+    both = both.withColumn("q75", F.when(one_sided, F.least("q75", F.col("q25") + usual)).otherwise(F.col("q75")))
     fences = []
     for r in RULES:
         of = lambda c, m=r.metric: F.max(F.when(F.col("metric") == m, F.col(c)))

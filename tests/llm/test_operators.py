@@ -96,6 +96,19 @@ def test_sketches_merge(spark):
     assert {tuple(r) for r in quality.merged(parts[0].union(parts[1]), ["lang"]).collect()} == whole
 
 
+@pytest.mark.parametrize("others", [0, 4])
+def test_a_dirty_source_does_not_open_its_fence(spark, others):
+    """Shares of symbols as sf0.1's junk has them; a third of all rows and more are of the dirty source."""
+    for junk in (24, 26, 30, 49, *((60, 74) if others else ())):
+        shares = [72 + k % 300 if k % 100 < junk else 0 for k in range(300)]
+        rows = [("dirty", x, 900 if x else 0, 900 if x else 0) for x in shares] + [(f"s{k % others}", 0, 0, 0) for k in range(100 * others)]
+        signals = spark.createDataFrame([("en", s, x, d, r, 50) for s, x, d, r in rows], "lang string, source string, symbol_share long, dup_line_share long, repeat_share long, word_length long")
+        limits = {r.source: r for r in quality.thresholds(quality.sketches(signals, ["lang", "source"])).collect()}
+        assert (limits["dirty"].hi_symbol_share, limits["dirty"].hi_dup_line_share, limits["dirty"].hi_repeat_share) == (20, 400, 400), junk
+    even = spark.createDataFrame([("en", "a", 40 + k % 20, k % 9, k % 9, 50) for k in range(300)], signals.schema)
+    assert quality.thresholds(quality.sketches(even, ["lang", "source"])).first().hi_symbol_share >= 59  # a source of its own kind loses nothing
+
+
 def test_quality_odd(spark, odd):
     good = quality.keep_good(odd)
     assert good.columns == odd.columns and good.count() > 0
