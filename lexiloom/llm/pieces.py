@@ -4,8 +4,10 @@ Texts are cut where no piece can reach across (before a space, and between two c
 piece), and the segments are encoded apart, which is exact. For each distinct segment all substrings up to the longest
 piece are exploded and equi-joined to the piece table; the matching edges are grouped by segment and folded with a
 higher-order aggregate. For piece tables with log probabilities (unigram models) the fold is Viterbi. For merge tables
-(BPE models, whose scores are ranks) the best sum of ranks isn't what such a model encodes, so the fold applies the
-edges in order of rank, each where it spans two pieces of that moment. Characters without a piece become byte pieces.
+(BPE models, whose scores are ranks) the best sum of ranks isn't what such a model encodes, so the fold applies, until
+none is left, the edge of the lowest rank that spans two pieces of that moment. One pass in order of rank does this,
+unless a word has a `late` piece, which may come to span two pieces only after a merge of a later rank; such words are
+folded by steps that each look at all edges. Characters without a piece become byte pieces.
 
 So that texts needn't be exploded, a dictionary of frequent segments, from a bounded sample of texts (`sample_docs` of
 them, `dictionary_size` segments; only speed depends on it), is encoded by the lattice first and broadcast. Segments that
@@ -21,6 +23,7 @@ is a space.
 
 from __future__ import annotations
 
+import heapq
 import math
 import re
 from collections import Counter
@@ -65,6 +68,17 @@ class PieceTable:
         """Pairs of characters that stand side by side in a piece."""
         return frozenset(p[i : i + 2] for p, _, _ in self.pieces for i in range(len(p) - 1))
 
+    def late(self) -> frozenset[str]:
+        """Pieces with a part that ends or begins them and has a later rank, where the rest is a character or a piece."""
+        neg = {p: -x for p, _, x in self.pieces if len(p) > 1}
+        of = lambda part: -math.inf if len(part) == 1 else neg.get(part)
+
+        def waits(p: str) -> bool:
+            halves = ((of(p[:k]), of(p[k:])) for k in range(1, len(p)))
+            return any(a is not None and b is not None and max(a, b) >= neg[p] for a, b in halves)
+
+        return frozenset(filter(waits, neg))
+
     def ids(self) -> dict[str, int]:
         return {p: i for p, i, _ in self.pieces}
 
@@ -82,36 +96,50 @@ def load_table(model: str) -> PieceTable:
 
 
 def edges_of(words: DataFrame, table: PieceTable) -> DataFrame:
-    """(word, edges): of distinct words, the substrings of two characters or more that are pieces, in order of cost.
+    """(word, edges, late): of distinct words, the substrings of two characters or more that are pieces, in order of
+    cost, and whether one of them is late in a table of merges.
 
     An edge is a struct (neg, s, e) of the negated score and the positions, from 0, of begin and end. Words without any
     such substring are left out. `words` should be partitioned by word; then nothing is exchanged, as the piece table has
     a fixed size and is broadcast.
     """
-    pieces = words.sparkSession.createDataFrame([(p, -x) for p, _, x in table.pieces if len(p) > 1], "piece string, neg double")
+    late = table.late() if table.merges else frozenset()
+    pieces = words.sparkSession.createDataFrame([(p, -x, p in late) for p, _, x in table.pieces if len(p) > 1], "piece string, neg double, late boolean")
     n = F.length("word")
     starts = words.filter(n >= 2).select("word", F.explode(F.sequence(F.lit(0), n - 2)).alias("s"))
     lengths = F.sequence(F.lit(2), F.least(F.lit(table.longest), n - F.col("s")))
     parts = starts.select("word", "s", F.explode(lengths).alias("l")).select("word", "s", (F.col("s") + F.col("l")).alias("e"), F.substr("word", F.col("s") + 1, F.col("l")).alias("piece"))
     found = parts.join(F.broadcast(pieces), "piece")
-    return found.groupBy("word").agg(F.array_sort(F.collect_list(F.struct("neg", "s", "e"))).alias("edges"))
+    return found.groupBy("word").agg(F.array_sort(F.collect_list(F.struct("neg", "s", "e"))).alias("edges"), F.max("late").alias("late"))
 
 
 def _bit(i: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), i)
 
 
-def _merge_fold(word: Column, edges: Column) -> Column:
-    """Cuts as bits of a long. They go in the order of the edges' ranks, where one is between an edge's two ends."""
+def _inside(cuts: Column, x: Column) -> Column:
+    """The cuts between an edge's two ends."""
+    return cuts.bitwiseAND(_bit(x["e"]) - _bit(x["s"] + 1))
+
+
+def _meets(cuts: Column, x: Column) -> Column:
+    """Whether an edge spans two pieces: both ends are cuts, and one is between them."""
+    ends = _bit(x["s"]).bitwiseOR(_bit(x["e"]))
+    return (cuts.bitwiseAND(ends) == ends) & (F.bit_count(_inside(cuts, x)) == 1)
+
+
+def _merge_fold(word: Column, edges: Column, late: Column) -> Column:
+    """Cuts as bits of a long. Each merge takes the edge of the lowest rank that spans two pieces then."""
     start = _bit(F.length(word) + 1) - 1
 
-    def step(cuts: Column, x: Column) -> Column:
-        ends = _bit(x["s"]).bitwiseOR(_bit(x["e"]))
-        inside = cuts.bitwiseAND(_bit(x["e"]) - _bit(x["s"] + 1))
-        meets = (cuts.bitwiseAND(ends) == ends) & (F.bit_count(inside) == 1)
-        return F.when(meets, cuts.bitwiseXOR(inside)).otherwise(cuts)
+    def once(cuts: Column, x: Column) -> Column:
+        return F.when(_meets(cuts, x), cuts.bitwiseXOR(_inside(cuts, x))).otherwise(cuts)
+
+    def lowest(cuts: Column, _: Column) -> Column:
+        x = F.get(F.filter(edges, lambda x: _meets(cuts, x)), F.lit(0))
+        return F.coalesce(cuts.bitwiseXOR(_inside(cuts, x)), cuts)
 
-    return F.aggregate(edges, start, step)
+    return F.when(late, F.aggregate(F.sequence(F.lit(2), F.length(word)), start, lowest)).otherwise(F.aggregate(edges, start, once))
 
 
 def _viterbi_fold(word: Column, edges: Column, single: float) -> Column:
@@ -131,12 +159,19 @@ def _viterbi_fold(word: Column, edges: Column, single: float) -> Column:
 def fold_in_python(n: int, edges: list[tuple[float, int, int]], merges: bool, single: float) -> list[int]:
     """The cuts of a long word of n characters from its edges, by the same rules."""
     if merges:
-        after = {s: s + 1 for s in range(n)}
-        for _, s, e in sorted(edges):
+        after, before = {s: s + 1 for s in range(n)}, {s + 1: s for s in range(n)}
+        ranks = {(s, e): neg for neg, s, e in edges}
+        open_edges = [(neg, s, e) for neg, s, e in edges if e - s == 2]
+        heapq.heapify(open_edges)
+        while open_edges:
+            _, s, e = heapq.heappop(open_edges)
             middle = after.get(s)
             if middle is not None and after.get(middle) == e:
-                after[s] = e
-                del after[middle]
+                after[s], before[e] = e, s
+                del after[middle], before[middle]
+                for x, y in ((before.get(s), e), (s, after.get(e))):
+                    if (x, y) in ranks:
+                        heapq.heappush(open_edges, (ranks[x, y], x, y))
         cuts = [0]
         while cuts[-1] < n:
             cuts.append(after[cuts[-1]])
@@ -159,7 +194,7 @@ def encode_words(words: DataFrame, table: PieceTable) -> DataFrame:
     Words that aren't in the result are cut between all characters. See edges_of() for the partitioning of `words`.
     """
     edges = edges_of(words.filter(F.length("word") <= LONG), table)
-    fold = _merge_fold(F.col("word"), F.col("edges")) if table.merges else _viterbi_fold(F.col("word"), F.col("edges"), table.single)
+    fold = _merge_fold(F.col("word"), F.col("edges"), F.col("late")) if table.merges else _viterbi_fold(F.col("word"), F.col("edges"), table.single)
     return edges.select("word", fold.alias("cuts"))
 
 

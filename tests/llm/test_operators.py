@@ -349,6 +349,19 @@ def test_viterbi_on_log_probabilities(spark):
         assert ids.of(w, None if r is None else r.cuts)
 
 
+def test_runs_of_spaces_are_those_of_the_library(spark):
+    """An edge may come to span two pieces after a merge of a later rank."""
+    import sentencepiece
+
+    library, table = sentencepiece.SentencePieceProcessor(model_file=MODEL), pieces.load_table(MODEL)
+    texts = {k: f"a{' ' * k}b" for k in range(1, 71)} | {100 + k: f"{' ' * k}x = {'-' * k}{'=' * k}|{'a' * k}" for k in range(1, 71)}
+    encoded = pieces.encode(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), table, sample_docs=20, dictionary_size=10)
+    assert {r.doc_id: r.piece_ids for r in encoded.collect()} == {k: library.encode(x) for k, x in texts.items()}
+    ids = pieces._Ids(table)
+    long = [f"{pieces.SPACE * k}b" for k in range(61, 200)]
+    assert [ids.of(w, None) for w in long] == [library.encode(w.replace(pieces.SPACE, " ")[1:]) for w in long]
+
+
 def test_long_words_fold_alike(monkeypatch):
     import sentencepiece
 
