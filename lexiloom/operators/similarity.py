@@ -114,6 +114,35 @@ def same_passages(found: DataFrame) -> DataFrame:
     return shared.filter(overlap >= SAME_PASSAGE).select("a", "b", F.round(overlap, 4).alias("overlap"))
 
 
+def all_same_passages(docs: DataFrame) -> DataFrame:
+    """(a, b, overlap, same) of all documents (verse_id, text): each document b with the first a of equal words (`same`;
+    the document itself, if it has no words), and the pairs a < b of such firsts that are one passage.
+
+    Candidates share one of their rarest words: 2 of 5 must be looked at, as pairs at 0.6 share one of them. Sizes, the
+    places of the shared word, and bitmaps of the words bound the overlap from above, so they drop no pair that holds;
+    what is left is confirmed on the full sets. Identifiers should be unique; pairs of a null one aren't named. The
+    result has every pair, so it grows with the square of a family of passages that differ a little.
+    """
+    words = docs.select("verse_id", F.array_sort(fingerprint(F.col("text"))).alias("words")).withColumn("digest", F.sha2(F.array_join("words", " "), 256))
+    sets = words.filter(F.size("words") > 0).groupBy("digest").agg(F.min("verse_id").alias("rep"), F.first("words").alias("words"))
+    tokens = sets.filter("rep is not null").select("rep", F.size("words").alias("n"), F.explode("words").alias("w")).select("rep", "n", F.xxhash64("w").alias("h"))
+    often = tokens.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1")
+    bits = [F.bit_or(F.expr(f"case when shiftright(h, 6) & 3 = {k} then shiftleft(1L, cast(h & 63 as int)) else 0L end")).alias(f"b{k}") for k in range(4)]
+    ranked = tokens.join(often, "h").groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("hs"), *bits).withColumn("m", F.size("hs"))
+    prefix = F.expr("slice(hs, 1, greatest(0, n - (3 * n + 4) div 5 + 1 - (n - m)))")  # words that no other set has come first
+    posts = ranked.select("rep", "n", "m", "b0", "b1", "b2", "b3", F.posexplode(prefix).alias("p", "x")).withColumn("p", F.expr("n - m + p + 1")).withColumn("h", F.col("x.h")).drop("x")
+    a, b = (posts.select("h", *(F.col(c).alias(f"{c}_{x}") for c in posts.columns if c != "h")) for x in "ab")
+    differ = " + ".join(f"bit_count(b{k}_a ^ b{k}_b)" for k in range(4))
+    bounds = f"rep_a < rep_b and 5 * least(n_a, n_b) >= 3 * greatest(n_a, n_b) and 8 * (1 + least(n_a - p_a, n_b - p_b)) >= 3 * (n_a + n_b) and 4 * (m_a + m_b - ({differ})) >= 3 * (n_a + n_b)"
+    pairs = a.join(b, "h").filter(bounds).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct()
+    of = lambda x: sets.select(F.col("rep").alias(x), F.col("words").alias(f"w_{x}"))
+    both = pairs.join(of("a"), "a").join(of("b"), "b").withColumn("both", F.size(F.array_intersect("w_a", "w_b")))
+    overlap = F.col("both") / (F.size("w_a") + F.size("w_b") - F.col("both"))
+    near = both.filter(overlap >= SAME_PASSAGE).select("a", "b", F.round(overlap, 4).alias("overlap"), F.lit(False).alias("same"))
+    members = words.select("verse_id", "digest").join(sets.select("digest", "rep"), "digest", "left")
+    return members.select(F.coalesce("rep", "verse_id").alias("a"), F.col("verse_id").alias("b"), F.lit(1.0).alias("overlap"), F.lit(True).alias("same")).union(near)
+
+
 def grouped(found: DataFrame, top_k: int = 20) -> DataFrame:
     """Results (verse_id, text, similarity), at most 2 * top_k, each with the leader that it joins: the first earlier one
     (by similarity) that is the same passage and leads. The fold depends on the order, and runs over one page."""
@@ -189,4 +218,4 @@ def compare_rankings(a: DataFrame, b: DataFrame, k: int = 10) -> DataFrame:
     return out.select("query", F.round(F.col("shared") / F.col("size"), 4).alias("overlap"), F.col("first").alias("same_first"), F.round("rho", 4).alias("rho"))
 
 
-__all__ = ["compare_rankings", "cross_tradition", "encode", "grouped", "jaccard", "models", "normalized", "pending", "same_passages", "scored", "search", "search_all"]
+__all__ = ["all_same_passages", "compare_rankings", "cross_tradition", "encode", "grouped", "jaccard", "models", "normalized", "pending", "same_passages", "scored", "search", "search_all"]

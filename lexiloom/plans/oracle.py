@@ -174,6 +174,10 @@ SQL: dict[str, str] = {
     "vector_search": f"WITH {_VECTORS} SELECT verse_id, round(score, 4) AS similarity FROM scored ORDER BY score DESC, verse_id LIMIT 40",
     "vector_search_all": f"WITH {_VECTORS}, pairs AS (SELECT a.verse_id AS query_id, b.verse_id, list_inner_product(b.vector, a.vector) AS s FROM v a, v b WHERE a.verse_id % 20 = 0) SELECT query_id, verse_id, round(s, 4) AS similarity, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, verse_id)::INT AS rank FROM pairs QUALIFY rank <= 40",
     "near_duplicates": f"WITH {_VECTORS}, {_RESULTS} SELECT a.verse_id AS a, b.verse_id AS b, round(len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))), 4) AS overlap FROM texts a JOIN texts b ON a.verse_id < b.verse_id WHERE len(a.w) > 0 AND len(b.w) > 0 AND len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) >= 0.6",
+    "near_duplicates_all": """WITH t AS (SELECT doc_id, list_sort(list_distinct(list_filter(regexp_extract_all(lower(coalesce(text, '')), '[a-z'']+'), lambda w: length(w) > 3))) AS w FROM documents),
+      c AS (SELECT *, CASE WHEN len(w) > 0 THEN min(doc_id) OVER (PARTITION BY w) ELSE doc_id END AS rep FROM t), x AS (SELECT doc_id AS r, len(w) AS n, unnest(w) AS u FROM c WHERE rep = doc_id),
+      j AS (SELECT a.r AS a, b.r AS b, a.n AS na, b.n AS nb, count(*) AS m FROM x a JOIN x b ON a.u = b.u AND a.r < b.r GROUP BY ALL)
+      SELECT rep AS a, doc_id AS b, 1.0::DOUBLE AS overlap, true AS same FROM c UNION ALL SELECT a, b, round(m / (na + nb - m), 4), false FROM j WHERE m / (na + nb - m) >= 0.6""",
     "cross_tradition": f"WITH {_VECTORS} SELECT tradition, verse_id, round(score, 4) AS similarity, row_number() OVER (PARTITION BY tradition ORDER BY score DESC, verse_id)::INT AS rank FROM scored WHERE tradition <> (SELECT tradition FROM v WHERE verse_id = 0) QUALIFY rank <= 3",
     "pending_embeddings": f"WITH {_VECTORS} SELECT doc_id AS verse_id FROM documents WHERE doc_id NOT IN (SELECT verse_id FROM v WHERE model = 'm1')",
     "embedding_models": f"WITH {_VECTORS} SELECT model, count(*) AS n FROM v GROUP BY 1",

@@ -194,6 +194,11 @@ def near_duplicates(spark, folder):
     return similarity.same_passages(_found_texts(spark, folder, 60))
 
 
+def near_duplicates_all(spark, folder):
+    """Passages that are the same, among all documents."""
+    return similarity.all_same_passages(spark.read.parquet(f"{folder}/documents.parquet").select(F.col("doc_id").alias("verse_id"), "text"))
+
+
 def cross_tradition(spark, folder):
     return similarity.cross_tradition(vectors_of(spark, folder), 0)
 
@@ -243,7 +248,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         normalize_text, tokenize, token_count, stem, ngrams, strip_html, detect_script, verse_dedup, lemma_totals, division_totals, work_totals, list_works, list_divisions, health_counts, ingest_stats, log_likelihood, semantic_fields,
-        lexicon_terms, field_stems, fields_containing, resolve_query, search_text, vector_search, vector_search_all, vector_search_grouped, near_duplicates, cross_tradition, pending_embeddings, embedding_models, l2_normalize, engine_comparison, translation_pending,
+        lexicon_terms, field_stems, fields_containing, resolve_query, search_text, vector_search, vector_search_all, vector_search_grouped, near_duplicates, near_duplicates_all, cross_tradition, pending_embeddings, embedding_models, l2_normalize, engine_comparison, translation_pending,
     )
 } | {
     "frequency_by_work": _on_corpus(lambda c: frequency.frequency_by_work(c, STEMS)),

@@ -113,6 +113,24 @@ def test_groups_fold_in_order(spark):
     assert [(r.a, r.b) for r in similarity.same_passages(found).collect()] == [(0, 1)]
 
 
+def test_all_documents_are_compared(spark):
+    rng = np.random.default_rng(2)
+    vocabulary = [f"word{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(300)]
+    texts = []
+    for n in (1, 2, 3, 5, 8, 40, 90):
+        for _ in range(6):
+            base = list(rng.choice(vocabulary, n, replace=False))
+            texts += [" ".join(base), " ".join(base[::-1])] + [" ".join([*base[: len(base) - d], *rng.choice(vocabulary, d)]) for d in {0, n // 8, n // 5, n // 4, n // 3, n // 2}]
+    texts += ["", None, "a b c"]
+    sets = [frozenset(w for w in (x or "").split() if len(w) > 3) for x in texts]
+    first = [sets.index(s) if s else k for k, s in enumerate(sets)]
+    reps = [k for k in range(len(sets)) if first[k] == k and sets[k]]
+    want = {(f, k, True) for k, f in enumerate(first)} | {(a, b, False) for a in reps for b in reps if a < b and 5 * len(sets[a] & sets[b]) >= 3 * len(sets[a] | sets[b])}
+    docs = spark.createDataFrame(list(enumerate(texts)), "verse_id long, text string")
+    got = [(r.a, r.b, r.same) for r in similarity.all_same_passages(docs).collect()]
+    assert len(got) == len(want) and set(got) == want and any(not same for *_, same in want)
+
+
 def test_compare_rankings(spark):
     a = spark.createDataFrame([("q", k, k) for k in range(1, 5)], "query string, item int, rank int")
     b = a.withColumn("rank", 5 - F.col("rank"))
