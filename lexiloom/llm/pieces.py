@@ -5,20 +5,22 @@ piece), and the segments are encoded apart, which is exact. For each distinct se
 piece are exploded and equi-joined to the piece table; the matching edges are grouped by segment and folded with a
 higher-order aggregate. For piece tables with log probabilities (unigram models) the fold is Viterbi. For merge tables
 (BPE models, whose scores are ranks) the best sum of ranks isn't what such a model encodes, so the fold applies, until
-none is left, the edge of the lowest rank that spans two pieces of that moment. One pass in order of rank does this,
-unless a word has a `late` piece, which may come to span two pieces only after a merge of a later rank; such words are
-folded by steps that each look at all edges. Characters without a piece become byte pieces.
+none is left, the edge of the lowest rank that spans two pieces of that moment. One pass in order of rank does this if,
+for each edge, the piece alone is in two parts when its turn comes: between two cuts a word is folded as if it were
+alone, so an edge that isn't applied at its turn never will be. Words with one of the few other pieces (`late`: runs of
+spaces) are folded by steps that each look at all edges. Characters without a piece become byte pieces.
 
-So that texts needn't be exploded, a dictionary of frequent segments, from a bounded sample of texts (`sample_docs` of
-them, `dictionary_size` segments; only speed depends on it), is encoded by the lattice first and broadcast. Segments that
-it lacks are requested by chunks of documents, encoded by the lattice once each, and sent back to the chunks, where the
-ids of whole texts are put together.
+So that texts needn't be exploded, a dictionary of frequent segments, from a bounded sample of texts (about `sample_docs`
+of them, `dictionary_size` segments; only speed depends on it), is encoded by the lattice first and broadcast. Each text
+is cut once: what is exchanged, by chunks of about CHUNK_BYTES of text, is the numbers of its segments and the names of
+those that the dictionary lacks. Both readers of that one exchange are in the same plan: the lattice encodes the lacking
+segments of a chunk, and where they meet the numbers, the ids of whole texts are put together.
 
 Defined results: a null or empty text has no pieces, and decodes as empty. Segments of any length are encoded; those over
 LONG characters, which exploded rows would carry along whole, are folded where their text is put together, on edges
 looked up in the same table. Repeated rows are encoded each; other columns pass through,
 whatever their names, but piece_ids is replaced. Empty tables give empty results. The sign for a space, U+2581, in a text
-is a space.
+is a space. U+0000 is a character as any other.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ from __future__ import annotations
 import heapq
 import math
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -33,6 +36,7 @@ from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,10 +45,11 @@ from pyspark.sql import types as T
 from lexiloom.llm.scratch import materialize
 
 SPACE = "▁"
-WORD = f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n"
 LONG = 60
-CHUNK_DOCS = 500
-KEPT_WORDS = 60_000
+CHUNK_BYTES = 4_000_000
+KEPT_WORDS = 300_000
+#: Characters that texts rarely have; one that a text lacks marks where its words end.
+MARKS = "\x01\x02\x03\x04\x05\x06\x07\x0e\x0f\uffff"
 
 
 @dataclass(frozen=True)
@@ -69,13 +74,17 @@ class PieceTable:
         return frozenset(p[i : i + 2] for p, _, _ in self.pieces for i in range(len(p) - 1))
 
     def late(self) -> frozenset[str]:
-        """Pieces with a part that ends or begins them and has a later rank, where the rest is a character or a piece."""
+        """Pieces that the edges of lower ranks inside them, applied in order, don't leave in two parts."""
         neg = {p: -x for p, _, x in self.pieces if len(p) > 1}
-        of = lambda part: -math.inf if len(part) == 1 else neg.get(part)
 
         def waits(p: str) -> bool:
-            halves = ((of(p[:k]), of(p[k:])) for k in range(1, len(p)))
-            return any(a is not None and b is not None and max(a, b) >= neg[p] for a, b in halves)
+            n, cuts = len(p), (1 << len(p) + 1) - 1
+            inner = ((p[s : s + k], s, s + k) for s in range(n) for k in range(2, min(n, n - s + 1)))
+            for _, s, e in sorted((neg[x], s, e) for x, s, e in inner if neg.get(x, math.inf) < neg[p]):
+                inside = cuts & ((1 << e) - (1 << s + 1))
+                if cuts >> s & 1 and cuts >> e & 1 and inside.bit_count() == 1:
+                    cuts ^= inside
+            return cuts.bit_count() != 3
 
         return frozenset(filter(waits, neg))
 
@@ -95,37 +104,35 @@ def load_table(model: str) -> PieceTable:
     return PieceTable(plain, fallback, all(float(s).is_integer() for _, _, s in plain))
 
 
-def edges_of(words: DataFrame, table: PieceTable) -> DataFrame:
-    """(word, edges, late): of distinct words, the substrings of two characters or more that are pieces, in order of
-    cost, and whether one of them is late in a table of merges.
-
-    An edge is a struct (neg, s, e) of the negated score and the positions, from 0, of begin and end. Words without any
-    such substring are left out. `words` should be partitioned by word; then nothing is exchanged, as the piece table has
-    a fixed size and is broadcast.
-    """
-    late = table.late() if table.merges else frozenset()
-    pieces = words.sparkSession.createDataFrame([(p, -x, p in late) for p, _, x in table.pieces if len(p) > 1], "piece string, neg double, late boolean")
-    n = F.length("word")
-    starts = words.filter(n >= 2).select("word", F.explode(F.sequence(F.lit(0), n - 2)).alias("s"))
-    lengths = F.sequence(F.lit(2), F.least(F.lit(table.longest), n - F.col("s")))
-    parts = starts.select("word", "s", F.explode(lengths).alias("l")).select("word", "s", (F.col("s") + F.col("l")).alias("e"), F.substr("word", F.col("s") + 1, F.col("l")).alias("piece"))
-    found = parts.join(F.broadcast(pieces), "piece")
-    return found.groupBy("word").agg(F.array_sort(F.collect_list(F.struct("neg", "s", "e"))).alias("edges"), F.max("late").alias("late"))
-
-
 def _bit(i: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), i)
 
 
-def _inside(cuts: Column, x: Column) -> Column:
-    """The cuts between an edge's two ends."""
-    return cuts.bitwiseAND(_bit(x["e"]) - _bit(x["s"] + 1))
+def edges_of(words: DataFrame, table: PieceTable, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, word, edges, late): of distinct words, the substrings of two characters or more that are pieces, in order
+    of cost, and whether one of them is late in a table of merges.
+
+    An edge is a struct of the negated score and, for merges, bits: its `ends` and what is `inside`; else the positions
+    s and e, from 0, of begin and end. Words without any such substring are left out. `words` should be partitioned by
+    some of the keys; then nothing is exchanged, as the piece table has a fixed size and is broadcast. The join is on the
+    hashes of the strings, as numbers are looked up faster; the strings are compared in a way that isn't taken for a key.
+    """
+    late = table.late() if table.merges else frozenset()
+    pieces = words.sparkSession.createDataFrame([(p, -x, p in late) for p, _, x in table.pieces if len(p) > 1], "piece string, neg double, late boolean")
+    n, s, e = F.length("word"), F.col("s"), F.col("s") + F.col("l")
+    starts = words.filter(n >= 2).select(*keys, "word", F.explode(F.sequence(F.lit(0), n - 2)).alias("s"))
+    lengths = F.sequence(F.lit(2), F.least(F.lit(table.longest), n - s))
+    parts = starts.select(*keys, "word", "s", F.explode(lengths).alias("l")).select(*keys, "word", "s", e.alias("e"), F.substr("word", s + 1, F.col("l")).alias("part"))
+    found = parts.withColumn("h", F.xxhash64("part")).join(F.broadcast(pieces.withColumn("h", F.xxhash64("piece"))), "h").filter("part >= piece and part <= piece")
+    begin, end = _bit(F.col("s")), _bit(F.col("e"))
+    edge = F.struct(F.col("neg").cast("int").alias("neg"), begin.bitwiseOR(end).alias("ends"), (end - F.lit(2) * begin).alias("inside")) if table.merges else F.struct("neg", "s", "e")
+    first = F.xxhash64("word").alias("h")  # numbers sort faster than words
+    return found.groupBy(first, *keys, "word").agg(F.sort_array(F.collect_list(edge)).alias("edges"), F.max("late").alias("late")).drop("h")
 
 
 def _meets(cuts: Column, x: Column) -> Column:
     """Whether an edge spans two pieces: both ends are cuts, and one is between them."""
-    ends = _bit(x["s"]).bitwiseOR(_bit(x["e"]))
-    return (cuts.bitwiseAND(ends) == ends) & (F.bit_count(_inside(cuts, x)) == 1)
+    return (cuts.bitwiseAND(x["ends"]) == x["ends"]) & (F.bit_count(cuts.bitwiseAND(x["inside"])) == 1)
 
 
 def _merge_fold(word: Column, edges: Column, late: Column) -> Column:
@@ -133,11 +140,11 @@ def _merge_fold(word: Column, edges: Column, late: Column) -> Column:
     start = _bit(F.length(word) + 1) - 1
 
     def once(cuts: Column, x: Column) -> Column:
-        return F.when(_meets(cuts, x), cuts.bitwiseXOR(_inside(cuts, x))).otherwise(cuts)
+        return F.when(_meets(cuts, x), cuts.bitwiseAND(F.bitwise_not(x["inside"]))).otherwise(cuts)
 
     def lowest(cuts: Column, _: Column) -> Column:
         x = F.get(F.filter(edges, lambda x: _meets(cuts, x)), F.lit(0))
-        return F.coalesce(cuts.bitwiseXOR(_inside(cuts, x)), cuts)
+        return F.coalesce(cuts.bitwiseAND(F.bitwise_not(x["inside"])), cuts)
 
     return F.when(late, F.aggregate(F.sequence(F.lit(2), F.length(word)), start, lowest)).otherwise(F.aggregate(edges, start, once))
 
@@ -188,14 +195,14 @@ def fold_in_python(n: int, edges: list[tuple[float, int, int]], merges: bool, si
     return cuts[::-1]
 
 
-def encode_words(words: DataFrame, table: PieceTable) -> DataFrame:
-    """(word, cuts): where distinct words of up to LONG characters are cut, as bits of a long.
+def encode_words(words: DataFrame, table: PieceTable, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, word, cuts): where distinct words of up to LONG characters are cut, as bits of a long.
 
     Words that aren't in the result are cut between all characters. See edges_of() for the partitioning of `words`.
     """
-    edges = edges_of(words.filter(F.length("word") <= LONG), table)
+    edges = edges_of(words.filter(F.length("word") <= LONG), table, keys)
     fold = _merge_fold(F.col("word"), F.col("edges"), F.col("late")) if table.merges else _viterbi_fold(F.col("word"), F.col("edges"), table.single)
-    return edges.select("word", fold.alias("cuts"))
+    return edges.select(*keys, "word", fold.alias("cuts"))
 
 
 class _Ids:
@@ -221,10 +228,40 @@ class _Ids:
         return out
 
 
-class _Segments:
-    """Cuts texts into segments and numbers those of the dictionary; remembers the first KEPT_WORDS words that it can."""
+def words_of(text: str) -> list[str]:
+    """The words of a text: each begins with its spaces, the first one's included; a line break is a word. Empty strings
+    among them mean nothing."""
+    if SPACE in text:
+        text = text.replace(SPACE, " ")
+    mark = next((m for m in MARKS if m not in text), None)
+    if mark is None:
+        return re.findall(r" +[^ \n]*|[^ \n]+|\n", " " + text)
+    out = (" " + text).replace(" ", mark + " ")
+    if "  " in text or text[:1] == " ":
+        for _ in range(2):  # the first round leaves pairs
+            out = out.replace(f" {mark} ", "  ")
+    if "\n" in text:
+        out = out.replace("\n", f"{mark}\n{mark}")
+    return out.split(mark)
+
+
+def cut_apart(word: str, neighbours: frozenset[str]) -> list[str]:
+    """The segments of a word (with the sign for spaces) that pieces don't reach across."""
+    out, begin = [], 0
+    for i in range(1, len(word)):
+        if word[i - 1 : i + 1] not in neighbours:
+            out.append(word[begin:i])
+            begin = i
+    out.append(word[begin:])
+    return out
+
+
+class _Words(dict):
+    """Numbers words as they come. Word k has the segments flat[ends[k - 1] : ends[k]]: the numbers of segments that the
+    dictionary has, and -1 - i for lacking[i]."""
 
     def __init__(self, known: list[str], table: PieceTable) -> None:
+        super().__init__()
         self.number = {w: k for k, w in enumerate(known)}
         self.neighbours = table.neighbours()
         if any(x[1] == SPACE and x[0] != SPACE for x in self.neighbours):
@@ -233,52 +270,72 @@ class _Segments:
         after_letters = any(letter.match(x[0]) and not letter.match(x[1]) for x in self.neighbours)
         #: Cuts after letters, if no piece goes on there with anything else; else nowhere.
         self.rough = re.compile(r"(?s).+" if after_letters else r"[\W\d_]+[^\W\d_]*|[^\W\d_]+")
-        self.kept: dict[str, tuple[int, ...]] = {}
-
-    def of(self, text: str | None) -> tuple[list[int], list[str]]:
-        """The numbers of a text's segments, in order, and the names of those that the dictionary lacks: they have the
-        numbers -1, -2, and so on."""
-        out: list[int] = []
-        own: dict[str, int] = {}
-        kept, number = self.kept, self.number
-        for w in words_of(text):
-            known = kept.get(w)
-            if known is None:
-                k = number.get(w)
+        self.forget()
+
+    def forget(self) -> None:
+        self.clear()
+        self.ends, self.flat, self.lacking = array("q"), array("i"), {}
+        self[""] = 0
+        self.ends.append(0)
+
+    def __missing__(self, word: str) -> int:
+        w, number = word.replace(" ", SPACE), self.number
+        k = number.get(w)
+        if k is not None:
+            self.flat.append(k)
+        else:
+            for x in self.rough.findall(w):
+                k = number.get(x)
                 if k is not None:
-                    known = (k,)
+                    self.flat.append(k)
                 else:
-                    parts = self.rough.findall(w)
-                    known = tuple([number.get(x, -1) for x in parts])
-                    if -1 in known:
-                        parts = [y for x, k in zip(parts, known, strict=True) for y in ((x,) if k >= 0 else cut_apart(x, self.neighbours))]
-                        known = tuple([number.get(x, -1) for x in parts])
-                    if -1 in known:
-                        out += [own.setdefault(x, -1 - len(own)) if k < 0 else k for x, k in zip(parts, known, strict=True)]
-                        continue
-                if len(kept) < KEPT_WORDS:
-                    kept[w] = known
-            out += known
-        return out, list(own)
+                    for y in cut_apart(x, self.neighbours):
+                        k = number.get(y)
+                        self.flat.append(self.lacking.setdefault(y, -1 - len(self.lacking)) if k is None else k)
+        self[word] = k = len(self)
+        self.ends.append(len(self.flat))
+        return k
+
+    def packed(self, texts: list[str | None]) -> list[bytes | None]:
+        """Of each text the numbers of its segments, with numbers of its own for those that the dictionary lacks, and
+        their names; null without text."""
+        if len(self) > KEPT_WORDS:
+            self.forget()
+        pack, of = zstandard.ZstdCompressor(level=3), self.__getitem__
+        each = [np.fromiter(map(of, words), np.int64, len(words)) for words in (words_of(x) if x else () for x in texts)]
+        ends, flat = np.frombuffer(self.ends, np.int64).copy(), np.frombuffer(self.flat, np.int32).copy() if self.flat else np.empty(0, np.int32)
+        begins = np.append(0, ends[:-1])
+        names = list(self.lacking)
+        out: list[bytes | None] = []
+        for x, words in zip(texts, each, strict=True):
+            if not x:
+                out.append(None)
+                continue
+            codes = flat[_ranges(begins[words], ends[words])]
+            absent = codes < 0
+            own, place = np.unique(-1 - codes[absent], return_inverse=True)
+            codes[absent] = -1 - place
+            planes = codes.view(np.uint8).reshape(-1, 4).T  # equal bytes together are packed better
+            out.append(pack.compress(np.array([len(codes)], np.int64).tobytes() + planes.tobytes() + " ".join([names[i] for i in own]).encode("utf-8", "surrogatepass")))  # no segment has a space
+        return out
 
 
-def words_of(text: str | None) -> list[str]:
-    """The words of a text, with its spaces."""
-    return re.findall(WORD, SPACE + text.replace(" ", SPACE)) if text else []
+def _ranges(begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The numbers from each begin up to its end, one range after the other."""
+    size = ends - begins
+    upto = np.cumsum(size)
+    return np.arange(upto[-1] if len(upto) else 0) + np.repeat(begins - upto + size, size)
 
 
-def cut_apart(word: str, neighbours: frozenset[str]) -> list[str]:
-    """The segments of a word that pieces don't reach across."""
-    out, begin = [], 0
-    for i in range(1, len(word)):
-        if word[i - 1 : i + 1] not in neighbours:
-            out.append(word[begin:i])
-            begin = i
-    out.append(word[begin:])
-    return out
+def _unpacked(packed: bytes, unpack: zstandard.ZstdDecompressor) -> tuple[np.ndarray, list[str]]:
+    """What _Words.packed() has packed: codes and names."""
+    raw = unpack.decompress(packed)
+    n = int(np.frombuffer(raw[:8], np.int64)[0])
+    codes = np.frombuffer(raw[8 : 8 + 4 * n], np.uint8).reshape(4, n).T.copy().view(np.int32).ravel()
+    return codes, raw[8 + 4 * n :].decode("utf-8", "surrogatepass").split(" ") if len(raw) > 8 + 4 * n else []
 
 
-def _dictionary(docs: DataFrame, table: PieceTable, text: str, sample_docs: int, size: int, n: int) -> tuple[list[str], np.ndarray, np.ndarray]:
+def _dictionary(docs: DataFrame, table: PieceTable, doc_id: str, text: str, sample_docs: int, size: int) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Frequent segments of a sample, the ends of their ids, and their ids, one after the other."""
     neighbours = table.neighbours()
 
@@ -286,99 +343,96 @@ def _dictionary(docs: DataFrame, table: PieceTable, text: str, sample_docs: int,
         sums: Counter = Counter()
         for batch in batches:
             for x in batch["text"]:
-                sums.update(words_of(x))
+                if x:
+                    sums.update(words_of(x))
         parts: Counter = Counter()
         for w, k in sums.items():
-            for x in cut_apart(w, neighbours):
+            for x in cut_apart(w.replace(" ", SPACE), neighbours):
                 parts[x] += k
         if parts:
             yield pd.DataFrame({"word": list(parts), "n": np.array(list(parts.values()), np.int64)})
 
-    share = min(1.0, sample_docs / max(1, n))
-    part = docs.select(F.col(text).alias("text")).filter(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < F.lit(math.ceil(share * (1 << 20))))
-    often = part.mapInPandas(count, "word string, n long").filter(F.length("word") <= LONG).groupBy("word").agg(F.sum("n").alias("n")).filter("n > 1").orderBy(F.desc("n"), "word").limit(size)
-    often = materialize(often.select("word"), "piece-dictionary")
-    found = encode_words(often.repartition("word"), table)
-    cuts = often.join(found.select("word", "cuts"), "word", "left").toArrow()
+    share = min(1.0, sample_docs / max(1, docs.count()))
+    part = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).filter(F.pmod(F.xxhash64("id", "text"), F.lit(1 << 20)) < F.lit(math.ceil(share * (1 << 20)))).select("text")
+    often = part.mapInPandas(count, "word string, n long").filter(F.length("word").between(1, LONG)).groupBy("word").agg(F.sum("n").alias("n")).filter("n > 1").orderBy(F.desc("n"), "word").limit(size)
+    often = materialize(often, "piece-dictionary")
+    found = encode_words(often.select("word").repartition("word"), table)
+    cuts = often.join(found.select("word", "cuts"), "word", "left").orderBy(F.desc("n"), "word").select("word", "cuts").toArrow()
     ids = _Ids(table)
     words = cuts["word"].to_pylist()
     lists = [ids.of(w, c) for w, c in zip(words, cuts["cuts"].to_pylist(), strict=True)]
     return words, np.cumsum([len(x) for x in lists], dtype=np.int64), np.fromiter(chain.from_iterable(lists), np.int32)
 
 
-def encode(docs: DataFrame, table: PieceTable, doc_id: str = "doc_id", text: str = "text", sample_docs: int = 20_000, dictionary_size: int = 150_000) -> DataFrame:
+def encode(docs: DataFrame, table: PieceTable, doc_id: str = "doc_id", text: str = "text", sample_docs: int = 30_000, dictionary_size: int = 300_000) -> DataFrame:
     """All rows of `docs`, without the text, with piece_ids."""
-    spark = docs.sparkSession
-    total = docs.count()
-    sent = spark.sparkContext.broadcast(_dictionary(docs, table, text, sample_docs, dictionary_size, total))
-    chunks = max(1, math.ceil(total / CHUNK_DOCS))
+    sent = docs.sparkSession.sparkContext.broadcast(_dictionary(docs, table, doc_id, text, sample_docs, dictionary_size))
+    chunks = max(1, math.ceil((docs.agg(F.sum(F.octet_length(text))).first()[0] or 0) / CHUNK_BYTES))
     names = [c for c in docs.columns if c not in (text, "piece_ids")]
     chunk = F.pmod(F.xxhash64(doc_id, text), F.lit(chunks)).cast("int")
-    rows = docs.select(F.struct(F.lit(0).alias("__lx_0"), *(F.col(f"`{c}`") for c in names)).alias("row"), F.col(text).alias("text"), chunk.alias("chunk"))
 
-    def requests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        segments = _Segments(sent.value[0], table)
+    @F.arrow_udf("binary")
+    def packed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        words = _Words(sent.value[0], table)
         for batch in batches:
-            asked: set[tuple[int, str]] = set()
-            for c, x in zip(batch["chunk"].tolist(), batch["text"], strict=True):
-                asked.update((c, w) for w in segments.of(x)[1] if len(w) <= LONG)
-            if asked:
-                to, lacking = zip(*asked, strict=True)
-                yield pd.DataFrame({"chunk": np.array(to, np.int32), "word": list(lacking)})
-
-    asked = materialize(rows.select("text", "chunk").mapInPandas(requests, "chunk int, word string"), "piece-requests")
-    words = asked.select("word").distinct()
-    answers = asked.join(encode_words(words, table), "word").select("chunk", "word", "cuts")
-
-    packed = rows.withColumn("codes", _codes(sent, table)(F.col("text"))).select("chunk", "row", "codes")
-    out_type = T.StructType([packed.schema["row"], T.StructField("piece_ids", T.ArrayType(T.IntegerType()))])
-    put = packed.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(_put_together(sent, table), out_type)
-    return put.select(*(F.col("row")[c].alias(c) for c in names), "piece_ids")
+            yield pa.array(words.packed(batch.to_pylist()), pa.binary())
 
-
-def _codes(sent, table: PieceTable) -> Column:
-    """UDF: the numbers of a text's segments, negative ones for segments that follow by name; compressed."""
-
-    @F.pandas_udf("binary")
-    def codes(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        segments, pack = _Segments(sent.value[0], table), zstandard.ZstdCompressor(level=3)
-        for batch in texts:
-            out = []
-            for x in batch:
-                at, names = segments.of(x)
-                planes = np.array(at, np.int32).view(np.uint8).reshape(-1, 4).T  # equal bytes together are packed better
-                out.append(pack.compress(np.array([len(at)], np.int64).tobytes() + planes.tobytes() + " ".join(names).encode()))  # no segment has a space
-            yield pd.Series(out, dtype=object)
-
-    return codes
+    def lacking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor()
+        for batch in batches:
+            found: set[tuple[int, str]] = set()
+            for c, x in zip(batch["chunk"].to_pylist(), batch["packed"].to_pylist(), strict=True):
+                if x is not None:
+                    found.update((c, w) for w in _unpacked(x, unpack)[1] if len(w) <= LONG)
+            to, words = zip(*found, strict=True) if found else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array(words, pa.string())], ["chunk", "word"])
+
+    rows = docs.select(chunk.alias("chunk"), F.struct(F.lit(0).alias("__lx_0"), *(F.col(f"`{c}`") for c in names)).alias("row"), packed(F.col(text)).alias("packed")).repartition("chunk")
+    asked = rows.mapInArrow(lacking, "chunk int, word string").repartition("chunk").distinct()
+    answers = encode_words(asked, table, ("chunk",))
+    out_type = T.StructType([rows.schema["row"], T.StructField("piece_ids", T.ArrayType(T.IntegerType()))])
+    put = rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_put_together(sent, table), out_type)
+    return put.select(*(F.col("row")[c].alias(c) for c in names), "piece_ids")
 
 
 def _put_together(sent, table: PieceTable):
-    def put(docs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+    def ids_of(packed: list[bytes | None], cuts: dict[str, int], ids: _Ids) -> pa.Array:
+        """Lists of ids; the answers are put after the dictionary, and then all codes are looked up at once."""
         _, ends, flat = sent.value
-        unpack, ids = zstandard.ZstdDecompressor(), _Ids(table)
-        cut = dict(zip(answers["word"], answers["cuts"].tolist(), strict=True))
-        begins = np.append(0, ends[:-1]) if len(ends) else ends
-        out = []
-        for packed in docs["codes"]:
-            raw = unpack.decompress(packed)
-            n = int(np.frombuffer(raw[:8], np.int64)[0])
-            at = np.frombuffer(raw[8 : 8 + 4 * n], np.uint8).reshape(4, n).T.copy().view(np.int32).ravel().astype(np.int64)
-            known, size = at >= 0, np.zeros(n, np.int64)
-            lacking = [] if known.all() else [ids.of(w, cut.get(w)) for w in raw[8 + 4 * n :].decode().split(" ")]
-            first = begins[at[known]]
-            size[known] = ends[at[known]] - first
-            if lacking:
-                size[~known] = np.array([len(x) for x in lacking], np.int64)[-1 - at[~known]]
-            to = np.cumsum(size) - size
-            all_ids = np.empty(int(size.sum()), np.int32)
-            each = size[known]
-            within = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
-            all_ids[np.repeat(to[known], each) + within] = flat[np.repeat(first, each) + within]
-            for k in np.flatnonzero(~known):
-                all_ids[to[k] : to[k] + size[k]] = lacking[-1 - at[k]]
-            out.append(all_ids)
-        return pd.DataFrame({"row": docs["row"], "piece_ids": pd.Series(out, dtype=object)})
+        unpack, first, own, lists = zstandard.ZstdDecompressor(), len(ends), {}, []
+        each, sizes = [], np.zeros(len(packed), np.int64)
+        for k, x in enumerate(packed):
+            codes = np.empty(0, np.int64)
+            if x is not None:
+                codes, lacking = _unpacked(x, unpack)
+                codes = codes.astype(np.int64)
+                if lacking:
+                    at = []
+                    for w in lacking:
+                        if w not in own:
+                            own[w] = first + len(own)
+                            lists.append(ids.of(w, cuts.get(w)))
+                        at.append(own[w])
+                    absent = codes < 0
+                    codes[absent] = np.array(at)[-1 - codes[absent]]
+            each.append(codes)
+            sizes[k] = len(codes)
+        ends = np.append(ends, (ends[-1] if first else 0) + np.cumsum([len(x) for x in lists], dtype=np.int64))
+        flat = np.append(flat, np.fromiter(chain.from_iterable(lists), np.int32))
+        codes = np.concatenate(each) if each else np.empty(0, np.int64)
+        begins = np.append(0, ends[:-1])[codes] if len(ends) else codes
+        stops = ends[codes] if len(ends) else codes
+        upto = np.append(0, np.cumsum(stops - begins))
+        offsets = upto[np.append(0, np.cumsum(sizes))]
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat[_ranges(begins, stops)], pa.int32()))
+
+    def put(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        ids, cuts = _Ids(table), dict(zip(answers["word"].to_pylist(), answers["cuts"].to_pylist(), strict=True))
+        parts = []
+        for i in range(0, docs.num_rows, 250):  # bounds the arrays of numbers
+            some = docs.slice(i, 250)
+            parts.append(pa.Table.from_arrays([some["row"], ids_of(some["packed"].to_pylist(), cuts, ids)], ["row", "piece_ids"]))
+        return pa.concat_tables(parts) if parts else pa.Table.from_arrays([docs["row"], pa.array([], pa.list_(pa.int32()))], ["row", "piece_ids"])
 
     return put
 
@@ -386,13 +440,20 @@ def _put_together(sent, table: PieceTable):
 def with_texts(encoded: DataFrame, table: PieceTable, ids: str = "piece_ids", name: str = "text") -> DataFrame:
     """All rows of `encoded` with the decoded text; ids that the table lacks are left out."""
     spark: SparkSession = encoded.sparkSession
-    texts = {i: p.encode() for p, i, _ in table.pieces} | {i: bytes([b]) for b, i in enumerate(table.bytes)}
-    sent = spark.sparkContext.broadcast(texts)
+    texts = {i: p.replace(SPACE, " ").encode() for p, i, _ in table.pieces} | {i: bytes([b]) for b, i in enumerate(table.bytes)}
+    sent = spark.sparkContext.broadcast([texts.get(i, b"") for i in range(max(texts) + 1)])
 
-    @F.pandas_udf("string")
-    def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        of = sent.value
+    @F.arrow_udf("string")
+    def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        pieces = pa.array([*sent.value, b""], pa.large_binary())  # the last for ids that the table lacks
         for batch in batches:
-            yield pd.Series([b"".join(of.get(i, b"") for i in x.tolist()).decode("utf-8", "replace").replace(SPACE, " ")[1:] if x is not None else "" for x in batch])
+            sizes = np.array([0 if n is None else n for n in batch.value_lengths().to_pylist()], np.int64)
+            at = batch.flatten().fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+            at = np.where((at < 0) | (at >= len(pieces) - 1), len(pieces) - 1, at)
+            taken = pieces.take(pa.array(at))
+            upto = np.frombuffer(taken.buffers()[1], np.int64)[: len(at) + 1] if len(at) else np.zeros(1, np.int64)
+            whole = taken.buffers()[2].to_pybytes()[: upto[-1]] if len(at) and taken.buffers()[2] is not None else b""
+            ends = upto[np.append(0, np.cumsum(sizes))].tolist()
+            yield pa.array([whole[a:b].decode("utf-8", "replace")[1:] for a, b in zip(ends, ends[1:], strict=False)], pa.string())
 
     return encoded.withColumn(name, decode(F.col(ids)))
