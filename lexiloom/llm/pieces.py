@@ -13,8 +13,9 @@ spaces) are folded by steps that each look at all edges. Characters without a pi
 So that texts needn't be exploded, a dictionary of frequent segments, from a bounded sample of texts (about `sample_docs`
 of them, `dictionary_size` segments; only speed depends on it), is encoded by the lattice first and broadcast. Each text
 is cut once: what is exchanged, by chunks of about CHUNK_BYTES of text, is the numbers of its segments and the names of
-those that the dictionary lacks. Both readers of that one exchange are in the same plan: the lattice encodes the lacking
-segments of a chunk, and where they meet the numbers, the ids of whole texts are put together.
+those that the dictionary lacks. The lacking segments of each chunk are exchanged by name, encoded by the lattice once
+each, and sent back to the chunk, where the ids of whole texts are put together. Both readers of either exchange stand in
+one plan, so that it is made once.
 
 Defined results: a null or empty text has no pieces, and decodes as empty. Segments of any length are encoded; those over
 LONG characters, which exploded rows would carry along whole, are folded where their text is put together, on edges
@@ -47,7 +48,7 @@ from lexiloom.llm.scratch import materialize
 SPACE = "▁"
 LONG = 60
 CHUNK_BYTES = 4_000_000
-KEPT_WORDS = 300_000
+KEPT_WORDS = 150_000
 #: Characters that texts rarely have; one that a text lacks marks where its words end.
 MARKS = "\x01\x02\x03\x04\x05\x06\x07\x0e\x0f\uffff"
 
@@ -108,26 +109,26 @@ def _bit(i: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), i)
 
 
-def edges_of(words: DataFrame, table: PieceTable, keys: tuple[str, ...] = ()) -> DataFrame:
-    """(keys, word, edges, late): of distinct words, the substrings of two characters or more that are pieces, in order
+def edges_of(words: DataFrame, table: PieceTable) -> DataFrame:
+    """(word, edges, late): of distinct words, the substrings of two characters or more that are pieces, in order
     of cost, and whether one of them is late in a table of merges.
 
     An edge is a struct of the negated score and, for merges, bits: its `ends` and what is `inside`; else the positions
     s and e, from 0, of begin and end. Words without any such substring are left out. `words` should be partitioned by
-    some of the keys; then nothing is exchanged, as the piece table has a fixed size and is broadcast. The join is on the
+    word; then nothing is exchanged, as the piece table has a fixed size and is broadcast. The join is on the
     hashes of the strings, as numbers are looked up faster; the strings are compared in a way that isn't taken for a key.
     """
     late = table.late() if table.merges else frozenset()
     pieces = words.sparkSession.createDataFrame([(p, -x, p in late) for p, _, x in table.pieces if len(p) > 1], "piece string, neg double, late boolean")
     n, s, e = F.length("word"), F.col("s"), F.col("s") + F.col("l")
-    starts = words.filter(n >= 2).select(*keys, "word", F.explode(F.sequence(F.lit(0), n - 2)).alias("s"))
+    starts = words.select("word", F.explode(F.when(n >= 2, F.sequence(F.lit(0), n - 2))).alias("s"))
     lengths = F.sequence(F.lit(2), F.least(F.lit(table.longest), n - s))
-    parts = starts.select(*keys, "word", "s", F.explode(lengths).alias("l")).select(*keys, "word", "s", e.alias("e"), F.substr("word", s + 1, F.col("l")).alias("part"))
+    parts = starts.select("word", "s", F.explode(lengths).alias("l")).select("word", "s", e.alias("e"), F.substr("word", s + 1, F.col("l")).alias("part"))
     found = parts.withColumn("h", F.xxhash64("part")).join(F.broadcast(pieces.withColumn("h", F.xxhash64("piece"))), "h").filter("part >= piece and part <= piece")
     begin, end = _bit(F.col("s")), _bit(F.col("e"))
     edge = F.struct(F.col("neg").cast("int").alias("neg"), begin.bitwiseOR(end).alias("ends"), (end - F.lit(2) * begin).alias("inside")) if table.merges else F.struct("neg", "s", "e")
     first = F.xxhash64("word").alias("h")  # numbers sort faster than words
-    return found.groupBy(first, *keys, "word").agg(F.sort_array(F.collect_list(edge)).alias("edges"), F.max("late").alias("late")).drop("h")
+    return found.groupBy(first, "word").agg(F.sort_array(F.collect_list(edge)).alias("edges"), F.max("late").alias("late")).drop("h")
 
 
 def _meets(cuts: Column, x: Column) -> Column:
@@ -195,14 +196,14 @@ def fold_in_python(n: int, edges: list[tuple[float, int, int]], merges: bool, si
     return cuts[::-1]
 
 
-def encode_words(words: DataFrame, table: PieceTable, keys: tuple[str, ...] = ()) -> DataFrame:
-    """(keys, word, cuts): where distinct words of up to LONG characters are cut, as bits of a long.
+def encode_words(words: DataFrame, table: PieceTable) -> DataFrame:
+    """(word, cuts): where distinct words, of LONG characters at most, are cut, as bits of a long.
 
     Words that aren't in the result are cut between all characters. See edges_of() for the partitioning of `words`.
     """
-    edges = edges_of(words.filter(F.length("word") <= LONG), table, keys)
+    edges = edges_of(words, table)
     fold = _merge_fold(F.col("word"), F.col("edges"), F.col("late")) if table.merges else _viterbi_fold(F.col("word"), F.col("edges"), table.single)
-    return edges.select(*keys, "word", fold.alias("cuts"))
+    return edges.select("word", fold.alias("cuts"))
 
 
 class _Ids:
@@ -256,20 +257,34 @@ def cut_apart(word: str, neighbours: frozenset[str]) -> list[str]:
     return out
 
 
+def segments_of(table: PieceTable):
+    """A function from words (with the sign for spaces) to segments that pieces don't reach across.
+
+    Where no piece goes on after a letter with anything else, a pattern cuts there; only segments that are still over LONG
+    characters are cut further.
+    """
+    neighbours = table.neighbours()
+    if any(x[1] == SPACE and x[0] != SPACE for x in neighbours):
+        raise ValueError("pieces reach across spaces")
+    letter = re.compile(r"[^\W\d_]")
+    if any(letter.match(x[0]) and not letter.match(x[1]) for x in neighbours):
+        return lambda word: cut_apart(word, neighbours)
+    pattern = re.compile(r"[\W\d_]+[^\W\d_]*|[^\W\d_]+")
+
+    def of(word: str) -> list[str]:
+        parts = pattern.findall(word)
+        return parts if len(word) <= LONG else [y for x in parts for y in (cut_apart(x, neighbours) if len(x) > LONG else (x,))]
+
+    return of
+
+
 class _Words(dict):
     """Numbers words as they come. Word k has the segments flat[ends[k - 1] : ends[k]]: the numbers of segments that the
     dictionary has, and -1 - i for lacking[i]."""
 
     def __init__(self, known: list[str], table: PieceTable) -> None:
         super().__init__()
-        self.number = {w: k for k, w in enumerate(known)}
-        self.neighbours = table.neighbours()
-        if any(x[1] == SPACE and x[0] != SPACE for x in self.neighbours):
-            raise ValueError("pieces reach across spaces")
-        letter = re.compile(r"[^\W\d_]")
-        after_letters = any(letter.match(x[0]) and not letter.match(x[1]) for x in self.neighbours)
-        #: Cuts after letters, if no piece goes on there with anything else; else nowhere.
-        self.rough = re.compile(r"(?s).+" if after_letters else r"[\W\d_]+[^\W\d_]*|[^\W\d_]+")
+        self.number, self.segments = {w: k for k, w in enumerate(known)}, segments_of(table)
         self.forget()
 
     def forget(self) -> None:
@@ -284,14 +299,9 @@ class _Words(dict):
         if k is not None:
             self.flat.append(k)
         else:
-            for x in self.rough.findall(w):
+            for x in self.segments(w):
                 k = number.get(x)
-                if k is not None:
-                    self.flat.append(k)
-                else:
-                    for y in cut_apart(x, self.neighbours):
-                        k = number.get(y)
-                        self.flat.append(self.lacking.setdefault(y, -1 - len(self.lacking)) if k is None else k)
+                self.flat.append(self.lacking.setdefault(x, -1 - len(self.lacking)) if k is None else k)
         self[word] = k = len(self)
         self.ends.append(len(self.flat))
         return k
@@ -337,7 +347,7 @@ def _unpacked(packed: bytes, unpack: zstandard.ZstdDecompressor) -> tuple[np.nda
 
 def _dictionary(docs: DataFrame, table: PieceTable, doc_id: str, text: str, sample_docs: int, size: int) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Frequent segments of a sample, the ends of their ids, and their ids, one after the other."""
-    neighbours = table.neighbours()
+    segments = segments_of(table)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: Counter = Counter()
@@ -347,7 +357,7 @@ def _dictionary(docs: DataFrame, table: PieceTable, doc_id: str, text: str, samp
                     sums.update(words_of(x))
         parts: Counter = Counter()
         for w, k in sums.items():
-            for x in cut_apart(w.replace(" ", SPACE), neighbours):
+            for x in segments(w.replace(" ", SPACE)):
                 parts[x] += k
         if parts:
             yield pd.DataFrame({"word": list(parts), "n": np.array(list(parts.values()), np.int64)})
@@ -364,16 +374,17 @@ def _dictionary(docs: DataFrame, table: PieceTable, doc_id: str, text: str, samp
     return words, np.cumsum([len(x) for x in lists], dtype=np.int64), np.fromiter(chain.from_iterable(lists), np.int32)
 
 
-def encode(docs: DataFrame, table: PieceTable, doc_id: str = "doc_id", text: str = "text", sample_docs: int = 30_000, dictionary_size: int = 300_000) -> DataFrame:
+def encode(docs: DataFrame, table: PieceTable, doc_id: str = "doc_id", text: str = "text", sample_docs: int = 20_000, dictionary_size: int = 200_000) -> DataFrame:
     """All rows of `docs`, without the text, with piece_ids."""
-    sent = docs.sparkSession.sparkContext.broadcast(_dictionary(docs, table, doc_id, text, sample_docs, dictionary_size))
+    known, ends, flat = _dictionary(docs, table, doc_id, text, sample_docs, dictionary_size)
+    sent_words, sent_ids = (docs.sparkSession.sparkContext.broadcast(x) for x in (known, (ends, flat)))
     chunks = max(1, math.ceil((docs.agg(F.sum(F.octet_length(text))).first()[0] or 0) / CHUNK_BYTES))
     names = [c for c in docs.columns if c not in (text, "piece_ids")]
     chunk = F.pmod(F.xxhash64(doc_id, text), F.lit(chunks)).cast("int")
 
     @F.arrow_udf("binary")
     def packed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        words = _Words(sent.value[0], table)
+        words = _Words(sent_words.value, table)
         for batch in batches:
             yield pa.array(words.packed(batch.to_pylist()), pa.binary())
 
@@ -383,22 +394,23 @@ def encode(docs: DataFrame, table: PieceTable, doc_id: str = "doc_id", text: str
             found: set[tuple[int, str]] = set()
             for c, x in zip(batch["chunk"].to_pylist(), batch["packed"].to_pylist(), strict=True):
                 if x is not None:
-                    found.update((c, w) for w in _unpacked(x, unpack)[1] if len(w) <= LONG)
+                    found.update((c, w) for w in _unpacked(x, unpack)[1] if 2 <= len(w) <= LONG)
             to, words = zip(*found, strict=True) if found else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array(words, pa.string())], ["chunk", "word"])
 
     rows = docs.select(chunk.alias("chunk"), F.struct(F.lit(0).alias("__lx_0"), *(F.col(f"`{c}`") for c in names)).alias("row"), packed(F.col(text)).alias("packed")).repartition("chunk")
-    asked = rows.mapInArrow(lacking, "chunk int, word string").repartition("chunk").distinct()
-    answers = encode_words(asked, table, ("chunk",))
+    asked = rows.mapInArrow(lacking, "chunk int, word string").filter("word is not null and chunk is not null").repartition("word")
+    words = asked.groupBy("word").agg(F.min("chunk").alias("some")).filter("some >= 0").select("word")  # the same columns as below are exchanged
+    answers = asked.join(encode_words(words, table), "word").select("chunk", "word", "cuts")
     out_type = T.StructType([rows.schema["row"], T.StructField("piece_ids", T.ArrayType(T.IntegerType()))])
-    put = rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_put_together(sent, table), out_type)
+    put = rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_put_together(sent_ids, table), out_type)
     return put.select(*(F.col("row")[c].alias(c) for c in names), "piece_ids")
 
 
 def _put_together(sent, table: PieceTable):
     def ids_of(packed: list[bytes | None], cuts: dict[str, int], ids: _Ids) -> pa.Array:
         """Lists of ids; the answers are put after the dictionary, and then all codes are looked up at once."""
-        _, ends, flat = sent.value
+        ends, flat = sent.value
         unpack, first, own, lists = zstandard.ZstdDecompressor(), len(ends), {}, []
         each, sizes = [], np.zeros(len(packed), np.int64)
         for k, x in enumerate(packed):
