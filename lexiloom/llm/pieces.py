@@ -26,6 +26,8 @@ is a space. U+0000 is a character as any other.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import heapq
 import math
 import re
@@ -38,8 +40,9 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 import zstandard
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -92,6 +95,11 @@ class PieceTable:
     def ids(self) -> dict[str, int]:
         return {p: i for p, i, _ in self.pieces}
 
+    def texts(self) -> pa.Array:
+        """The bytes of each id, with a plain space for its sign; the last is empty."""
+        found = {i: p.replace(SPACE, " ").encode() for p, i, _ in self.pieces} | {i: bytes([b]) for b, i in enumerate(self.bytes)}
+        return pa.array([*(found.get(i, b"") for i in range(max(found) + 1)), b""], pa.large_binary())
+
 
 def load_table(model: str) -> PieceTable:
     """From a SentencePiece model file that the driver can read; it is sent on as data."""
@@ -307,8 +315,8 @@ class _Words(dict):
         return k
 
     def packed(self, texts: list[str | None]) -> list[bytes | None]:
-        """Of each text the numbers of its segments, with numbers of its own for those that the dictionary lacks, and
-        their names; null without text."""
+        """Of each text a digest, the numbers of its segments, with numbers of its own for those that the dictionary
+        lacks, and their names; null without text."""
         if len(self) > KEPT_WORDS:
             self.forget()
         pack, of = zstandard.ZstdCompressor(level=3), self.__getitem__
@@ -326,7 +334,8 @@ class _Words(dict):
             own, place = np.unique(-1 - codes[absent], return_inverse=True)
             codes[absent] = -1 - place
             planes = codes.view(np.uint8).reshape(-1, 4).T  # equal bytes together are packed better
-            out.append(pack.compress(np.array([len(codes)], np.int64).tobytes() + planes.tobytes() + " ".join([names[i] for i in own]).encode("utf-8", "surrogatepass")))  # no segment has a space
+            whole = xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass"))
+            out.append(pack.compress(np.array([len(codes), whole], np.uint64).tobytes() + planes.tobytes() + " ".join([names[i] for i in own]).encode("utf-8", "surrogatepass")))  # no segment has a space
         return out
 
 
@@ -337,12 +346,21 @@ def _ranges(begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.arange(upto[-1] if len(upto) else 0) + np.repeat(begins - upto + size, size)
 
 
-def _unpacked(packed: bytes, unpack: zstandard.ZstdDecompressor) -> tuple[np.ndarray, list[str]]:
-    """What _Words.packed() has packed: codes and names."""
+def _unpacked(packed: bytes, unpack: zstandard.ZstdDecompressor) -> tuple[np.ndarray, list[str], int]:
+    """What _Words.packed() has packed: codes, names and digest."""
     raw = unpack.decompress(packed)
-    n = int(np.frombuffer(raw[:8], np.int64)[0])
-    codes = np.frombuffer(raw[8 : 8 + 4 * n], np.uint8).reshape(4, n).T.copy().view(np.int32).ravel()
-    return codes, raw[8 + 4 * n :].decode("utf-8", "surrogatepass").split(" ") if len(raw) > 8 + 4 * n else []
+    n, whole = (int(x) for x in np.frombuffer(raw[:16], np.uint64))
+    codes = np.frombuffer(raw[16 : 16 + 4 * n], np.uint8).reshape(4, n).T.copy().view(np.int32).ravel()
+    return codes, raw[16 + 4 * n :].decode("utf-8", "surrogatepass").split(" ") if len(raw) > 16 + 4 * n else [], whole
+
+
+def _give_back() -> None:
+    """Returns freed memory to the system; a Python worker lives on after its task, beside those of the next stage."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def _dictionary(docs: DataFrame, table: PieceTable, doc_id: str, text: str, sample_docs: int, size: int) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -374,8 +392,11 @@ def _dictionary(docs: DataFrame, table: PieceTable, doc_id: str, text: str, samp
     return words, np.cumsum([len(x) for x in lists], dtype=np.int64), np.fromiter(chain.from_iterable(lists), np.int32)
 
 
-def encode(docs: DataFrame, table: PieceTable, doc_id: str = "doc_id", text: str = "text", sample_docs: int = 20_000, dictionary_size: int = 200_000) -> DataFrame:
-    """All rows of `docs`, without the text, with piece_ids."""
+def encode(docs: DataFrame, table: PieceTable, doc_id: str = "doc_id", text: str = "text", sample_docs: int = 20_000, dictionary_size: int = 200_000, verified: str | None = None) -> DataFrame:
+    """All rows of `docs`, without the text, with piece_ids.
+
+    `verified`: the name of a further column, whether the ids were found to decode to the text.
+    """
     known, ends, flat = _dictionary(docs, table, doc_id, text, sample_docs, dictionary_size)
     sent_words, sent_ids = (docs.sparkSession.sparkContext.broadcast(x) for x in (known, (ends, flat)))
     chunks = max(1, math.ceil((docs.agg(F.sum(F.octet_length(text))).first()[0] or 0) / CHUNK_BYTES))
@@ -387,6 +408,9 @@ def encode(docs: DataFrame, table: PieceTable, doc_id: str = "doc_id", text: str
         words = _Words(sent_words.value, table)
         for batch in batches:
             yield pa.array(words.packed(batch.to_pylist()), pa.binary())
+        words.forget()
+        words.number.clear()
+        _give_back()
 
     def lacking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
@@ -402,21 +426,22 @@ def encode(docs: DataFrame, table: PieceTable, doc_id: str = "doc_id", text: str
     asked = rows.mapInArrow(lacking, "chunk int, word string").filter("word is not null and chunk is not null").repartition("word")
     words = asked.groupBy("word").agg(F.min("chunk").alias("some")).filter("some >= 0").select("word")  # the same columns as below are exchanged
     answers = asked.join(encode_words(words, table), "word").select("chunk", "word", "cuts")
-    out_type = T.StructType([rows.schema["row"], T.StructField("piece_ids", T.ArrayType(T.IntegerType()))])
-    put = rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_put_together(sent_ids, table), out_type)
-    return put.select(*(F.col("row")[c].alias(c) for c in names), "piece_ids")
+    out_type = T.StructType([rows.schema["row"], T.StructField("piece_ids", T.ArrayType(T.IntegerType())), T.StructField("same", T.BooleanType())])
+    put = rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_put_together(sent_ids, table, verified is not None), out_type)
+    return put.select(*(F.col("row")[c].alias(c) for c in names if c != verified), "piece_ids", *([F.col("same").alias(verified)] if verified else []))
 
 
-def _put_together(sent, table: PieceTable):
-    def ids_of(packed: list[bytes | None], cuts: dict[str, int], ids: _Ids) -> pa.Array:
-        """Lists of ids; the answers are put after the dictionary, and then all codes are looked up at once."""
+def _put_together(sent, table: PieceTable, verify: bool):
+    def ids_of(packed: list[bytes | None], cuts: dict[str, int], ids: _Ids, texts: pa.Array) -> list[pa.Array]:
+        """Lists of ids, and whether they decode to the texts. The answers are put after the dictionary, and then all
+        codes are looked up at once."""
         ends, flat = sent.value
         unpack, first, own, lists = zstandard.ZstdDecompressor(), len(ends), {}, []
-        each, sizes = [], np.zeros(len(packed), np.int64)
+        each, sizes, digests = [], np.zeros(len(packed), np.int64), []
         for k, x in enumerate(packed):
-            codes = np.empty(0, np.int64)
+            codes, digest = np.empty(0, np.int64), None
             if x is not None:
-                codes, lacking = _unpacked(x, unpack)
+                codes, lacking, digest = _unpacked(x, unpack)
                 codes = codes.astype(np.int64)
                 if lacking:
                     at = []
@@ -428,6 +453,7 @@ def _put_together(sent, table: PieceTable):
                     absent = codes < 0
                     codes[absent] = np.array(at)[-1 - codes[absent]]
             each.append(codes)
+            digests.append(digest)
             sizes[k] = len(codes)
         ends = np.append(ends, (ends[-1] if first else 0) + np.cumsum([len(x) for x in lists], dtype=np.int64))
         flat = np.append(flat, np.fromiter(chain.from_iterable(lists), np.int32))
@@ -436,36 +462,42 @@ def _put_together(sent, table: PieceTable):
         stops = ends[codes] if len(ends) else codes
         upto = np.append(0, np.cumsum(stops - begins))
         offsets = upto[np.append(0, np.cumsum(sizes))]
-        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat[_ranges(begins, stops)], pa.int32()))
+        values = flat[_ranges(begins, stops)]
+        same = [None] * len(packed)
+        if verify:
+            whole, at = _decoded(values, offsets, texts)
+            same = [d is None or xxhash.xxh3_64_intdigest(whole[a + 1 : b]) == d for d, a, b in zip(digests, at, at[1:], strict=False)]
+        return [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int32())), pa.array(same, pa.bool_())]
 
     def put(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        ids, cuts = _Ids(table), dict(zip(answers["word"].to_pylist(), answers["cuts"].to_pylist(), strict=True))
+        ids, cuts, texts = _Ids(table), dict(zip(answers["word"].to_pylist(), answers["cuts"].to_pylist(), strict=True)), table.texts()
         parts = []
         for i in range(0, docs.num_rows, 250):  # bounds the arrays of numbers
             some = docs.slice(i, 250)
-            parts.append(pa.Table.from_arrays([some["row"], ids_of(some["packed"].to_pylist(), cuts, ids)], ["row", "piece_ids"]))
-        return pa.concat_tables(parts) if parts else pa.Table.from_arrays([docs["row"], pa.array([], pa.list_(pa.int32()))], ["row", "piece_ids"])
+            parts.append(pa.Table.from_arrays([some["row"], *ids_of(some["packed"].to_pylist(), cuts, ids, texts)], ["row", "piece_ids", "same"]))
+        return pa.concat_tables(parts) if parts else pa.Table.from_arrays([docs["row"], pa.array([], pa.list_(pa.int32())), pa.array([], pa.bool_())], ["row", "piece_ids", "same"])
 
     return put
 
 
+def _decoded(ids: np.ndarray, ends: np.ndarray, texts: pa.Array) -> tuple[memoryview, list[int]]:
+    """The bytes of all ids, one after the other, and where in them the lists end that end at `ends`. The last of `texts`,
+    which is empty, stands for ids that the table lacks."""
+    last = len(texts) - 1
+    taken = texts.take(pa.array(np.where((ids < 0) | (ids >= last), last, ids)))
+    upto = np.frombuffer(taken.buffers()[1], np.int64)[: len(ids) + 1] if len(ids) else np.zeros(1, np.int64)
+    return memoryview(taken.buffers()[2] if upto[-1] else b""), upto[ends].tolist()
+
+
 def with_texts(encoded: DataFrame, table: PieceTable, ids: str = "piece_ids", name: str = "text") -> DataFrame:
     """All rows of `encoded` with the decoded text; ids that the table lacks are left out."""
-    spark: SparkSession = encoded.sparkSession
-    texts = {i: p.replace(SPACE, " ").encode() for p, i, _ in table.pieces} | {i: bytes([b]) for b, i in enumerate(table.bytes)}
-    sent = spark.sparkContext.broadcast([texts.get(i, b"") for i in range(max(texts) + 1)])
 
     @F.arrow_udf("string")
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        pieces = pa.array([*sent.value, b""], pa.large_binary())  # the last for ids that the table lacks
+        texts = table.texts()
         for batch in batches:
-            sizes = np.array([0 if n is None else n for n in batch.value_lengths().to_pylist()], np.int64)
-            at = batch.flatten().fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
-            at = np.where((at < 0) | (at >= len(pieces) - 1), len(pieces) - 1, at)
-            taken = pieces.take(pa.array(at))
-            upto = np.frombuffer(taken.buffers()[1], np.int64)[: len(at) + 1] if len(at) else np.zeros(1, np.int64)
-            whole = taken.buffers()[2].to_pybytes()[: upto[-1]] if len(at) and taken.buffers()[2] is not None else b""
-            ends = upto[np.append(0, np.cumsum(sizes))].tolist()
-            yield pa.array([whole[a:b].decode("utf-8", "replace")[1:] for a, b in zip(ends, ends[1:], strict=False)], pa.string())
+            ends = np.append(0, np.cumsum([n or 0 for n in batch.value_lengths().to_pylist()], dtype=np.int64))
+            whole, at = _decoded(batch.flatten().fill_null(-1).to_numpy(zero_copy_only=False), ends, texts)
+            yield pa.array([str(whole[a:b], "utf-8", "replace")[1:] for a, b in zip(at, at[1:], strict=False)], pa.string())
 
     return encoded.withColumn(name, decode(F.col(ids)))

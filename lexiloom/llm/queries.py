@@ -98,10 +98,9 @@ def op8_token_counts(spark: SparkSession, folder: str, tokenizers: str = TOKENIZ
 def op9_pieces(spark: SparkSession, folder: str, tokenizers: str = TOKENIZERS) -> DataFrame:
     """Piece ids of every document, and whether they decode to its text."""
     for_long_rows(spark)
-    docs = read_table(spark, folder, "documents").select("doc_id", "text").withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
-    table = pieces.load_table(f"{tokenizers}/piece_bpe_32k.model")
-    decoded = pieces.with_texts(pieces.encode(docs, table), table, name="decoded")
-    return decoded.select("doc_id", F.size("piece_ids").alias("n_pieces"), "piece_ids", (F.xxhash64("decoded") == F.col("text_hash")).alias("round_trip"))
+    docs = read_table(spark, folder, "documents").select("doc_id", "text")
+    encoded = pieces.encode(docs, pieces.load_table(f"{tokenizers}/piece_bpe_32k.model"), verified="round_trip")
+    return encoded.select("doc_id", F.size("piece_ids").alias("n_pieces"), "piece_ids", "round_trip")
 
 
 URL_RULES = [
