@@ -1,18 +1,25 @@
 """Quality rules with adaptive thresholds (operator 3).
 
-Each document gets integer signals. For each (language, source) the distribution of each signal goes into a mergeable
-quantile sketch: counts per fixed-resolution bin, so that sketches of partitions, sources or days merge by adding
-counts, in any order, to the same result, and a sketch has `BINS` + 1 entries at most however many documents it covers.
-The thresholds are fences around the quartiles of a sketch. So that junk in a quarter or more of a source can't open its
-fence, the spread of a share comes to no more than that of the median source, each source counting once (with fewer than
-three sources to compare: than twice the lower half of the source's own). This holds while less than three quarters (or,
-of fewer sources, half) of a source are junk, and most sources aren't dirty. A source with few documents uses the merged sketch of its
-language, and a language with few documents the merged sketch of all. Documents are then joined with their thresholds.
-
-Defined results: a null text has no words. Null language or source is a group of its own. Empty tables give empty
-results. Repeated rows are judged (and counted) one by one. Columns of the input pass through, whatever their names,
-unless they are called as one of the added columns: the added one then replaces it (keep_good returns all columns as
-they were).
+Each document gets integer signals, and from them metrics: shares in thousandths, and the mean length of words in tenths
+of a character. For each (language, source) the distribution of each metric goes into a mergeable quantile sketch: counts
+per bin, so that sketches of partitions, sources or days merge by adding counts, in any order, to the same result. Bins
+are single values up to 127 and then as wide as a 64th of their value, so ranks are exact, values are too large by
+nothing and too small by less than a 64th, nothing is clipped, and a sketch has at most 64 bins for each doubling.
+
+A threshold is read from the sketch's tail: a share may be up to `reach` times its spread above the value that `level`
+per cent of the documents don't exceed, where the spread is from the lower quartile to that value. The spread is at least
+one bin, and, so that junk in a quarter or more of a source can't open its threshold, at most twice that of the median
+source, each source counting once (with fewer than three sources to compare: twice the lower half of the source's own).
+This holds while less than three quarters (or, of fewer sources, half) of a source are junk, and most sources aren't dirty.
+The length of words has two thresholds, `reach` interquartile ranges outside the quartiles. Thresholds of small groups
+are drawn towards those of their language's merged sketch, and these towards those of all, as if a group had PRIOR
+documents of the coarser kind besides its own. Only documents that pass the base rules are sketched. Documents are then
+joined with their thresholds.
+
+Defined results: a null text has no words. Null language or source is a group of its own. A value that equals a threshold
+passes. Empty tables give empty results. Repeated rows are judged (and counted) one by one. Columns of the input pass
+through, whatever their names, unless they are called as one of the added columns: the added one then replaces it
+(keep_good returns all columns as they were).
 """
 
 from __future__ import annotations
@@ -26,26 +33,27 @@ from pyspark.sql import functions as F
 
 from lexiloom.llm.scratch import materialize
 
-BINS = 1000
+PRIOR = 300
 SIGNALS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 SYMBOLS = "#*$%&|<>"
 
 
 @dataclass(frozen=True)
 class Rule:
-    """Rejects documents whose metric is beyond `spread` interquartile ranges and `guard` bins outside the quartiles."""
+    """Rejects documents whose metric is more than `reach` spreads beyond the quantile `level`, in per cent; a two-sided
+    rule goes by the quartiles."""
 
     metric: str
-    spread: int
-    guard: int
+    level: int
+    reach: int
     two_sided: bool = False
 
 
 RULES = (
-    Rule("symbol_share", 4, 20),
-    Rule("dup_line_share", 4, 400),
-    Rule("repeat_share", 4, 400),
-    Rule("word_length", 4, 15, two_sided=True),
+    Rule("symbol_share", 90, 4),
+    Rule("dup_line_share", 98, 1),
+    Rule("repeat_share", 95, 6),
+    Rule("word_length", 75, 4, two_sided=True),
 )
 
 
@@ -83,24 +91,29 @@ def _signals() -> Column:
 
 
 def with_signals(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds SIGNALS, metrics in bins 0..BINS, and base_failed."""
+    """Adds SIGNALS, metrics, and base_failed."""
     out = docs.withColumn("__lx_s", _signals()(F.col(text)))
     out = out.withColumns({k: F.col("__lx_s")[k] for k in SIGNALS}).drop("__lx_s")
-    share = lambda part, whole: F.expr(f"least({BINS}L, {BINS} * {part} div greatest(1L, {whole}))")
+    share = lambda part, whole: F.expr(f"1000 * {part} div greatest(1L, {whole})")
     return out.withColumns(
         {
             "symbol_share": share("n_symbols", "word_chars"),
             "dup_line_share": share("n_dup_lines", "n_lines"),
             "repeat_share": share("n_repeat_words", "n_words"),
-            "word_length": F.expr(f"least({BINS}L, 10 * word_chars div greatest(1L, n_words))"),
+            "word_length": F.expr("10 * word_chars div greatest(1L, n_words)"),
             "base_failed": F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words"),
         }
     )
 
 
+def bin_of(value: str) -> Column:
+    """The bin of a value that isn't negative: its leading seven binary digits count."""
+    return F.expr(f"shiftleft(shiftright({value}, greatest(0, length(bin({value})) - 7)), greatest(0, length(bin({value})) - 7))")
+
+
 def sketches(signals: DataFrame, keys: Iterable[str]) -> DataFrame:
     """Mergeable sketches: (keys, metric, bin, n). Adding `n` of two results merges them."""
-    pairs = F.explode(F.array(*(F.struct(F.lit(r.metric).alias("metric"), F.col(r.metric).alias("bin")) for r in RULES)))
+    pairs = F.explode(F.array(*(F.struct(F.lit(r.metric).alias("metric"), bin_of(r.metric).alias("bin")) for r in RULES)))
     return signals.select(*keys, pairs.alias("__lx_m")).groupBy(*keys, "__lx_m.metric", "__lx_m.bin").agg(F.count("*").alias("n"))
 
 
@@ -109,38 +122,48 @@ def merged(sketch: DataFrame, keys: Iterable[str]) -> DataFrame:
     return sketch.groupBy(*keys, "metric", "bin").agg(F.sum("n").alias("n"))
 
 
-def quartiles(sketch: DataFrame, keys: Iterable[str]) -> DataFrame:
-    """(keys, metric, total, q25, q50, q75): the lowest bin at which the share of rows reaches the quantile."""
+def quantiles(sketch: DataFrame, keys: Iterable[str]) -> DataFrame:
+    """(keys, metric, total, q25, q50, q75, qp): the lowest bin at which the share of rows reaches the quantile; qp is
+    that of the rule's level."""
     w = Window.partitionBy(*keys, "metric")
     upto = sketch.select("*", F.sum("n").over(w.orderBy("bin")).alias("__lx_c"), F.sum("n").over(w).alias("total"))
-    at = lambda share: F.min(F.when(F.col("__lx_c") * 4 >= F.col("total") * share, F.col("bin")))
-    return upto.groupBy(*keys, "metric").agg(F.max("total").alias("total"), at(1).alias("q25"), at(2).alias("q50"), at(3).alias("q75"))
+    at = lambda level: F.min(F.when(F.col("__lx_c") * 100 >= F.col("total") * level, F.col("bin")))
+    return upto.groupBy(*keys, "metric").agg(F.max("total").alias("total"), at(25).alias("q25"), at(50).alias("q50"), at(75).alias("q75"), at(_by_rule("level")).alias("qp"))
 
 
-def thresholds(sketch: DataFrame, lang: str = "lang", source: str = "source", least_docs: int = 50) -> DataFrame:
-    """One row for each (lang, source): lo_ and hi_ of each metric.
+def _by_rule(field: str) -> Column:
+    out = F.lit(None)
+    for r in RULES:
+        out = F.when(F.col("metric") == r.metric, F.lit(getattr(r, field))).otherwise(out)
+    return out
 
-    Groups under `least_docs` documents take the quartiles of the language, and those under it of all documents.
-    """
-    fine, by_lang, by_all = quartiles(sketch, [lang, source]), quartiles(merged(sketch, [lang]), [lang]), quartiles(merged(sketch, []), [])
+
+def fences(found: DataFrame, peers: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, metric, total, lo, hi) from quantiles; `peers` has each metric's median spread of sources."""
+    both = found.join(peers, F.col("metric") == F.col("p_metric"), "left")
+    reach = _by_rule("reach")
+    most = F.when(F.col("peers") >= 3, 2 * F.col("usual")).otherwise(2 * (F.col("q50") - F.col("q25")))
+    spread = F.greatest(F.lit(1).cast("long"), F.least(F.col("qp") - F.col("q25"), most))
+    range_ = F.greatest(F.lit(1).cast("long"), F.col("q75") - F.col("q25"))
+    lo = F.when(_by_rule("two_sided"), F.greatest(F.lit(0).cast("long"), F.col("q25") - reach * range_)).otherwise(F.lit(0).cast("long"))
+    hi = F.when(_by_rule("two_sided"), F.col("q75") + reach * range_).otherwise(F.col("q25") + (1 + reach) * spread)
+    return both.select(*keys, "metric", "total", lo.alias("lo"), hi.alias("hi"))
+
+
+def thresholds(sketch: DataFrame, lang: str = "lang", source: str = "source", least_docs: int = 50) -> DataFrame:
+    """One row for each (lang, source): lo_ and hi_ of each metric. Sources of `least_docs` documents are peers."""
+    fine = quantiles(sketch, [lang, source])
+    peers = fine.filter(F.col("total") >= least_docs).groupBy(F.col("metric").alias("p_metric"))
+    peers = peers.agg(F.count("*").alias("peers"), F.expr("percentile_disc(0.5) within group (order by qp - q25)").cast("long").alias("usual"))
+    own = fences(fine, peers, [lang, source])
     renamed = lambda df, p: df.select(*(F.col(c).alias(f"{p}{c}") for c in df.columns))
-    both = fine.join(renamed(by_lang, "l_"), F.expr(f"`{lang}` <=> `l_{lang}` and metric = l_metric"), "left")
-    both = both.join(renamed(by_all, "a_"), F.expr("metric = a_metric"), "left")
-    enough = lambda q: F.when(F.col("total") >= least_docs, F.col(q)).when(F.col("l_total") >= least_docs, F.col(f"l_{q}")).otherwise(F.col(f"a_{q}"))
-    large = fine.filter(F.col("total") >= least_docs).groupBy(F.col("metric").alias("p_metric"))
-    peers = large.agg(F.count("*").alias("peers"), F.expr("percentile_disc(0.5) within group (order by q75 - q25)").cast("long").alias("usual"))
-    both = both.join(peers, F.expr("metric = p_metric"), "left")
-    both = both.select(lang, source, "metric", *(enough(q).alias(q) for q in ("q25", "q50", "q75")), "peers", "usual")
-    usual = F.when(F.col("peers") >= 3, F.col("usual")).otherwise(2 * (F.col("q50") - F.col("q25")))
-    one_sided = F.col("metric").isin([r.metric for r in RULES if not r.two_sided])
-    both = both.withColumn("q75", F.when(one_sided, F.least("q75", F.col("q25") + usual)).otherwise(F.col("q75")))
-    fences = []
-    for r in RULES:
-        of = lambda c, m=r.metric: F.max(F.when(F.col("metric") == m, F.col(c)))
-        iqr = of("q75") - of("q25")
-        fences.append((of("q75") + r.spread * iqr + r.guard).alias(f"hi_{r.metric}"))
-        fences.append(((of("q25") - r.spread * iqr - r.guard) if r.two_sided else F.lit(-1).cast("long")).alias(f"lo_{r.metric}"))
-    return both.groupBy(lang, source).agg(*fences)
+    of_lang, of_all = renamed(fences(quantiles(merged(sketch, [lang]), [lang]), peers, [lang]), "l_"), renamed(fences(quantiles(merged(sketch, []), []), peers, []), "a_")
+    both = own.join(of_lang, F.expr(f"`{lang}` <=> `l_{lang}` and metric = l_metric"), "left").join(of_all, F.expr("metric = a_metric"), "left")
+    for c in ("lo", "hi"):
+        coarse = f"((l_total * l_{c} + {PRIOR} * a_{c}) div (l_total + {PRIOR}))"
+        both = both.withColumn(f"used_{c}", F.expr(f"(total * {c} + {PRIOR} * {coarse}) div (total + {PRIOR})"))
+    of = lambda c, m: F.max(F.when(F.col("metric") == m, F.col(f"used_{c}"))).alias(f"{c}_{m}")
+    return both.groupBy(lang, source).agg(*(of(c, r.metric) for r in RULES for c in ("hi", "lo")))
 
 
 def within_fences() -> Column:
@@ -157,7 +180,8 @@ def judge_signals(signals: DataFrame, lang: str = "lang", source: str = "source"
     source, are written too, so that the join is a broadcast one only if their size allows it.
     """
     judged = materialize(signals, "quality-signals")
-    limits = materialize(thresholds(sketches(judged, [lang, source]), lang, source, least_docs), "quality-thresholds", 1)
+    sketch = materialize(sketches(judged.filter("not base_failed"), [lang, source]), "quality-sketch", 8)
+    limits = materialize(thresholds(sketch, lang, source, least_docs), "quality-thresholds", 1)
     limits = limits.withColumnsRenamed({lang: "__lx_lang", source: "__lx_source"})
     out = judged.join(limits, F.col(lang).eqNullSafe(F.col("__lx_lang")) & F.col(source).eqNullSafe(F.col("__lx_source")), "left")
     names = [c for c in judged.columns if c != "kept"]

@@ -151,31 +151,47 @@ s AS (
   FROM base LEFT JOIN ncov USING (doc_id)),
 m AS (
   SELECT *, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
-    {'symbol': least(1000, 1000 * n_symbols // greatest(1, word_chars)), 'dup': least(1000, 1000 * n_dup_lines // greatest(1, n_lines)),
-     'repeat': least(1000, 1000 * n_repeat_words // greatest(1, n_words)), 'len': least(1000, 10 * word_chars // greatest(1, n_words))} AS v
+    {'symbol': 1000 * n_symbols // greatest(1, word_chars), 'dup': 1000 * n_dup_lines // greatest(1, n_lines),
+     'repeat': 1000 * n_repeat_words // greatest(1, n_words), 'len': 10 * word_chars // greatest(1, n_words)} AS v
   FROM s),
 long AS (
-  SELECT lang, source, unnest([('symbol', v.symbol), ('dup', v.dup), ('repeat', v."repeat"), ('len', v.len)]) AS t FROM m),
+  SELECT lang, source, unnest([('symbol', v.symbol), ('dup', v.dup), ('repeat', v."repeat"), ('len', v.len)]) AS t FROM m WHERE NOT base_failed),
+binned AS (
+  SELECT lang, source, t[1] AS metric, (t[2] >> greatest(0, length(bin(t[2])) - 7)) << greatest(0, length(bin(t[2])) - 7) AS bin FROM long),
+rules(metric, level, reach) AS (VALUES ('symbol', 90, 4), ('dup', 98, 1), ('repeat', 95, 6), ('len', 75, 4)),
+hist AS (
+  SELECT 'source' AS kind, lang, source, metric, bin, count(*) AS n FROM binned GROUP BY ALL
+  UNION ALL SELECT 'lang', lang, NULL, metric, bin, count(*) FROM binned GROUP BY ALL
+  UNION ALL SELECT 'all', NULL, NULL, metric, bin, count(*) FROM binned GROUP BY ALL),
+cum AS (
+  SELECT *, sum(n) OVER (PARTITION BY kind, lang, source, metric ORDER BY bin) AS c, sum(n) OVER (PARTITION BY kind, lang, source, metric) AS total FROM hist),
 q AS (
-  SELECT lang, source, t[1] AS metric, count(*) AS total, quantile_disc(t[2], 0.25) AS q25, quantile_disc(t[2], 0.75) AS q75 FROM long GROUP BY ALL),
-ql AS (SELECT lang, t[1] AS metric, count(*) AS total, quantile_disc(t[2], 0.25) AS q25, quantile_disc(t[2], 0.75) AS q75 FROM long GROUP BY ALL),
-qa AS (SELECT t[1] AS metric, quantile_disc(t[2], 0.25) AS q25, quantile_disc(t[2], 0.75) AS q75 FROM long GROUP BY ALL),
-used AS (
-  SELECT q.lang, q.source, q.metric,
-    CASE WHEN q.total >= 50 THEN q.q25 WHEN ql.total >= 50 THEN ql.q25 ELSE qa.q25 END AS q25,
-    CASE WHEN q.total >= 50 THEN q.q75 WHEN ql.total >= 50 THEN ql.q75 ELSE qa.q75 END AS q75
-  FROM q JOIN ql ON q.lang IS NOT DISTINCT FROM ql.lang AND q.metric = ql.metric JOIN qa ON q.metric = qa.metric),
+  SELECT kind, lang, source, metric, max(total)::BIGINT AS total, max(level) AS level, max(reach) AS reach,
+    min(CASE WHEN 100 * c >= 25 * total THEN bin END) AS q25, min(CASE WHEN 100 * c >= 50 * total THEN bin END) AS q50,
+    min(CASE WHEN 100 * c >= 75 * total THEN bin END) AS q75, min(CASE WHEN 100 * c >= level * total THEN bin END) AS qp
+  FROM cum JOIN rules USING (metric) GROUP BY ALL),
+peers AS (
+  SELECT metric, count(*) AS peers, quantile_disc(qp - q25, 0.5) AS usual FROM q WHERE kind = 'source' AND total >= 50 GROUP BY metric),
+spread AS (
+  SELECT q.*, greatest(1, least(qp - q25, CASE WHEN peers >= 3 THEN 2 * usual ELSE 2 * (q50 - q25) END)) AS s, greatest(1, q75 - q25) AS r
+  FROM q LEFT JOIN peers USING (metric)),
 fence AS (
-  SELECT lang, source,
-    max(CASE WHEN metric = 'symbol' THEN q75 + 4 * (q75 - q25) + 20 END) AS hi_symbol,
-    max(CASE WHEN metric = 'dup' THEN q75 + 4 * (q75 - q25) + 400 END) AS hi_dup,
-    max(CASE WHEN metric = 'repeat' THEN q75 + 4 * (q75 - q25) + 400 END) AS hi_repeat,
-    max(CASE WHEN metric = 'len' THEN q75 + 4 * (q75 - q25) + 15 END) AS hi_len,
-    max(CASE WHEN metric = 'len' THEN q25 - 4 * (q75 - q25) - 15 END) AS lo_len
+  SELECT kind, lang, source, metric, total, CASE WHEN metric = 'len' THEN greatest(0, q25 - reach * r) ELSE 0 END AS lo,
+    CASE WHEN metric = 'len' THEN q75 + reach * r ELSE q25 + (1 + reach) * s END AS hi
+  FROM spread),
+coarse AS (
+  SELECT l.lang, l.metric, (l.total * l.lo + 300 * a.lo) // (l.total + 300) AS lo, (l.total * l.hi + 300 * a.hi) // (l.total + 300) AS hi
+  FROM fence l JOIN fence a ON l.kind = 'lang' AND a.kind = 'all' AND l.metric = a.metric),
+used AS (
+  SELECT f.lang, f.source, f.metric, (f.total * f.lo + 300 * c.lo) // (f.total + 300) AS lo, (f.total * f.hi + 300 * c.hi) // (f.total + 300) AS hi
+  FROM fence f JOIN coarse c ON f.kind = 'source' AND f.lang IS NOT DISTINCT FROM c.lang AND f.metric = c.metric),
+limits AS (
+  SELECT lang, source, max(CASE WHEN metric = 'symbol' THEN hi END) AS hi_symbol, max(CASE WHEN metric = 'dup' THEN hi END) AS hi_dup,
+    max(CASE WHEN metric = 'repeat' THEN hi END) AS hi_repeat, max(CASE WHEN metric = 'len' THEN hi END) AS hi_len, max(CASE WHEN metric = 'len' THEN lo END) AS lo_len
   FROM used GROUP BY ALL)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   (NOT base_failed AND v.symbol <= hi_symbol AND v.dup <= hi_dup AND v."repeat" <= hi_repeat AND v.len <= hi_len AND v.len >= lo_len) AS kept
-FROM m JOIN fence ON m.lang IS NOT DISTINCT FROM fence.lang AND m.source IS NOT DISTINCT FROM fence.source
+FROM m LEFT JOIN limits ON m.lang IS NOT DISTINCT FROM limits.lang AND m.source IS NOT DISTINCT FROM limits.source
 """
 
 OP6_SQL = r"""
