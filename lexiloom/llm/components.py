@@ -24,17 +24,17 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
 
 
-def components(edges: DataFrame, parts: int = 16) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component) of all nodes that have an edge in `edges` (a, b); a component is named by its smallest node.
 
-    Loops and repeated edges don't matter; an empty table gives an empty result. Each round is written, and the number of
-    rounds grows with the logarithm of the longest chain.
+    Loops and repeated edges don't matter; an empty table gives an empty result. Each round is written, in as many tasks as
+    adaptive execution finds for its size, and the number of rounds grows with the logarithm of the longest chain.
     """
-    now = materialize(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges", parts)
+    now = materialize(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     before = None
     while before != (state := _state(now)):
         before = state
-        new = materialize(_small_star(_large_star(now)), "edges", parts)
+        new = materialize(_small_star(_large_star(now)), "edges")
         remove(now)
         now = new
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select("v", "v").distinct())

@@ -97,8 +97,8 @@ def mark_duplicates(stream: DataFrame, docs: DataFrame, state_dir: str, doc_id:
     state = materialize(state.select(F.col("digest").alias("__lx_digest"), "keep", "group_size"), "dedup-state")
     rows = docs.withColumn("__lx_norm", normalized(F.col(text))).withColumn("__lx_digest", digest(F.col("__lx_norm"))).withColumn("text_sha256", sha256(F.col("__lx_norm")))
 
-    shared = broadcast_if_small(state.filter("group_size > 1"), 400_000)
-    held = materialize(rows.select(F.col(doc_id).alias("__lx_id"), "__lx_norm", "__lx_digest").join(shared.select("__lx_digest", F.col("keep.id").alias("__lx_keep")), "__lx_digest"), "dedup-held")
+    shared = broadcast_if_small(state.filter("group_size > 1").select("__lx_digest", F.col("keep.id").alias("__lx_keep")))
+    held = materialize(rows.select(F.col(doc_id).alias("__lx_id"), "__lx_norm", "__lx_digest").join(shared, "__lx_digest"), "dedup-held")
     stays = F.col("__lx_id").eqNullSafe(F.col("__lx_keep"))
     kept_text = held.filter(stays).groupBy("__lx_digest").agg(F.min("__lx_norm").alias("__lx_kept"))
     hits = held.filter(~stays).select("__lx_id", "__lx_norm", "__lx_digest").join(kept_text, "__lx_digest")
@@ -139,7 +139,7 @@ def drop_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     written = spark.read.schema(docs.schema).parquet(folder)
     marked = mark_duplicates(stream, written.select(F.col(doc_id), F.col(text)), new_folder(spark, "dedup-state"), doc_id, text)
     light = materialize(marked.select(F.col(doc_id).alias("__lx_id"), "kept", F.col("text_sha256").alias("__lx_sha")), "dedup-marks")
-    gone = broadcast_if_small(light.filter("not kept").select("__lx_id", "__lx_sha").distinct(), 400_000)
+    gone = broadcast_if_small(light.filter("not kept").select("__lx_id", "__lx_sha").distinct())
     same = F.col(doc_id).eqNullSafe(F.col("__lx_id")) & (F.col("__lx_own") == F.col("__lx_sha"))
     out = written.withColumn("__lx_own", sha256(normalized(F.col(text)))).join(gone, same, "left_anti")
     repeated = materialize(light.filter("kept").groupBy("__lx_id", "__lx_sha").count().filter("count > 1"), "dedup-repeats")

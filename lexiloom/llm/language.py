@@ -2,8 +2,10 @@
 
 Training counts hashed letter trigrams of each language over all training documents. For a document, expectation
 maximisation estimates the proportions of languages that explain its trigrams best. The languages it is said to hold are
-selected by penalised likelihood: starting with the best single language, the set grows by the next largest proportion
-as long as the likelihood gains more than half the logarithm of the number of trigrams for each further language.
+selected by penalised likelihood: starting with the best single language, the set grows by the next largest proportion,
+however small, as long as the likelihood gains more than half the logarithm of the number of trigrams for each further
+language. The score is the predicted language's proportion among all languages, before any is left out, so that short and
+ambiguous texts score lower than long and plain ones.
 
 The model has 2**DIM_BITS entries a language, whatever the corpus; `max_languages` bounds what is broadcast (more raise).
 
@@ -85,8 +87,8 @@ def _mixture(p: np.ndarray, n: np.ndarray, total: float) -> tuple[np.ndarray, fl
     return mix, float(n @ np.log(p @ mix))
 
 
-def proportions(grams: np.ndarray, logs: np.ndarray) -> np.ndarray:
-    """Share of each language in a text with these trigrams; zero for languages that aren't selected."""
+def proportions(grams: np.ndarray, logs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Share of each language in a text with these trigrams, zero for languages that aren't selected; and of all."""
     at, n = np.unique(grams, return_counts=True)
     log_p = logs[at]
     single = n @ log_p
@@ -96,9 +98,9 @@ def proportions(grams: np.ndarray, logs: np.ndarray) -> np.ndarray:
     out = np.zeros(logs.shape[1])
     out[best], reached = 1.0, float(single[best])
     if logs.shape[1] == 1:
-        return out
+        return out, out
     mix, _ = _mixture(p, n, total)
-    order = [best, *(k for k in np.argsort(-mix, kind="stable") if k != best and mix[k] > 0.02)]
+    order = [best, *(k for k in np.argsort(-mix, kind="stable") if k != best)]
     for size in range(2, len(order) + 1):
         part, likelihood = _mixture(p[:, order[:size]], n, total)
         if likelihood - reached <= 0.5 * np.log(total):
@@ -106,11 +108,11 @@ def proportions(grams: np.ndarray, logs: np.ndarray) -> np.ndarray:
         reached = likelihood
         out[:] = 0
         out[order[:size]] = part / part.sum()
-    return out
+    return out, mix / mix.sum()
 
 
 def with_languages(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "text", name: str = "languages") -> DataFrame:
-    """All rows of `docs` with a struct of lang_pred, score (its share) and the selected languages' shares."""
+    """All rows of `docs` with a struct of lang_pred, score (see above) and the selected languages' shares."""
     sent = docs.sparkSession.sparkContext.broadcast((model[0], model[1].astype(np.float32)))
 
     @F.pandas_udf("struct<lang_pred:string,score:double,shares:map<string,double>>")
@@ -123,8 +125,9 @@ def with_languages(docs: DataFrame, model: tuple[list[str], np.ndarray], text: s
                 if not len(grams) or not names:
                     rows.append(("und", 0.0, {}))
                     continue
-                mix = proportions(grams, logs)
-                rows.append((names[int(mix.argmax())], float(min(1.0, mix.max())), {names[k]: float(mix[k]) for k in np.flatnonzero(mix)}))
+                mix, every = proportions(grams, logs)
+                k = int(mix.argmax())
+                rows.append((names[k], float(min(1.0, every[k])), {names[k]: float(mix[k]) for k in np.flatnonzero(mix)}))
             yield pd.DataFrame(rows, columns=["lang_pred", "score", "shares"])
 
     return docs.withColumn(name, predict(F.col(text)))

@@ -8,7 +8,8 @@ least once, so that nothing is lost: the source with the most tokens for its wei
 The weights are realised as budgeted block permutations. A pass over a source takes its documents in the order of a hash
 of seed, pass and identifier. The documents of all passes are laid end to end until the source's budget is met, and cut
 into blocks: block b of the mixture has, of each source, what lies in the b-th equal part of the source's budget, so each
-block has the target weights. Offsets come from token sums of hash buckets, so no source is sorted in one task.
+block has the target weights. Offsets come from token sums of hash buckets, in two steps (BUCKET_GROUP buckets make a group), so no source is sorted or
+summed up in one task.
 
 Defined results: a null or empty text has 0 tokens; documents without tokens come once, at their place. A null source is
 a source of its own. A source without any tokens has weight 0 and its documents come once, in block 0. Rows with one
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from lexiloom.llm.scratch import materialize
 
 STEPS = 40
-BUCKET_TOKENS = 1_000_000
+BUCKET_TOKENS, BUCKET_GROUP = 1_000_000, 1000
 
 
 def tokens_of(text: str) -> Column:
@@ -102,13 +103,20 @@ def mix(docs: DataFrame, entropy: float = 0.98, repeats: float = 1.5, block_toke
     light = sized.join(plan, F.col("s").eqNullSafe(F.col("__lx_s"))).withColumn("copy", F.explode(F.sequence(F.lit(0), F.ceil("passes").cast("int") - 1)))
     light = light.withColumn("__lx_bucket", F.pmod(F.xxhash64(F.lit(seed), F.col("copy"), F.col("id")), F.col("buckets")))
     sums = light.groupBy("s", "copy", "__lx_bucket").agg(F.sum("n").alias("sum"))
-    before = F.sum("sum").over(Window.partitionBy("s").orderBy("copy", "__lx_bucket").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = sums.select(F.col("s").alias("__lx_os"), F.col("copy").alias("__lx_oc"), F.col("__lx_bucket").alias("__lx_ob"), F.coalesce(before, F.lit(0)).alias("__lx_before"))
-    offsets = materialize(offsets, "mix-offsets", 1)
+    # offsets of buckets within their group of BUCKET_GROUP, then of the groups, so that no source is summed up in one task
+    sums = materialize(sums.withColumn("__lx_group", F.floor(F.col("__lx_bucket") / BUCKET_GROUP)), "mix-buckets")
+    upto = lambda c, *keys: F.coalesce(F.sum(c).over(Window.partitionBy(*keys[:-1]).orderBy(keys[-1]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    groups = sums.groupBy("s", F.col("copy").alias("g_copy"), F.col("__lx_group").alias("g_group")).agg(F.sum("sum").alias("g_sum"))
+    groups = groups.withColumn("g_place", F.struct("g_copy", "g_group")).select(F.col("s").alias("g_s"), "g_copy", "g_group", upto("g_sum", "s", "g_place").alias("g_before"))
+    inner = sums.withColumn("inner", upto("sum", "s", "copy", "__lx_group", "__lx_bucket"))
+    both = inner.join(groups, F.col("s").eqNullSafe(F.col("g_s")) & (F.col("copy") == F.col("g_copy")) & (F.col("__lx_group") == F.col("g_group")))
+    offsets = materialize(both.select(F.col("s").alias("__lx_os"), F.col("copy").alias("__lx_oc"), F.col("__lx_bucket").alias("__lx_ob"), (F.col("inner") + F.col("g_before")).alias("__lx_before")), "mix-offsets")
+    share = F.col("passes") * F.col("tokens")  # tokens of the source in the budget
+    offsets = offsets.withColumnRenamed("__lx_before", "__lx_first")
     rows = rows.join(offsets, F.col("__lx_s").eqNullSafe(F.col("__lx_os")) & (F.col("copy") == F.col("__lx_oc")) & (F.col("__lx_bucket") == F.col("__lx_ob")))
+    rows = rows.filter((F.col("copy") == 0) | (F.col("__lx_first") < share))  # buckets beyond the budget aren't exchanged
     within = F.sum("__lx_n").over(Window.partitionBy("__lx_s", "copy", "__lx_bucket").orderBy("place", "__lx_id").rowsBetween(Window.unboundedPreceding, -1))
-    rows = rows.withColumn("__lx_start", F.col("__lx_before") + F.coalesce(within, F.lit(0)))
-    share = F.col("passes") * F.col("tokens")  # tokens of the source in the budget
+    rows = rows.withColumn("__lx_start", F.col("__lx_first") + F.coalesce(within, F.lit(0)))
     rows = rows.filter((F.col("copy") == 0) | (F.col("__lx_start") < share))
     block = F.when(share > 0, F.least(F.lit(blocks - 1), F.floor(F.col("__lx_start") * blocks / share))).otherwise(F.lit(0)).cast("int")
     return rows.withColumn("block", block).select(*names, "weight", "copy", "block", "place")

@@ -271,6 +271,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of `docs` that are kept, with its columns; rows that repeat a kept identifier stay with it."""
-    gone = near_duplicates(docs, doc_id, text, width, percent).filter("not kept").select(F.col("doc_id").alias("__lx_gone"))
-    return docs.join(broadcast_if_small(materialize(gone, "near-gone"), 1_000_000), F.col(doc_id) == F.col("__lx_gone"), "left_anti")
+    """The rows of `docs` that are kept, with its columns; rows that repeat a kept identifier stay with it, so that each
+    group keeps a document even where one identifier stands on different texts."""
+    marked = near_duplicates(docs, doc_id, text, width, percent).groupBy("doc_id").agg(F.max("kept").alias("kept"))
+    gone = marked.filter("not kept and doc_id is not null").select(F.col("doc_id").alias("__lx_gone"))
+    return docs.join(broadcast_if_small(materialize(gone, "near-gone")), F.col(doc_id) == F.col("__lx_gone"), "left_anti")

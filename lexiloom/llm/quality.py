@@ -9,8 +9,9 @@ nothing and too small by less than a 64th, nothing is clipped, and a sketch has
 A threshold is read from the sketch's tail: a share may be up to `reach` times its spread above the value that `level`
 per cent of the documents don't exceed, where the spread is from the lower quartile to that value. The spread is at least
 one bin, and, so that junk in a quarter or more of a source can't open its threshold, at most twice that of the median
-source, each source counting once (with fewer than three sources to compare: twice the lower half of the source's own).
-This holds while less than three quarters (or, of fewer sources, half) of a source are junk, and most sources aren't dirty.
+source, each source counting once (with fewer than three sources of `least_docs` documents, the median language; with
+fewer than three of these, twice the lower half of the source's own). This holds while less than three quarters (in the
+last case, half) of a source are junk, and most sources aren't dirty.
 The length of words has two thresholds, `reach` interquartile ranges outside the quartiles. Thresholds of small groups
 are drawn towards those of their language's merged sketch, and these towards those of all, as if a group had PRIOR
 documents of the coarser kind besides its own. Only documents that pass the base rules are sketched. Documents are then
@@ -139,10 +140,10 @@ def _by_rule(field: str) -> Column:
 
 
 def fences(found: DataFrame, peers: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, metric, total, lo, hi) from quantiles; `peers` has each metric's median spread of sources."""
+    """(keys, metric, total, lo, hi) from quantiles; `peers` has each metric's median spreads of sources and languages."""
     both = found.join(peers, F.col("metric") == F.col("p_metric"), "left")
     reach = _by_rule("reach")
-    most = F.when(F.col("peers") >= 3, 2 * F.col("usual")).otherwise(2 * (F.col("q50") - F.col("q25")))
+    most = 2 * F.when(F.col("sources") >= 3, F.col("by_source")).when(F.col("langs") >= 3, F.col("by_lang")).otherwise(F.col("q50") - F.col("q25"))
     spread = F.greatest(F.lit(1).cast("long"), F.least(F.col("qp") - F.col("q25"), most))
     range_ = F.greatest(F.lit(1).cast("long"), F.col("q75") - F.col("q25"))
     lo = F.when(_by_rule("two_sided"), F.greatest(F.lit(0).cast("long"), F.col("q25") - reach * range_)).otherwise(F.lit(0).cast("long"))
@@ -151,13 +152,15 @@ def fences(found: DataFrame, peers: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def thresholds(sketch: DataFrame, lang: str = "lang", source: str = "source", least_docs: int = 50) -> DataFrame:
-    """One row for each (lang, source): lo_ and hi_ of each metric. Sources of `least_docs` documents are peers."""
-    fine = quantiles(sketch, [lang, source])
-    peers = fine.filter(F.col("total") >= least_docs).groupBy(F.col("metric").alias("p_metric"))
-    peers = peers.agg(F.count("*").alias("peers"), F.expr("percentile_disc(0.5) within group (order by qp - q25)").cast("long").alias("usual"))
+    """One row for each (lang, source): lo_ and hi_ of each metric. Groups of `least_docs` documents are peers."""
+    fine, by_lang = quantiles(sketch, [lang, source]), quantiles(merged(sketch, [lang]), [lang])
+    both = fine.select("metric", "total", F.expr("qp - q25").alias("spread"), F.lit(True).alias("fine")).union(by_lang.select("metric", "total", F.expr("qp - q25"), F.lit(False)))
+    median = lambda of: F.expr(f"percentile_disc(0.5) within group (order by spread) filter (where {of})").cast("long")
+    peers = both.filter(F.col("total") >= least_docs).groupBy(F.col("metric").alias("p_metric"))
+    peers = peers.agg(F.count_if("fine").alias("sources"), median("fine").alias("by_source"), F.count_if(~F.col("fine")).alias("langs"), median("not fine").alias("by_lang"))
     own = fences(fine, peers, [lang, source])
     renamed = lambda df, p: df.select(*(F.col(c).alias(f"{p}{c}") for c in df.columns))
-    of_lang, of_all = renamed(fences(quantiles(merged(sketch, [lang]), [lang]), peers, [lang]), "l_"), renamed(fences(quantiles(merged(sketch, []), []), peers, []), "a_")
+    of_lang, of_all = renamed(fences(by_lang, peers, [lang]), "l_"), renamed(fences(quantiles(merged(sketch, []), []), peers, []), "a_")
     both = own.join(of_lang, F.expr(f"`{lang}` <=> `l_{lang}` and metric = l_metric"), "left").join(of_all, F.expr("metric = a_metric"), "left")
     for c in ("lo", "hi"):
         coarse = f"((l_total * l_{c} + {PRIOR} * a_{c}) div (l_total + {PRIOR}))"

@@ -87,7 +87,7 @@ def op8_token_counts(spark: SparkSession, folder: str, tokenizers: str = TOKENIZ
     store = token_counts.Rollup(spark, new_folder(spark, "op8-rollup"))
     store.commit(1, docs, tokenizer)
     store.commit(1, docs, tokenizer)  # a batch that comes again changes nothing
-    revised = docs.withColumn("text", F.regexp_replace("text", r"[#*$%&|<>]+", "")).filter(docs["text"].rlike(r"[#*$%&|<>]"))
+    revised = docs.withColumn("text", F.regexp_replace("text", r"[#*$%&|<>]+", "")).filter(docs["text"].rlike(r"[#*$%&|<>]") & F.col("doc_id").isNotNull())
     texts = docs.groupBy(F.sha2(F.coalesce("text", F.lit("")), 256).alias("h"))
     first = texts.agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).filter("n > 1")
     copies = docs.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("h")).join(first, "h").filter("doc_id <> first").select("doc_id")
@@ -171,9 +171,11 @@ q AS (
     min(CASE WHEN 100 * c >= 75 * total THEN bin END) AS q75, min(CASE WHEN 100 * c >= level * total THEN bin END) AS qp
   FROM cum JOIN rules USING (metric) GROUP BY ALL),
 peers AS (
-  SELECT metric, count(*) AS peers, quantile_disc(qp - q25, 0.5) AS usual FROM q WHERE kind = 'source' AND total >= 50 GROUP BY metric),
+  SELECT metric, count(*) FILTER (kind = 'source') AS sources, quantile_disc(qp - q25, 0.5) FILTER (kind = 'source') AS by_source,
+    count(*) FILTER (kind = 'lang') AS langs, quantile_disc(qp - q25, 0.5) FILTER (kind = 'lang') AS by_lang
+  FROM q WHERE kind <> 'all' AND total >= 50 GROUP BY metric),
 spread AS (
-  SELECT q.*, greatest(1, least(qp - q25, CASE WHEN peers >= 3 THEN 2 * usual ELSE 2 * (q50 - q25) END)) AS s, greatest(1, q75 - q25) AS r
+  SELECT q.*, greatest(1, least(qp - q25, 2 * CASE WHEN sources >= 3 THEN by_source WHEN langs >= 3 THEN by_lang ELSE q50 - q25 END)) AS s, greatest(1, q75 - q25) AS r
   FROM q LEFT JOIN peers USING (metric)),
 fence AS (
   SELECT kind, lang, source, metric, total, CASE WHEN metric = 'len' THEN greatest(0, q25 - reach * r) ELSE 0 END AS lo,

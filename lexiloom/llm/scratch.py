@@ -1,7 +1,7 @@
 """Written intermediate results in the folder that all executors share.
 
-The folder is the session's ``spark.checkpoint.dir``. Only where that is unset (tests on one machine) a temporary
-folder of this process is used. A written table cuts lineage, survives a lost executor, and has a known size, so that
+The folder is the session's ``spark.checkpoint.dir``. Only where that is unset and the master is local (tests on one
+machine) a temporary folder of this process is used; on a cluster an unset folder is an error. A written table cuts lineage, survives a lost executor, and has a known size, so that
 Catalyst decides by size whether a join on it is broadcast.
 """
 
@@ -21,6 +21,8 @@ def shared_root(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _local_roots:
         _local_roots[app] = tempfile.mkdtemp(prefix="spark-lexiloom-")
@@ -50,9 +52,12 @@ def remove(df: DataFrame) -> None:
         target.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
-    """`df` with a broadcast hint if it has `rows` rows at most, else as it is; for narrow tables, it counts them."""
-    return F.broadcast(df) if df.count() <= rows else df
+def broadcast_if_small(df: DataFrame, most_bytes: int = 32 << 20) -> DataFrame:
+    """`df` with a broadcast hint if its rows take `most_bytes` at most, else as it is; it sums their lengths."""
+    long = [F.coalesce(F.octet_length(F.col(f"`{c}`")), F.lit(0)) for c, kind in df.dtypes if kind in ("string", "binary")]
+    fixed = 8 * (len(df.columns) + 2)
+    size = df.agg(F.sum(sum(long, F.lit(fixed))).alias("n")).first()[0] or 0
+    return F.broadcast(df) if size <= most_bytes else df
 
 
 def for_long_rows(spark: SparkSession) -> None:

@@ -8,8 +8,8 @@ to equal shares of bytes. Rows are exchanged once, by bucket, and sorted within
 in earlier buckets of its shard plus its place in its bucket.
 
 Size bounds: in a round at most `total / leaf` buckets are heavy, each of which gets 2**FINER children, whatever the
-number of rows, so both what the driver sees and the broadcast list of buckets have a bound set by `shards` and
-`tolerance`.
+number of rows, so both what the driver sees and the broadcast list of buckets have a bound set by `shards`, `tolerance`
+and the number of times that `bucket_bytes` go into all bytes (100,000 for 100 TB).
 
 Defined results: a null text has 0 bytes, a null identifier is hashed as such. Rows that repeat both identifier and text
 can't be told apart and stay in one bucket, whose bytes are then the only thing that may exceed the tolerance; their
@@ -53,8 +53,9 @@ class Bucket:
         return self.prefix << (BITS - self.bits)
 
 
-def histogram(keys: DataFrame, leaf_share: float) -> list[Bucket]:
-    """Buckets in key order that hold `leaf_share` of all bytes at most, as far as keys differ; `keys`: (key, size)."""
+def histogram(keys: DataFrame, leaf_share: float, bucket_bytes: int) -> list[Bucket]:
+    """Buckets in key order that hold `leaf_share` of all bytes and `bucket_bytes` at most, as far as keys differ; `keys`:
+    (key, size)."""
     done: list[Bucket] = []
     bits, heavy, most = FIRST, None, None
     while True:
@@ -63,7 +64,7 @@ def histogram(keys: DataFrame, leaf_share: float) -> list[Bucket]:
             up = keys.sparkSession.createDataFrame([(x,) for x in heavy], "up long")
             at = at.withColumn("up", F.shiftrightunsigned("key", BITS - bits + FINER)).join(F.broadcast(up), "up", "left_semi")
         found = [Bucket(r["prefix"] & ((1 << bits) - 1), bits, r["size"], r["n"]) for r in at.groupBy("prefix").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()]
-        most = most or max(1.0, leaf_share * sum(b.size for b in found))
+        most = most or max(1.0, min(bucket_bytes, leaf_share * sum(b.size for b in found)))
         too_big = [b for b in found if b.size > most and b.rows > 1 and bits + FINER <= BITS]
         done += [b for b in found if b not in set(too_big)]
         if not too_big:
@@ -86,17 +87,17 @@ def splitters(buckets: list[Bucket], shards: int) -> list[tuple[Bucket, int, int
     return out
 
 
-def assign_shards(docs: DataFrame, shards: int, doc_id: str = "doc_id", text: str = "text", tolerance: float = 1 / 64) -> DataFrame:
+def assign_shards(docs: DataFrame, shards: int, doc_id: str = "doc_id", text: str = "text", tolerance: float = 1 / 64, bucket_bytes: int = 1 << 30) -> DataFrame:
     """All rows of `docs` with shard (0 to `shards` - 1) and slot (gapless from 0 in each shard).
 
     Bytes (UTF-8 of the text, plus 8 a row) of the shards differ from equal shares by `tolerance` of a share at most,
-    unless one row alone is larger.
+    unless one row alone is larger. `bucket_bytes` bounds what one task sorts.
     """
     if shards < 1:
         raise ValueError("shards must be at least 1")
     spark = docs.sparkSession
     keys = materialize(docs.select(key_of(doc_id, text).alias("key"), bytes_of(text).alias("size")), "shard-keys")
-    placed = splitters(histogram(keys, tolerance / shards), shards)
+    placed = splitters(histogram(keys, tolerance / shards, bucket_bytes), shards)
     names = [c for c in docs.columns if c not in ("shard", "slot")]
     rows = _located(spark, docs.select(*names).withColumn("__lx_key", key_of(doc_id, text)), placed)
     # the sort is on the key's unsigned order, which within a bucket is that of the signed key

@@ -7,8 +7,8 @@ the sums over committed batches, so they are additive and never recounted. A bat
 writes, a marker; one that is done again while not committed replaces its own files, and a committed one is skipped.
 
 Defined results: a null or empty text has 0 tokens. Null source or language is a group of its own. A batch's rows
-that repeat an identifier count once, the one with the longest text. Rows with a null identifier can't be revised or
-deleted; they are dropped from a batch by contract. Deleting what isn't there, or inserting what is there unchanged,
+that repeat an identifier count once, the one with the longest text. Rows with a null identifier are counted, each of
+them, but can't be revised or deleted, so a batch that brings them again under another number counts them again. Deleting what isn't there, or inserting what is there unchanged,
 changes nothing. Groups whose documents are all gone have no row. Empty batches and empty stores give empty results.
 """
 
@@ -98,9 +98,12 @@ class Rollup:
         """
         if batch in self.committed():
             return False
-        rows = upserts.filter("doc_id is not null").select("doc_id", "source", "lang", "text")
-        new = counted(rows, tokenizer).groupBy("doc_id").agg(F.max_by(F.struct("source", "lang", "tokens"), F.struct("tokens", F.col("source"), F.col("lang"))).alias("x"))
-        new = new.select("doc_id", "x.source", "x.lang", F.lit(tokenizer.version).alias("tokenizer"), F.lit(1).cast("long").alias("docs"), "x.tokens")
+        rows = counted(upserts.select("doc_id", "source", "lang", "text"), tokenizer)
+        none = F.col("doc_id").isNull()
+        longest = F.max_by(F.struct("source", "lang", "tokens"), F.struct("tokens", F.col("source"), F.col("lang")))
+        new = rows.groupBy("doc_id", F.when(none, F.struct("source", "lang")).alias("own")).agg(longest.alias("x"), F.count("*").alias("n"), F.sum("tokens").alias("all"))
+        docs, tokens = F.when(none, F.col("n")).otherwise(F.lit(1).cast("long")), F.when(none, F.col("all")).otherwise(F.col("x.tokens"))
+        new = new.select("doc_id", "x.source", "x.lang", F.lit(tokenizer.version).alias("tokenizer"), docs.alias("docs"), tokens.alias("tokens"))
         signed = new
         if self.committed():
             touched = new.select("doc_id") if deletes is None else new.select("doc_id").union(deletes.select("doc_id")).distinct()

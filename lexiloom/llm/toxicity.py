@@ -2,12 +2,12 @@
 
 Features are the presence of hashed words, word pairs and pairs that skip a word. FTRL-proximal (McMahan et al., 2013)
 learns with per-coordinate rates; L1 makes most weights zero. The training set is a bounded sample of the labelled rows
-(`max_docs`, those with the smallest hashed identifiers), dealt by hash into shards of about SHARD_DOCS; each shard learns by itself in a
+(`max_docs`, those with the smallest hashed identifiers), dealt by hash into shards of about SHARD_DOCS, or SHARD_BYTES of text if that is less; each shard learns by itself in a
 fixed order, and the weights are averaged, so that the result doesn't depend on the cluster. The non-zero weights, at
 most 2**DIM_BITS, are broadcast, and each whole text is scored.
 
 Defined results: a null or empty text has the score of the bias alone. Labels that are null don't count; of several labels
-of one document the highest counts. With no labelled rows all scores are 0.5. Empty tables give empty results.
+of one document the highest counts, of several texts of one identifier the first in order of bytes. With no labelled rows all scores are 0.5. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -21,8 +21,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexiloom.llm.scratch import materialize
+
 DIM_BITS = 18
-SHARD_DOCS = 8000
+SHARD_DOCS, SHARD_BYTES = 8000, 128 << 20
 #: ASCII but letters and digits become spaces; bytes of other characters stay.
 _PLAIN = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
@@ -113,10 +115,11 @@ def learn(docs: DataFrame, labels: DataFrame, max_docs: int = 24_000, ftrl: Ftrl
     """Non-zero weights by coordinate, and the bias at -1, from `labels` (doc_id, label) of `docs`, a bounded sample."""
     known = labels.filter("label is not null and doc_id is not null").groupBy("doc_id").agg(F.max("label").alias("label"))
     chosen = known.withColumn("h", F.xxhash64(F.lit("ftrl"), "doc_id")).orderBy("h", "doc_id").limit(max_docs)
-    texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    shards = max(1, -(-min(known.count(), max_docs) // SHARD_DOCS))
-    rows = texts.join(chosen, "doc_id").dropDuplicates(["doc_id"]).withColumn("shard", F.pmod(F.shiftright("h", 8), F.lit(shards)))
-    found = rows.groupBy("shard").applyInPandas(_train_shard(ftrl), "i long, w double")
+    texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(chosen), "doc_id")  # `max_docs` rows of three numbers
+    rows = materialize(texts.groupBy("doc_id", "h", "label").agg(F.min("text").alias("text")), "ftrl-rows")
+    n, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    shards = max(1, -(-n // SHARD_DOCS), -(-size // SHARD_BYTES))
+    found = rows.withColumn("shard", F.pmod(F.shiftright("h", 8), F.lit(shards))).groupBy("shard").applyInPandas(_train_shard(ftrl), "i long, w double")
     sums = found.groupBy("i").agg(F.sum("w").alias("w"), F.sum(F.when(F.col("i") == -1, 1)).alias("n")).collect()
     n = max([r["n"] or 0 for r in sums], default=0)
     return {r["i"]: r["w"] / n for r in sums}

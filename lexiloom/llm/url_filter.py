@@ -65,10 +65,11 @@ def _count(c: Column, x: str) -> Column:
 
 
 def _entropy(c: Column) -> Column:
-    """Of the characters, in bits, over the kinds letter, digit, and each punctuation mark."""
-    n = F.greatest(F.lit(1), F.length(c))
-    kinds = [F.length(c) - F.length(F.regexp_replace(c, x, "")) for x in (r"[aeiou]", r"[b-df-hj-np-tv-z]", r"[A-Z]", r"[0-9]", r"[./]", r"[-_]", r"[?&=#]", r"[^a-zA-Z0-9./_?&=#-]")]
-    return -reduce(lambda a, b: a + b, (F.when(k > 0, k / n * F.log2(k / n)).otherwise(F.lit(0.0)) for k in kinds))
+    """Shannon's, in bits, of the characters of the string, each by its number of occurrences."""
+    n = F.greatest(F.lit(1), F.length(c)).cast("double")
+    chars = F.array_distinct(F.split(c, ""))
+    of = lambda x: (n - F.length(F.replace(c, x, F.lit("")))) / n
+    return -F.aggregate(F.filter(chars, lambda x: x != ""), F.lit(0.0), lambda s, x: s + of(x) * F.log2(of(x)))
 
 
 def suffixes_of() -> dict[str, Column]:

@@ -1,5 +1,7 @@
 import collections
+import json
 import math
+import re
 
 import numpy as np
 import pytest
@@ -43,11 +45,39 @@ def test_a_hot_group_is_cut(spark):
 
 
 def test_shards_odd(spark, odd):
-    placed = sharding.assign_shards(odd, 3)
-    assert placed.count() == odd.count() and dict(placed.dtypes)["shard"] == "int"
+    """Null texts, repeated rows and a clashing column: nothing is lost, and slots are gapless."""
+    placed = sharding.assign_shards(odd.withColumn("slot", F.lit("mine")), 3)
+    rows = placed.collect()
+    assert dict(placed.dtypes)["shard"] == "int" and sorted(r.n for r in rows) == sorted(r.n for r in odd.collect())
+    for k in {r.shard for r in rows}:
+        own = sorted(r.slot for r in rows if r.shard == k)
+        assert own == list(range(len(own)))
     assert sharding.assign_shards(odd.limit(0), 3).count() == 0
 
 
+def test_shards_query_against_brute_force(spark):
+    """Of all documents in order of their keys, a shard is a run, and no shard is off its share by more than a text and
+    the tolerance; size and crc are those of Python."""
+    import zlib
+
+    rows = queries.op1_sharding(spark, FOLDER).collect()
+    texts = {r.doc_id: r.text or "" for r in docs_of(spark).collect()}
+    assert {r.doc_id: (r.size, r.text_crc32) for r in rows} == {k: (len(t.encode()) + 8, zlib.crc32(t.encode())) for k, t in texts.items()}
+    keys = {r.doc_id: r.key % 2**64 for r in docs_of(spark).select("doc_id", sharding.key_of("doc_id", "text").alias("key")).collect()}
+    order = [r for r in sorted(rows, key=lambda r: keys[r.doc_id])]
+    assert [r.shard for r in order] == sorted(r.shard for r in order)
+    assert all(a.shard < b.shard or a.slot + 1 == b.slot for a, b in zip(order, order[1:], strict=False))
+    share = sum(r.size for r in rows) / 24
+    for k in range(24):
+        assert abs(sum(r.size for r in rows if r.shard == k) - share) <= max(r.size for r in rows) + share / 64
+
+
+def test_buckets_have_a_byte_bound(spark):
+    keys = spark.range(4000).select(F.xxhash64("id").alias("key"), F.lit(100).cast("long").alias("size"))
+    buckets = sharding.histogram(keys, 1.0, 5000)
+    assert max(b.size for b in buckets) <= 5000 and sum(b.rows for b in buckets) == 4000
+
+
 # 2
 
 
@@ -66,6 +96,48 @@ def test_ftrl_is_sparse_and_follows_its_formula():
     assert not toxicity.train(rows, np.array([1.0, 0.0] * 50), toxicity.Ftrl(l1=1e9))[0].any()
 
 
+def test_toxicity_against_a_plain_loop(spark):
+    """One shard, so the weights are those of a coordinate-by-coordinate FTRL in the same order; held-out texts aren't
+    learnt from, nor are identifiers."""
+    docs, labels = docs_of(spark), spark.read.parquet(f"{FOLDER}/labels.parquet")
+    own = labels.filter(~toxicity.held_out(F.col("doc_id"))).select("doc_id", F.col("toxic").alias("label"))
+    f = toxicity.Ftrl()
+    chosen = own.withColumn("h", F.xxhash64(F.lit("ftrl"), "doc_id")).join(docs, "doc_id").orderBy("h", "doc_id").collect()
+    bias = 1 << toxicity.DIM_BITS
+    z, n = collections.defaultdict(float), collections.defaultdict(float)
+
+    def weight(i):
+        l1 = 0.0 if i == bias else f.l1
+        return 0.0 if abs(z[i]) <= l1 else -(z[i] - math.copysign(l1, z[i])) / ((f.beta + math.sqrt(n[i])) / f.alpha)
+
+    hashes = toxicity.WordHashes()
+    rows = [([*{int(i) for i in toxicity.features(r.text, hashes)}, bias], r.label) for r in chosen]
+    for _ in range(f.passes):
+        for at, y in rows:
+            w = {i: weight(i) for i in at}
+            g = 1 / (1 + math.exp(-max(-35, min(35, sum(w.values()))))) - y
+            for i in at:
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / f.alpha * w[i]
+                n[i] += g * g
+    want = {i: weight(i) for i in z if i != bias and weight(i)}
+    found = toxicity.learn(docs, own)
+    assert set(found) - {-1} == set(want) and all(abs(found[i] - w) < 1e-6 for i, w in want.items())
+    scores = {r.doc_id: r for r in queries.op2_toxicity(spark, FOLDER).collect()}
+    for r in docs.collect():
+        margin = weight(bias) + sum(want.get(i, 0.0) for i in {int(i) for i in toxicity.features(r.text, hashes)})
+        assert abs(scores[r.doc_id].score - 1 / (1 + math.exp(-margin))) < 1e-6 and scores[r.doc_id].predicted == int(scores[r.doc_id].score >= 0.7)
+
+
+def test_toxicity_of_repeated_and_clashing_rows(spark):
+    """The highest label and the first text of an identifier count; a column `score` is replaced; long texts are scored."""
+    docs = spark.createDataFrame([(1, "a foul word", "x"), (1, "zz", "x"), (2, "b", "x"), (3, "foul " * 100_000, "x"), (None, None, "x")], "doc_id long, text string, score string")
+    labels = spark.createDataFrame([(1, 0), (1, 1), (2, 0), (2, None), (9, 1)], "doc_id long, label int")
+    f = toxicity.Ftrl(l1=0.0)
+    assert toxicity.learn(docs, labels, ftrl=f) == toxicity.learn(docs.filter("text <> 'zz'"), labels.filter("label = 1 or doc_id = 2"), ftrl=f)
+    found = toxicity.with_scores(docs, toxicity.learn(docs, labels, ftrl=f))
+    assert found.columns == ["doc_id", "text", "score"] and all(0 <= r.score <= 1 for r in found.collect())
+
+
 def test_toxicity_odd(spark, odd):
     none = odd.select("doc_id", F.lit(None).cast("int").alias("label"))
     assert {r.score for r in toxicity.with_scores(odd, toxicity.learn(odd, none)).collect()} == {0.5}
@@ -104,14 +176,66 @@ def test_a_dirty_source_does_not_open_its_fence(spark, others):
         rows = [("dirty", x, 900 if x else 0, 900 if x else 0) for x in shares] + [(f"s{k % others}", 0, 0, 0) for k in range(100 * others)]
         signals = spark.createDataFrame([("en", s, x, d, r, 50) for s, x, d, r in rows], "lang string, source string, symbol_share long, dup_line_share long, repeat_share long, word_length long")
         limits = {r.source: r for r in quality.thresholds(quality.sketches(signals, ["lang", "source"])).collect()}
-        assert (limits["dirty"].hi_symbol_share, limits["dirty"].hi_dup_line_share, limits["dirty"].hi_repeat_share) == (20, 400, 400), junk
+        assert (limits["dirty"].hi_symbol_share, limits["dirty"].hi_dup_line_share, limits["dirty"].hi_repeat_share) == (5, 2, 7), junk
     even = spark.createDataFrame([("en", "a", 40 + k % 20, k % 9, k % 9, 50) for k in range(300)], signals.schema)
     assert quality.thresholds(quality.sketches(even, ["lang", "source"])).first().hi_symbol_share >= 59  # a source of its own kind loses nothing
 
 
+def brute_limits(values, level, reach, usual):
+    """(total, lo, hi) of one group's values of one metric; `usual` is None for the rule of two sides."""
+    bins = sorted(v if v < 128 else v >> (v.bit_length() - 7) << (v.bit_length() - 7) for v in values)
+    at = lambda p: bins[-(-len(bins) * p // 100) - 1]
+    if usual is None:
+        iqr = max(1, at(75) - at(25))
+        return len(bins), max(0, at(25) - reach * iqr), at(75) + reach * iqr
+    return len(bins), 0, at(25) + (1 + reach) * max(1, min(at(level) - at(25), usual))
+
+
+def test_thresholds_against_brute_force(spark):
+    """Groups of 60 documents and more, of small numbers, with ties, a null language and a null source."""
+    random = np.random.default_rng(5)
+    rows = []
+    for lang, source, n, scale in (("en", "a", 300, 40), ("en", "b", 80, 10), ("en", None, 60, 90), ("de", "a", 7, 300), (None, "c", 100, 20)):
+        rows += [(lang, source, *(int(x) for x in random.integers(0, scale, 3)), int(40 + random.integers(0, 30))) for _ in range(n)]
+    rows += [("en", "a", 5000, 990, 990, 7000)]  # far beyond 1000
+    names = [r.metric for r in quality.RULES]
+    signals = spark.createDataFrame(rows, "lang string, source string, " + ", ".join(f"{k} long" for k in names))
+    found = {(r.lang, r.source): r for r in quality.thresholds(quality.sketches(signals, ["lang", "source"])).collect()}
+    groups, differ = {(r[0], r[1]) for r in rows}, set()
+    for k, rule in enumerate(quality.RULES, 2):
+        of = lambda keep, k=k: [r[k] for r in rows if keep(r)]
+        at = lambda v, p: sorted(x if x < 128 else x >> (x.bit_length() - 7) << (x.bit_length() - 7) for x in v)[-(-len(v) * p // 100) - 1]
+        spreads = sorted(at(v, rule.level) - at(v, 25) for v in (of(lambda r, g=g: r[:2] == g) for g in groups) if len(v) >= 50)
+        usual = None if rule.two_sided else 2 * spreads[-(-len(spreads) // 2) - 1]
+        limits = lambda v, rule=rule, usual=usual: brute_limits(v, rule.level, rule.reach, usual)
+        _, lo_all, hi_all = limits(of(lambda r: True))
+        for g in groups:
+            n, lo, hi = limits(of(lambda r, g=g: r[:2] == g))
+            m, lo_lang, hi_lang = limits(of(lambda r, g=g: r[0] == g[0]))
+            mix = lambda x, y, z, n=n, m=m: (n * x + quality.PRIOR * ((m * y + quality.PRIOR * z) // (m + quality.PRIOR))) // (n + quality.PRIOR)
+            assert (found[g][f"lo_{rule.metric}"], found[g][f"hi_{rule.metric}"]) == (mix(lo, lo_lang, lo_all), mix(hi, hi_lang, hi_all)), (g, rule)
+            differ.add((rule.metric, found[g][f"hi_{rule.metric}"]))
+    assert len(differ) > 12
+
+
+def test_each_rule_rejects_and_clean_documents_stay(spark):
+    folder = "/root/testdata/sf0.1"  # smaller tables have no document far in the tail of repeated words
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text", "lang", "source")
+    signals = materialize(quality.with_signals(docs).drop("text"), "t")
+    limits = quality.thresholds(quality.sketches(signals.filter("not base_failed"), ["lang", "source"]))
+    judged = signals.filter("not base_failed").join(limits, ["lang", "source"])
+    gone = judged.agg(*(F.sum(F.expr(f"int({r.metric} > hi_{r.metric} or {r.metric} < lo_{r.metric})")).alias(r.metric) for r in quality.RULES)).first()
+    assert all(gone), gone
+    kept = quality.judge_signals(signals).join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").filter("quality = 1 and not base_failed").select("kept").collect()
+    assert sum(r.kept for r in kept) >= 0.98 * len(kept)
+
+
 def test_quality_odd(spark, odd):
+    """Documents under 50 words, and those that repeat themselves, go; near, longer texts stay, whatever else is null."""
     good = quality.keep_good(odd)
-    assert good.columns == odd.columns and good.count() > 0
+    assert good.columns == odd.columns and sorted(r.doc_id for r in good.collect()) == [6, 7, 8]
+    judged = quality.judge_signals(quality.with_signals(odd.withColumn("n_words", F.lit("mine"))))
+    assert dict(judged.dtypes)["n_words"] == "bigint" and dict(judged.dtypes)["kept"] == "boolean" and judged.count() == odd.count()
     assert quality.keep_good(odd.limit(0)).count() == 0
 
 
@@ -134,6 +258,46 @@ def test_a_mixture_is_found(spark):
     assert set(langs) <= set(shares) and all(abs(shares[k] - 0.5) < 0.2 for k in langs)
 
 
+def test_language_against_plain_mixtures(spark):
+    """The registered query against expectation maximisation written out for each trigram, and counts made here."""
+    letters = language.letter_table()
+    docs = docs_of(spark).withColumn("out", toxicity.held_out(F.col("doc_id"))).collect()
+    counts = {k: collections.Counter() for k in sorted({r.lang for r in docs if r.lang})}
+    for r in docs:
+        if r.lang and r.text and not r.out:
+            counts[r.lang].update(language.trigrams(r.text, letters).tolist())
+    sizes = {k: sum(c.values()) + language._SMOOTH * 2**language.DIM_BITS for k, c in counts.items()}
+    p = lambda k, g: (counts[k][g] + language._SMOOTH) / sizes[k]
+    found = {r.doc_id: r for r in queries.op4_language(spark, FOLDER).collect()}
+    assert len({round(r.score, 6) for r in found.values()}) > 20
+    for r in docs[:60]:
+        grams = collections.Counter(language.trigrams(r.text, letters).tolist())
+        total, mix = sum(grams.values()), {k: 1 / len(counts) for k in counts}
+        for _ in range(language.STEPS):
+            new = dict.fromkeys(counts, 0.0)
+            for g, n in grams.items():
+                whole = sum(mix[k] * p(k, g) for k in counts)
+                for k in counts:
+                    new[k] += n * mix[k] * p(k, g) / whole / total
+            mix = new
+        single = {k: sum(n * math.log(p(k, g)) for g, n in grams.items()) for k in counts}
+        best = max(single, key=single.get)
+        if found[r.doc_id].lang_pred == best:
+            assert abs(found[r.doc_id].score - mix[best] / sum(mix.values())) < 1e-3
+        else:
+            assert len(json.loads(found[r.doc_id].shares)) > 1
+
+
+def test_a_small_share_is_found(spark):
+    """One part in a hundred of another language, which gains far more than its penalty."""
+    docs = docs_of(spark)
+    model, texts = language.learn(docs), {r.lang: r.text for r in docs.filter("length(text) > 3000").collect()}
+    langs = sorted(texts)[:2]
+    text = (texts[langs[0]] + "\n") * 40 + texts[langs[1]][:1500]
+    shares = language.with_languages(spark.createDataFrame([(text,)], "text string"), model).first().languages.shares
+    assert set(langs) <= set(shares) and 0 < shares[langs[1]] < 0.05
+
+
 def test_language_odd(spark, odd):
     rows = {r.doc_id: r.languages for r in language.with_languages(odd, language.learn(odd)).collect()}
     assert rows[3].lang_pred == rows[4].lang_pred == rows[5].lang_pred == "und" and rows[9].lang_pred in ("en", "de", "fr", "es")
@@ -170,6 +334,54 @@ def test_tokens(spark):
     assert [r.n for r in rows] == [len((t or "").encode().split()) for t in texts]
 
 
+def test_mixture_against_brute_force(spark):
+    """The registered query: weights, copies and blocks of each document, recomputed in Python from the sources' tokens."""
+    rows = queries.op5_mixing(spark, FOLDER).collect()
+    n = {r.doc_id: len((r.text or "").encode().split()) for r in docs_of(spark).collect()}
+    source = {r.doc_id: r.source for r in docs_of(spark).collect()}
+    tokens = collections.Counter()
+    for k, s in source.items():
+        tokens[s] += n[k]
+    assert {r.doc_id for r in rows} == set(n) and all(r.n_tokens == n[r.doc_id] for r in rows)
+
+    def mixture(a):
+        raw = {s: t**a for s, t in tokens.items() if t}
+        return {s: x / sum(raw.values()) for s, x in raw.items()}
+
+    def fits(a):
+        w = mixture(a)
+        return -sum(x * math.log(x) for x in w.values()) <= 0.98 * math.log(len(w)) and (1 - a) * math.log(max(tokens.values()) / min(tokens.values())) <= math.log(1.5)
+
+    low, high = 0.0, 1.0
+    if fits(high):
+        for _ in range(60):
+            middle = (low + high) / 2
+            low, high = (low, middle) if fits(middle) else (middle, high)
+    w = mixture(high)
+    assert all(abs(r.weight - w[r.source]) < 1e-4 for r in rows)
+    budget = max(tokens[s] / w[s] for s in w)
+    for s in w:
+        got = sum(r.n_tokens for r in rows if r.source == s)
+        assert 0 <= got - budget * w[s] + 1e-3 * budget and got <= budget * w[s] + max(n.values()) + 1e-3 * budget
+        first = [r.doc_id for r in rows if r.source == s and r.copy == 0]
+        assert sorted(first) == sorted(k for k in n if source[k] == s)
+
+
+def test_offsets_of_many_buckets(spark, monkeypatch):
+    """Buckets of buckets give the places that one running sum gives."""
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 2900, "a").alias("source"), F.repeat(F.lit("w "), (F.col("id") % 7).cast("int")).alias("text"))
+    whole = sorted(map(tuple, mixing.mix(docs, block_tokens=500).select("doc_id", "copy", "block").collect()))
+    monkeypatch.setattr(mixing, "BUCKET_TOKENS", 50)
+    monkeypatch.setattr(mixing, "BUCKET_GROUP", 7)
+    cut = mixing.mix(docs, block_tokens=500).select("doc_id", "copy", "block", "source", mixing.tokens_of("text").alias("n")).collect()
+    assert {r[0] for r in whole} == {r.doc_id for r in cut} == set(range(3000))
+    by_block = collections.Counter()
+    for r in cut:
+        by_block[r.block] += r.n
+    full = sorted(by_block)[1:-1]
+    assert all(abs(by_block[k] - 500) < 30 for k in full)
+
+
 def test_mixing_odd(spark, odd):
     mixed = mixing.mixed_docs(odd)
     assert mixed.columns == odd.columns and {r.n for r in mixed.collect()} == {r.n for r in odd.collect()}
@@ -277,13 +489,24 @@ def test_rollup(spark):
     ids = lambda *r: spark.createDataFrame([(k,) for k in r], "doc_id long")
     totals = lambda: {(r.source, r.lang): (r.docs, r.tokens) for r in store.totals().collect()}
     assert store.totals().count() == 0
-    first = rows((1, "a", "en", "x y"), (2, "a", "en", "z"), (3, "b", None, None), (None, "b", "en", "lost"))
+    first = rows((1, "a", "en", "x y"), (2, "a", "en", "z"), (3, "b", None, None), (None, "d", "en", "no identifier"), (None, "d", "en", "nor here"), (None, None, None, None))
     assert store.commit(1, first, words_tokenizer()) and not store.commit(1, first, words_tokenizer())
-    assert totals() == {("a", "en"): (2, 3), ("b", None): (1, 0)}
+    unnamed = {("d", "en"): (2, 4), (None, None): (1, 0)}
+    assert totals() == {("a", "en"): (2, 3), ("b", None): (1, 0)} | unnamed
     store.commit(2, rows((1, "b", "en", "x y z"), (2, "a", "en", "z"), (4, "c", "en", "new")), words_tokenizer(), ids(3, 99))
-    assert totals() == {("a", "en"): (1, 1), ("b", "en"): (1, 3), ("c", "en"): (1, 1)}
+    assert totals() == {("a", "en"): (1, 1), ("b", "en"): (1, 3), ("c", "en"): (1, 1)} | unnamed
     store.commit(3, first.limit(0), words_tokenizer(), ids(1, 2, 4))
-    assert totals() == {}
+    assert totals() == unnamed
+
+
+def test_rollup_odd(spark, odd):
+    """Repeated identifiers count once, by the longest text; null identifiers each; other columns don't matter."""
+    store = token_counts.Rollup(spark, new_folder(spark, "t"))
+    store.commit(1, odd.withColumn("tokens", F.lit("mine")), words_tokenizer())
+    assert sum(r.docs for r in store.totals().collect()) == odd.count() - 1
+    long = store.documents().filter("doc_id = 11").first()
+    assert long.tokens == 5000
+    assert store.commit(2, odd.limit(0), words_tokenizer()) and store.totals().count() == len({(r.source, r.lang) for r in odd.collect()})
 
 
 def test_rollup_of_documents(spark):
@@ -322,10 +545,23 @@ def test_pieces_odd(spark, odd):
     found = pieces.with_texts(pieces.encode(odd, table), table).collect()
     assert sorted(r.n for r in found) == sorted(rows)
     for r in found:
-        assert r.text == (rows[r.n] or "") and r.kept == "was here"
-        if "\x00" not in r.text:
-            assert r.piece_ids == library.encode(r.text)
+        assert r.text == (rows[r.n] or "") and r.kept == "was here" and r.piece_ids == library.encode(r.text)
     assert pieces.encode(odd.limit(0), table).count() == 0
+    checked = pieces.encode(odd.withColumn("same", F.lit("mine")), table, verified="same")
+    assert dict(checked.dtypes)["same"] == "boolean" and {r.same for r in checked.collect()} == {True}
+
+
+def test_words_of_odd_texts():
+    for text in ("", "a", " a", "a  b   c    d", "\n\n a\n", "x\x01y z", pieces.MARKS + " a  b\nc", "▁a ▁▁b", "   ", "a \n b"):
+        want = re.findall(r" +[^ \n]*|[^ \n]+|\n", " " + text.replace(pieces.SPACE, " "))
+        assert [w for w in pieces.words_of(text) if w] == want
+
+
+def test_pieces_that_are_late():
+    """All others are in two parts when their turn comes; the model is one of merges, so most are."""
+    table = pieces.load_table(MODEL)
+    late = table.late()
+    assert late and len(late) < 100 and all(set(p) == {pieces.SPACE} for p in late)
 
 
 def test_viterbi_on_log_probabilities(spark):
