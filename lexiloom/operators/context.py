@@ -25,10 +25,13 @@ def _numbered(rows: DataFrame) -> DataFrame:
 
 
 def concordance(corpus: Corpus, stems, work_ids: Iterable[str] | None = None, limit: int = 100, offset: int = 0, per_work: int = 40) -> DataFrame:
-    """Verses with a hit, at most `per_work` of each work before paging, so that large works leave room for small ones."""
+    """Verses with a hit in reading order (tradition, division, chapter, number; then work and verse_id), at most
+    `per_work` of each work before paging, so that large works leave room for small ones."""
     rows = _numbered(_hits(corpus, stems, work_ids)).filter(F.col("row_in_work") <= per_work)
-    rows = rows.orderBy("row_in_work", "work_id", "verse_id").offset(offset).limit(min(limit, MOST_ROWS))
-    return rows.select("work_id", "verse_id", "ref", "text", "hits", F.array_join("matched_forms", ",").alias("matched_forms"), "row_in_work")
+    rows = rows.orderBy("tradition", "division_ordinal", "chapter", "number", "work_id", "verse_id").offset(max(0, offset)).limit(max(0, min(limit, MOST_ROWS)))
+    titles = F.broadcast(corpus.works.select("work_id", F.col("title").alias("work_title")))  # a row for each work
+    rows = rows.join(titles, "work_id").orderBy("tradition", "division_ordinal", "chapter", "number", "work_id", "verse_id")
+    return rows.select("work_id", "work_title", "tradition", F.col("division_name").alias("division"), "verse_id", "ref", "text", "hits", F.array_join("matched_forms", ",").alias("matched_forms"), "row_in_work")
 
 
 def concordance_total(corpus: Corpus, stems) -> DataFrame:
@@ -51,7 +54,8 @@ def collocations(corpus: Corpus, stems, work_id: str | None = None, window: int
     anchors = of_stems(corpus.lemma_index, stems)
     around = F.filter(F.sequence(F.col("position") - window, F.col("position") + window), lambda p: p != F.col("position"))
     places = of_works(anchors, [work_id] if work_id else None).select("verse_id", F.explode(around).alias("position"))
-    pairs = corpus.lemma_index.join(places, ["verse_id", "position"])
+    near = corpus.lemma_index.join(places.select("verse_id").distinct(), "verse_id", "left_semi")  # few verses have an anchor
+    pairs = near.join(places, ["verse_id", "position"])
     own = of_stems(pairs, stems).select("lemma").distinct() if isinstance(stems, DataFrame) else None
     pairs = pairs.join(own, "lemma", "left_anti") if own is not None else pairs.filter(~F.col("lemma").isin(*[s for s in stems if s] or [""]))
     joint = pairs.groupBy("lemma").agg(F.count("*").alias("joint_count"), F.min("surface").alias("example")).filter(F.col("joint_count") >= min_freq)

@@ -22,15 +22,16 @@ def scored(vectors: DataFrame, query: list[float]) -> DataFrame:
     return vectors.withColumn("score", dot(F.col("vector"), q))
 
 
-def search(vectors: DataFrame, query: list[float], top_k: int = 20, min_similarity: float = 0.3, keep: Column | None = None, prefilter: bool = False) -> DataFrame:
-    """The nearest verses. As in the original, the cut to 8 * top_k comes before the filter `keep` (unless `prefilter`)."""
+def search(vectors: DataFrame, query: list[float], top_k: int = 20, min_similarity: float = 0.3, keep: Column | None = None, prefilter: bool = False, spare: bool = False) -> DataFrame:
+    """The `top_k` nearest verses, or twice as many to `spare` some for grouped(). As in the original, the cut to
+    8 * top_k comes before the filter `keep` (unless `prefilter`)."""
     rows = scored(vectors, query)
     if keep is not None and prefilter:
         rows = rows.filter(keep)
     rows = rows.orderBy(F.desc("score"), "verse_id").limit(8 * top_k)
     if keep is not None and not prefilter:
         rows = rows.filter(keep)
-    rows = rows.filter(F.col("score") >= min_similarity).orderBy(F.desc("score"), "verse_id").limit(2 * top_k)
+    rows = rows.filter(F.col("score") >= min_similarity).orderBy(F.desc("score"), "verse_id").limit(2 * top_k if spare else top_k)
     return rows.withColumn("similarity", F.round("score", 4)).drop("score", "vector")
 
 
@@ -80,7 +81,7 @@ def search_all(vectors: DataFrame, queries: DataFrame, top_k: int = 20, min_simi
     meet by query. The work grows with the product of both sides, what is kept in a task doesn't. Query identifiers
     should be unique. Vectors without an identifier or with null or NaN coordinates are near to nothing.
     """
-    k = 2 * top_k
+    k = top_k
     whole = "verse_id is not null and vector is not null and not exists(vector, x -> x is null or isnan(x))"
     rows, asked = (df.filter(whole).select("verse_id", F.col("vector").cast("array<double>").alias("vector"), F.size("vector").alias("dim")) for df in (vectors, queries))
     parts, groups = max(LEAST_PARTS, -(-rows.count() // PART)), max(1, -(-asked.count() // (PART // 4)))
@@ -144,8 +145,9 @@ def all_same_passages(docs: DataFrame) -> DataFrame:
 
 
 def grouped(found: DataFrame, top_k: int = 20) -> DataFrame:
-    """Results (verse_id, text, similarity), at most 2 * top_k, each with the leader that it joins: the first earlier one
-    (by similarity) that is the same passage and leads. The fold depends on the order, and runs over one page."""
+    """Results (verse_id, text, similarity), the best 2 * top_k of them, each with the leader that it joins: the first
+    earlier one (by similarity) that is the same passage and leads. The fold depends on the order, and runs over that page."""
+    found = found.orderBy(F.desc("similarity"), "verse_id").limit(2 * top_k)
 
     def fold(page: pd.DataFrame) -> pd.DataFrame:
         page = page.sort_values(["similarity", "verse_id"], ascending=[False, True], ignore_index=True)

@@ -12,6 +12,8 @@ from lexiloom.functions import text as T
 
 #: Lines of one document that its verse identifiers leave room for.
 LINES = 1 << 20
+#: What is kept, written and read besides the verses.
+DERIVED = ("lemma_index", "text_postings", "text_lengths", "lemma_totals", "divisions", "works")
 
 
 @dataclass
@@ -26,6 +28,16 @@ class Corpus:
         """(verse columns, words): all words of each verse in order."""
         return self.verses.select("verse_id", "work_id", "language", "division_id", T.words(T.normalize(F.col("text"), F.col("language"))).alias("words"))
 
+    @cached_property
+    def text_postings(self) -> DataFrame:
+        """(term, verse_id, position): the words of the text index, folded, none left out."""
+        return self.verses.select("verse_id", F.posexplode(T.plain_words(F.col("text"))).alias("position", "term")).select("term", "verse_id", "position")
+
+    @cached_property
+    def text_lengths(self) -> DataFrame:
+        """(verse_id, work_id, length) in words of the text index."""
+        return self.verses.select("verse_id", "work_id", F.size(T.plain_words(F.col("text"))).alias("length"))
+
     @cached_property
     def lemma_index(self) -> DataFrame:
         """(lemma, work_id, division_id, verse_id, surface, position): positions count all words."""
@@ -59,7 +71,7 @@ class Corpus:
 
     def persist(self) -> Corpus:
         """Keeps the index and the small tables in the executors' memory and disk, for a session of many queries."""
-        for name in ("lemma_index", "lemma_totals", "divisions", "works"):
+        for name in ("words", *DERIVED):
             setattr(self, name, getattr(self, name).persist())
         return self
 
@@ -67,14 +79,15 @@ class Corpus:
         """Verses, index and totals as Parquet, by work, the index in order of lemma, so that scans skip row groups."""
         self.verses.write.mode("overwrite").partitionBy("work_id").parquet(f"{folder}/verses")
         self.lemma_index.repartition("work_id", "lemma").sortWithinPartitions("work_id", "lemma").write.mode("overwrite").partitionBy("work_id").parquet(f"{folder}/lemma_index")
-        for name in ("lemma_totals", "divisions", "works"):
+        self.text_postings.repartition("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{folder}/text_postings")
+        for name in ("text_lengths", "lemma_totals", "divisions", "works"):
             getattr(self, name).write.mode("overwrite").parquet(f"{folder}/{name}")
 
     @staticmethod
     def read(spark: SparkSession, folder: str) -> Corpus:
         """What write() has written."""
         corpus = Corpus(spark.read.parquet(f"{folder}/verses"))
-        for name in ("lemma_index", "lemma_totals", "divisions", "works"):
+        for name in DERIVED:
             setattr(corpus, name, spark.read.parquet(f"{folder}/{name}"))
         return corpus
 

@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-_STOP = {
-    "es": "a al algo algun alguna algunas alguno algunos ante antes aquel aquella aquellas aquello aquellos aqui asi aun aunque cada casi como con contra cual cuales cuando cuanto de del desde donde dos e el ella ellas ello ellos en entre era eran eres es esa esas ese eso esos esta estaba estan estas este esto estos fue fueron fui ha habia han has hasta hay he la las le les lo los mas me mi mia mio mis mucho muy nada ni no nos nosotros nuestra nuestro o os otra otras otro otros para pero poco por porque que quien quienes se sea sean segun ser si sido sin sobre son su sus tal tambien tan tanto te tener ti tiene tienen toda todas todo todos tu tus un una unas uno unos vosotros vuestra vuestro y ya yo",
-    "en": "a about above after again against all am an and any are as at be because been before being below between both but by cannot could did do does doing down during each few for from further had has have having he her here hers herself him himself his how i if in into is it its itself me more most my myself no nor not of off on once only or other ought our ours ourselves out over own same shall she should so some such than that the their theirs them themselves then there these they this those through to too under until up unto very was we were what when where which while who whom why with would you your yours yourself yourselves thou thee thy thine ye hath doth shalt",
-}
-_RULES = {
-    "es": [("amiento", ""), ("imiento", ""), ("acion", "acion"), ("ucion", "ucion"), ("adora", ""), ("ador", ""), ("ancia", ""), ("encia", ""), ("abamos", "ar"), ("aremos", "ar"), ("eremos", "er"), ("iremos", "ir"), ("aran", "ar"), ("eran", "er"), ("iran", "ir"), ("aria", "ar"), ("eria", "er"), ("iria", "ir"), ("aron", "ar"), ("ieron", "er"), ("aban", "ar"), ("ian", "er"), ("ando", "ar"), ("iendo", "er"), ("ado", "ar"), ("ido", "er"), ("amos", ""), ("emos", ""), ("imos", ""), ("mente", "")],
-    "en": [("ational", "ate"), ("fulness", "ful"), ("ousness", "ous"), ("iveness", "ive"), ("ization", "ize"), ("ement", ""), ("ment", ""), ("ness", ""), ("ingly", ""), ("edly", ""), ("ing", ""), ("eth", ""), ("est", ""), ("ed", ""), ("ly", "")],
-}
+from lexiloom.functions.text import STOPWORDS, SUFFIXES
+
+_STOP = {k: " ".join(words) for k, words in STOPWORDS.items()}
+_RULES = SUFFIXES
 
 
 def _suffix_case(lang: str, least: int) -> str:
@@ -136,7 +132,7 @@ _CONTROLS = """controls(language, word) AS (VALUES ('en', 'the'), ('en', 'er'),
 missing AS (SELECT work_id, word FROM works JOIN controls USING (language) WHERE NOT EXISTS (FROM idx WHERE idx.work_id = works.work_id AND surface = word))"""
 
 _HIT_VERSES = """found AS (SELECT work_id, verse_id, count(*) AS hits, string_agg(DISTINCT surface, ',' ORDER BY surface) AS matched_forms FROM hits GROUP BY 1, 2),
-numbered AS (SELECT f.*, v.ref, v.text, v.tradition, row_number() OVER (PARTITION BY f.work_id ORDER BY ordinal, chapter, number, f.verse_id) AS row_in_work FROM found f JOIN verses v USING (verse_id))"""
+numbered AS (SELECT f.*, v.ref, v.text, v.tradition, v.name, v.ordinal, v.chapter, v.number, row_number() OVER (PARTITION BY f.work_id ORDER BY ordinal, chapter, number, f.verse_id) AS row_in_work FROM found f JOIN verses v USING (verse_id))"""
 
 _TOP = """top AS (
   SELECT query, item, row_number() OVER (PARTITION BY query ORDER BY s1 DESC, item) AS ra, row_number() OVER (PARTITION BY query ORDER BY s2 DESC, item) AS rb FROM (
@@ -170,8 +166,8 @@ SQL: dict[str, str] = {
     "fields_containing": f"WITH {LEXICON} SELECT DISTINCT language, lemma, field FROM lex JOIN (SELECT DISTINCT language, lemma FROM idx) USING (language, lemma)",
     "resolve_query": f"WITH {LEXICON} SELECT lemma, sum(count)::BIGINT AS count FROM totals WHERE lemma IN ('ther', 'rewh') OR lemma IN (SELECT lemma FROM lex WHERE field = 'length6' AND language = 'en') GROUP BY 1",
     "search_text": rf"""WITH {VERSES}, t AS (SELECT verse_id, regexp_extract_all(strip_accents(lower(text)), '[\p{{L}}\p{{N}}\p{{Co}}]+') AS w FROM verses)
-      SELECT verse_id FROM t WHERE (list_contains(w, 'ther') OR contains(' ' || array_to_string(w, ' ') || ' ', ' of the ')) AND NOT list_contains(w, 'er') AND len(list_filter(w, lambda x: starts_with(x, 'th'))) > 0""",
-    "vector_search": f"WITH {_VECTORS} SELECT verse_id, round(score, 4) AS similarity FROM scored ORDER BY score DESC, verse_id LIMIT 40",
+      SELECT verse_id FROM t WHERE list_contains(w, 'ther') OR (contains(' ' || array_to_string(w, ' ') || ' ', ' of the ') AND NOT (list_contains(w, 'er') AND len(list_filter(w, lambda x: starts_with(x, 'th'))) > 0))""",
+    "vector_search": f"WITH {_VECTORS} SELECT verse_id, round(score, 4) AS similarity FROM scored ORDER BY score DESC, verse_id LIMIT 20",
     "vector_search_all": f"WITH {_VECTORS}, pairs AS (SELECT a.verse_id AS query_id, b.verse_id, list_inner_product(b.vector, a.vector) AS s FROM v a, v b WHERE a.verse_id % 20 = 0) SELECT query_id, verse_id, round(s, 4) AS similarity, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, verse_id)::INT AS rank FROM pairs QUALIFY rank <= 40",
     "near_duplicates": f"WITH {_VECTORS}, {_RESULTS} SELECT a.verse_id AS a, b.verse_id AS b, round(len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))), 4) AS overlap FROM texts a JOIN texts b ON a.verse_id < b.verse_id WHERE len(a.w) > 0 AND len(b.w) > 0 AND len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) >= 0.6",
     "near_duplicates_all": """WITH t AS (SELECT doc_id, list_sort(list_distinct(list_filter(regexp_extract_all(lower(coalesce(text, '')), '[a-z'']+'), lambda w: length(w) > 3))) AS w FROM documents),
@@ -205,7 +201,8 @@ SQL: dict[str, str] = {
     "distinctive_vocabulary": f"""WITH {INDEX}, s AS (SELECT lemma, coalesce(sum(count) FILTER (work_id = 'en-t3'), 0)::BIGINT AS count, coalesce(sum(count) FILTER (work_id <> 'en-t3'), 0)::BIGINT AS count_elsewhere FROM totals WHERE work_id LIKE 'en-%' GROUP BY 1),
       k AS ({_keyness("SELECT s.*, (SELECT total_tokens FROM works WHERE work_id = 'en-t3') AS c, (SELECT sum(total_tokens)::BIGINT FROM works WHERE language = 'en' AND work_id <> 'en-t3') AS d FROM s WHERE count >= 5", "lemma, count, count_elsewhere, c", "count", "count_elsewhere", "c", "d")})
       SELECT lemma, count, count_elsewhere, {_rate("count", "c")} AS per_10k, log_likelihood, effect_size FROM k WHERE effect_size > 0 AND significant ORDER BY log_likelihood DESC, lemma LIMIT 50""",
-    "concordance": f"WITH {INDEX}, {_HIT_VERSES} SELECT work_id, verse_id, ref, text, hits, matched_forms, row_in_work::INT AS row_in_work FROM numbered WHERE row_in_work <= 40 ORDER BY row_in_work, work_id, verse_id LIMIT 100",
+    "concordance": f"""WITH {INDEX}, {_HIT_VERSES} SELECT work_id, works.title AS work_title, numbered.tradition, numbered.name AS division, verse_id, ref, text, hits, matched_forms, row_in_work::INT AS row_in_work
+      FROM numbered JOIN works USING (work_id) WHERE row_in_work <= 40 ORDER BY numbered.tradition, ordinal, chapter, number, work_id, verse_id LIMIT 100""",
     "concordance_total": f"WITH {INDEX} SELECT count(DISTINCT verse_id) AS total FROM hits",
     "parallel": f"WITH {INDEX}, {_HIT_VERSES} SELECT work_id, tradition, row_in_work::INT AS row_in_work, ref, text, hits FROM numbered WHERE row_in_work <= 5",
     "collocations": f"""WITH {INDEX}, j AS (SELECT b.lemma, count(*) AS joint_count, min(b.surface) AS example FROM hits a JOIN idx b ON a.verse_id = b.verse_id AND b.position <> a.position AND abs(b.position - a.position) <= 5

@@ -176,11 +176,11 @@ def vector_search(spark, folder):
 def vector_search_all(spark, folder):
     """The nearest of all rows for every row whose id is divisible by 20."""
     v = vectors_of(spark, folder)
-    return similarity.search_all(v, v.filter("verse_id % 20 = 0"), min_similarity=-1.0)
+    return similarity.search_all(v, v.filter("verse_id % 20 = 0"), top_k=40, min_similarity=-1.0)
 
 
 def _found_texts(spark, folder, top_k: int) -> DataFrame:
-    found = similarity.search(vectors_of(spark, folder), query_vector(spark, folder), top_k=top_k, min_similarity=-1.0)
+    found = similarity.search(vectors_of(spark, folder), query_vector(spark, folder), top_k=top_k, min_similarity=-1.0, spare=True)
     docs = spark.read.parquet(f"{folder}/documents.parquet").select(F.col("doc_id").alias("verse_id"), "text")
     return found.join(docs, "verse_id").select("verse_id", "text", "similarity")
 

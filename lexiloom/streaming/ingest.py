@@ -2,7 +2,11 @@
 
 Each micro-batch is checked (script of each work), its verses are placed (the first of a place wins, those of earlier
 batches before those of later ones), and written under the batch's number, so that a batch that is done again replaces
-its own files. The totals are maintained from the batch's own counts.
+its own files. The totals are maintained from the batch's own counts. The last of a batch's writes marks it as committed;
+readers see committed batches alone, so a batch that stopped half-way is as if it had never been.
+
+A batch may replace works: from then on, only what it and later batches brought of them counts. Nothing is rewritten: the
+batch notes which works it replaces, and readers leave out the rows of earlier batches.
 """
 
 from __future__ import annotations
@@ -14,29 +18,62 @@ from lexiloom.operators.health import validate_language
 from lexiloom.plans.corpus import Corpus, first_of_each
 
 PLACE = ["work_id", "division_id", "chapter", "number"]
+REPLACED = "work_id string, batch int"
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
+def committed(spark: SparkSession, folder: str) -> list[int]:
+    """Numbers of the committed batches."""
+    path = f"{folder}/commits"
+    return sorted(r[0] for r in spark.read.schema("batch int").parquet(f"{path}/*").distinct().collect()) if _exists(spark, path) else []
+
+
+def table(spark: SparkSession, folder: str, name: str, schema, before: int | None = None) -> DataFrame:
+    """What counts of a table (`verses`, `lemma_index` or `totals`) after the committed batches, or those `before` one,
+    with the number of the batch."""
+    done = [b for b in committed(spark, folder) if before is None or b < before]
+    read = lambda name, schema: spark.read.schema(schema).option("basePath", f"{folder}/{name}").parquet(*(f"{folder}/{name}/batch={b}" for b in done))
+    if not done:
+        return spark.createDataFrame([], schema).withColumn("batch", F.lit(0))
+    rows = spark.read.schema(schema).option("basePath", f"{folder}/{name}").parquet(*(f"{folder}/{name}/batch={b}" for b in done))
+    since = read("replaced", "work_id string").groupBy("work_id").agg(F.max("batch").alias("since"))
+    return rows.join(since, "work_id", "left").filter(F.col("batch") >= F.coalesce("since", F.lit(-1))).drop("since").select(*rows.columns)
 
 
-def _earlier(spark: SparkSession, folder: str, batch: int, like: DataFrame) -> DataFrame:
-    """What earlier batches wrote of `verses`."""
-    parts = [f"{folder}/verses/batch={b}" for b in range(batch)]
-    return spark.read.schema(like.schema).parquet(*parts) if parts else like.limit(0)
+def loaded_works(spark: SparkSession, folder: str, like) -> DataFrame:
+    """(work_id) of works that are there, so that a build which is started again can leave them out."""
+    return table(spark, folder, "verses", like).select("work_id").distinct()
 
 
-def ingest_batch(verses: DataFrame, batch: int, folder: str, arrival: str = "verse_id") -> None:
-    """Writes what is new and valid of a batch to `verses`, `lemma_index` and `totals` below the folder."""
+def ingest_batch(verses: DataFrame, batch: int, folder: str, arrival: str = "verse_id", replaces: bool = False) -> None:
+    """Writes what is new and valid of a batch to `verses`, `lemma_index` and `totals` below the folder. With `replaces`,
+    its works' earlier rows count no longer; works that aren't valid replace nothing."""
+    spark = verses.sparkSession
+    if batch in committed(spark, folder):
+        return
     valid = validate_language(Corpus(verses)).filter("valid").select("work_id")
     fresh = first_of_each(verses.join(valid, "work_id", "left_semi"), arrival)
-    known = _earlier(verses.sparkSession, folder, batch, verses)
-    new = fresh.join(known.select(*PLACE), PLACE, "left_anti").select(*verses.columns)
+    new = fresh.select(*verses.columns)
+    if not replaces:
+        known = table(spark, folder, "verses", verses.schema, before=batch)
+        touched = known.join(fresh.select("work_id").distinct(), "work_id", "left_semi")
+        new = fresh.join(touched.select(*PLACE), PLACE, "left_anti").select(*verses.columns)
     new.write.mode("overwrite").parquet(f"{folder}/verses/batch={batch}")
-    corpus = Corpus(verses.sparkSession.read.schema(verses.schema).parquet(f"{folder}/verses/batch={batch}"))
+    corpus = Corpus(spark.read.schema(verses.schema).parquet(f"{folder}/verses/batch={batch}"))
     corpus.lemma_index.write.mode("overwrite").parquet(f"{folder}/lemma_index/batch={batch}")
     corpus.lemma_totals.write.mode("overwrite").parquet(f"{folder}/totals/batch={batch}")
+    works = corpus.verses.select("work_id").distinct() if replaces else spark.createDataFrame([], "work_id string")
+    works.coalesce(1).write.mode("overwrite").parquet(f"{folder}/replaced/batch={batch}")
+    spark.range(1).select(F.lit(batch).alias("batch")).coalesce(1).write.mode("overwrite").parquet(f"{folder}/commits/{batch}")
 
 
-def ingest(stream: DataFrame, folder: str) -> None:
+def ingest(stream: DataFrame, folder: str, replaces: bool = False) -> None:
     """Brings all that is new in a stream of verses (with the columns of a corpus) into the folder, then stops."""
-    query = stream.writeStream.foreachBatch(lambda df, n: ingest_batch(df, n, folder)).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    query = stream.writeStream.foreachBatch(lambda df, n: ingest_batch(df, n, folder, replaces=replaces)).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     try:
         query.awaitTermination()
     finally:
@@ -45,5 +82,5 @@ def ingest(stream: DataFrame, folder: str) -> None:
 
 def totals(spark: SparkSession, folder: str) -> DataFrame:
     """(lemma, work_id, count, verse_count) over all batches; a verse is in one batch, so the sums are exact."""
-    rows = spark.read.parquet(f"{folder}/totals")
+    rows = table(spark, folder, "totals", "lemma string, work_id string, count long, verse_count long")
     return rows.groupBy("lemma", "work_id").agg(F.sum("count").alias("count"), F.sum("verse_count").alias("verse_count"))

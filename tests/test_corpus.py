@@ -78,6 +78,32 @@ def test_search(spark, small):
     found = lambda q: search.search(small, q, limit=None).count()
     assert found("mercy") == 55 and found("mercy NOT speaks") == 50 and found('"mercy and"') == 50 and found("wat*") == 50
     assert found("silence OR speaks") == 6 and found("") == 0 and found('"and mercy"') == 0
+    assert [r.text for r in search.search(small, "silence", limit=1).collect()] == ["silence"]
+
+
+TEXTS = ["a b", "c only", "a c", "b", "the lions and the lamb", "creó el cielo", "Creo en ti", "a-b c", None, "a b c d", "the lamb and lions", "d d d", "cielos"]
+REQUESTS = [
+    "a b OR c", "a OR b c", "a NOT b OR c", "c NOT a b", "a AND b OR d", "a NOT b NOT c", "d OR a NOT c AND b", "(a OR d) AND c", "a AND (b OR c)", "creo", "creó", "CREÓ OR cielo", '"the lamb"', '"lamb and"', '"the li" *', "ciel*", "cié*", '"a b" OR d', '"a-b"', "the NOT lamb",
+]
+
+
+@pytest.mark.parametrize("query", REQUESTS)
+def test_search_is_that_of_fts5(spark, query):
+    import sqlite3
+
+    db = sqlite3.connect(":memory:")
+    db.execute("CREATE VIRTUAL TABLE t USING fts5(x, tokenize = 'unicode61 remove_diacritics 2')")
+    db.executemany("INSERT INTO t(rowid, x) VALUES (?, ?)", enumerate(TEXTS))
+    want = {r[0] for r in db.execute("SELECT rowid FROM t WHERE t MATCH ?", (query,))}
+    rows = [(k, "w", "t", "en", "w/1", 1, "b", None, 1, k, str(k), t) for k, t in enumerate(TEXTS)]
+    assert {r.verse_id for r in search.search(Corpus(spark.createDataFrame(rows, VERSE)), query, limit=None).collect()} == want
+
+
+def test_concordance_is_in_reading_order(spark):
+    full = [(1, "w2", "b", "en", "w2/1", 1, "one", None, 2, 1, "r1", "mercy"), (2, "w1", "z", "en", "w1/1", 1, "one", None, 1, 1, "r2", "mercy"), (3, "w2", "b", "en", "w2/2", 2, "two", None, 1, 1, "r3", "mercy"), (4, "w3", "b", "en", "w3/1", 1, "uno", None, 2, 2, "r4", "mercy"), (5, "w2", "b", "en", "w2/1", 1, "one", None, 1, 9, "r5", "Mercies")]
+    rows = context.concordance(Corpus(spark.createDataFrame(full, VERSE)), ["mercy"]).collect()
+    assert [r.verse_id for r in rows] == [5, 1, 4, 3, 2] and (rows[0].work_title, rows[0].division, rows[0].matched_forms) == ("b (en)", "one", "mercies")
+    assert [r.verse_id for r in context.concordance(Corpus(spark.createDataFrame(full, VERSE)), ["mercy"], limit=2, offset=1).collect()] == [1, 4]
 
 
 def test_vectors(spark):
@@ -85,6 +111,7 @@ def test_vectors(spark):
     v = spark.createDataFrame(rows, "verse_id long, vector array<double>, tradition string")
     assert [r.verse_id for r in similarity.search(v, [1, 0, 0]).collect()] == [0, 1, 2, 4]  # 0.3 is enough
     assert [r.verse_id for r in similarity.search(v, [1, 0, 0], top_k=1, keep=F.col("tradition") == "e").collect()] == [4]
+    assert len(similarity.search(v, [1, 0, 0], top_k=1).collect()) == 1 and len(similarity.search(v, [1, 0, 0], top_k=1, spare=True).collect()) == 2
     assert {r.tradition for r in similarity.cross_tradition(v, 0).collect()} == {"b", "c", "d", "e"}
     assert spark.createDataFrame([([0.0, 0.0],), ([3.0, 4.0],)], "v array<double>").select(l2_normalize(F.col("v")).alias("v")).collect()[1].v == [0.6, 0.8]
 
@@ -95,7 +122,7 @@ def test_every_query_is_searched(spark, monkeypatch):
     rows = rng.normal(size=(300, 8))
     rows[50:200] = rows[0]  # one very common vector
     v = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(rows)] + [(300, None), (301, [1.0] * 9), (302, [1.0] * 7 + [None])], "verse_id long, vector array<double>")
-    got = similarity.search_all(v, v.filter("verse_id % 20 = 0"), top_k=3, min_similarity=-1e9).collect()
+    got = similarity.search_all(v, v.filter("verse_id % 20 = 0"), top_k=6, min_similarity=-1e9).collect()
     found = {}
     for r in sorted(got, key=lambda r: (r.query_id, r.rank)):
         found.setdefault(r.query_id, []).append(r.verse_id)
@@ -163,28 +190,86 @@ def test_lexicon(spark, tmp_path):
     assert {r.lemma for r in lexicon.resolve(spark, "en", " Gods ", ["", "gods"], lex, "mercy").collect()} == {"god", "mercy"}
 
 
-def test_readers(spark, tmp_path):
+def _write(path, value):
+    path.write_text(value if isinstance(value, str) else json.dumps(value))
+    return str(path)
+
+
+def test_flat_readers(spark, tmp_path):
     verse = {"division_ordinal": 1, "division_name": "Book", "section": None, "chapter": 1, "number": 1, "text": "Some words"}
-    (tmp_path / "flat.json").write_text(json.dumps({"verses": [verse]}))
-    assert readers.flat_json(spark, str(tmp_path / "flat.json")).first().text == "Some words"
-    (tmp_path / "works.json").write_text(json.dumps({"works": {"w": [verse, verse]}}))
-    assert readers.sample_works(spark, str(tmp_path / "works.json")).count() == 2
-    books = {"books": [{"name": "B", "chapters": [{"verses": [{"text": "one"}, {"verse": 7, "text": " two "}, {"text": ""}]}]}]}
-    (tmp_path / "books.json").write_text(json.dumps(books))
-    rows = readers.nested_books(spark, str(tmp_path / "books.json")).collect()
-    assert [(r.chapter, r.number, r.text, r.section) for r in rows] == [(1, 1, "one", "Old Testament"), (1, 7, "two", "Old Testament")]
-    (tmp_path / "x.json").write_text(json.dumps({"versions": [{"license": "closed", "text": ["no"]}, {"license": "free", "text": [["<b>one</b>", ""], ["two"]]}]}))
-    (tmp_path / "y.json").write_text(json.dumps({"versions": [{"license": "free", "text": ["flat one", "flat two"]}]}))
-    info = [("x", 1, "X", "s"), ("y", 2, "Y", "s")]
-    rows = readers.licensed_versions(spark, str(tmp_path / "[xy].json"), info, ["free"]).orderBy("division_ordinal", "chapter", "number").collect()
-    assert [(r.division_name, r.chapter, r.number, r.text) for r in rows] == [("X", 1, 1, "one"), ("X", 2, 1, "two"), ("Y", 1, 1, "flat one"), ("Y", 1, 2, "flat two")]
-    (tmp_path / "g.txt").write_text("intro\nCHAPTER I\n\nFirst stanza of some length\ngoes on\n\nshort\n\nSecond stanza is long enough\n\nCHAPTER II\n\nAnother chapter with a stanza\n")
-    rows = readers.chaptered_text(spark, str(tmp_path / "g.txt")).collect()
-    assert [(r.division_ordinal, r.number) for r in rows] == [(1, 1), (1, 2), (2, 1)]
+    assert readers.flat_json(spark, _write(tmp_path / "flat.json", {"verses": [verse]})).first().text == "Some words"
+    assert [r.number for r in readers.flat_json(spark, _write(tmp_path / "list.json", [verse, verse | {"number": 2}])).collect()] == [1, 2]
+    assert readers.sample_works(spark, _write(tmp_path / "works.json", {"works": {"w": [verse, verse]}})).count() == 2
     work = readers.as_corpus_rows(readers.flat_json(spark, str(tmp_path / "flat.json")), "w", "t", "en")
     assert Corpus(work).works.first().total_tokens == 2 and work.first().ref == "Book 1:1"
 
 
+def test_nested_books(spark, tmp_path):
+    books = [{"name": "B", "chapters": [{"num": 3, "verses": [{"num": 4, "text": "one"}, {"verse": 7, "text": " two "}, {"text": ""}]}]}] + [{"book": f"C{k}", "chapters": [{"chapter": 1, "verses": [{"text": "x"}]}]} for k in range(39)]
+    for value in (books, {"books": books}):
+        rows = readers.nested_books(spark, _write(tmp_path / "books.json", value)).collect()
+        assert [(r.division_name, r.chapter, r.number, r.text, r.section) for r in rows[:3]] == [("B", 3, 4, "one", "Old Testament"), ("B", 3, 7, "two", "Old Testament"), ("C0", 1, 0, "x", "Old Testament")]
+        assert (rows[-1].division_ordinal, rows[-1].section) == (40, "New Testament")
+
+
+def test_book_files(spark, tmp_path):
+    _write(tmp_path / "index.json", {"books": {"1": {"nr": 1, "name": "First"}, "40": {"nr": 40, "name": "Fortieth"}}})
+    for nr in (1, 40):
+        _write(tmp_path / f"b{nr}.json", {"nr": nr, "chapters": [{"chapter": 2, "verses": [{"verse": 3, "text": " words "}]}]})
+    rows = readers.book_files(spark, str(tmp_path / "index.json"), str(tmp_path / "b*.json")).collect()
+    assert sorted((r.division_ordinal, r.division_name, r.section, r.chapter, r.number, r.text) for r in rows) == [(1, "First", "Old Testament", 2, 3, "words"), (40, "Fortieth", "New Testament", 2, 3, "words")]
+
+
+def test_only_open_licences_are_read(spark, tmp_path):
+    _write(tmp_path / "x.json", {"versions": [{"license": " Public Domain ", "text": [["<b>one</b>", ""], ["two"]]}, {"license": "closed", "text": ["no"]}]})
+    _write(tmp_path / "y.json", {"versions": [{"license": "PD", "text": ["flat one", "", "flat three"]}]})
+    _write(tmp_path / "z.json", {"versions": [{"license": "closed", "text": ["no"]}, {"license": "pd", "text": ["yes"]}]})
+    _write(tmp_path / "e.json", {"versions": []})
+    info = [("x", 1, "X", "s"), ("y", 2, "Y", "s"), ("z", 3, "Z", "s"), ("e", 4, "E", "s")]
+    rows = readers.licensed_versions(spark, str(tmp_path / "[xy].json"), info).orderBy("division_ordinal", "chapter", "number").collect()
+    assert [(r.division_name, r.chapter, r.number, r.text) for r in rows] == [("X", 1, 1, "one"), ("X", 2, 1, "two"), ("Y", 1, 1, "flat one"), ("Y", 1, 3, "flat three")]
+    for name in ("[xz]", "[xe]"):
+        with pytest.raises(Exception, match="licence"):
+            readers.licensed_versions(spark, str(tmp_path / f"{name}.json"), info).collect()
+
+
+def test_suras(spark, tmp_path):
+    sura = lambda n, kind, text: {"number": n, "englishName": f"S{n}", "revelationType": kind, "ayahs": [{"numberInSurah": k, "text": text} for k in (1, 2)]}
+    rows = readers.sura_files(spark, _write(tmp_path / "q.json", {"data": {"surahs": [sura(1, "Meccan", " In the name "), sura(2, "Other", "words")]}}), {"Meccan": "Mecano"}).collect()
+    assert [(r.division_ordinal, r.division_name, r.section, r.chapter, r.number, r.text) for r in rows] == [(1, "S1", "Mecano", 1, 1, "In the name"), (1, "S1", "Mecano", 1, 2, "In the name"), (2, "S2", "Other", 2, 1, "words"), (2, "S2", "Other", 2, 2, "words")]
+    arabic = _write(tmp_path / "a.json", {"data": {"surahs": [sura(1, "Meccan", "بسم الله الرحمن الرحيم")]}})
+    assert readers.sura_files(spark, arabic, {}, "ar").count() == 2
+    with pytest.raises(Exception, match="not in the script of en"):
+        readers.sura_files(spark, arabic, {}).collect()
+
+
+def test_chaptered_text(spark, tmp_path):
+    text = "intro\n*** START OF IT ***\nCHAPTER I\n\nFirst stanza of some length\n   goes on\n\nshort\n\nThird stanza is long enough\n\nCHAPTER IV\n\nAnother chapter with a stanza\n\nCHAPTER XL\n\nThere is no such chapter at all\n*** END OF IT ***\nA footer that is not a stanza\n"
+    rows = readers.chaptered_text(spark, _write(tmp_path / "g.txt", text)).collect()
+    assert [(r.division_ordinal, r.chapter, r.number, r.text) for r in rows] == [(1, 1, 1, "First stanza of some length goes on"), (1, 1, 3, "Third stanza is long enough"), (4, 4, 1, "Another chapter with a stanza")]
+
+
+def test_verse_files(spark, tmp_path):
+    for k, texts in enumerate(({"et": " one ", "ht": "no"}, {"et": "", "ht": "two"}, {"ht": "three"}, {"et": ""}), 1):
+        _write(tmp_path / f"v{k}.json", {"chapter": 2, "verse": k, "siva": texts})
+    rows = readers.verse_files(spark, str(tmp_path / "v*.json"), "siva").collect()
+    assert sorted((r.chapter, r.number, r.text) for r in rows) == [(2, 1, "one"), (2, 2, "two"), (2, 3, "three")]
+
+
+def test_a_work_is_replaced(spark, tmp_path):
+    out = str(tmp_path / "out")
+    ingest.ingest_batch(corpus(spark, [("aa", 1, None, 1, "first words"), ("aa", 1, None, 2, "more words"), ("bb", 1, None, 1, "other text")]).verses, 0, out)
+    ingest.ingest_batch(corpus(spark, [("aa", 1, None, 1, "second edition")]).verses, 3, out, replaces=True)
+    ingest.ingest_batch(corpus(spark, [("aa", 1, None, 1, "not counted twice")]).verses, 3, out, replaces=True)
+    ingest.ingest_batch(corpus(spark, [("aa", 1, None, 1, "late"), ("aa", 1, None, 2, "appended")]).verses, 5, out)
+    assert {r.lemma for r in ingest.totals(spark, out).filter("work_id = 'aa'").collect()} == {"second", "edition", "append"}
+    assert {r.lemma for r in ingest.totals(spark, out).filter("work_id = 'bb'").collect()} == {"text"}
+    assert {r.work_id for r in ingest.loaded_works(spark, out, corpus(spark, []).verses.schema).collect()} == {"aa", "bb"}
+    ingest.ingest_batch(corpus(spark, [("bb", 1, None, 1, "lost")]).verses, 6, out, replaces=True)
+    (tmp_path / "out" / "commits" / "6").rename(tmp_path / "uncommitted")
+    assert {r.lemma for r in ingest.totals(spark, out).filter("work_id = 'bb'").collect()} == {"text"}
+
+
 def test_stream_ingest_is_idempotent(spark, tmp_path):
     source, out = str(tmp_path / "in"), str(tmp_path / "out")
     rows = [("aa", 1, None, 1, "first words here"), ("aa", 1, None, 1, "a later verse in the same place"), ("bb", 1, None, 1, "بسم الله")]
