@@ -5,9 +5,8 @@ text the state holds the stable identifier that stays (the smallest), the conten
 identifier) and the number of rows. Rows are pre-aggregated by digest before the exchange to the state, so a digest that
 holds a third of all rows sends one row for each task. Each batch's changed states are written under the number of the
 batch, so that a batch that is done again replaces its own output. Every hit (a row whose digest is held by another row)
-is then checked: the text of the row that stays is fetched and compared byte by byte. The joins on the digest are inner
-ones with one row for each digest on one side, of which adaptive execution splits the partitions that a large group
-makes. Rows that share a digest but not the bytes are grouped by the bytes themselves.
+is then checked: the text of the row that stays is fetched and compared byte by byte. The joins on the digest have one
+row for each digest on one side; rows of a digest that holds a large part of all are dealt over many tasks. Rows that share a digest but not the bytes are grouped by the bytes themselves.
 
 Defined results: a null text counts as empty; texts are equal when identical after each run of ASCII white space became
 one space. A row with a null identifier groups as any other; a null sorts last, so it stays only if all identifiers of
@@ -24,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexiloom.llm.scratch import broadcast_if_small, materialize, new_folder
+from lexiloom.llm.scratch import broadcast_if_small, join_dealt, materialize, new_folder
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _STREAM_CONF = {
@@ -97,15 +96,17 @@ def mark_duplicates(stream: DataFrame, docs: DataFrame, state_dir: str, doc_id:
     state = materialize(state.select(F.col("digest").alias("__lx_digest"), "keep", "group_size"), "dedup-state")
     rows = docs.withColumn("__lx_norm", normalized(F.col(text))).withColumn("__lx_digest", digest(F.col("__lx_norm"))).withColumn("text_sha256", sha256(F.col("__lx_norm")))
 
-    shared = broadcast_if_small(state.filter("group_size > 1").select("__lx_digest", F.col("keep.id").alias("__lx_keep")))
+    total = state.agg(F.coalesce(F.sum("group_size"), F.lit(0))).first()[0]
+    shared = broadcast_if_small(state.filter("group_size > 1").select("__lx_digest", F.col("keep.id").alias("__lx_keep"), F.col("group_size").alias("__lx_size")))
     held = materialize(rows.select(F.col(doc_id).alias("__lx_id"), "__lx_norm", "__lx_digest").join(shared, "__lx_digest"), "dedup-held")
     stays = F.col("__lx_id").eqNullSafe(F.col("__lx_keep"))
-    kept_text = held.filter(stays).groupBy("__lx_digest").agg(F.min("__lx_norm").alias("__lx_kept"))
-    hits = held.filter(~stays).select("__lx_id", "__lx_norm", "__lx_digest").join(kept_text, "__lx_digest")
+    kept_text = held.filter(stays).groupBy("__lx_digest").agg(F.min("__lx_norm").alias("__lx_kept"), F.first("__lx_size").alias("__lx_size"))
+    hits = join_dealt(held.filter(~stays).select("__lx_id", "__lx_norm", "__lx_digest"), kept_text, "__lx_digest", "__lx_size", total, "__lx_id")
     other = materialize(hits.filter("__lx_norm <> __lx_kept").select("__lx_digest", "__lx_norm", "__lx_id"), "dedup-collisions")
 
     collided = not other.isEmpty()
-    out = rows.select(*names, "text_sha256", "__lx_digest", *["__lx_norm"] * collided).join(state, "__lx_digest")
+    out = rows.select(*names, "text_sha256", "__lx_digest", *["__lx_norm"] * collided, F.col(doc_id).alias("__lx_by"))
+    out = join_dealt(out, state, "__lx_digest", "group_size", total, "__lx_by")
     out = out.withColumn("keep_id", F.col("keep.id")).withColumn("keep_locator", F.col("keep.locator"))
     if collided:
         out = _apart(out, other)

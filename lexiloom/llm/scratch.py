@@ -13,6 +13,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: A key is hot if it holds more than one of HOT parts of all rows, so there are fewer hot keys than that; its rows are
+#: dealt over DEALS tasks.
+HOT, DEALS = 1000, 64
+
 _local_roots: dict[str, str] = {}
 
 
@@ -60,6 +64,20 @@ def broadcast_if_small(df: DataFrame, most_bytes: int = 32 << 20) -> DataFrame:
     return F.broadcast(df) if size <= most_bytes else df
 
 
+def join_dealt(rows: DataFrame, one: DataFrame, key: str, count: str, total: int, by: str) -> DataFrame:
+    """`rows` joined with `one`, which has one row for each `key` and the number of its rows in `count`.
+
+    Rows of a hot key are dealt over DEALS tasks by a hash of the column `by`, and the key's row is copied to each. As
+    counts sum up to `total` at most, fewer than HOT keys are hot: that list alone is broadcast. Null keys match nothing.
+    """
+    hot = F.broadcast(one.filter((F.col(count) * HOT > total) & (F.col(count) > DEALS)).select(key, F.lit(DEALS).alias("__lx_deals")))
+    deals = F.coalesce("__lx_deals", F.lit(1))
+    dealt = rows.join(hot, key, "left").withColumn("__lx_deal", F.pmod(F.xxhash64(by), deals).cast("int")).drop("__lx_deals")
+    copied = one.withColumn("__lx_hot", (F.col(count) * HOT > total) & (F.col(count) > DEALS))
+    copied = copied.withColumn("__lx_deal", F.explode(F.sequence(F.lit(0), F.when(F.col("__lx_hot"), DEALS - 1).otherwise(0)))).drop("__lx_hot")
+    return dealt.join(copied, [key, "__lx_deal"]).drop("__lx_deal")
+
+
 def for_long_rows(spark: SparkSession) -> None:
     """Sets the session's Arrow batches to 1000 rows: with whole documents, the usual 10,000 take hundreds of MB."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")

@@ -625,3 +625,16 @@ def test_trees_learn(spark):
     rows = rows.withColumns({"host": host, "path": path, "label": F.when(F.col("id") % 3 > 0, F.col("y"))})
     scored = url_filter.with_scores(rows, url_filter.learn(rows, "label", trees=3)).filter("label is null").collect()
     assert all((r.score >= 0.5) == r.y for r in scored)
+
+
+def test_join_dealt(spark):
+    """A hot key's rows are dealt, and each meets its partner once; null keys and keys without a partner meet none."""
+    from lexiloom.llm.scratch import DEALS, join_dealt
+
+    keys = ["hot"] * 700 + ["warm"] * 40 + [f"k{i}" for i in range(60)] + [None] * 90 + ["alone"] * 3
+    rows = spark.createDataFrame(list(enumerate(keys)), "id long, key string")
+    one = rows.filter("key is not null and key <> 'alone'").groupBy("key").agg(F.count("*").alias("n"))
+    out = join_dealt(rows, one, "key", "n", rows.count(), "id")
+    assert out.columns == ["key", "id", "n"]
+    assert sorted((r.id, r.key, r.n) for r in out.collect()) == sorted((i, k, keys.count(k)) for i, k in enumerate(keys) if k not in (None, "alone"))
+    assert one.filter("n > 64").count() == 1 and DEALS > 1
