@@ -5,7 +5,8 @@ from here on. A signature holds `COORDINATES` minima. A pair at the threshold or
 coordinates at least (but for a chance below `MISS`, by the binomial law), so it shares one of the first
 `COORDINATES - least_matches + 1` coordinate-value pairs of each, in any fixed order. Classes are posted under that
 prefix alone, in order of rising frequency, so that the long lists (of a passage that very many documents have) are
-skipped, and a coordinate-value pair that only one class has costs nothing.
+skipped, and a coordinate-value pair that only one class has costs nothing. Joins on these pairs deal the rows of a very
+frequent one over many tasks.
 
 Candidates come in two steps, neither of which emits all pairs of a list. First each list's most central member (that
 whose coordinate-value pairs are the most frequent) is paired with all others; what holds on the full sets gives
@@ -30,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexiloom.llm.components import components
-from lexiloom.llm.scratch import broadcast_if_small, materialize
+from lexiloom.llm.scratch import broadcast_if_small, join_dealt, materialize
 
 COORDINATES = 32
 VALUE_BITS = 40
@@ -134,7 +135,7 @@ def postings(sets: DataFrame, matches: int) -> DataFrame:
     """(rep, n, central, key): the prefix of each class, without coordinate-value pairs that no other class has."""
     pairs = sets.select("rep", "n", F.posexplode("sig").alias("c", "v")).select("rep", "n", F.shiftleft(F.col("c").cast("long"), VALUE_BITS).bitwiseOR(F.col("v")).alias("key"))
     often = pairs.groupBy("key").agg(F.count("*").alias("df")).filter("df > 1")
-    shared = pairs.join(often, "key").groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("keys"), F.sum(F.log2("df")).alias("central"))
+    shared = join_dealt(pairs, often, "key", "df", COORDINATES * sets.count(), "rep").groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("keys"), F.sum(F.log2("df")).alias("central"))
     alone = F.lit(COORDINATES) - F.size("keys")  # come first in the order
     prefix = F.slice("keys", 1, F.greatest(F.lit(0), F.lit(COORDINATES - matches + 1) - alone))
     return shared.select("rep", "n", "central", F.explode(prefix).alias("p")).select("rep", "n", "central", "p.key")
@@ -156,8 +157,8 @@ def _full(ids: DataFrame, docs: DataFrame, width: int, doc_id: str, text: str) -
 def _central_pairs(posts: DataFrame, sets: DataFrame, matches: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """(rep, lead, rank): each list's most central member with the others; and (key, lead) of the lists of several."""
     lead = posts.groupBy("key").agg(F.max(F.struct("central", (-F.col("rep")).alias("neg"), "n")).alias("m"), F.count("*").alias("members")).filter("members > 1")
-    lead = materialize(lead.select("key", (-F.col("m.neg")).alias("lead"), F.col("m.n").alias("lead_n"), F.col("m.central").alias("rank")), "near-leads")
-    found = posts.join(lead, "key").filter("rep <> lead").filter(_close_in_size(percent, "n", "lead_n")).select("rep", "lead", "rank").distinct()
+    lead = materialize(lead.select("key", (-F.col("m.neg")).alias("lead"), F.col("m.n").alias("lead_n"), F.col("m.central").alias("rank"), "members"), "near-leads")
+    found = join_dealt(posts, lead, "key", "members", posts.count(), "rep").filter("rep <> lead").filter(_close_in_size(percent, "n", "lead_n")).select("rep", "lead", "rank").distinct()
     sig_a, sig_b = (sets.select(F.col("rep").alias(x), F.col("sig").alias(f"sig_{x}")) for x in ("rep", "lead"))
     return found.join(sig_a, "rep").join(sig_b, "lead").filter(f"{_matches('sig_rep', 'sig_lead')} >= {matches}").select("rep", "lead", "rank"), lead
 
@@ -182,9 +183,11 @@ def _pairs_across(posts: DataFrame, lead: DataFrame, sets: DataFrame, comps: Dat
     same home, the size of their intersection follows from their differences to it, and the pair is sure to hold.
     """
     named = posts.join(comps.withColumnsRenamed({"node": "rep", "component": "comp"}), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-    rest = named.join(lead.select("key", "lead"), "key").filter("rep <> lead").select("key", "rep", "n", "comp")
+    total = posts.count()
+    rest = join_dealt(named, lead.select("key", "lead", F.col("members").alias("all")), "key", "all", total, "rep").filter("rep <> lead").select("key", "rep", "n", "comp")
+    rest = materialize(rest, "near-lists")
     mixed = rest.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("members")).filter("lo < hi").select("key", "members")
-    rest = materialize(rest.join(mixed, "key"), "near-mixed-lists")
+    rest = materialize(join_dealt(rest, materialize(mixed, "near-mixed-keys"), "key", "members", total, "rep"), "near-mixed-lists")
     detail = sets.select("rep", "sig").join(homes, "rep", "left")
 
     short = rest.filter(F.col("members") <= SHORT)
