@@ -262,8 +262,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     compared = _compared(materialize(central, "near-central"), docs, width, percent, doc_id, text)
     links = compared.filter("link").select(F.col("rep").alias("a"), F.col("lead").alias("b"))
     homes = compared.filter("home is not null").select("rep", "home")
-    across = materialize(_pairs_across(posts, lead, sets, components(links), homes, matches, percent), "near-across")
-    links = links.union(across.filter("sure").select("a", "b"))
+    comps = components(links)
+    across = materialize(_pairs_across(posts, lead, sets, comps, homes, matches, percent), "near-across")
+    links = comps.select(F.col("node").alias("a"), F.col("component").alias("b")).union(across.filter("sure").select("a", "b"))
     unsure = across.filter("not sure").select("a", "b")
     if not unsure.isEmpty():
         links = links.union(_confirmed(unsure, _full(unsure.select(F.explode(F.array("a", "b")).alias("rep")), docs, width, doc_id, text), percent))
