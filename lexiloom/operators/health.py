@@ -10,18 +10,19 @@ from pyspark.sql import functions as F
 from lexiloom.functions import text as T
 from lexiloom.plans.corpus import Corpus
 
-SAMPLE_VERSES, SAMPLE_CHARACTERS, LEAST_WORDS = 60, 4000, 5
-
-
-def validate_language(corpus: Corpus) -> DataFrame:
-    """(work_id, language, script, expected, share, valid) by the beginning of each work's first verses; a work whose
-    language is unknown should be in the Latin script."""
-    order = ["division_ordinal", "chapter", "number", "verse_id"]
-    place = F.row_number().over(Window.partitionBy("work_id").orderBy(*order))
-    first = corpus.verses.select("work_id", "language", "text", *order, place.alias("n")).filter((F.col("n") <= SAMPLE_VERSES) & (F.col("text") != ""))
-    texts = first.groupBy("work_id", "language").agg(F.array_sort(F.collect_list(F.struct("n", "text"))).alias("x"))
-    sample = F.substring(F.array_join(F.transform("x", lambda x: x["text"]), " "), 1, SAMPLE_CHARACTERS)
-    found = texts.withColumn("s", sample).withColumn("d", T.detect_script(F.col("s"))).withColumn("expected", T.expected_script(F.col("language")))
+LEAST_WORDS = 5
+
+
+def validate_language(corpus: Corpus, first: int | None = None) -> DataFrame:
+    """(work_id, language, script, expected, share, valid) by all verses of each work, or its `first` ones; a work whose
+    language is unknown should be in the Latin script. Null texts have no letters."""
+    verses = corpus.verses
+    if first is not None:
+        place = F.row_number().over(Window.partitionBy("work_id").orderBy("division_ordinal", "chapter", "number", "verse_id"))
+        verses = verses.withColumn("__lx_n", place).filter(F.col("__lx_n") <= first)
+    counts = T.script_counts(F.col("text"))
+    sums = verses.groupBy("work_id", "language").agg(*(F.sum(c).alias(f"n_{k}") for k, c in counts.items()))
+    found = sums.withColumn("d", T.script_of({k: F.col(f"n_{k}") for k in counts})).withColumn("expected", T.expected_script(F.col("language")))
     valid = (F.col("d.script") == F.col("expected")) & (F.col("d.share") >= T.LEAST_SCRIPT_SHARE)
     return found.select("work_id", "language", F.col("d.script").alias("script"), "expected", F.round("d.share", 4).alias("share"), valid.alias("valid"))
 

@@ -123,8 +123,7 @@ m AS (SELECT *, greatest({", ".join(_SCRIPT_RANGES)}) AS most FROM n),
 script AS (SELECT {key}, CASE WHEN n = 0 THEN 'ninguno' WHEN most = 0 THEN 'otro' {names} END AS script, CASE WHEN most > 0 THEN most / n ELSE 0.0 END AS share FROM m)"""
 
 
-_VALID = f"""first60 AS (SELECT work_id, language, text, row_number() OVER (PARTITION BY work_id ORDER BY ordinal, chapter, number, verse_id) AS k FROM verses),
-sample AS (SELECT work_id, language, left(string_agg(text, ' ' ORDER BY k), 4000) AS text FROM first60 WHERE k <= 60 AND text <> '' GROUP BY ALL),
+_VALID = f"""sample AS (SELECT work_id, language, string_agg(text, ' ') AS text FROM verses GROUP BY ALL),
 {_scripts("FROM sample", "work_id, language")},
 valid AS (SELECT work_id, language, script, 'latino' AS expected, round(share, 4) AS share, script = 'latino' AND share >= 0.6 AS valid FROM script)"""
 
