@@ -186,6 +186,33 @@ def models(vectors: DataFrame) -> DataFrame:
     return vectors.groupBy("model").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "model")
 
 
+def preferred_model(vectors: DataFrame, prefixes: tuple[str, ...] = ("torch:", "static:")) -> DataFrame:
+    """(model, n) of the one model to search with: the first of `prefixes` that some model has, of these the one with most
+    vectors; without any, the one with most vectors. Ties go by name; empty without vectors."""
+    rank = F.lit(len(prefixes))
+    for k, prefix in reversed(list(enumerate(prefixes))):
+        rank = F.when(F.startswith("model", F.lit(prefix)), k).otherwise(rank)
+    return models(vectors).orderBy(rank, F.desc("n"), "model").limit(1)
+
+
+def with_verses(found: DataFrame, verses: DataFrame, works: DataFrame) -> DataFrame:
+    """Results (verse_id, similarity) with the places and texts of their verses and the titles of their works; a result
+    without a verse is left out."""
+    titles = works.select("work_id", F.col("title").alias("work_title"))
+    places = verses.select("verse_id", "work_id", "tradition", "ref", "text")
+    return found.join(places, "verse_id").join(F.broadcast(titles), "work_id").select("verse_id", "similarity", "work_id", "work_title", "tradition", "ref", "text")  # a row for each work
+
+
+def reduced(vector: Column, dimensions: int) -> Column:
+    """The first coordinates, as a unit vector."""
+    return l2_normalize(F.slice(vector, 1, dimensions).cast("array<double>"))
+
+
+def quantized(vector: Column) -> Column:
+    """Coordinates of a unit vector as whole numbers from -127 to 127."""
+    return F.transform(vector, lambda x: F.round(x * 127).cast("int"))
+
+
 def encode(verses: DataFrame, model: str, make_encoder: Callable[[], Callable[[list[str]], np.ndarray]]) -> DataFrame:
     """(verse_id, model, vector) of verses (verse_id, text). The encoder is made once for each task; rows become unit
     vectors, and zero vectors stay. Append the result, and pass what is pending() the next time, to resume."""
@@ -220,4 +247,10 @@ def compare_rankings(a: DataFrame, b: DataFrame, k: int = 10) -> DataFrame:
     return out.select("query", F.round(F.col("shared") / F.col("size"), 4).alias("overlap"), F.col("first").alias("same_first"), F.round("rho", 4).alias("rho"))
 
 
-__all__ = ["all_same_passages", "compare_rankings", "cross_tradition", "encode", "grouped", "jaccard", "models", "normalized", "pending", "same_passages", "scored", "search", "search_all"]
+def comparison_means(compared: DataFrame) -> DataFrame:
+    """(queries, overlap, same_first, rho): means over the queries of compare_rankings(), rho over those that have one."""
+    mean = lambda c: F.round(F.avg(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))), 6).alias(c)
+    return compared.agg(F.count("*").alias("queries"), mean("overlap"), mean("same_first"), mean("rho"))
+
+
+__all__ = ["all_same_passages", "compare_rankings", "comparison_means", "cross_tradition", "encode", "grouped", "jaccard", "models", "normalized", "pending", "preferred_model", "quantized", "reduced", "same_passages", "scored", "search", "search_all", "with_verses"]

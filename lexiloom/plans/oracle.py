@@ -214,3 +214,19 @@ SQL: dict[str, str] = {
       SELECT w.work_id, valid AS language_ok, coalesce(k, 0) AS missing_words, coalesce(k, 0) <= coalesce(c.n, 0) // 2 AS vocabulary_ok, round(total_tokens / total_verses, 3) AS words_per_verse, total_tokens / total_verses >= 5 AS size_ok
       FROM works w LEFT JOIN valid USING (work_id) LEFT JOIN x USING (work_id) LEFT JOIN c ON c.language = w.language""",
 }
+
+_FORMS = "array_to_string(list_filter(string_split(matched_forms, ','), lambda w: length(w) > 2), '|')"
+
+SQL |= {
+    "vector_search_verses": f"WITH {INDEX}, {_VECTORS}, s AS (SELECT verse_id, round(score, 4) AS similarity FROM scored ORDER BY score DESC, verse_id LIMIT 20) SELECT verses.verse_id, similarity, work_id, title AS work_title, verses.tradition, ref, text FROM s JOIN verses ON verses.verse_id = s.verse_id * 1048576 + 1 JOIN works USING (work_id)",
+    "engine_means": f"WITH e AS ({SQL['engine_comparison']}) SELECT count(*) AS queries, round(avg(overlap), 6) AS overlap, round(avg(same_first), 6) AS same_first, round(avg(rho), 6) AS rho FROM e",
+    "model_choice": f"WITH {_VECTORS} SELECT model, count(*) AS n FROM v GROUP BY 1 ORDER BY CASE WHEN model LIKE 'm2%' THEN 0 WHEN model LIKE 'm0%' THEN 1 ELSE 2 END, n DESC, model LIMIT 1",
+    "reduced_vectors": "WITH h AS (SELECT vec_id, embedding[1:32]::DOUBLE[] AS v FROM embeddings) SELECT vec_id AS verse_id, array_to_string(list_transform(v, lambda x: round(x / sqrt(list_inner_product(v, v)) * 127)::INT), ' ') AS codes FROM h",
+    "highlight": rf"""WITH c AS ({SQL['concordance']}), p AS (SELECT verse_id, text, {_FORMS} AS forms FROM c)
+      SELECT verse_id, CASE WHEN forms = '' THEN text ELSE regexp_replace(text, '(^|[^\p{{L}}\p{{N}}_])((?:' || forms || ')[\p{{L}}\p{{N}}_]*)', '\1<mark>\2</mark>', 'gi') END AS text FROM p""",
+    "query_words": "WITH w AS (SELECT lower(trim(unnest(string_split(text, ' ')), ' .,;:!¡?¿')) AS word FROM conversations WHERE role = 'user') SELECT word, count(*) AS n FROM w WHERE word <> '' GROUP BY 1",
+    "translation_cache": """SELECT u.conv_id, u.turn, a.turn IS NOT NULL AS cached, CASE WHEN u.conv_id % 3 <> 0 THEN nullif(a.text, '') END AS translation
+      FROM conversations u LEFT JOIN conversations a ON a.role = 'assistant' AND a.conv_id = u.conv_id AND a.turn = u.turn + 1 WHERE u.role = 'user'""",
+    "gloss": f"WITH t AS ({SQL['top_surface']}) SELECT lemma, surface, length(surface) % 4 <> 0 AS cached, CASE WHEN length(surface) % 4 IN (2, 3) THEN reverse(surface) END AS translation FROM t",
+    "frequency_table": f"WITH {INDEX}, {_BY_WORK} SELECT * FROM by_work WHERE raw_count > 0 ORDER BY per_10k DESC, work_id",
+}

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from lexiloom.functions import statistics as S
 from lexiloom.functions import text as T
-from lexiloom.operators import context, frequency, health, lexicon, search, similarity
-from lexiloom.plans.corpus import Corpus, first_of_each, from_documents
+from lexiloom.operators import context, display, frequency, health, lexicon, search, similarity
+from lexiloom.plans.corpus import LINES, Corpus, first_of_each, from_documents
+from lexiloom.streaming import cache
 
 #: What the queries ask for.
 STEMS = ("er", "ther", "rewh", "thatin")
@@ -240,6 +241,58 @@ def translation_pending(spark, folder):
     return turns.filter("role = 'user'").join(cached, ["conv_id", "turn"], "left_anti").select("conv_id", "turn")
 
 
+def vector_search_verses(spark, folder):
+    """What a search by vector found, with the verses, a document's first line standing for it, and their works."""
+    c = corpus_of(spark, folder)
+    found = vector_search(spark, folder).withColumn("verse_id", F.col("verse_id") * LINES + 1)
+    return similarity.with_verses(found, c.verses, c.works)
+
+
+def engine_means(spark, folder):
+    return similarity.comparison_means(engine_comparison(spark, folder))
+
+
+def model_choice(spark, folder):
+    return similarity.preferred_model(vectors_of(spark, folder), ("m2", "m0"))
+
+
+def reduced_vectors(spark, folder):
+    """Half of the coordinates, as small integers."""
+    half = similarity.reduced(F.col("vector"), 32)
+    return vectors_of(spark, folder).select("verse_id", F.array_join(similarity.quantized(half).cast("array<string>"), " ").alias("codes"))
+
+
+def highlight(spark, folder):
+    """The concordance's texts with the forms that were found marked."""
+    rows = context.concordance(corpus_of(spark, folder), STEMS)
+    return rows.select("verse_id", display.highlighted(F.col("text"), F.split("matched_forms", ",")).alias("text"))
+
+
+def query_words(spark, folder):
+    """Words that users wrote, cleaned as those of requests are."""
+    turns = spark.read.parquet(f"{folder}/conversations.parquet").filter("role = 'user'")
+    words = turns.select(F.explode(F.split("text", " ")).alias("raw")).select(display.clean_word(F.col("raw")).alias("word"))
+    return words.filter("word <> ''").groupBy("word").agg(F.count("*").alias("n"))
+
+
+def translation_cache(spark, folder):
+    """Each user turn with its cached translation: the answer stands for it; every third conversation's is brought again
+    by a second batch, empty, as a try without success."""
+    turns = spark.read.parquet(f"{folder}/conversations.parquet")
+    first = turns.filter("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), "text", F.lit(0).alias("batch"))
+    second = first.filter("conv_id % 3 = 0").withColumn("text", F.lit("")).withColumn("batch", F.lit(1))
+    kept = cache.newest(first.union(second), ["conv_id", "turn"], ["batch"])
+    return cache.look_up(turns.filter("role = 'user'").select("conv_id", "turn"), kept, ["conv_id", "turn"])
+
+
+def gloss(spark, folder):
+    """Glosses of all lemmas, where words of three in four lengths were tried; the reversed word stands for the gloss."""
+    c = corpus_of(spark, folder)
+    words = c.lemma_index.select("surface").distinct().filter(F.length("surface") % 4 != 0)
+    tried = words.select(F.col("surface").alias("word"), F.lit("es").alias("lang"), F.when(F.length("surface") % 4 == 1, "").otherwise(F.reverse("surface")).alias("text"))
+    return cache.gloss(c, tried, "es")
+
+
 def _on_corpus(of: Callable[[Corpus], DataFrame]):
     return lambda spark, folder: of(corpus_of(spark, folder))
 
@@ -249,9 +302,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         normalize_text, tokenize, token_count, stem, ngrams, strip_html, detect_script, verse_dedup, lemma_totals, division_totals, work_totals, list_works, list_divisions, health_counts, ingest_stats, log_likelihood, semantic_fields,
         lexicon_terms, field_stems, fields_containing, resolve_query, search_text, vector_search, vector_search_all, vector_search_grouped, near_duplicates, near_duplicates_all, cross_tradition, pending_embeddings, embedding_models, l2_normalize, engine_comparison, translation_pending,
+        vector_search_verses, engine_means, model_choice, reduced_vectors, highlight, query_words, translation_cache, gloss,
     )
 } | {
     "frequency_by_work": _on_corpus(lambda c: frequency.frequency_by_work(c, STEMS)),
+    "frequency_table": _on_corpus(lambda c: display.frequency_table(frequency.frequency_by_work(c, STEMS))),
     "dispersion": _on_corpus(lambda c: frequency.dispersion(c, STEMS)),
     "frequency_by_division": _on_corpus(lambda c: frequency.frequency_by_division(c, STEMS, WORK)),
     "frequency_by_section": _on_corpus(lambda c: frequency.frequency_by_section(c, STEMS, WORK)),
