@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiloom.llm import exact_dedup, language, mixing, near_dedup, pieces, quality, sharding, token_counts, toxicity, url_filter
+from lexiloom.llm import byte_pairs, exact_dedup, filter_audit, language, manifest, mixing, near_dedup, pieces, quality, sharding, token_counts, toxicity, url_filter
 from lexiloom.llm.scratch import for_long_rows, new_folder, read_table, stream_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -117,6 +118,35 @@ def op10_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return url_filter.judge(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict", F.round("score", 6).alias("score"))
 
 
+def op11_byte_pairs(spark: SparkSession, folder: str, tokenizers: str = TOKENIZERS) -> DataFrame:
+    """Tokens of every document, as digests, and the digest of what they decode to."""
+    for_long_rows(spark)
+    docs = read_table(spark, folder, "documents").select("doc_id", "text")
+    vocabulary = byte_pairs.Vocabulary.load(f"{tokenizers}/byte_bpe_50k.json")
+    encoded = byte_pairs.encode(docs, vocabulary)
+    text = byte_pairs.decoded(F.col("ids"), vocabulary)
+    return encoded.select("doc_id", F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(text, 256).alias("decoded_sha256"))
+
+
+def op12_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    """What each of five filters removes at each step of each order, by source."""
+    for_long_rows(spark)
+    docs = read_table(spark, folder, "documents").select("doc_id", "text", "source")
+    return filter_audit.audit(filter_audit.cells(docs, read_table(spark, folder, "labels").select("doc_id", "quality", "toxic")))
+
+
+def op13_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """Proofs of all documents, and where they lead from texts in lower case, for one in three."""
+    for_long_rows(spark)
+    docs = read_table(spark, folder, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    leaf = lambda text: manifest.leaf_of(F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars"), text)
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0, leaf(F.translate("text", ascii_uppercase, ascii_lowercase)))
+    proved = manifest.with_proofs(docs, F.col("lang"), "doc_id", leaf(F.col("text")), tampered=tampered)
+    root = manifest.folded(F.coalesce("tampered", "leaf"), F.col("proof"))
+    out = proved.select("doc_id", "leaf", "subroot", "root", F.sha2(manifest.digests_of(F.col("proof")), 256).alias("proof_sha256"), root.alias("folded_root"))
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_sharding": op1_sharding,
     "op2_toxicity": op2_toxicity,
@@ -128,6 +158,9 @@ QUERIES: dict[str, Query] = {
     "op8_token_counts": op8_token_counts,
     "op9_pieces": op9_pieces,
     "op10_url_filter": op10_url_filter,
+    "op11_byte_pairs": op11_byte_pairs,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_manifest": op13_manifest,
 }
 
 OP3_SQL = r"""
@@ -202,7 +235,91 @@ g AS (SELECT norm, min(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP B
 SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, sha256(norm) AS text_sha256 FROM d JOIN g USING (norm)
 """
 
+OP12_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+first_of AS (SELECT text, min(doc_id) AS first FROM d GROUP BY text),
+l AS (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id),
+f AS (
+  SELECT d.part, coalesce(l.quality = 1, false)::INT AS good, coalesce(l.toxic = 1, false)::INT AS toxic,
+    (len(w) < 200)::INT * 1 + (100 * len(list_distinct(w)) < 50 * len(w))::INT * 2
+    + (100 * length(regexp_replace(d.text, '[^A-Z]', '', 'g')) > 2 * length(d.text))::INT * 4
+    + regexp_matches(d.text, '[#$%&*|]')::INT * 8 + coalesce(d.doc_id > first_of.first, false)::INT * 16 AS mask
+  FROM d JOIN first_of ON d.text = first_of.text LEFT JOIN l ON d.doc_id = l.doc_id),
+letters(letter, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+cell AS (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY ALL),
+step AS (
+  SELECT c.part, x.letter, x.bit, s.applied,
+    sum(n * ((mask & (s.applied | x.bit)) = 0)::INT)::BIGINT AS kept,
+    sum(n * ((mask & s.applied) = 0 AND (mask & x.bit) <> 0)::INT)::BIGINT AS removed,
+    sum(n * ((mask & s.applied) <> 0 AND (mask & x.bit) <> 0)::INT)::BIGINT AS redundant,
+    sum(n * (mask = x.bit)::INT)::BIGINT AS unique_fails,
+    sum(good * ((mask & s.applied) = 0 AND (mask & x.bit) <> 0)::INT)::BIGINT AS good_lost,
+    sum(toxic * ((mask & s.applied) = 0 AND (mask & x.bit) <> 0)::INT)::BIGINT AS toxic_lost
+  FROM cell c, letters x, (SELECT unnest(range(32)) AS applied) s WHERE (s.applied & x.bit) = 0 GROUP BY ALL),
+orders AS (
+  SELECT a.letter || b.letter || c.letter || d.letter || e.letter AS filter_order
+  FROM letters a, letters b, letters c, letters d, letters e WHERE (a.bit | b.bit | c.bit | d.bit | e.bit) = 31),
+places AS (
+  SELECT filter_order, k AS step, filter_order[k] AS letter,
+    coalesce(list_sum(list_transform(range(1, k), lambda i: 1 << (ascii(filter_order[i]) - 65))), 0) AS applied
+  FROM orders, (SELECT unnest(range(1, 6)) AS k) t)
+SELECT s.part, p.filter_order, p.step::INT AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+  sum(removed) OVER (PARTITION BY s.part, s.letter)::BIGINT AS shapley
+FROM places p JOIN step s ON p.letter = s.letter AND p.applied = s.applied
+"""
+
+OP13_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, lang, text, doc_id::VARCHAR AS a, n_chars::VARCHAR AS c,
+    coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id::VARCHAR, '-') || coalesce(strlen(source) || ':' || source, '-')
+    || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars::VARCHAR, '-') AS head
+  FROM documents),
+crc AS (
+  SELECT *, xor(list_reduce(list_transform(string_split(a, ''), lambda x: ascii(x)::BIGINT),
+      lambda s, b: list_reduce([0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda x, y: xor(x >> 1, (x & 1) * 3988292384), xor(s, b)), 4294967295), 4294967295) AS crc
+  FROM d),
+base AS (
+  SELECT doc_id, coalesce('1' || lang, '0') AS tree, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+    CASE WHEN crc % 3 = 0 THEN sha256(head || coalesce(strlen(text) || ':' || translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '-')) END AS lowered
+  FROM crc),
+leaves AS (
+  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, row_number() OVER (ORDER BY tree, doc_id NULLS FIRST, leaf) AS r FROM base),
+up AS (
+  SELECT tree, 0 AS lvl, i, leaf AS h FROM leaves
+  UNION ALL
+  SELECT tree, lvl + 1, i // 8, sha256(string_agg(h, '' ORDER BY i)) FROM (SELECT *, count(*) OVER (PARTITION BY tree) AS n FROM up) WHERE n > 1 GROUP BY tree, lvl, i // 8),
+subroots AS (
+  SELECT tree, lvl AS height, h AS subroot, row_number() OVER (ORDER BY tree) - 1 AS i
+  FROM (SELECT *, max(lvl) OVER (PARTITION BY tree) AS top FROM up) WHERE lvl = top),
+forest AS (
+  SELECT 0 AS lvl, i, subroot AS h FROM subroots
+  UNION ALL
+  SELECT lvl + 1, i // 8, sha256(string_agg(h, '' ORDER BY i)) FROM (SELECT *, count(*) OVER () AS n FROM forest) WHERE n > 1 GROUP BY lvl, i // 8),
+root AS (SELECT arg_max(h, lvl) AS root, max(lvl) AS height FROM forest),
+runs AS (
+  SELECT tree, lvl, i // 8 AS run, list(h ORDER BY i) AS hs FROM up GROUP BY ALL
+  UNION ALL SELECT NULL, lvl, i // 8, list(h ORDER BY i) FROM forest GROUP BY ALL),
+steps AS (
+  SELECT l.r, runs.lvl AS k, (l.i >> (3 * runs.lvl)) % 8 AS own, hs
+  FROM leaves l JOIN subroots s ON l.tree = s.tree JOIN runs ON runs.tree = l.tree AND runs.lvl < s.height AND runs.run = l.i >> (3 * runs.lvl + 3)
+  UNION ALL
+  SELECT l.r, s.height + runs.lvl, (s.i >> (3 * runs.lvl)) % 8, hs
+  FROM leaves l JOIN subroots s ON l.tree = s.tree JOIN runs ON runs.tree IS NULL AND runs.run = s.i >> (3 * runs.lvl + 3) JOIN root ON runs.lvl < root.height),
+sides AS (SELECT r, k, coalesce(list_aggregate(hs[:own], 'string_agg', ''), '') AS before, coalesce(list_aggregate(hs[own + 2:], 'string_agg', ''), '') AS after FROM steps),
+proofs AS (SELECT r, string_agg(before || after, '' ORDER BY k) AS proof FROM sides GROUP BY r),
+folds AS (
+  SELECT r, 0 AS k, coalesce(lowered, leaf) AS h FROM leaves
+  UNION ALL
+  SELECT f.r, f.k + 1, sha256(before || h || after) FROM folds f JOIN sides s ON f.r = s.r AND f.k = s.k),
+folded AS (SELECT r, arg_max(h, k) AS folded_root FROM folds GROUP BY r)
+SELECT doc_id, leaf, subroot, root, sha256(coalesce(proof, '')) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM leaves l JOIN subroots s ON l.tree = s.tree CROSS JOIN root JOIN folded f ON l.r = f.r LEFT JOIN proofs p ON l.r = p.r
+"""
+
 SQL: dict[str, str] = {
     "op6_exact_dedup": OP6_SQL,
     "op3_quality": OP3_SQL,
+    "op12_filter_audit": OP12_SQL,
+    "op13_manifest": OP13_SQL,
 }

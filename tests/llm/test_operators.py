@@ -18,7 +18,7 @@ def docs_of(spark):
     return spark.read.parquet(f"{FOLDER}/documents.parquet")
 
 
-@pytest.mark.parametrize("name", ["op3_quality", "op6_exact_dedup"])
+@pytest.mark.parametrize("name", ["op3_quality", "op6_exact_dedup", "op12_filter_audit", "op13_manifest"])
 def test_against_sql(spark, con, name):
     want = con.sql(queries.SQL[name])
     columns = sorted(want.columns)
