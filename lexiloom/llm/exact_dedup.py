@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexiloom.llm.scratch import broadcast_if_small, join_dealt, materialize, new_folder
+from lexiloom.llm.scratch import broadcast_if_small, join_dealt, materialize, new_folder, quoted
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _STREAM_CONF = {
@@ -93,11 +93,11 @@ def mark_duplicates(stream: DataFrame, docs: DataFrame, state_dir: str, doc_id:
     """
     names = [c for c in docs.columns if c not in ("keep_id", "keep_locator", "group_size", "kept", "text_sha256")]
     state = keyed_state(stream, state_dir, digest, doc_id, text)
-    state = materialize(state.select(F.col("digest").alias("__lx_digest"), "keep", "group_size"), "dedup-state")
+    state = materialize(state.select(F.col("digest").alias("__lx_digest"), F.col("keep").alias("__lx_state"), "group_size"), "dedup-state")
     rows = docs.withColumn("__lx_norm", normalized(F.col(text))).withColumn("__lx_digest", digest(F.col("__lx_norm"))).withColumn("text_sha256", sha256(F.col("__lx_norm")))
 
     total = state.agg(F.coalesce(F.sum("group_size"), F.lit(0))).first()[0]
-    shared = broadcast_if_small(state.filter("group_size > 1").select("__lx_digest", F.col("keep.id").alias("__lx_keep"), F.col("group_size").alias("__lx_size")))
+    shared = broadcast_if_small(state.filter("group_size > 1").select("__lx_digest", F.col("__lx_state.id").alias("__lx_keep"), F.col("group_size").alias("__lx_size")))
     held = materialize(rows.select(F.col(doc_id).alias("__lx_id"), "__lx_norm", "__lx_digest").join(shared, "__lx_digest"), "dedup-held")
     stays = F.col("__lx_id").eqNullSafe(F.col("__lx_keep"))
     kept_text = held.filter(stays).groupBy("__lx_digest").agg(F.min("__lx_norm").alias("__lx_kept"), F.first("__lx_size").alias("__lx_size"))
@@ -105,12 +105,12 @@ def mark_duplicates(stream: DataFrame, docs: DataFrame, state_dir: str, doc_id:
     other = materialize(hits.filter("__lx_norm <> __lx_kept").select("__lx_digest", "__lx_norm", "__lx_id"), "dedup-collisions")
 
     collided = not other.isEmpty()
-    out = rows.select(*names, "text_sha256", "__lx_digest", *["__lx_norm"] * collided, F.col(doc_id).alias("__lx_by"))
+    out = rows.select(*quoted(names), "text_sha256", "__lx_digest", *["__lx_norm"] * collided, F.col(doc_id).alias("__lx_by"))
     out = join_dealt(out, state, "__lx_digest", "group_size", total, "__lx_by")
-    out = out.withColumn("keep_id", F.col("keep.id")).withColumn("keep_locator", F.col("keep.locator"))
+    out = out.withColumn("keep_id", F.col("__lx_state.id")).withColumn("keep_locator", F.col("__lx_state.locator"))
     if collided:
         out = _apart(out, other)
-    return out.withColumn("kept", F.col(doc_id).eqNullSafe(F.col("keep_id"))).select(*names, "keep_id", "keep_locator", "group_size", "kept", "text_sha256")
+    return out.withColumn("kept", F.col(doc_id).eqNullSafe(F.col("keep_id"))).select(*quoted(names), "keep_id", "keep_locator", "group_size", "kept", "text_sha256")
 
 
 def _apart(out: DataFrame, other: DataFrame) -> DataFrame:
@@ -147,4 +147,4 @@ def drop_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     if not repeated.isEmpty():
         one = out.join(repeated, same, "left_semi").dropDuplicates([doc_id, "__lx_own"])
         out = out.join(repeated, same, "left_anti").union(one)
-    return out.select(*docs.columns)
+    return out.select(*quoted(docs.columns))

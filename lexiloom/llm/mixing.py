@@ -23,7 +23,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexiloom.llm.scratch import materialize
+from lexiloom.llm.scratch import materialize, quoted
 
 STEPS = 40
 BUCKET_TOKENS, BUCKET_GROUP = 1_000_000, 1000
@@ -95,13 +95,13 @@ def mix(docs: DataFrame, entropy: float = 0.98, repeats: float = 1.5, block_toke
     blocks = max(1, math.ceil(budget / block_tokens))
 
     # the documents of a source, in the order of each pass, in hash buckets of about BUCKET_TOKENS tokens
-    plan = plan.withColumns({"buckets": F.greatest(F.lit(1), F.ceil(F.col("tokens") / BUCKET_TOKENS)).cast("int"), "__lx_s": F.col("s")}).drop("s")
-    rows = docs.select(*names, F.col(doc_id).alias("__lx_id"), tokens_of(text).alias("__lx_n")).join(plan, key.eqNullSafe(F.col("__lx_s")))
-    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(0), F.ceil("passes").cast("int") - 1)))
+    plan = plan.withColumns({"__lx_buckets": F.greatest(F.lit(1), F.ceil(F.col("tokens") / BUCKET_TOKENS)).cast("int"), "__lx_s": F.col("s")}).drop("s").withColumnsRenamed({"tokens": "__lx_tokens", "passes": "__lx_passes"})
+    rows = docs.select(*quoted(names), F.col(doc_id).alias("__lx_id"), tokens_of(text).alias("__lx_n")).join(plan, key.eqNullSafe(F.col("__lx_s")))
+    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(0), F.ceil("__lx_passes").cast("int") - 1)))
     rows = rows.withColumn("place", F.xxhash64(F.lit(seed), F.col("copy"), F.col("__lx_id")))
-    rows = rows.withColumn("__lx_bucket", F.pmod(F.col("place"), F.col("buckets")))
-    light = sized.join(plan, F.col("s").eqNullSafe(F.col("__lx_s"))).withColumn("copy", F.explode(F.sequence(F.lit(0), F.ceil("passes").cast("int") - 1)))
-    light = light.withColumn("__lx_bucket", F.pmod(F.xxhash64(F.lit(seed), F.col("copy"), F.col("id")), F.col("buckets")))
+    rows = rows.withColumn("__lx_bucket", F.pmod(F.col("place"), F.col("__lx_buckets")))
+    light = sized.join(plan, F.col("s").eqNullSafe(F.col("__lx_s"))).withColumn("copy", F.explode(F.sequence(F.lit(0), F.ceil("__lx_passes").cast("int") - 1)))
+    light = light.withColumn("__lx_bucket", F.pmod(F.xxhash64(F.lit(seed), F.col("copy"), F.col("id")), F.col("__lx_buckets")))
     sums = light.groupBy("s", "copy", "__lx_bucket").agg(F.sum("n").alias("sum"))
     # offsets of buckets within their group of BUCKET_GROUP, then of the groups, so that no source is summed up in one task
     sums = materialize(sums.withColumn("__lx_group", F.floor(F.col("__lx_bucket") / BUCKET_GROUP)), "mix-buckets")
@@ -111,7 +111,7 @@ def mix(docs: DataFrame, entropy: float = 0.98, repeats: float = 1.5, block_toke
     inner = sums.withColumn("inner", upto("sum", "s", "copy", "__lx_group", "__lx_bucket"))
     both = inner.join(groups, F.col("s").eqNullSafe(F.col("g_s")) & (F.col("copy") == F.col("g_copy")) & (F.col("__lx_group") == F.col("g_group")))
     offsets = materialize(both.select(F.col("s").alias("__lx_os"), F.col("copy").alias("__lx_oc"), F.col("__lx_bucket").alias("__lx_ob"), (F.col("inner") + F.col("g_before")).alias("__lx_before")), "mix-offsets")
-    share = F.col("passes") * F.col("tokens")  # tokens of the source in the budget
+    share = F.col("__lx_passes") * F.col("__lx_tokens")  # tokens of the source in the budget
     offsets = offsets.withColumnRenamed("__lx_before", "__lx_first")
     rows = rows.join(offsets, F.col("__lx_s").eqNullSafe(F.col("__lx_os")) & (F.col("copy") == F.col("__lx_oc")) & (F.col("__lx_bucket") == F.col("__lx_ob")))
     rows = rows.filter((F.col("copy") == 0) | (F.col("__lx_first") < share))  # buckets beyond the budget aren't exchanged
@@ -119,9 +119,9 @@ def mix(docs: DataFrame, entropy: float = 0.98, repeats: float = 1.5, block_toke
     rows = rows.withColumn("__lx_start", F.col("__lx_first") + F.coalesce(within, F.lit(0)))
     rows = rows.filter((F.col("copy") == 0) | (F.col("__lx_start") < share))
     block = F.when(share > 0, F.least(F.lit(blocks - 1), F.floor(F.col("__lx_start") * blocks / share))).otherwise(F.lit(0)).cast("int")
-    return rows.withColumn("block", block).select(*names, "weight", "copy", "block", "place")
+    return rows.withColumn("block", block).select(*quoted(names), "weight", "copy", "block", "place")
 
 
 def mixed_docs(docs: DataFrame, entropy: float = 0.98, repeats: float = 1.25) -> DataFrame:
     """The mixture as rows of `docs`."""
-    return mix(docs, entropy, repeats).select(*docs.columns)
+    return mix(docs, entropy, repeats).select(*quoted(docs.columns))

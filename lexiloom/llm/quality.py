@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexiloom.llm.scratch import materialize
+from lexiloom.llm.scratch import materialize, quoted
 
 PRIOR = 300
 SIGNALS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
@@ -172,7 +172,7 @@ def thresholds(sketch: DataFrame, lang: str = "lang", source: str = "source", le
 def within_fences() -> Column:
     ok = F.lit(True)
     for r in RULES:
-        ok = ok & (F.col(r.metric) <= F.col(f"hi_{r.metric}")) & (F.col(r.metric) >= F.col(f"lo_{r.metric}"))
+        ok = ok & (F.col(r.metric) <= F.col(f"__lx_hi_{r.metric}")) & (F.col(r.metric) >= F.col(f"__lx_lo_{r.metric}"))
     return ok
 
 
@@ -185,10 +185,10 @@ def judge_signals(signals: DataFrame, lang: str = "lang", source: str = "source"
     judged = materialize(signals, "quality-signals")
     sketch = materialize(sketches(judged.filter("not base_failed"), [lang, source]), "quality-sketch", 8)
     limits = materialize(thresholds(sketch, lang, source, least_docs), "quality-thresholds", 1)
-    limits = limits.withColumnsRenamed({lang: "__lx_lang", source: "__lx_source"})
+    limits = limits.withColumnsRenamed({lang: "__lx_lang", source: "__lx_source"} | {f"{c}_{r.metric}": f"__lx_{c}_{r.metric}" for r in RULES for c in ("hi", "lo")})
     out = judged.join(limits, F.col(lang).eqNullSafe(F.col("__lx_lang")) & F.col(source).eqNullSafe(F.col("__lx_source")), "left")
     names = [c for c in judged.columns if c != "kept"]
-    return out.withColumn("kept", ~F.col("base_failed") & F.coalesce(within_fences(), F.lit(False))).select(*names, "kept")
+    return out.withColumn("kept", ~F.col("base_failed") & F.coalesce(within_fences(), F.lit(False))).select(*quoted(names), "kept")
 
 
 def keep_good(docs: DataFrame) -> DataFrame:

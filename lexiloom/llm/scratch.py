@@ -10,7 +10,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A key is hot if it holds more than one of HOT parts of all rows, so there are fewer hot keys than that; its rows are
@@ -56,6 +56,11 @@ def remove(df: DataFrame) -> None:
         target.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def quoted(names: list[str]) -> list[Column]:
+    """Columns by their whole names, dots and all."""
+    return [F.col(f"`{c}`") for c in names]
+
+
 def broadcast_if_small(df: DataFrame, most_bytes: int = 32 << 20) -> DataFrame:
     """`df` with a broadcast hint if its rows take `most_bytes` at most, else as it is; it sums their lengths."""
     long = [F.coalesce(F.octet_length(F.col(f"`{c}`")), F.lit(0)) for c, kind in df.dtypes if kind in ("string", "binary")]

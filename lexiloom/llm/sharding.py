@@ -23,7 +23,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexiloom.llm.scratch import materialize
+from lexiloom.llm.scratch import materialize, quoted
 
 FIRST, FINER, BITS = 12, 6, 64
 
@@ -66,7 +66,8 @@ def histogram(keys: DataFrame, leaf_share: float, bucket_bytes: int) -> list[Buc
         found = [Bucket(r["prefix"] & ((1 << bits) - 1), bits, r["size"], r["n"]) for r in at.groupBy("prefix").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()]
         most = most or max(1.0, min(bucket_bytes, leaf_share * sum(b.size for b in found)))
         too_big = [b for b in found if b.size > most and b.rows > 1 and bits + FINER <= BITS]
-        done += [b for b in found if b not in set(too_big)]
+        halved = set(too_big)
+        done += [b for b in found if b not in halved]
         if not too_big:
             return sorted(done, key=lambda b: b.low)
         bits, heavy = bits + FINER, [_signed(b.prefix, bits) for b in too_big]
@@ -99,10 +100,10 @@ def assign_shards(docs: DataFrame, shards: int, doc_id: str = "doc_id", text: st
     keys = materialize(docs.select(key_of(doc_id, text).alias("key"), bytes_of(text).alias("size")), "shard-keys")
     placed = splitters(histogram(keys, tolerance / shards, bucket_bytes), shards)
     names = [c for c in docs.columns if c not in ("shard", "slot")]
-    rows = _located(spark, docs.select(*names).withColumn("__lx_key", key_of(doc_id, text)), placed)
+    rows = _located(spark, docs.select(*quoted(names)).withColumn("__lx_key", key_of(doc_id, text)), placed)
     # the sort is on the key's unsigned order, which within a bucket is that of the signed key
     place = F.row_number().over(Window.partitionBy("__lx_bucket.no").orderBy("__lx_key", doc_id))
-    return rows.withColumn("__lx_place", place).select(*names, F.col("__lx_bucket.shard").alias("shard"), (F.col("__lx_bucket.first") + F.col("__lx_place") - 1).alias("slot"))
+    return rows.withColumn("__lx_place", place).select(*quoted(names), F.col("__lx_bucket.shard").alias("shard"), (F.col("__lx_bucket.first") + F.col("__lx_place") - 1).alias("slot"))
 
 
 def _located(spark: SparkSession, rows: DataFrame, placed: list[tuple[Bucket, int, int]]) -> DataFrame:

@@ -22,7 +22,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexiloom.llm.scratch import materialize
+from lexiloom.llm.scratch import materialize, quoted
 
 BINS = 16
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -200,11 +200,11 @@ def with_scores(urls: DataFrame, model: Model, url: str = "url") -> DataFrame:
     """Adds `score`, the probability of a true label."""
     names = [c for c in urls.columns if c != "score"]
     if not model.trees:
-        return urls.select(*names).withColumn("score", F.lit(1 / (1 + math.exp(-model.base))))
-    rows = _features(urls.select(*names), url, model.suffixes, model.prior)
-    rows = rows.select(*names, *(c.alias(k) for k, c in ((f"__lx_b_{k}", c) for k, c in _binned(model.limits).items())))
+        return urls.select(*quoted(names)).withColumn("score", F.lit(1 / (1 + math.exp(-model.base))))
+    rows = _features(urls.select(*quoted(names)), url, model.suffixes, model.prior)
+    rows = rows.select(*quoted(names), *(c.alias(k) for k, c in ((f"__lx_b_{k}", c) for k, c in _binned(model.limits).items())))
     margin = reduce(lambda a, t: a + _tree_column(_prefixed(t)), model.trees, F.lit(model.base))
-    return rows.select(*names, (1 / (1 + F.exp(-margin))).alias("score"))
+    return rows.select(*quoted(names), (1 / (1 + F.exp(-margin))).alias("score"))
 
 
 def _prefixed(tree):
@@ -215,9 +215,9 @@ def judge(urls: DataFrame, rules: list[Rule], url: str = "url") -> DataFrame:
     """All rows of `urls` with host, path, rule (or null), score and verdict (the rule's, else that of the trees)."""
     names = [c for c in urls.columns if c not in ("host", "path", "rule", "verdict", "score")]
     host, path = split_url(url)
-    rows = urls.select(*names, host.alias("host"), path.alias("path"))
+    rows = urls.select(*quoted(names), host.alias("host"), path.alias("path"))
     name, blocks = fitting_rule(rules)
     rows = rows.withColumns({"rule": name, "__lx_blocks": blocks})
     scored = with_scores(rows, learn(rows, "__lx_blocks", url), url)
     verdict = F.when(F.coalesce("__lx_blocks", F.col("score") >= 0.5), "block").otherwise("allow")
-    return scored.withColumn("verdict", verdict).select(*names, "host", "path", "rule", "score", "verdict")
+    return scored.withColumn("verdict", verdict).select(*quoted(names), "host", "path", "rule", "score", "verdict")
