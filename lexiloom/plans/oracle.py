@@ -31,7 +31,7 @@ verses AS (
     doc_id AS chapter, number, source || ' ' || doc_id || ':' || number AS ref, text
   FROM lines WHERE regexp_matches(text, '\S')),
 normal AS (
-  SELECT *, lower(replace(replace(regexp_replace(regexp_replace(text, '{_EDITORIAL}', ' ', 'g'), '{_MARKS}', '', 'g'), '’', ''''), chr(173), '')) AS low FROM verses),
+  SELECT *, lower(replace(replace(regexp_replace(regexp_replace(nfc_normalize(text), '{_EDITORIAL}', ' ', 'g'), '{_MARKS}', '', 'g'), '’', ''''), chr(173), '')) AS low FROM verses),
 folded AS (SELECT * EXCLUDE (low), CASE WHEN language IN ('es', 'en') THEN strip_accents(nfc_normalize(low)) ELSE low END AS normal FROM normal),
 words AS (SELECT *, regexp_extract_all(normal, '{_WORD}') AS w FROM folded)"""
 
@@ -166,6 +166,12 @@ SQL: dict[str, str] = {
     "resolve_query": f"WITH {LEXICON} SELECT lemma, sum(count)::BIGINT AS count FROM totals WHERE lemma IN ('ther', 'rewh') OR lemma IN (SELECT lemma FROM lex WHERE field = 'length6' AND language = 'en') GROUP BY 1",
     "search_text": rf"""WITH {VERSES}, t AS (SELECT verse_id, regexp_extract_all(strip_accents(lower(text)), '[\p{{L}}\p{{N}}\p{{Co}}]+') AS w FROM verses)
       SELECT verse_id FROM t WHERE list_contains(w, 'ther') OR (contains(' ' || array_to_string(w, ' ') || ' ', ' of the ') AND NOT (list_contains(w, 'er') AND len(list_filter(w, lambda x: starts_with(x, 'th'))) > 0))""",
+    "search_ranked": rf"""WITH {VERSES}, t AS (SELECT verse_id, regexp_extract_all(strip_accents(lower(text)), '[\p{{L}}\p{{N}}\p{{Co}}]+') AS w FROM verses),
+      tf AS (SELECT verse_id, len(w) AS n, x.k, len(list_filter(w, lambda y: y = x.k)) AS f FROM t, (VALUES ('rewh'), ('thatin'), ('cion')) x(k)),
+      s AS (SELECT count(*) AS docs, avg(len(w)) AS mean FROM t), df AS (SELECT k, count(*) FILTER (f > 0) AS df FROM tf GROUP BY k),
+      gain AS (SELECT verse_id, k, f, ln(1 + (docs - df + 0.5) / (df + 0.5)) * f * 2.2 / (f + 1.2 * (1 - 0.75 + 0.75 * n / mean)) AS g FROM tf JOIN df USING (k), s),
+      per AS (SELECT verse_id, sum(g) AS score, count(*) FILTER (f > 0 AND k <> 'cion') AS free, count(*) FILTER (f > 0 AND k = 'cion') AS other FROM gain GROUP BY 1)
+      SELECT verse_id, round(score, 4) AS score FROM per JOIN t USING (verse_id) WHERE free > 0 OR (other > 0 AND NOT list_contains(w, 'er')) ORDER BY round(score, 6) DESC, verse_id LIMIT 50""",
     "vector_search": f"WITH {_VECTORS} SELECT verse_id, round(score, 4) AS similarity FROM scored ORDER BY score DESC, verse_id LIMIT 20",
     "vector_search_all": f"WITH {_VECTORS}, pairs AS (SELECT a.verse_id AS query_id, b.verse_id, list_inner_product(b.vector, a.vector) AS s FROM v a, v b WHERE a.verse_id % 20 = 0) SELECT query_id, verse_id, round(s, 4) AS similarity, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, verse_id)::INT AS rank FROM pairs QUALIFY rank <= 40",
     "near_duplicates": f"WITH {_VECTORS}, {_RESULTS} SELECT a.verse_id AS a, b.verse_id AS b, round(len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))), 4) AS overlap FROM texts a JOIN texts b ON a.verse_id < b.verse_id WHERE len(a.w) > 0 AND len(b.w) > 0 AND len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) >= 0.6",
@@ -230,3 +236,8 @@ SQL |= {
     "gloss": f"WITH t AS ({SQL['top_surface']}) SELECT lemma, surface, length(surface) % 4 <> 0 AS cached, CASE WHEN length(surface) % 4 IN (2, 3) THEN reverse(surface) END AS translation FROM t",
     "frequency_table": f"WITH {INDEX}, {_BY_WORK} SELECT * FROM by_work WHERE raw_count > 0 ORDER BY per_10k DESC, work_id",
 }
+
+SQL |= {
+    "normalize_decomposed": SQL["normalize_text"],
+    "search_segments": SQL["search_text"],
+}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -9,9 +11,10 @@ from pyspark.sql import functions as F
 
 from lexiloom.functions import statistics as S
 from lexiloom.functions import text as T
+from lexiloom.functions.unicode import nfd
 from lexiloom.operators import context, display, frequency, health, lexicon, search, similarity
 from lexiloom.plans.corpus import LINES, Corpus, first_of_each, from_documents
-from lexiloom.streaming import cache
+from lexiloom.streaming import cache, text_index
 
 #: What the queries ask for.
 STEMS = ("er", "ther", "rewh", "thatin")
@@ -170,6 +173,43 @@ def search_text(spark, folder):
     return search.search(corpus_of(spark, folder), 'ther OR "of the" NOT er th*', limit=None).select("verse_id")
 
 
+def search_ranked(spark, folder):
+    """The best matches, by blocks that bound the scores in them."""
+    index = text_index.Blocks.of(corpus_of(spark, folder).verses)
+    return search.best(index, "rewh OR thatin OR cion NOT er").select("verse_id", F.round("score", 4).alias("score"))
+
+
+def search_segments(spark, folder):
+    """search_text over segments, of documents that come in six batches; the second batch brings the works of one tradition
+    anew, and segments are merged on the way."""
+    verses, index = corpus_of(spark, folder).verses, text_index.TextIndex(spark, _work_folder(spark, "text-index"))
+    again = verses.filter("tradition = 't1'")
+    since = again.select("work_id", F.lit(1).alias("since")).distinct()
+    for batch in range(6):
+        part = verses.filter(F.pmod("chapter", F.lit(6)) == batch)
+        index.add(again if batch == 1 else part.filter("tradition <> 't1'") if batch else part, batch)
+        if batch == 1:
+            index.add(again.unionByName(part.filter("tradition <> 't1'")), batch)  # done again, it replaces its files
+        index.merge(list(range(batch + 1)), since if batch else None)
+    found = index.read(list(range(6)), since)
+    tree = search.parse('ther OR "of the" NOT er th*')
+    return search.matches(found.postings, found.lengths, tree).select("verse_id")
+
+
+def _work_folder(spark: SparkSession, name: str) -> str:
+    """A new path that all executors share; a local one is for a local master alone."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    root = shared.rstrip("/") if shared else "file://" + tempfile.mkdtemp(prefix="spark-lexiloom-")
+    return f"{root}/lexiloom/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def normalize_decomposed(spark, folder):
+    """Lines that come decomposed (NFD), normalised: as those that come composed."""
+    return _lines(spark, folder).select("verse_id", T.normalize(nfd(F.col("text")), F.col("language")).alias("normal"))
+
+
 def vector_search(spark, folder):
     return similarity.search(vectors_of(spark, folder), query_vector(spark, folder), min_similarity=-1.0).select("verse_id", "similarity")
 
@@ -300,8 +340,8 @@ def _on_corpus(of: Callable[[Corpus], DataFrame]):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        normalize_text, tokenize, token_count, stem, ngrams, strip_html, detect_script, verse_dedup, lemma_totals, division_totals, work_totals, list_works, list_divisions, health_counts, ingest_stats, log_likelihood, semantic_fields,
-        lexicon_terms, field_stems, fields_containing, resolve_query, search_text, vector_search, vector_search_all, vector_search_grouped, near_duplicates, near_duplicates_all, cross_tradition, pending_embeddings, embedding_models, l2_normalize, engine_comparison, translation_pending,
+        normalize_text, normalize_decomposed, tokenize, token_count, stem, ngrams, strip_html, detect_script, verse_dedup, lemma_totals, division_totals, work_totals, list_works, list_divisions, health_counts, ingest_stats, log_likelihood, semantic_fields,
+        lexicon_terms, field_stems, fields_containing, resolve_query, search_text, search_ranked, search_segments, vector_search, vector_search_all, vector_search_grouped, near_duplicates, near_duplicates_all, cross_tradition, pending_embeddings, embedding_models, l2_normalize, engine_comparison, translation_pending,
         vector_search_verses, engine_means, model_choice, reduced_vectors, highlight, query_words, translation_cache, gloss,
     )
 } | {

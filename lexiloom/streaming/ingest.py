@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from lexiloom.operators.health import validate_language
 from lexiloom.plans.corpus import Corpus, first_of_each
+from lexiloom.streaming.text_index import Blocks, TextIndex
 
 PLACE = ["work_id", "division_id", "chapter", "number"]
 REPLACED = "work_id string, batch int"
@@ -44,14 +45,35 @@ def table(spark: SparkSession, folder: str, name: str, schema, before: int | Non
     return rows.join(since, "work_id", "left").filter(F.col("batch") >= F.coalesce("since", F.lit(-1))).drop("since").select(*rows.columns)
 
 
+def replaced(spark: SparkSession, folder: str) -> DataFrame:
+    """(work_id, since): the committed batch that replaced a work last."""
+    done = committed(spark, folder)
+    if not done:
+        return spark.createDataFrame([], "work_id string, since int")
+    rows = spark.read.schema("work_id string").option("basePath", f"{folder}/replaced").parquet(*(f"{folder}/replaced/batch={b}" for b in done))
+    return rows.groupBy("work_id").agg(F.max("batch").alias("since"))
+
+
+def text_index(spark: SparkSession, folder: str) -> Blocks:
+    """The text index of what the committed batches brought."""
+    return TextIndex(spark, f"{folder}/text").read(committed(spark, folder), replaced(spark, folder))
+
+
+def searchable(spark: SparkSession, folder: str, like) -> Corpus:
+    """The verses that count, with the text index that was kept for them; `like`: their schema."""
+    corpus, index = Corpus(table(spark, folder, "verses", like).drop("batch")), text_index(spark, folder)
+    corpus.text_postings, corpus.text_lengths = index.postings, index.lengths
+    return corpus
+
+
 def loaded_works(spark: SparkSession, folder: str, like) -> DataFrame:
     """(work_id) of works that are there, so that a build which is started again can leave them out."""
     return table(spark, folder, "verses", like).select("work_id").distinct()
 
 
 def ingest_batch(verses: DataFrame, batch: int, folder: str, arrival: str = "verse_id", replaces: bool = False) -> None:
-    """Writes what is new and valid of a batch to `verses`, `lemma_index` and `totals` below the folder. With `replaces`,
-    its works' earlier rows count no longer; works that aren't valid replace nothing."""
+    """Writes what is new and valid of a batch to `verses`, `lemma_index`, `totals` and the segments of `text` below the
+    folder. With `replaces`, its works' earlier rows count no longer; works that aren't valid replace nothing."""
     spark = verses.sparkSession
     if batch in committed(spark, folder):
         return
@@ -66,9 +88,11 @@ def ingest_batch(verses: DataFrame, batch: int, folder: str, arrival: str = "ver
     corpus = Corpus(spark.read.schema(verses.schema).parquet(f"{folder}/verses/batch={batch}"))
     corpus.lemma_index.write.mode("overwrite").parquet(f"{folder}/lemma_index/batch={batch}")
     corpus.lemma_totals.write.mode("overwrite").parquet(f"{folder}/totals/batch={batch}")
+    TextIndex(spark, f"{folder}/text").add(corpus.verses, batch)
     works = corpus.verses.select("work_id").distinct() if replaces else spark.createDataFrame([], "work_id string")
     works.coalesce(1).write.mode("overwrite").parquet(f"{folder}/replaced/batch={batch}")
     spark.range(1).select(F.lit(batch).alias("batch")).coalesce(1).write.mode("overwrite").parquet(f"{folder}/commits/{batch}")
+    TextIndex(spark, f"{folder}/text").merge(committed(spark, folder), replaced(spark, folder))
 
 
 def ingest(stream: DataFrame, folder: str, replaces: bool = False) -> None:
