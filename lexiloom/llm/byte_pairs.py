@@ -21,6 +21,7 @@ from __future__ import annotations
 import json
 import math
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -82,17 +83,25 @@ class Encoder:
     """
 
     def __init__(self, vocabulary: Vocabulary) -> None:
-        import tiktoken
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_str(vocabulary.text)
-        self.fast = tiktoken.Encoding("lexiloom", pat_str=PATTERN, mergeable_ranks=vocabulary.ranks, special_tokens=vocabulary.special)
+        self.vocabulary = vocabulary
         self.tokens = np.array(vocabulary.bytes_of_ids(), object)
         self.size = np.array([len(x) for x in self.tokens], np.int64)
         first = np.array([x[0] if x else 0 for x in self.tokens], np.int64)
         self.whole = (first & 0xC0) != 0x80  # begins with a character
         self.apostrophe = first == ord("'")
 
+    @cached_property
+    def library(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_str(self.vocabulary.text)
+
+    @cached_property
+    def fast(self):
+        import tiktoken
+
+        return tiktoken.Encoding("lexiloom", pat_str=PATTERN, mergeable_ranks=self.vocabulary.ranks, special_tokens=self.vocabulary.special)
+
     def ids(self, text: str) -> np.ndarray:
         """Ids of a text of a part or less; the pretokens aren't told."""
         return np.array(self.fast.encode(text, allowed_special="all"), np.uint32)
