@@ -74,35 +74,55 @@ def _nearest(asked: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int) -> It
         yield i + at, item, score
 
 
-def search_all(vectors: DataFrame, queries: DataFrame, top_k: int = 20, min_similarity: float = 0.3) -> DataFrame:
+def whole_vectors(df: DataFrame, kind: str | None = None) -> DataFrame:
+    """(verse_id, vector, dim, kind) of the rows that can be near to something; kind: of the column of that name, or empty."""
+    whole = "verse_id is not null and vector is not null and not exists(vector, x -> x is null or isnan(x))"
+    own = F.coalesce(F.col(kind).cast("string"), F.lit("")) if kind else F.lit("")
+    return df.filter(whole).select("verse_id", F.col("vector").cast("array<double>").alias("vector"), F.size("vector").alias("dim"), own.alias("kind"))
+
+
+def nearest_of_parts(asked: DataFrame, rows: DataFrame, keys: tuple[str, ...], k: int, kinds: bool) -> DataFrame:
+    """(query_id, verse_id, score, kind): of whole_vectors() that meet in `keys` the `k` nearest of each query, by numpy in
+    the task; with `kinds` the `k` nearest of each kind but the query's own."""
+
+    def near(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"query_id": np.empty(0, np.int64), "verse_id": np.empty(0, np.int64), "score": np.empty(0), "kind": np.empty(0, object)})]
+        for kind, some in v.groupby("kind") if len(q) else ():
+            names = q[q["kind"] != kind] if kinds else q
+            if len(names):
+                own = names["verse_id"].to_numpy(np.int64)
+                for at, item, score in _nearest(np.stack(names["vector"].to_list()), some["verse_id"].to_numpy(np.int64), np.stack(some["vector"].to_list()), k):
+                    out.append(pd.DataFrame({"query_id": own[at], "verse_id": item, "score": score, "kind": kind}))
+        return pd.concat(out)
+
+    rows = rows if kinds else rows.withColumn("kind", F.lit(""))
+    return asked.groupBy(*keys).cogroup(rows.groupBy(*keys)).applyInPandas(near, "query_id long, verse_id long, score double, kind string")
+
+
+def best_of_parts(found: DataFrame, k: int, min_similarity: float, kind: str | None) -> DataFrame:
+    """(query_id, [kind,] verse_id, similarity, rank) of what the parts have found."""
+    place = F.row_number().over(Window.partitionBy("query_id", "kind").orderBy(F.desc("score"), "verse_id"))
+    best = found.filter(F.col("score") >= min_similarity).withColumn("rank", place).filter(F.col("rank") <= k)
+    return best.select("query_id", *([F.col("kind").alias(kind)] if kind else []), "verse_id", F.round("score", 4).alias("similarity"), "rank")
+
+
+def search_all(vectors: DataFrame, queries: DataFrame, top_k: int = 20, min_similarity: float = 0.3, kind: str | None = None) -> DataFrame:
     """(query_id, verse_id, similarity, rank): of each query (verse_id, vector) what search() finds for it, all at once.
+    With `kind`, a column of both sides (a tradition), the `top_k` nearest of each other kind, and that column.
 
     Groups of queries meet parts of the vectors, each pair of them in a task that keeps the nearest of its part; these
-    meet by query. The work grows with the product of both sides, what is kept in a task doesn't. Query identifiers
-    should be unique. Vectors without an identifier or with null or NaN coordinates are near to nothing.
+    meet by query. The work grows with the product of both sides, what is kept in a task doesn't (vector_index.py has
+    another way). Query identifiers should be unique. Vectors without an identifier or with null or NaN coordinates are
+    near to nothing.
     """
-    k = top_k
-    whole = "verse_id is not null and vector is not null and not exists(vector, x -> x is null or isnan(x))"
-    rows, asked = (df.filter(whole).select("verse_id", F.col("vector").cast("array<double>").alias("vector"), F.size("vector").alias("dim")) for df in (vectors, queries))
+    rows, asked = whole_vectors(vectors, kind), whole_vectors(queries, kind)
     parts, groups = max(LEAST_PARTS, -(-rows.count() // PART)), max(1, -(-asked.count() // (PART // 4)))
     dealt = lambda n: F.pmod(F.xxhash64("verse_id"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     rows = rows.withColumn("part", dealt(parts)).withColumn("group", every(groups))
     asked = asked.withColumn("group", dealt(groups)).withColumn("part", every(parts))
-
-    def near(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(q) and len(v):
-            names = q["verse_id"].to_numpy(np.int64)
-            for at, item, score in _nearest(np.stack(q["vector"].to_list()), v["verse_id"].to_numpy(np.int64), np.stack(v["vector"].to_list()), k):
-                out.append(pd.DataFrame({"query_id": names[at], "verse_id": item, "score": score}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": np.empty(0, np.int64), "verse_id": np.empty(0, np.int64), "score": np.empty(0)})
-
-    keys = ("dim", "group", "part")
-    found = asked.groupBy(*keys).cogroup(rows.groupBy(*keys)).applyInPandas(near, "query_id long, verse_id long, score double")
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "verse_id"))
-    best = found.filter(F.col("score") >= min_similarity).withColumn("rank", place).filter(F.col("rank") <= k)
-    return best.select("query_id", "verse_id", F.round("score", 4).alias("similarity"), "rank")
+    found = nearest_of_parts(asked, rows, ("dim", "group", "part"), top_k, kind is not None)
+    return best_of_parts(found, top_k, min_similarity, kind)
 
 
 def same_passages(found: DataFrame) -> DataFrame:

@@ -240,4 +240,5 @@ SQL |= {
 SQL |= {
     "normalize_decomposed": SQL["normalize_text"],
     "search_segments": SQL["search_text"],
+    "cross_tradition_all": f"WITH {_VECTORS}, pairs AS (SELECT a.verse_id AS query_id, b.tradition, b.verse_id, list_inner_product(b.vector, a.vector) AS s FROM v a, v b WHERE a.verse_id % 20 = 0 AND a.tradition <> b.tradition) SELECT query_id, tradition, verse_id, round(s, 4) AS similarity, row_number() OVER (PARTITION BY query_id, tradition ORDER BY s DESC, verse_id)::INT AS rank FROM pairs QUALIFY rank <= 3",
 }

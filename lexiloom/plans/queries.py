@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from lexiloom.functions import statistics as S
 from lexiloom.functions import text as T
 from lexiloom.functions.unicode import nfd
-from lexiloom.operators import context, display, frequency, health, lexicon, search, similarity
+from lexiloom.operators import context, display, frequency, health, lexicon, search, similarity, vector_index
 from lexiloom.plans.corpus import LINES, Corpus, first_of_each, from_documents
 from lexiloom.streaming import cache, text_index
 
@@ -220,6 +220,18 @@ def vector_search_all(spark, folder):
     return similarity.search_all(v, v.filter("verse_id % 20 = 0"), top_k=40, min_similarity=-1.0)
 
 
+def vector_search_index(spark, folder):
+    """vector_search_all over inverted lists: what lies in the lists that are looked at, most of the exact result."""
+    v = vectors_of(spark, folder)
+    return vector_index.build(v).search(v.filter("verse_id % 20 = 0"), top_k=40, min_similarity=-1.0)
+
+
+def cross_tradition_all(spark, folder):
+    """Of each other tradition the nearest verses, for every row whose id is divisible by 20."""
+    v = vectors_of(spark, folder)
+    return similarity.search_all(v, v.filter("verse_id % 20 = 0"), top_k=3, min_similarity=-1.0, kind="tradition")
+
+
 def _found_texts(spark, folder, top_k: int) -> DataFrame:
     found = similarity.search(vectors_of(spark, folder), query_vector(spark, folder), top_k=top_k, min_similarity=-1.0, spare=True)
     docs = spark.read.parquet(f"{folder}/documents.parquet").select(F.col("doc_id").alias("verse_id"), "text")
@@ -341,7 +353,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         normalize_text, normalize_decomposed, tokenize, token_count, stem, ngrams, strip_html, detect_script, verse_dedup, lemma_totals, division_totals, work_totals, list_works, list_divisions, health_counts, ingest_stats, log_likelihood, semantic_fields,
-        lexicon_terms, field_stems, fields_containing, resolve_query, search_text, search_ranked, search_segments, vector_search, vector_search_all, vector_search_grouped, near_duplicates, near_duplicates_all, cross_tradition, pending_embeddings, embedding_models, l2_normalize, engine_comparison, translation_pending,
+        lexicon_terms, field_stems, fields_containing, resolve_query, search_text, search_ranked, search_segments, vector_search, vector_search_all, vector_search_index, cross_tradition_all, vector_search_grouped, near_duplicates, near_duplicates_all, cross_tradition, pending_embeddings, embedding_models, l2_normalize, engine_comparison, translation_pending,
         vector_search_verses, engine_means, model_choice, reduced_vectors, highlight, query_words, translation_cache, gloss,
     )
 } | {
