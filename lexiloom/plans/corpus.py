@@ -107,7 +107,8 @@ def from_documents(docs: DataFrame) -> Corpus:
     work = F.concat_ws("-", "lang", tradition)
     ordinal = F.floor(F.col("k") / 4).cast("int") + 1
     section = F.when(ordinal <= 2, "A").when(ordinal <= 4, "B")
-    number = F.col("line") + 1
+    # a line beyond the room would have the identifier of another document's
+    number = F.when(F.col("line") + 1 < LINES, F.col("line") + 1).otherwise(F.raise_error(F.lit(f"a document has more than {LINES - 1} lines")).cast("int"))
     return Corpus(
         rows.select(
             (F.col("doc_id") * LINES + number).alias("verse_id"),

@@ -287,3 +287,14 @@ def test_written_corpus_reads_back(spark, small, tmp_path):
     small.write(str(tmp_path / "c"))
     back = Corpus.read(spark, str(tmp_path / "c"))
     assert sorted(back.lemma_totals.collect()) == sorted(small.lemma_totals.collect())
+
+
+def test_too_many_lines_are_an_error(spark):
+    """Identifiers of verses leave room for a number of lines; a document beyond it isn't confused with the next."""
+    from lexiloom.plans.corpus import LINES, from_documents
+
+    docs = lambda n: spark.createDataFrame([(1, "x\n" * n, "en", "src1"), (2, "y", "en", "src1")], "doc_id long, text string, lang string, source string")
+    ids = from_documents(docs(5)).verses.select("verse_id").collect()
+    assert len({r[0] for r in ids}) == 6
+    with pytest.raises(Exception, match="more than"):
+        from_documents(docs(LINES)).verses.agg({"verse_id": "max"}).collect()
