@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,3 +27,23 @@ def jaccard(a: Column, b: Column) -> Column:
 def fingerprint(text: Column) -> Column:
     """Distinct lower-case words of more than three characters."""
     return F.array_distinct(F.filter(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z']+"), F.lit(0)), lambda w: F.length(w) > 3))
+
+
+def packed(vector: Column) -> Column:
+    """A vector as bytes, 32-bit numbers one after the other, lowest byte first; null stays, a null coordinate is NaN."""
+
+    @F.pandas_udf("binary")
+    def pack(vectors: pd.Series) -> pd.Series:
+        return vectors.map(lambda v: None if v is None else np.asarray(v, "<f4").tobytes())
+
+    return pack(vector.cast("array<float>"))
+
+
+def unpacked(data: Column) -> Column:
+    """What packed() has packed; bytes that aren't whole 32-bit numbers are an error."""
+
+    @F.pandas_udf("array<float>")
+    def unpack(blobs: pd.Series) -> pd.Series:
+        return blobs.map(lambda b: None if b is None else np.frombuffer(b, "<f4"))
+
+    return unpack(data)

@@ -19,7 +19,8 @@ DERIVED = ("lemma_index", "text_postings", "text_lengths", "lemma_totals", "divi
 @dataclass
 class Corpus:
     """`verses`: (verse_id, work_id, tradition, language, division_id, division_ordinal, division_name, section, chapter,
-    number, ref, text). All else is derived from it, lazily; persist() keeps what queries share."""
+    number, ref, text), and `title`, if works have one. All else is derived from it, lazily; persist() keeps what queries
+    share."""
 
     verses: DataFrame
 
@@ -65,9 +66,10 @@ class Corpus:
     @cached_property
     def works(self) -> DataFrame:
         """(work_id, title, tradition, language, total_tokens, total_verses, divisions)."""
-        names = self.verses.groupBy("work_id").agg(F.first("tradition").alias("tradition"), F.first("language").alias("language"), F.count("*").alias("total_verses"))
+        title = F.col("title") if "title" in self.verses.columns else F.concat("tradition", F.lit(" ("), "language", F.lit(")"))
+        names = self.verses.groupBy("work_id").agg(F.first("tradition").alias("tradition"), F.first("language").alias("language"), F.first(title).alias("title"), F.count("*").alias("total_verses"))
         sizes = self.divisions.groupBy("work_id").agg(F.sum("total_tokens").alias("total_tokens"), F.count("*").alias("divisions"))
-        return names.join(sizes, "work_id").withColumn("title", F.concat("tradition", F.lit(" ("), "language", F.lit(")")))
+        return names.join(sizes, "work_id")
 
     def persist(self) -> Corpus:
         """Keeps the index and the small tables in the executors' memory and disk, for a session of many queries."""

@@ -166,6 +166,8 @@ SQL: dict[str, str] = {
     "resolve_query": f"WITH {LEXICON} SELECT lemma, sum(count)::BIGINT AS count FROM totals WHERE lemma IN ('ther', 'rewh') OR lemma IN (SELECT lemma FROM lex WHERE field = 'length6' AND language = 'en') GROUP BY 1",
     "search_text": rf"""WITH {VERSES}, t AS (SELECT verse_id, regexp_extract_all(strip_accents(lower(text)), '[\p{{L}}\p{{N}}\p{{Co}}]+') AS w FROM verses)
       SELECT verse_id FROM t WHERE list_contains(w, 'ther') OR (contains(' ' || array_to_string(w, ' ') || ' ', ' of the ') AND NOT (list_contains(w, 'er') AND len(list_filter(w, lambda x: starts_with(x, 'th'))) > 0))""",
+    "kept_dispersion": f"""WITH {INDEX}, p AS (SELECT lemma, work_id, count(DISTINCT division_id) AS divisions_present FROM idx GROUP BY ALL)
+      SELECT lemma, work_id, count, verse_count, divisions_present, divisions AS divisions_total, round(divisions_present / divisions, 3) AS dispersion, total_tokens, total_verses FROM totals JOIN p USING (lemma, work_id) JOIN works USING (work_id)""",
     "search_ranked": rf"""WITH {VERSES}, t AS (SELECT verse_id, regexp_extract_all(strip_accents(lower(text)), '[\p{{L}}\p{{N}}\p{{Co}}]+') AS w FROM verses),
       tf AS (SELECT verse_id, len(w) AS n, x.k, len(list_filter(w, lambda y: y = x.k)) AS f FROM t, (VALUES ('rewh'), ('thatin'), ('cion')) x(k)),
       s AS (SELECT count(*) AS docs, avg(len(w)) AS mean FROM t), df AS (SELECT k, count(*) FILTER (f > 0) AS df FROM tf GROUP BY k),

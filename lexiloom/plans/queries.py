@@ -14,7 +14,7 @@ from lexiloom.functions import text as T
 from lexiloom.functions.unicode import nfd
 from lexiloom.operators import context, display, frequency, health, lexicon, search, similarity, vector_index
 from lexiloom.plans.corpus import LINES, Corpus, first_of_each, from_documents
-from lexiloom.streaming import cache, text_index
+from lexiloom.streaming import cache, text_index, totals
 
 #: What the queries ask for.
 STEMS = ("er", "ther", "rewh", "thatin")
@@ -196,6 +196,26 @@ def search_segments(spark, folder):
     return search.matches(found.postings, found.lengths, tree).select("verse_id")
 
 
+def kept_dispersion(spark, folder):
+    """Counts and dispersion of every word in every work, from the totals that ingestion keeps: documents come in four
+    batches, of which the third brings the works of one tradition anew."""
+    verses, kept = corpus_of(spark, folder).verses, _work_folder(spark, "totals")
+    again, rest = verses.filter("tradition = 't1'"), F.pmod("chapter", F.lit(4))
+    for batch in range(4):
+        part = verses.filter((rest == batch) & ((F.col("tradition") != "t1") | F.lit(batch < 2)))
+        for name, rows in totals.of_batch(Corpus(again.unionByName(part) if batch == 2 else part)).items():
+            rows.write.parquet(f"{kept}/{name}/batch={batch}")
+    since = again.select("work_id", F.lit(2).alias("since")).distinct()
+
+    def counted(name):
+        rows = spark.read.schema(totals.SCHEMAS[name]).option("basePath", f"{kept}/{name}").parquet(f"{kept}/{name}/batch=*")
+        return rows.join(since, "work_id", "left").filter("batch >= coalesce(since, 0)")
+
+    works = totals.work_totals(counted("works"), totals.division_totals(counted("divisions")))
+    words, spread = totals.word_totals(counted("totals")), totals.word_dispersion(counted("presence"), works)
+    return words.join(spread, ["lemma", "work_id"]).join(works.select("work_id", "total_tokens", "total_verses"), "work_id").select("lemma", "work_id", "count", "verse_count", "divisions_present", "divisions_total", "dispersion", "total_tokens", "total_verses")
+
+
 def _work_folder(spark: SparkSession, name: str) -> str:
     """A new path that all executors share; a local one is for a local master alone."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
@@ -353,7 +373,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         normalize_text, normalize_decomposed, tokenize, token_count, stem, ngrams, strip_html, detect_script, verse_dedup, lemma_totals, division_totals, work_totals, list_works, list_divisions, health_counts, ingest_stats, log_likelihood, semantic_fields,
-        lexicon_terms, field_stems, fields_containing, resolve_query, search_text, search_ranked, search_segments, vector_search, vector_search_all, vector_search_index, cross_tradition_all, vector_search_grouped, near_duplicates, near_duplicates_all, cross_tradition, pending_embeddings, embedding_models, l2_normalize, engine_comparison, translation_pending,
+        lexicon_terms, field_stems, fields_containing, resolve_query, search_text, search_ranked, search_segments, kept_dispersion, vector_search, vector_search_all, vector_search_index, cross_tradition_all, vector_search_grouped, near_duplicates, near_duplicates_all, cross_tradition, pending_embeddings, embedding_models, l2_normalize, engine_comparison, translation_pending,
         vector_search_verses, engine_means, model_choice, reduced_vectors, highlight, query_words, translation_cache, gloss,
     )
 } | {

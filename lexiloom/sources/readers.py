@@ -17,6 +17,8 @@ COLUMNS = ("division_ordinal", "division_name", "section", "chapter", "number",
 
 
 _VERSES = f"array<struct<{VERSE.replace(' ', ':').replace(',:', ',')}>>"
+#: A file that isn't JSON, or has something else than the format says, is an error, not an empty one.
+STRICT = {"mode": "FAILFAST"}
 #: Licences under which texts may be passed on, in small letters.
 ACCEPTED_LICENSES = ("public domain", "pd", "cc0")
 #: Roman numerals of chapters.
@@ -24,14 +26,14 @@ ROMAN = ("I", "II", "III", "IV", "V", "VI", "VII", "VIII", "IX", "X", "XI", "XII
 
 
 def _json(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+    return spark.read.schema(schema).option("multiLine", True).option("mode", STRICT["mode"]).json(path)
 
 
 def _list_or_field(spark: SparkSession, path: str, name: str, kind: str) -> DataFrame:
     """One row for each file, with the list that it is or that its object has under `name`."""
     raw = spark.read.text(path, wholetext=True).select(F.col("value"))
-    own = F.from_json("value", f"struct<{name}:{kind}>")[name]
-    return raw.select(F.when(F.startswith(F.ltrim("value"), F.lit("[")), F.from_json("value", kind)).otherwise(own).alias(name))
+    own = F.from_json("value", f"struct<{name}:{kind}>", STRICT)[name]
+    return raw.select(F.when(F.startswith(F.ltrim("value"), F.lit("[")), F.from_json("value", kind, STRICT)).otherwise(own).alias(name))
 
 
 def flat_json(spark: SparkSession, path: str) -> DataFrame:
@@ -48,7 +50,7 @@ def sample_works(spark: SparkSession, path: str) -> DataFrame:
 def nested_books(spark: SparkSession, path: str, first_section: str = "Old Testament", second_section: str = "New Testament", last_of_first: int = 39) -> DataFrame:
     """A list of books, or an object with one, with chapters with verses. A chapter's number is `chapter` or `num`, a
     verse's `verse` or `num`, and 0 without; the name of a book is `name` or `book`; the first 39 books are the first
-    section. Empty verses are dropped."""
+    section. Empty verses are kept, those without a text are dropped."""
     verse = "struct<verse:int, num:int, text:string>"
     rows = _list_or_field(spark, path, "books", f"array<struct<name:string, book:string, chapters:array<struct<chapter:int, num:int, verses:array<{verse}>>>>>")
     books = rows.select(F.posexplode("books").alias("b", "book"))
@@ -58,17 +60,30 @@ def nested_books(spark: SparkSession, path: str, first_section: str = "Old Testa
     section = F.when(ordinal <= last_of_first, first_section).otherwise(second_section)
     return verses.select(
         ordinal.alias("division_ordinal"), F.col("name").alias("division_name"), section.alias("section"), F.coalesce("chapter.chapter", "chapter.num", F.lit(0)).alias("chapter"), F.coalesce("verse.verse", "verse.num", F.lit(0)).alias("number"), F.trim("verse.text").alias("text")
-    ).filter(F.col("text") != "")
-
-
-def book_files(spark: SparkSession, index: str, books: str) -> DataFrame:
-    """An index (a map from number to book) and a file for each book with `nr` and chapters with verses."""
-    names = _json(spark, index, "books map<string, struct<nr:int, name:string>>").select(F.explode("books").alias("k", "b")).select("b.*")
-    rows = _json(spark, books, "nr int, chapters array<struct<chapter:int, verses:array<struct<verse:int, text:string>>>>")
-    chapters = rows.select("nr", F.explode("chapters").alias("c")).select("nr", "c.chapter", F.explode("c.verses").alias("v"))
+    ).filter(F.col("text").isNotNull())
+
+
+def book_files(spark: SparkSession, index: str, books: str, first_section: str = "Old Testament", second_section: str = "New Testament", last_of_first: int = 39) -> DataFrame:
+    """An index of books and a file for each book with chapters with verses. The index is a list, or an object with a list
+    or a map `books`; a book's number is `nr` or `book_nr`, else its place in the index. A file's number is its `nr`, else
+    that in its name; the name of a book is that of its file, else of the index. Empty verses are kept, those without a
+    text are dropped; so are files of books that the index doesn't have."""
+    entry = "struct<nr:int, book_nr:int, name:string>"
+    raw = spark.read.text(index, wholetext=True).select(F.ltrim("value").alias("v"))
+    as_map = F.map_values(F.from_json("v", f"struct<books:map<string,{entry}>>", STRICT)["books"])
+    as_list = F.from_json("v", f"struct<books:array<{entry}>>", STRICT)["books"]
+    of_map = F.startswith(F.ltrim(F.coalesce(F.get_json_object("v", "$.books"), F.lit(""))), F.lit("{"))
+    listed = F.when(F.startswith("v", F.lit("[")), F.from_json("v", f"array<{entry}>", STRICT)).when(of_map, as_map).otherwise(as_list)
+    names = raw.select(F.posexplode(listed).alias("at", "b"))
+    names = names.select(F.coalesce(F.expr("nullif(b.nr, 0)"), F.expr("nullif(b.book_nr, 0)"), F.col("at") + 1).alias("nr"), F.col("b.name").alias("listed"))
+    rows = _json(spark, books, "nr int, name string, chapters array<struct<chapter:int, verses:array<struct<verse:int, text:string>>>>")
+    in_name = F.regexp_extract(F.input_file_name(), r"(\d+)\.json$", 1)
+    rows = rows.withColumn("nr", F.coalesce("nr", in_name.try_cast("int")))
+    chapters = rows.select("nr", "name", F.explode("chapters").alias("c")).select("nr", "name", F.coalesce("c.chapter", F.lit(0)).alias("chapter"), F.explode("c.verses").alias("v"))
     out = chapters.join(F.broadcast(names), "nr")  # an index has a book a row
-    section = F.when(F.col("nr") <= 39, "Old Testament").otherwise("New Testament")
-    return out.select(F.col("nr").alias("division_ordinal"), F.col("name").alias("division_name"), section.alias("section"), "chapter", F.col("v.verse").alias("number"), F.trim("v.text").alias("text")).filter(F.col("text") != "")
+    section = F.when(F.col("nr") <= last_of_first, first_section).otherwise(second_section)
+    name = F.coalesce(F.expr("nullif(name, '')"), "listed")
+    return out.select(F.col("nr").alias("division_ordinal"), name.alias("division_name"), section.alias("section"), "chapter", F.col("v.verse").alias("number"), F.trim("v.text").alias("text")).filter(F.col("text").isNotNull())
 
 
 def licensed_versions(spark: SparkSession, path: str, books: Iterable[tuple[str, int, str, str]], licenses: Iterable[str] = ACCEPTED_LICENSES) -> DataFrame:
@@ -78,7 +93,7 @@ def licensed_versions(spark: SparkSession, path: str, books: Iterable[tuple[str,
     goes, empty verses are dropped."""
     info = spark.createDataFrame(list(books), "file string, division_ordinal int, division_name string, section string")
     rows = _json(spark, path, "versions array<struct<license:string, versionTitle:string, text:array<string>>>")
-    rows = rows.withColumn("file", F.regexp_extract(F.input_file_name(), r"([^/]+)\.json$", 1)).withColumn("v", F.try_element_at("versions", F.lit(1)))
+    rows = rows.withColumn("file", F.url_decode(F.regexp_extract(F.input_file_name(), r"([^/]+)\.json$", 1))).withColumn("v", F.try_element_at("versions", F.lit(1)))
     free = F.coalesce(F.lower(F.trim("v.license")).isin(*licenses), F.lit(False))
     closed = F.raise_error(F.concat(F.col("file"), F.lit(": no version, or its licence isn't accepted: "), F.coalesce("v.license", F.lit("none"))))
     texts = rows.select("file", F.posexplode(F.when(free, F.col("v.text")).otherwise(closed.cast("array<string>"))).alias("c", "chapter"))
@@ -138,11 +153,13 @@ def lexicon(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("field", labels.alias("labels"), "x.terms")
 
 
-def as_corpus_rows(verses: DataFrame, work_id: str, tradition: str, language: str, ref: Column | None = None) -> DataFrame:
-    """Verses of a reader as rows of a corpus. `ref`: how a place is cited; `name chapter:number` by default."""
+def as_corpus_rows(verses: DataFrame, work_id: str, tradition: str, language: str, ref: Column | None = None, title: str | None = None) -> DataFrame:
+    """Verses of a reader as rows of a corpus. `ref`: how a place is cited; `name chapter:number` by default. `title`: of
+    the work, if it has one."""
     place = F.concat("division_name", F.lit(" "), F.col("chapter").cast("string"), F.lit(":"), F.col("number").cast("string"))
     division = F.concat(F.lit(f"{work_id}/"), F.col("division_ordinal").cast("string"))
     return verses.select(
         F.xxhash64(division, "chapter", "number").alias("verse_id"), F.lit(work_id).alias("work_id"), F.lit(tradition).alias("tradition"), F.lit(language).alias("language"), division.alias("division_id"),
         "division_ordinal", "division_name", "section", F.col("chapter").cast("long").alias("chapter"), "number", (place if ref is None else ref).alias("ref"), "text",
+        *([] if title is None else [F.lit(title).alias("title")]),
     )

@@ -58,6 +58,16 @@ def look_up(asked: DataFrame, cache: DataFrame, keys: Iterable[str]) -> DataFram
     return out.select(*asked.columns, F.coalesce("cached", F.lit(False)).alias("cached"), F.expr("nullif(__lx_text, '')").alias("translation"))
 
 
+def page(verses: DataFrame, cache: DataFrame, lang: str, limit: int = 25) -> DataFrame:
+    """(verse_id, language, text, cached, translation, wanted) of a page of verses, at most `limit` (more are an error):
+    what the cache has of each in `lang`, and whether a translator is still to be asked: not for what was tried, nor for
+    verses that are in that language already."""
+    if verses.limit(limit + 1).count() > limit:
+        raise ValueError(f"a page has at most {limit} verses")
+    found = look_up(verses.select("verse_id", "language", "text"), cache.filter(F.col("lang") == lang), ["verse_id"])
+    return found.withColumn("wanted", ~F.col("cached") & ~F.coalesce(F.col("language") == lang, F.lit(False)))
+
+
 def gloss(corpus: Corpus, cache: DataFrame, lang: str) -> DataFrame:
     """(lemma, surface, cached, translation): each lemma by its most frequent form, and what the cache has of that form."""
     forms = top_surface(corpus).select("lemma", "surface", F.col("surface").alias("word"))

@@ -16,10 +16,11 @@ from pyspark.sql import functions as F
 
 from lexiloom.operators.health import validate_language
 from lexiloom.plans.corpus import Corpus, first_of_each
+from lexiloom.streaming import totals as kept
 from lexiloom.streaming.text_index import Blocks, TextIndex
 
 PLACE = ["work_id", "division_id", "chapter", "number"]
-REPLACED = "work_id string, batch int"
+LEMMAS = "lemma string, work_id string, division_id string, verse_id long, surface string, position int"
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -34,7 +35,7 @@ def committed(spark: SparkSession, folder: str) -> list[int]:
 
 
 def table(spark: SparkSession, folder: str, name: str, schema, before: int | None = None) -> DataFrame:
-    """What counts of a table (`verses`, `lemma_index` or `totals`) after the committed batches, or those `before` one,
+    """What counts of a table (`verses`, `lemma_index` or one of totals.py) after the committed batches, or those `before` one,
     with the number of the batch."""
     done = [b for b in committed(spark, folder) if before is None or b < before]
     read = lambda name, schema: spark.read.schema(schema).option("basePath", f"{folder}/{name}").parquet(*(f"{folder}/{name}/batch={b}" for b in done))
@@ -60,25 +61,34 @@ def text_index(spark: SparkSession, folder: str) -> Blocks:
 
 
 def searchable(spark: SparkSession, folder: str, like) -> Corpus:
-    """The verses that count, with the text index that was kept for them; `like`: their schema."""
+    """The verses that count, with the indexes and totals that were kept for them, so that nothing is indexed again;
+    `like`: their schema."""
     corpus, index = Corpus(table(spark, folder, "verses", like).drop("batch")), text_index(spark, folder)
     corpus.text_postings, corpus.text_lengths = index.postings, index.lengths
+    corpus.lemma_index = table(spark, folder, "lemma_index", LEMMAS).drop("batch")
+    corpus.lemma_totals, corpus.divisions, corpus.works = totals(spark, folder), divisions(spark, folder), works(spark, folder)
     return corpus
 
 
+def rows_of_batch(spark: SparkSession, folder: str, name: str, batch: int) -> DataFrame:
+    """What a batch wrote to a table of totals.py."""
+    return spark.read.schema(kept.SCHEMAS[name]).parquet(f"{folder}/{name}/batch={batch}")
+
+
 def loaded_works(spark: SparkSession, folder: str, like) -> DataFrame:
     """(work_id) of works that are there, so that a build which is started again can leave them out."""
     return table(spark, folder, "verses", like).select("work_id").distinct()
 
 
-def ingest_batch(verses: DataFrame, batch: int, folder: str, arrival: str = "verse_id", replaces: bool = False) -> None:
-    """Writes what is new and valid of a batch to `verses`, `lemma_index`, `totals` and the segments of `text` below the
-    folder. With `replaces`, its works' earlier rows count no longer; works that aren't valid replace nothing."""
+def ingest_batch(verses: DataFrame, batch: int, folder: str, arrival: str = "verse_id", replaces: bool = False, checked: bool = False) -> None:
+    """Writes what is new and valid of a batch to `verses`, `lemma_index`, the tables of totals.py and the segments of `text`
+    below the folder. With `replaces`, its works' earlier rows count no longer; works that aren't valid replace nothing.
+    With `checked`, all works are known to be valid."""
     spark = verses.sparkSession
     if batch in committed(spark, folder):
         return
-    valid = validate_language(Corpus(verses)).filter("valid").select("work_id")
-    fresh = first_of_each(verses.join(valid, "work_id", "left_semi"), arrival)
+    valid = verses if checked else verses.join(validate_language(Corpus(verses)).filter("valid").select("work_id"), "work_id", "left_semi")
+    fresh = first_of_each(valid, arrival)
     new = fresh.select(*verses.columns)
     if not replaces:
         known = table(spark, folder, "verses", verses.schema, before=batch)
@@ -87,10 +97,13 @@ def ingest_batch(verses: DataFrame, batch: int, folder: str, arrival: str = "ver
     new.write.mode("overwrite").parquet(f"{folder}/verses/batch={batch}")
     corpus = Corpus(spark.read.schema(verses.schema).parquet(f"{folder}/verses/batch={batch}"))
     corpus.lemma_index.write.mode("overwrite").parquet(f"{folder}/lemma_index/batch={batch}")
-    corpus.lemma_totals.write.mode("overwrite").parquet(f"{folder}/totals/batch={batch}")
+    indexed = Corpus(corpus.verses)
+    indexed.lemma_index = spark.read.schema(corpus.lemma_index.schema).parquet(f"{folder}/lemma_index/batch={batch}")
+    for name, rows in kept.of_batch(indexed).items():
+        rows.write.mode("overwrite").parquet(f"{folder}/{name}/batch={batch}")
     TextIndex(spark, f"{folder}/text").add(corpus.verses, batch)
-    works = corpus.verses.select("work_id").distinct() if replaces else spark.createDataFrame([], "work_id string")
-    works.coalesce(1).write.mode("overwrite").parquet(f"{folder}/replaced/batch={batch}")
+    anew = corpus.verses.select("work_id").distinct() if replaces else spark.createDataFrame([], "work_id string")
+    anew.coalesce(1).write.mode("overwrite").parquet(f"{folder}/replaced/batch={batch}")
     spark.range(1).select(F.lit(batch).alias("batch")).coalesce(1).write.mode("overwrite").parquet(f"{folder}/commits/{batch}")
     TextIndex(spark, f"{folder}/text").merge(committed(spark, folder), replaced(spark, folder))
 
@@ -106,5 +119,19 @@ def ingest(stream: DataFrame, folder: str, replaces: bool = False) -> None:
 
 def totals(spark: SparkSession, folder: str) -> DataFrame:
     """(lemma, work_id, count, verse_count) over all batches; a verse is in one batch, so the sums are exact."""
-    rows = table(spark, folder, "totals", "lemma string, work_id string, count long, verse_count long")
-    return rows.groupBy("lemma", "work_id").agg(F.sum("count").alias("count"), F.sum("verse_count").alias("verse_count"))
+    return kept.word_totals(table(spark, folder, "totals", kept.SCHEMAS["totals"]))
+
+
+def divisions(spark: SparkSession, folder: str) -> DataFrame:
+    """Divisions with their totals over all batches, as totals.division_totals() has them."""
+    return kept.division_totals(table(spark, folder, "divisions", kept.SCHEMAS["divisions"]))
+
+
+def works(spark: SparkSession, folder: str) -> DataFrame:
+    """Works with their totals over all batches, as totals.work_totals() has them."""
+    return kept.work_totals(table(spark, folder, "works", kept.SCHEMAS["works"]), divisions(spark, folder))
+
+
+def dispersion(spark: SparkSession, folder: str, stems) -> DataFrame:
+    """(work_id, divisions_present, divisions_total, dispersion) of some words over all batches, without the index."""
+    return kept.dispersion(table(spark, folder, "presence", kept.SCHEMAS["presence"]), works(spark, folder), stems)

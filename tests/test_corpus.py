@@ -205,10 +205,10 @@ def test_flat_readers(spark, tmp_path):
 
 
 def test_nested_books(spark, tmp_path):
-    books = [{"name": "B", "chapters": [{"num": 3, "verses": [{"num": 4, "text": "one"}, {"verse": 7, "text": " two "}, {"text": ""}]}]}] + [{"book": f"C{k}", "chapters": [{"chapter": 1, "verses": [{"text": "x"}]}]} for k in range(39)]
+    books = [{"name": "B", "chapters": [{"num": 3, "verses": [{"num": 4, "text": "one"}, {"verse": 7, "text": " two "}, {"text": ""}, {"verse": 9}]}]}] + [{"book": f"C{k}", "chapters": [{"chapter": 1, "verses": [{"text": "x"}]}]} for k in range(39)]
     for value in (books, {"books": books}):
         rows = readers.nested_books(spark, _write(tmp_path / "books.json", value)).collect()
-        assert [(r.division_name, r.chapter, r.number, r.text, r.section) for r in rows[:3]] == [("B", 3, 4, "one", "Old Testament"), ("B", 3, 7, "two", "Old Testament"), ("C0", 1, 0, "x", "Old Testament")]
+        assert [(r.division_name, r.chapter, r.number, r.text, r.section) for r in rows[:4]] == [("B", 3, 4, "one", "Old Testament"), ("B", 3, 7, "two", "Old Testament"), ("B", 3, 0, "", "Old Testament"), ("C0", 1, 0, "x", "Old Testament")]
         assert (rows[-1].division_ordinal, rows[-1].section) == (40, "New Testament")
 
 
@@ -218,6 +218,22 @@ def test_book_files(spark, tmp_path):
         _write(tmp_path / f"b{nr}.json", {"nr": nr, "chapters": [{"chapter": 2, "verses": [{"verse": 3, "text": " words "}]}]})
     rows = readers.book_files(spark, str(tmp_path / "index.json"), str(tmp_path / "b*.json")).collect()
     assert sorted((r.division_ordinal, r.division_name, r.section, r.chapter, r.number, r.text) for r in rows) == [(1, "First", "Old Testament", 2, 3, "words"), (40, "Fortieth", "New Testament", 2, 3, "words")]
+    # an index as a list, numbers by other names and by place, names of the files, and a file's number in its name
+    for index in ([{"book_nr": 2, "name": "x"}, {"name": "Second"}, {"nr": 0, "book_nr": 3}], {"books": [{"book_nr": 2, "name": "x"}, {"name": "Second"}, {"book_nr": 3}]}):
+        _write(tmp_path / "list.json", index[1:] if isinstance(index, list) else {"books": index["books"][1:]})
+        _write(tmp_path / "1.json", {"chapters": [{"chapter": 1, "verses": [{"verse": 1, "text": "one"}, {"verse": 2, "text": " "}]}]})
+        _write(tmp_path / "3.json", {"name": "Own", "chapters": [{"verses": [{"verse": 1, "text": "three"}]}]})
+        got = readers.book_files(spark, str(tmp_path / "list.json"), str(tmp_path / "[0-9].json"), "A", "B", 2).collect()
+        assert sorted((r.division_ordinal, r.division_name, r.section, r.chapter, r.number, r.text) for r in got) == [(1, "Second", "A", 1, 1, "one"), (1, "Second", "A", 1, 2, ""), (3, "Own", "B", 0, 1, "three")]
+
+
+def test_broken_files(spark, tmp_path):
+    """A file that isn't JSON is an error, not an empty work."""
+    (tmp_path / "list.json").write_text('[{"text": "cut off')
+    (tmp_path / "object.json").write_text('{"books": [{"name": "cut off"')
+    for read in (lambda: readers.flat_json(spark, str(tmp_path / "list.json")), lambda: readers.nested_books(spark, str(tmp_path / "object.json")), lambda: readers.verse_files(spark, str(tmp_path / "object.json"), "siva")):
+        with pytest.raises(Exception, match="(?i)malformed"):
+            read().collect()
 
 
 def test_only_open_licences_are_read(spark, tmp_path):

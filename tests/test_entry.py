@@ -8,7 +8,7 @@ FOLDER = "/root/testdata/sf0.001"
 TABLES = ("documents", "pages", "embeddings", "conversations")
 
 
-@pytest.mark.parametrize("name", ["tokenize", "frequency_by_work", "keyness_matrix", "collocations", "concordance", "search_text", "search_ranked", "search_segments", "normalize_text", "normalize_decomposed", "corpus_health", "vector_search_all", "cross_tradition_all", "vector_search_verses", "engine_means", "model_choice", "reduced_vectors", "highlight", "query_words", "translation_cache", "gloss", "frequency_table"])
+@pytest.mark.parametrize("name", ["tokenize", "frequency_by_work", "keyness_matrix", "collocations", "concordance", "search_text", "search_ranked", "search_segments", "kept_dispersion", "detect_script", "normalize_text", "normalize_decomposed", "corpus_health", "vector_search_all", "cross_tradition_all", "vector_search_verses", "engine_means", "model_choice", "reduced_vectors", "highlight", "query_words", "translation_cache", "gloss", "frequency_table"])
 def test_against_sql(spark, name):
     con = duckdb.connect()
     for t in TABLES:
