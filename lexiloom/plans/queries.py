@@ -203,8 +203,7 @@ def kept_dispersion(spark, folder):
     again, rest = verses.filter("tradition = 't1'"), F.pmod("chapter", F.lit(4))
     for batch in range(4):
         part = verses.filter((rest == batch) & ((F.col("tradition") != "t1") | F.lit(batch < 2)))
-        for name, rows in totals.of_batch(Corpus(again.unionByName(part) if batch == 2 else part)).items():
-            rows.write.parquet(f"{kept}/{name}/batch={batch}")
+        totals.write_batch(Corpus(again.unionByName(part) if batch == 2 else part), kept, batch)
     since = again.select("work_id", F.lit(2).alias("since")).distinct()
 
     def counted(name):

@@ -20,7 +20,6 @@ from lexiloom.streaming import totals as kept
 from lexiloom.streaming.text_index import Blocks, TextIndex
 
 PLACE = ["work_id", "division_id", "chapter", "number"]
-LEMMAS = "lemma string, work_id string, division_id string, verse_id long, surface string, position int"
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -65,7 +64,7 @@ def searchable(spark: SparkSession, folder: str, like) -> Corpus:
     `like`: their schema."""
     corpus, index = Corpus(table(spark, folder, "verses", like).drop("batch")), text_index(spark, folder)
     corpus.text_postings, corpus.text_lengths = index.postings, index.lengths
-    corpus.lemma_index = table(spark, folder, "lemma_index", LEMMAS).drop("batch")
+    corpus.lemma_index = table(spark, folder, "lemma_index", kept.SCHEMAS["lemma_index"]).drop("batch")
     corpus.lemma_totals, corpus.divisions, corpus.works = totals(spark, folder), divisions(spark, folder), works(spark, folder)
     return corpus
 
@@ -96,11 +95,7 @@ def ingest_batch(verses: DataFrame, batch: int, folder: str, arrival: str = "ver
         new = fresh.join(touched.select(*PLACE), PLACE, "left_anti").select(*verses.columns)
     new.write.mode("overwrite").parquet(f"{folder}/verses/batch={batch}")
     corpus = Corpus(spark.read.schema(verses.schema).parquet(f"{folder}/verses/batch={batch}"))
-    corpus.lemma_index.write.mode("overwrite").parquet(f"{folder}/lemma_index/batch={batch}")
-    indexed = Corpus(corpus.verses)
-    indexed.lemma_index = spark.read.schema(corpus.lemma_index.schema).parquet(f"{folder}/lemma_index/batch={batch}")
-    for name, rows in kept.of_batch(indexed).items():
-        rows.write.mode("overwrite").parquet(f"{folder}/{name}/batch={batch}")
+    kept.write_batch(corpus, folder, batch)
     TextIndex(spark, f"{folder}/text").add(corpus.verses, batch)
     anew = corpus.verses.select("work_id").distinct() if replaces else spark.createDataFrame([], "work_id string")
     anew.coalesce(1).write.mode("overwrite").parquet(f"{folder}/replaced/batch={batch}")

@@ -12,9 +12,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexiloom.functions import statistics as S
+from lexiloom.functions import text as T
 from lexiloom.plans.corpus import Corpus
 
 SCHEMAS = {
+    "lemma_index": "lemma string, work_id string, division_id string, verse_id long, surface string, position int",
     "totals": "lemma string, work_id string, count long, verse_count long",
     "presence": "lemma string, work_id string, block long, bits long",
     "divisions": "division_id string, work_id string, ordinal int, name string, section string, total_tokens long, total_verses long",
@@ -24,17 +26,32 @@ SCHEMAS = {
 BITS = 64
 
 
-def of_batch(corpus: Corpus) -> dict[str, DataFrame]:
-    """The rows that a batch adds to each table."""
-    verses = corpus.verse_tokens.groupBy("division_id").agg(F.count("*").alias("total_verses"))
-    divisions = corpus.divisions.withColumn("ordinal", F.coalesce("ordinal", F.lit(0))).join(verses, "division_id")
-    counts = corpus.lemma_index.groupBy("lemma", "work_id", "division_id").agg(F.count("*").alias("n"))
+def write_batch(corpus: Corpus, folder: str, batch: int) -> None:
+    """Writes a batch's index to `lemma_index` and its rows of each table below the folder; done again, they replace its own
+    files. The index and the divisions are made once and read back for what is derived from them."""
+    spark = corpus.verses.sparkSession
+
+    def written(name: str, rows: DataFrame) -> DataFrame:
+        columns = [x.split()[0] for x in SCHEMAS[name].split(", ")]
+        rows.select(*columns).write.mode("overwrite").parquet(f"{folder}/{name}/batch={batch}")
+        return spark.read.schema(SCHEMAS[name]).parquet(f"{folder}/{name}/batch={batch}")
+
+    index = written("lemma_index", corpus.lemma_index)
+    own = corpus.verses.select("division_id", "work_id", "language", F.coalesce("division_ordinal", F.lit(0)).alias("ordinal"), F.col("division_name").alias("name"), "section", "text")
+    own = own.withColumn("n", F.size(T.words(T.normalize(F.col("text"), F.col("language")))).cast("long"))
+    least = [F.min(c).alias(c) for c in ("work_id", "ordinal", "name", "section")]
+    divisions = written("divisions", own.groupBy("division_id").agg(*least, F.sum("n").alias("total_tokens"), F.count("*").alias("total_verses")))
+    title = F.col("title") if "title" in corpus.verses.columns else F.concat("tradition", F.lit(" ("), "language", F.lit(")"))
+    named = corpus.verses.select("work_id", title.alias("title"), "tradition", "language").groupBy("work_id")
+    written("works", named.agg(*(F.min(c).alias(c) for c in ("title", "tradition", "language"))))
+    derived = Corpus(corpus.verses)
+    derived.lemma_index = index
+    written("totals", derived.lemma_totals)
+    counts = index.groupBy("lemma", "work_id", "division_id").agg(F.count("*").alias("n"))
     placed = counts.join(divisions.select("division_id", "ordinal"), "division_id")
     block, bit = F.floor(F.col("ordinal") / BITS), F.pmod("ordinal", F.lit(BITS))
-    presence = placed.groupBy("lemma", "work_id", block.cast("long").alias("block")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("bits"))
-    columns = lambda name: [x.split()[0] for x in SCHEMAS[name].split(", ")]
-    rows = {"totals": corpus.lemma_totals, "presence": presence, "divisions": divisions, "works": corpus.works}
-    return {name: table.select(*columns(name)) for name, table in rows.items()}
+    held = F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("bits")
+    written("presence", placed.groupBy("lemma", "work_id", block.cast("long").alias("block")).agg(held))
 
 
 def word_totals(rows: DataFrame) -> DataFrame:
