@@ -49,13 +49,17 @@ def collocations(corpus: Corpus, stems, work_id: str | None = None, window: int
     """Neighbours within `window` words of a hit, by PMI; the most frequent `limit` of them.
 
     A neighbour near two hits counts twice. Hits are exploded to the places around them, which then join the index on
-    verse and place, so that long verses don't multiply. The work limits the pairs, not the totals.
+    verse and place, so that long verses don't multiply. The work limits the pairs, not the totals. In a corpus that was
+    written the places go to the index's buckets; else the index goes to them, but for verses without a hit.
     """
     anchors = of_stems(corpus.lemma_index, stems)
     around = F.filter(F.sequence(F.col("position") - window, F.col("position") + window), lambda p: p != F.col("position"))
     places = of_works(anchors, [work_id] if work_id else None).select("verse_id", F.explode(around).alias("position"))
-    near = corpus.lemma_index.join(places.select("verse_id").distinct(), "verse_id", "left_semi")  # few verses have an anchor
-    pairs = near.join(places, ["verse_id", "position"])
+    if corpus.places is not None:
+        pairs = corpus.places.join(places, ["verse_id", "position"])
+    else:
+        near = corpus.lemma_index.join(places.select("verse_id").distinct(), "verse_id", "left_semi")  # few verses have an anchor
+        pairs = near.join(places, ["verse_id", "position"])
     own = of_stems(pairs, stems).select("lemma").distinct() if isinstance(stems, DataFrame) else None
     pairs = pairs.join(own, "lemma", "left_anti") if own is not None else pairs.filter(~F.col("lemma").isin(*[s for s in stems if s] or [""]))
     joint = pairs.groupBy("lemma").agg(F.count("*").alias("joint_count"), F.min("surface").alias("example")).filter(F.col("joint_count") >= min_freq)

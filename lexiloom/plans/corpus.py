@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -20,9 +21,10 @@ DERIVED = ("lemma_index", "text_postings", "text_lengths", "lemma_totals", "divi
 class Corpus:
     """`verses`: (verse_id, work_id, tradition, language, division_id, division_ordinal, division_name, section, chapter,
     number, ref, text), and `title`, if works have one. All else is derived from it, lazily; persist() keeps what queries
-    share."""
+    share. A corpus that was written also has `places`, its index once more in buckets by verse and place (else None)."""
 
     verses: DataFrame
+    places: DataFrame | None = None
 
     @cached_property
     def words(self) -> DataFrame:
@@ -77,13 +79,27 @@ class Corpus:
             setattr(self, name, getattr(self, name).persist())
         return self
 
-    def write(self, folder: str) -> None:
-        """Verses, index and totals as Parquet, by work, the index in order of lemma, so that scans skip row groups."""
+    def write(self, folder: str, buckets: int = 64) -> None:
+        """Verses, index and totals as Parquet, by work, the index in order of lemma, so that scans skip row groups.
+
+        Rows are dealt by ranges of (lemma, verse), so a frequent word's postings are many tasks' work. The index is
+        written once more by write_places().
+        """
         self.verses.write.mode("overwrite").partitionBy("work_id").parquet(f"{folder}/verses")
-        self.lemma_index.repartition("work_id", "lemma").sortWithinPartitions("work_id", "lemma").write.mode("overwrite").partitionBy("work_id").parquet(f"{folder}/lemma_index")
-        self.text_postings.repartition("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{folder}/text_postings")
+        index = self.lemma_index
+        index.repartitionByRange("work_id", "lemma", "verse_id").sortWithinPartitions("work_id", "lemma", "verse_id").write.mode("overwrite").partitionBy("work_id").parquet(f"{folder}/lemma_index")
+        self.text_postings.repartitionByRange("term", "verse_id").sortWithinPartitions("term", "verse_id").write.mode("overwrite").parquet(f"{folder}/text_postings")
         for name in ("text_lengths", "lemma_totals", "divisions", "works"):
             getattr(self, name).write.mode("overwrite").parquet(f"{folder}/{name}")
+        self.write_places(folder, buckets)
+
+    def write_places(self, folder: str, buckets: int = 64) -> None:
+        """The index in buckets by verse and place, in which the words around a hit are found without an exchange of it."""
+        spark, table = self.verses.sparkSession, _table_of(folder)
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+        rows = self.lemma_index.select("lemma", "work_id", "verse_id", "surface", "position").repartition(buckets, "verse_id", "position")
+        rows.write.mode("overwrite").format("parquet").bucketBy(buckets, "verse_id", "position").sortBy("verse_id", "position").option("path", f"{folder}/places").saveAsTable(table)
+        spark.range(1).select(F.lit(buckets).alias("buckets")).coalesce(1).write.mode("overwrite").parquet(f"{folder}/layout")
 
     @staticmethod
     def read(spark: SparkSession, folder: str) -> Corpus:
@@ -91,9 +107,25 @@ class Corpus:
         corpus = Corpus(spark.read.parquet(f"{folder}/verses"))
         for name in DERIVED:
             setattr(corpus, name, spark.read.parquet(f"{folder}/{name}"))
+        corpus.places = read_places(spark, folder)
         return corpus
 
 
+def read_places(spark: SparkSession, folder: str) -> DataFrame:
+    """What write_places() has written, by a table in the session's catalogue, as only that keeps how rows lie."""
+    buckets = spark.read.parquet(f"{folder}/layout").first().buckets
+    table, columns = _table_of(folder), "lemma string, work_id string, verse_id long, surface string, position int"
+    where = f"{folder}/places".replace("\\", "\\\\").replace("'", "\\'")
+    spark.sql(f"DROP TABLE IF EXISTS {table}")
+    spark.sql(f"CREATE TABLE {table} ({columns}) USING parquet CLUSTERED BY (verse_id, position) SORTED BY (verse_id, position) INTO {buckets} BUCKETS LOCATION '{where}'")
+    return spark.table(table)
+
+
+def _table_of(folder: str) -> str:
+    """The name of the table over a folder's buckets in the session's catalogue."""
+    return "lexiloom_places_" + hashlib.sha256(folder.encode()).hexdigest()[:16]
+
+
 def first_of_each(verses: DataFrame, arrival: str) -> DataFrame:
     """Of verses with one place (work, division, chapter, number) the first that arrived."""
     place = Window.partitionBy("work_id", "division_id", "chapter", "number").orderBy(arrival)

@@ -242,5 +242,14 @@ SQL |= {
 SQL |= {
     "normalize_decomposed": SQL["normalize_text"],
     "search_segments": SQL["search_text"],
+    "collocations_placed": SQL["collocations"],
+    # leads: places of the leaders so far; a result joins the first of them that is the same passage
+    "vector_search_grouped": f"""WITH RECURSIVE {_VECTORS}, best AS (SELECT verse_id, round(score, 4) AS similarity FROM scored ORDER BY score DESC, verse_id LIMIT 40),
+      p AS (SELECT verse_id, similarity, row_number() OVER (ORDER BY similarity DESC, verse_id) AS k, list_distinct(list_filter(regexp_extract_all(lower(coalesce(text, '')), '[a-z'']+'), lambda w: length(w) > 3)) AS w FROM best JOIN documents ON doc_id = verse_id),
+      same AS (SELECT b.k, list(a.k) AS earlier FROM p a JOIN p b ON a.k < b.k AND len(a.w) > 0 AND len(b.w) > 0 AND 5 * len(list_intersect(a.w, b.w)) >= 3 * (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) GROUP BY 1),
+      fold AS (SELECT 0::BIGINT AS k, NULL::BIGINT AS lead, []::BIGINT[] AS leads UNION ALL
+        SELECT n.k, n.lead, CASE WHEN n.lead IS NULL THEN list_append(n.leads, n.k) ELSE n.leads END FROM (SELECT p.k, list_min(list_intersect(f.leads, s.earlier)) AS lead, f.leads FROM fold f JOIN p ON p.k = f.k + 1 LEFT JOIN same s ON s.k = p.k) n),
+      first AS (SELECT unnest(leads[1:20]) AS k FROM fold WHERE k = (SELECT max(k) FROM fold))
+      SELECT p.verse_id, l.verse_id AS leader, p.similarity FROM fold f JOIN p USING (k) JOIN p l ON l.k = coalesce(f.lead, f.k) WHERE l.k IN (FROM first)""",
     "cross_tradition_all": f"WITH {_VECTORS}, pairs AS (SELECT a.verse_id AS query_id, b.tradition, b.verse_id, list_inner_product(b.vector, a.vector) AS s FROM v a, v b WHERE a.verse_id % 20 = 0 AND a.tradition <> b.tradition) SELECT query_id, tradition, verse_id, round(s, 4) AS similarity, row_number() OVER (PARTITION BY query_id, tradition ORDER BY s DESC, verse_id)::INT AS rank FROM pairs QUALIFY rank <= 3",
 }

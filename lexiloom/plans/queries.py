@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import copy
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -13,7 +14,7 @@ from lexiloom.functions import statistics as S
 from lexiloom.functions import text as T
 from lexiloom.functions.unicode import nfd
 from lexiloom.operators import context, display, frequency, health, lexicon, search, similarity, vector_index
-from lexiloom.plans.corpus import LINES, Corpus, first_of_each, from_documents
+from lexiloom.plans.corpus import LINES, Corpus, first_of_each, from_documents, read_places
 from lexiloom.streaming import cache, text_index, totals
 
 #: What the queries ask for.
@@ -215,6 +216,14 @@ def kept_dispersion(spark, folder):
     return words.join(spread, ["lemma", "work_id"]).join(works.select("work_id", "total_tokens", "total_verses"), "work_id").select("lemma", "work_id", "count", "verse_count", "divisions_present", "divisions_total", "dispersion", "total_tokens", "total_verses")
 
 
+def collocations_placed(spark, folder):
+    """collocations over an index that lies in buckets by verse and place."""
+    c, written = copy.copy(corpus_of(spark, folder)), _work_folder(spark, "places")
+    c.write_places(written)
+    c.places = read_places(spark, written)
+    return context.collocations(c, STEMS)
+
+
 def _work_folder(spark: SparkSession, name: str) -> str:
     """A new path that all executors share; a local one is for a local master alone."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
@@ -372,7 +381,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         normalize_text, normalize_decomposed, tokenize, token_count, stem, ngrams, strip_html, detect_script, verse_dedup, lemma_totals, division_totals, work_totals, list_works, list_divisions, health_counts, ingest_stats, log_likelihood, semantic_fields,
-        lexicon_terms, field_stems, fields_containing, resolve_query, search_text, search_ranked, search_segments, kept_dispersion, vector_search, vector_search_all, vector_search_index, cross_tradition_all, vector_search_grouped, near_duplicates, near_duplicates_all, cross_tradition, pending_embeddings, embedding_models, l2_normalize, engine_comparison, translation_pending,
+        lexicon_terms, field_stems, fields_containing, resolve_query, search_text, search_ranked, search_segments, kept_dispersion, collocations_placed, vector_search, vector_search_all, vector_search_index, cross_tradition_all, vector_search_grouped, near_duplicates, near_duplicates_all, cross_tradition, pending_embeddings, embedding_models, l2_normalize, engine_comparison, translation_pending,
         vector_search_verses, engine_means, model_choice, reduced_vectors, highlight, query_words, translation_cache, gloss,
     )
 } | {

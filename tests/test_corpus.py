@@ -305,6 +305,50 @@ def test_written_corpus_reads_back(spark, small, tmp_path):
     assert sorted(back.lemma_totals.collect()) == sorted(small.lemma_totals.collect())
 
 
+def exchanges_above(plan: str, scan: str) -> list[list[str]]:
+    """Of each scan in a plan's text, the exchanges between it and the root."""
+    lines, found = plan.splitlines(), []
+    depth = lambda x: len(x) - len(x.lstrip(" :+-*()0123456789"))
+    for k, line in enumerate(lines):
+        if scan in line and "FileScan" in line:
+            above, at = [], depth(line)
+            for x in reversed(lines[:k]):
+                if depth(x) < at:
+                    at = depth(x)
+                    above.append(x.strip())
+            found.append([x for x in above if "Exchange" in x])
+    return found
+
+
+def test_neighbours_are_found_in_the_buckets_by_verse(spark, tmp_path):
+    """The same rows as from the index itself, and of the written index only what joined goes through an exchange."""
+    rng = np.random.default_rng(5)
+    words = [f"term{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(60)]
+    lines = [(f"w{k % 3}", 1 + k % 4, None, k, " ".join(rng.choice(words, int(rng.integers(1, 60))))) for k in range(400)]
+    c = corpus(spark, lines)
+    folder = str(tmp_path / "it's")
+    c.write(folder, buckets=5)
+    back = Corpus.read(spark, folder)
+    assert back.places.count() == c.lemma_index.count()
+    stems = [r.lemma for r in c.lemma_totals.select("lemma").distinct().orderBy("lemma").limit(3).collect()]
+    for work in (None, "w1"):
+        want = context.collocations(c, stems, work, limit=None).collect()
+        assert context.collocations(back, stems, work, limit=None).collect() == want and len(want) > 20
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = context.collocations(back, stems)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert "Bucketed: true" in plan
+    found = exchanges_above(plan, "lexiloom_places")
+    assert found and not any("verse_id" in x for above in found for x in above)  # what goes through exchanges is (lemma, count)
+    small_again = corpus(spark, lines[:30])
+    small_again.write(folder, buckets=3)  # another number of buckets in the same place
+    again = Corpus.read(spark, folder)
+    assert again.places.count() == small_again.lemma_index.count()
+
+
 def test_too_many_lines_are_an_error(spark):
     """Identifiers of verses leave room for a number of lines; a document beyond it isn't confused with the next."""
     from lexiloom.plans.corpus import LINES, from_documents
