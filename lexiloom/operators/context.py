@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiloom.functions import statistics as S
+from lexiloom.functions import text as T
 from lexiloom.operators.frequency import of_stems, of_works
 from lexiloom.plans.corpus import Corpus
 
@@ -50,14 +51,18 @@ def collocations(corpus: Corpus, stems, work_id: str | None = None, window: int
 
     A neighbour near two hits counts twice. Hits are exploded to the places around them, which then join the index on
     verse and place, so that long verses don't multiply. The work limits the pairs, not the totals. In a corpus that was
-    written the places go to the index's buckets; else the index goes to them, but for verses without a hit.
+    written the hits go to the buckets of verses, whose words around them are slices, stemmed then.
     """
     anchors = of_stems(corpus.lemma_index, stems)
-    around = F.filter(F.sequence(F.col("position") - window, F.col("position") + window), lambda p: p != F.col("position"))
-    places = of_works(anchors, [work_id] if work_id else None).select("verse_id", F.explode(around).alias("position"))
+    hits = of_works(anchors, [work_id] if work_id else None).select("verse_id", "position")
     if corpus.places is not None:
-        pairs = corpus.places.join(places, ["verse_id", "position"])
+        p = F.col("position")
+        around = F.concat(F.slice("words", F.greatest(p - window, F.lit(0)) + 1, F.least(p, F.lit(window))), F.slice("words", p + 2, F.lit(window)))
+        near = corpus.places.join(hits, "verse_id").select("language", F.explode(around).alias("surface"))
+        pairs = T.stemmed(near.filter(T.is_term(F.col("surface"), F.col("language"))), "surface", "language")
     else:
+        around = F.filter(F.sequence(F.col("position") - window, F.col("position") + window), lambda p: p != F.col("position"))
+        places = hits.select("verse_id", F.explode(around).alias("position"))
         near = corpus.lemma_index.join(places.select("verse_id").distinct(), "verse_id", "left_semi")  # few verses have an anchor
         pairs = near.join(places, ["verse_id", "position"])
     own = of_stems(pairs, stems).select("lemma").distinct() if isinstance(stems, DataFrame) else None

@@ -21,7 +21,7 @@ DERIVED = ("lemma_index", "text_postings", "text_lengths", "lemma_totals", "divi
 class Corpus:
     """`verses`: (verse_id, work_id, tradition, language, division_id, division_ordinal, division_name, section, chapter,
     number, ref, text), and `title`, if works have one. All else is derived from it, lazily; persist() keeps what queries
-    share. A corpus that was written also has `places`, its index once more in buckets by verse and place (else None)."""
+    share. A corpus that was written also has `places`: (verse_id, language, words), in buckets by verse (else None)."""
 
     verses: DataFrame
     places: DataFrame | None = None
@@ -82,8 +82,8 @@ class Corpus:
     def write(self, folder: str, buckets: int = 64) -> None:
         """Verses, index and totals as Parquet, by work, the index in order of lemma, so that scans skip row groups.
 
-        Rows are dealt by ranges of (lemma, verse), so a frequent word's postings are many tasks' work. The index is
-        written once more by write_places().
+        Rows are dealt by ranges of (lemma, verse), so a frequent word's postings are many tasks' work. Words in order
+        are written by write_places().
         """
         self.verses.write.mode("overwrite").partitionBy("work_id").parquet(f"{folder}/verses")
         index = self.lemma_index
@@ -94,11 +94,12 @@ class Corpus:
         self.write_places(folder, buckets)
 
     def write_places(self, folder: str, buckets: int = 64) -> None:
-        """The index in buckets by verse and place, in which the words around a hit are found without an exchange of it."""
+        """All words of each verse in order, in buckets by verse: the words around a hit are found without an exchange of
+        them, and a verse is one row, so there is less to write than of the index."""
         spark, table = self.verses.sparkSession, _table_of(folder)
         spark.sql(f"DROP TABLE IF EXISTS {table}")
-        rows = self.lemma_index.select("lemma", "work_id", "verse_id", "surface", "position").repartition(buckets, "verse_id", "position")
-        rows.write.mode("overwrite").format("parquet").bucketBy(buckets, "verse_id", "position").sortBy("verse_id", "position").option("path", f"{folder}/places").saveAsTable(table)
+        rows = self.words.select("verse_id", "language", "words").repartition(buckets, "verse_id")
+        rows.write.mode("overwrite").format("parquet").bucketBy(buckets, "verse_id").sortBy("verse_id").option("path", f"{folder}/places").saveAsTable(table)
         spark.range(1).select(F.lit(buckets).alias("buckets")).coalesce(1).write.mode("overwrite").parquet(f"{folder}/layout")
 
     @staticmethod
@@ -114,10 +115,10 @@ class Corpus:
 def read_places(spark: SparkSession, folder: str) -> DataFrame:
     """What write_places() has written, by a table in the session's catalogue, as only that keeps how rows lie."""
     buckets = spark.read.parquet(f"{folder}/layout").first().buckets
-    table, columns = _table_of(folder), "lemma string, work_id string, verse_id long, surface string, position int"
+    table, columns = _table_of(folder), "verse_id long, language string, words array<string>"
     where = f"{folder}/places".replace("\\", "\\\\").replace("'", "\\'")
     spark.sql(f"DROP TABLE IF EXISTS {table}")
-    spark.sql(f"CREATE TABLE {table} ({columns}) USING parquet CLUSTERED BY (verse_id, position) SORTED BY (verse_id, position) INTO {buckets} BUCKETS LOCATION '{where}'")
+    spark.sql(f"CREATE TABLE {table} ({columns}) USING parquet CLUSTERED BY (verse_id) SORTED BY (verse_id) INTO {buckets} BUCKETS LOCATION '{where}'")
     return spark.table(table)
 
 

@@ -217,7 +217,7 @@ def kept_dispersion(spark, folder):
 
 
 def collocations_placed(spark, folder):
-    """collocations over an index that lies in buckets by verse and place."""
+    """collocations over words that lie in buckets by verse."""
     c, written = copy.copy(corpus_of(spark, folder)), _work_folder(spark, "places")
     c.write_places(written)
     c.places = read_places(spark, written)

@@ -321,7 +321,7 @@ def exchanges_above(plan: str, scan: str) -> list[list[str]]:
 
 
 def test_neighbours_are_found_in_the_buckets_by_verse(spark, tmp_path):
-    """The same rows as from the index itself, and of the written index only what joined goes through an exchange."""
+    """The same rows as from the index itself, and of the written words only what joined goes through an exchange."""
     rng = np.random.default_rng(5)
     words = [f"term{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(60)]
     lines = [(f"w{k % 3}", 1 + k % 4, None, k, " ".join(rng.choice(words, int(rng.integers(1, 60))))) for k in range(400)]
@@ -329,7 +329,7 @@ def test_neighbours_are_found_in_the_buckets_by_verse(spark, tmp_path):
     folder = str(tmp_path / "it's")
     c.write(folder, buckets=5)
     back = Corpus.read(spark, folder)
-    assert back.places.count() == c.lemma_index.count()
+    assert back.places.count() == 400
     stems = [r.lemma for r in c.lemma_totals.select("lemma").distinct().orderBy("lemma").limit(3).collect()]
     for work in (None, "w1"):
         want = context.collocations(c, stems, work, limit=None).collect()
@@ -346,7 +346,7 @@ def test_neighbours_are_found_in_the_buckets_by_verse(spark, tmp_path):
     small_again = corpus(spark, lines[:30])
     small_again.write(folder, buckets=3)  # another number of buckets in the same place
     again = Corpus.read(spark, folder)
-    assert again.places.count() == small_again.lemma_index.count()
+    assert again.places.count() == 30
 
 
 def test_too_many_lines_are_an_error(spark):
