@@ -37,7 +37,7 @@ def main() -> None:
         return time.perf_counter() - began
 
     began = time.perf_counter()
-    corpus = plain.corpus_of(spark, folder)
+    corpus = plain.corpus_of(spark, folder).persist()
     for table in (corpus.words, corpus.lemma_index, corpus.text_postings, corpus.text_lengths, corpus.lemma_totals, corpus.divisions, corpus.works):
         table.count()
     took = {"build_index": time.perf_counter() - began}
