@@ -49,3 +49,14 @@ def test_decomposed_words_stay_whole(spark):
     words = T.words(T.normalize(F.lit(text), F.lit("fr")))
     assert spark.range(1).select(words.alias("w")).first().w == ["l'élève", "naïf", "où", "ça", "한국어", "ἄνθρωπος"]
     assert spark.range(1).select(T.words(T.normalize(F.lit(unicodedata.normalize("NFD", "razón")), F.lit("es"))).alias("w")).first().w == ["razon"]
+
+
+def test_single_marks(spark):
+    """Texts below U+0180 take a short way, others the long one, with the same results; neither way has a mark left out."""
+    letters = "".join(map(chr, range(0x20, 0x180)))
+    texts = [letters, unicodedata.normalize("NFD", letters), "é̂ é̂", "x́ é", "́e", "é ế", "é ’", "", None, *(c + "a" for c in letters)]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").select("t", nfc(F.col("t")).alias("c"), nfd(F.col("t")).alias("d")).collect()
+    for r in rows:
+        assert (r.c, r.d) == ((None, None) if r.t is None else (unicodedata.normalize("NFC", r.t), unicodedata.normalize("NFD", r.t)))
+    short = spark.range(1).select(nfd(F.lit("é")).alias("d")).union(spark.createDataFrame([("é",)], "d string").select(nfd(F.col("d"))))
+    assert [r.d for r in short.collect()] == ["é", "é"]
