@@ -25,6 +25,8 @@ from lexiloom.operators.similarity import PART, best_of_parts, nearest_of_parts,
 #: Lists at most, so that their centres can be sent to all tasks; rows of the sample; queries that the recall is measured on.
 MOST_LISTS, SAMPLE, CHECKS = 4096, 20_000, 100
 STEPS = 10
+#: Rows, with their vectors, that a task makes of its queries at once.
+ROWS = 10_000
 
 
 def k_means(rows: np.ndarray, lists: int) -> np.ndarray:
@@ -45,6 +47,18 @@ def k_means(rows: np.ndarray, lists: int) -> np.ndarray:
     return centres
 
 
+def spread(queries: pd.DataFrame, centres: np.ndarray, probes: int) -> Iterator[pd.DataFrame]:
+    """Queries, each once for each of its nearest lists, in frames of about ROWS rows: a frame for many queries would hold
+    as many copies of their vectors as there are lists to look at."""
+    step = max(1, ROWS // max(1, min(probes, len(centres))))
+    for at in range(0, len(queries), step):
+        some = queries.iloc[at : at + step]
+        near = np.stack(some["vector"].to_list()) @ centres.T
+        lists = np.argsort(-near, axis=1, kind="stable")[:, :probes]
+        out = some.loc[some.index.repeat(lists.shape[1]), ["verse_id", "vector", "kind"]]
+        yield out.assign(list=lists.ravel(), at=np.tile(np.arange(lists.shape[1]), len(lists)))
+
+
 @dataclass(frozen=True)
 class VectorIndex:
     """`rows`: (verse_id, vector, kind, list) of all vectors; `kind`: the name of the column that kinds come from."""
@@ -59,11 +73,7 @@ class VectorIndex:
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
-                if len(batch):
-                    near = np.stack(batch["vector"].to_list()) @ sent.value.T
-                    lists = np.argsort(-near, axis=1, kind="stable")[:, :probes]
-                    out = batch.loc[batch.index.repeat(lists.shape[1]), ["verse_id", "vector", "kind"]]
-                    yield out.assign(list=lists.ravel(), at=np.tile(np.arange(lists.shape[1]), len(lists)))
+                yield from spread(batch, sent.value, probes)
 
         return queries.mapInPandas(run, "verse_id long, vector array<double>, kind string, list int, at int")
 

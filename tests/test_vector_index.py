@@ -1,6 +1,7 @@
 """The vector index against the exact search of all rows."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -43,3 +44,15 @@ def test_kinds_leave_their_own_out(spark):
     v = spark.createDataFrame([(1, "x", [1.0, 0.0]), (2, "x", [1.0, 0.1]), (3, "y", [0.9, 0.1]), (4, "z", [0.0, 1.0]), (5, None, [0.5, 0.5])], "verse_id long, tradition string, vector array<double>")
     got = similarity.search_all(v, v.filter(F.col("verse_id") == 1), 1, -1.0, "tradition").select("tradition", "verse_id", "rank").collect()
     assert sorted(map(tuple, got)) == [("", 5, 1), ("y", 3, 1), ("z", 4, 1)]
+
+
+def test_queries_are_spread_in_pieces():
+    """What a task holds of its queries' copies doesn't grow with queries times lists."""
+    rng = np.random.default_rng(4)
+    asked, centres = pd.DataFrame({"verse_id": range(900), "vector": list(rng.normal(size=(900, 8))), "kind": ""}), rng.normal(size=(300, 8))
+    frames = list(vector_index.spread(asked, centres, 200))
+    whole = pd.concat(frames)
+    assert max(map(len, frames)) <= vector_index.ROWS and len(whole) == 900 * 200
+    want = np.argsort(-(np.stack(asked["vector"].to_list()) @ centres.T), axis=1, kind="stable")[:, :200]
+    assert (whole["list"].to_numpy().reshape(900, 200) == want).all() and (whole["verse_id"].to_numpy() == np.repeat(np.arange(900), 200)).all()
+    assert not list(vector_index.spread(asked[:0], centres, 200))
